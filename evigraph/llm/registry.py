@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .packing import op10_best_fit_packing
+from .quality_rules import OP2_SQL, op2_quality_rules
 from .url_filter import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter}
-ORACLES = {"op1_url_filter": OP1_SQL}
+QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality_rules": op2_quality_rules, "op10_best_fit_packing": op10_best_fit_packing}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_quality_rules": OP2_SQL}
