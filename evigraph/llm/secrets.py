@@ -49,10 +49,11 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
         F.filter(F.arrays_zip(placed.alias("p"), sized.alias("s")), lambda x: F.length(x["s"]) >= least), lambda x: x["p"]
     )
     spans = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(ORDER.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(text.rlike(pattern), spans).otherwise(NONE)
+    return F.when(text.rlike(pattern), spans).otherwise(none())
 
 
-NONE = F.expr("CAST(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)")
+def none() -> Column:
+    return F.expr("CAST(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)")
 
 
 def listed(spans: Column) -> Column:
@@ -89,7 +90,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
     rows = rows.select("_id", "_text", F.concat(*[spans_of(F.col("_text"), p, k, g, n) for k, p, g, n in BASE]).alias("base"))
     maybe = F.exists("base", lambda s: s["kind"] == "access") | F.col("_text").rlike(WEAK[0][1])
-    rows = rows.withColumn("weak", F.when(maybe, F.concat(*[spans_of(F.col("_text"), p, k) for k, p, _ in WEAK])).otherwise(NONE))
+    rows = rows.withColumn("weak", F.when(maybe, F.concat(*[spans_of(F.col("_text"), p, k) for k, p, _ in WEAK])).otherwise(none()))
     free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
     rows = rows.select("_id", "base", free.alias("weak"), F.when(F.size(free) > 0, F.sha2(F.col("_text"), 256)).alias("_sha"))
     rows = materialise(rows, "secret-spans")  # texts are scanned once; what follows reads spans only
@@ -99,9 +100,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = candidates.select("_id", "_sha", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     parts = parts.select("_id", "_sha", "s.*").withColumns({"role": role[F.col("kind")], "weak": F.col("ord") >= len(BASE)})
     found = linked_weak(parts, ["_id", "_sha"], scope).groupBy("_id", "_sha").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("added"))
-    plain = rows.where(~((F.size("weak") > 0) & several) | F.col("_sha").isNull()).select("_id", "base", NONE.alias("added"))
+    plain = rows.where(~((F.size("weak") > 0) & several) | F.col("_sha").isNull()).select("_id", "base", none().alias("added"))
     joined = candidates.join(found.withColumnsRenamed({"_id": "f_id", "_sha": "f_sha"}), F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_sha") == F.col("f_sha")), "left")
-    return plain.unionByName(joined.select("_id", "base", F.coalesce("added", NONE).alias("added"))).withColumnRenamed("_id", id_col)
+    return plain.unionByName(joined.select("_id", "base", F.coalesce("added", none()).alias("added"))).withColumnRenamed("_id", id_col)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
