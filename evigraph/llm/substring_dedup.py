@@ -6,8 +6,8 @@ Three passes over blocks of documents, joined by two small shuffles:
    windows with an anchor that two documents share can recur; there is about one anchor in five words.
 2. windows: 96-bit hashes of the windows with a shared anchor, grouped over the corpus, confirm which windows recur and the first
    document of each.
-3. automata: each block compiles the confirmed windows of its own documents into an automaton over word numbers and streams all
-   its documents through it, which locates every occurrence.
+3. automata: each block compiles the anchors of the confirmed windows of its own documents into an automaton over word numbers
+   and streams its documents through it; every place found is extended to the confirmed windows around it.
 
 What is shuffled by anchor or window is first combined within a block, so a passage that a third of the documents share counts
 once for each block.
@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ def _anchors(settings: Settings):
 
 def _windows(settings: Settings):
     def run(key, docs, shared):
-        empty = pa.table({n: pa.array([], t) for n, t in (("h1", pa.int64()), ("h2", pa.int32()), ("block", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()))})
+        empty = pa.table({n: pa.array([], t) for n, t in (("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.int64()))})
         if not shared.num_rows or not docs.num_rows:
             return empty
         block = Block(docs.column("text"), docs.column("id"), settings)
@@ -98,66 +99,72 @@ def _windows(settings: Settings):
         order = np.lexsort((h2, h1))
         h1, h2, ids = h1[order], h2[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
-        size = len(first)
-        return pa.table({"h1": h1[first], "h2": h2[first], "block": np.full(size, key[0].as_py()), "lo": np.minimum.reduceat(ids, first), "hi": np.maximum.reduceat(ids, first)})
+        low = np.minimum.reduceat(ids, first)
+        return pa.table({"h1": h1[first], "h2": h2[first], "lo": low, "more": np.maximum.reduceat(ids, first) - low})
 
     return run
 
 
-def locate(block: Block, h1: np.ndarray, h2: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each document the words that lie in a confirmed window which starts in an earlier document."""
-    width = block.settings.width
-    drop = [np.zeros(len(w), dtype=bool) for w in block.words]
-    if not len(h1):
+def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
+    """For each document the words that lie in a confirmed window which starts in an earlier document; None if there are none.
+
+    The automaton holds the anchors of the confirmed windows. Each place where it finds one is extended to the windows around it,
+    which count if they are confirmed.
+    """
+    width, gram = block.settings.width, block.settings.gram
+    drop: list[np.ndarray | None] = [None] * len(block.words)
+    if not len(confirmed) or not len(block.valid):
         return drop
-    own1, own2 = block.window_keys()
-    order = np.argsort(h1, kind="stable")
-    h1, h2, first = h1[order], h2[order], first[order]
-    numbers: dict = {}
-    letters = [[numbers.setdefault(w, len(numbers)) for w in words] for words in block.words]
-    whole = len(numbers) < 0xD000  # word numbers that are plain characters make the keys strings
-    automaton = ahocorasick.Automaton() if whole else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    coded = ["".join(map(chr, x)) for x in letters] if whole else [tuple(x) for x in letters]
-    near = np.searchsorted(h1, own1)
-    candidates = np.flatnonzero(block.valid & (near < len(h1)))
-    candidates = candidates[h1[near[candidates]] == own1[candidates]]
-    known = set()
-    for i, at, doc in zip(candidates.tolist(), near[candidates].tolist(), block.owner[candidates].tolist(), strict=True):
-        while at < len(h1) and h1[at] == own1[i] and h2[at] != own2[i]:
-            at += 1
-        if at < len(h1) and h1[at] == own1[i] and at not in known:
-            known.add(at)
-            start = i - int(block.starts[doc])
-            automaton.add_word(coded[doc][start : start + width], int(first[at]))
-    if not known:
+    order = np.argsort(confirmed)
+    confirmed, first = confirmed[order], first[order]
+    own = window_hashes(block.hashes, width, 11).view(np.int64)
+    near = np.minimum(np.searchsorted(confirmed, own), len(confirmed) - 1)
+    gone = block.valid & (confirmed[near] == own) & (first[near] < block.ids[block.owner])
+    at = np.flatnonzero(gone)
+    if not len(at):
         return drop
+    grams = window_hashes(block.hashes, gram, 7)
+    # seeds: where the anchor of each confirmed window stands, each distinct anchor once
+    _, one = np.unique(block.anchors[at], return_index=True)
+    place = [int(i) + int(np.argmin(grams[i : i + width - gram + 1])) for i in at[one]]
+    numbers: dict = {}
+    docs = np.unique(block.owner[at])
+    letters = {int(d): [numbers.setdefault(w, len(numbers)) for w in block.words[d]] for d in docs}
+    plain = len(numbers) < 0xD000  # word numbers that are plain characters make the keys strings
+    automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    coded = {d: "".join(map(chr, x)) if plain else tuple(x) for d, x in letters.items()}
+    home = np.searchsorted(block.starts, place, side="right") - 1
+    for i, d in zip(place, home.tolist(), strict=True):
+        start = i - int(block.starts[d])
+        automaton.add_word(coded[d][start : start + gram], True)
     automaton.make_automaton()
-    for doc, text in enumerate(coded):
-        own = int(block.ids[doc])
-        hits = [end for end, earliest in automaton.iter(text) if earliest < own] if len(text) >= width else []
-        if hits:
-            edge = np.zeros(len(text) + 1, dtype=np.int64)
-            ends = np.asarray(hits)
-            edge[ends - width + 1] += 1  # each end is found once, as all patterns have one length
-            edge[ends + 1] -= 1
-            drop[doc] = np.cumsum(edge[:-1]) > 0
+    for d, text in coded.items():
+        ends = np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64)
+        begin, size = int(block.starts[d]), len(text)
+        around = (ends[:, None] - gram + 1 - np.arange(width - gram + 1)).ravel()
+        around = around[(around >= 0) & (around <= size - width)]
+        found = np.unique(around[gone[begin + around]])
+        edge = np.zeros(size + 1, dtype=np.int64)
+        edge[found] += 1
+        edge[found + width] -= 1
+        drop[d] = np.cumsum(edge[:-1]) > 0
     return drop
 
 
-def _kept(settings: Settings):
+def _kept(settings: Settings, digest_only: bool):
     def run(key, docs, windows):
         block = Block(docs.column("text"), docs.column("id"), settings)
-        drop = locate(block, windows.column("h1").to_numpy(), windows.column("h2").to_numpy(), windows.column("first").to_numpy())
-        kept = [b" ".join([w for w, d in zip(words, gone.tolist(), strict=True) if not d] if gone.any() else words) for words, gone in zip(block.words, drop, strict=True)]
+        drop = locate(block, windows.column("h1").to_numpy(), windows.column("first").to_numpy())
+        kept = [b" ".join(words if gone is None else compress(words, (~gone).tolist())) for words, gone in zip(block.words, drop, strict=True)]
         return pa.table(
             {
                 "id": docs.column("id"),
                 "n_words": pa.array([len(w) for w in block.words], pa.int64()),
-                "n_removed": pa.array([int(d.sum()) for d in drop], pa.int64()),
-                "kept": pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.large_string() if sum(map(len, kept)) >> 30 else pa.string()),
+                "n_removed": pa.array([0 if d is None else int(d.sum()) for d in drop], pa.int64()),
+                **({} if digest_only else {"kept": pa.array(kept, pa.binary()).cast(pa.string())}),
                 "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             }
-        ).select(["id", "n_words", "n_removed", "kept", "kept_sha256"])
+        )
 
     return run
 
@@ -173,17 +180,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     count = max(1, -(-rows.count() // settings.block))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("long")).repartition(shuffle_width(spark), "block")
+
+    def block_of(id_: Column) -> Column:
+        return F.pmod(F.xxhash64(id_), F.lit(count)).cast("long")
+
+    rows = rows.withColumn("block", block_of(F.col("id"))).repartition(shuffle_width(spark), "block")
     anchors = rows.groupBy("block").applyInArrow(_anchors(settings), "anchor long, place long").repartition(shuffle_width(spark), "anchor")
     same = W.partitionBy("anchor")
     shared = anchors.select("anchor", "place", F.count("*").over(same).alias("n"), F.min("place").over(same).alias("p")).where("n > 1 OR p < 0")
     shared = shared.select("anchor", F.expr("IF(place < 0, -1 - place, place) AS block"))
     by_block = rows.groupBy("block")
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_windows(settings), "h1 long, h2 int, block long, lo long, hi long").repartition(shuffle_width(spark), "h1", "h2")
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_windows(settings), "h1 long, h2 int, lo long, more long").repartition(shuffle_width(spark), "h1", "h2")
     same = W.partitionBy("h1", "h2")
-    confirmed = windows.select("h1", "h2", "block", "hi", F.min("lo").over(same).alias("first")).where("hi > first").select("h1", "h2", "first", "block")
-    out = rows.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(_kept(settings), "id long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", *([] if digest_only else ["kept"]), "kept_sha256")
+    confirmed = windows.select("h1", "lo", "more", F.min("lo").over(same).alias("first")).where("lo + more > first").select("h1", "first", block_of(F.col("lo")).alias("block"))
+    out = rows.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(
+        _kept(settings, digest_only), "id long, n_words long, n_removed long, " + ("" if digest_only else "kept string, ") + "kept_sha256 string"
+    )
+    return out.withColumnRenamed("id", id_col)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
