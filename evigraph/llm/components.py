@@ -15,15 +15,16 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     them, until no edge changes. A number of rounds that grows with the logarithm of the component's size suffices. Empty edges give no row.
     """
     links = materialise(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u != v").distinct(), "links")
+    before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        after = materialise(small.select("e.u", "e.v").where("u != v").distinct(), "links")
-        sums = [x.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for x in (links, after)]
-        links = after
-        if sums[0] == sums[1]:
+        links = materialise(small.select("e.u", "e.v").where("u != v").distinct(), "links")
+        after = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if after == before:
             break
+        before = after
     return links.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("label"))).distinct()

@@ -9,6 +9,7 @@ in it with the probability of their weighted Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter, OrderedDict
 from dataclasses import dataclass
 
@@ -24,12 +25,12 @@ from .shingles import GOLDEN, blocks, mix, window_hashes, word_hashes, words_of
 
 @dataclass(frozen=True)
 class Settings:
-    """``bands`` of ``rows`` components: a pair of similarity 0.8 meets in a band with probability 0.99995."""
+    """``bands`` of ``rows`` components: a pair of similarity 0.8 meets in a band with probability 0.9995, one of 0.3 with 0.007."""
 
     width: int = 5
     threshold: float = 0.8
-    bands: int = 24
-    rows: int = 5
+    bands: int = 32
+    rows: int = 7
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def signatures(shingles: np.ndarray, docs: np.ndarray, count: int, size: int) ->
     shingle, doc = shingles[first], docs[first]
     total = np.bincount(docs, minlength=count).astype(float)
     out = np.full(count * size, np.inf)
-    reach = np.where(total > 0, (np.log(size) + 5) / np.maximum(total, 1), 0.0)
+    reach = np.where(total > 0, (np.log(size) + 3) / np.maximum(total, 1), 0.0)
     todo = total > 0
     while todo.any():
         out.reshape(count, size)[todo] = np.inf
@@ -84,8 +85,21 @@ def band_hashes(sigs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(sigs: np.ndarray) -> np.ndarray:
+    """One bit of each component, packed into 64-bit words. Bits of equal components are equal, others by chance."""
+    bits = (mix(sigs.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    packed = np.packbits(bits, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.int64)
+
+
+def most_differing(settings: Settings) -> int:
+    """Bits in which the sketches of a pair at the threshold may differ: five standard deviations above the mean."""
+    size, miss = settings.bands * settings.rows, (1 - settings.threshold) / 2
+    return int(size * miss + 5 * math.sqrt(size * miss * (1 - miss)))
+
+
 def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(id, k1, k2, n_words, bands): a 128-bit key of the word sequence and the band hashes, empty without words."""
+    """(id, k1, k2, n_words, bands, sketch): a 128-bit key of the word sequence; band hashes and sketch are empty without words."""
 
     def run(batches):
         size = settings.bands * settings.rows
@@ -97,8 +111,9 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                 which = {p: i for i, p in reversed(list(enumerate(place)))}
                 parts = [shingle_hashes(texts_words[which[p]], settings.width) for p in range(len(seen))]
                 owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                found = band_hashes(signatures(np.concatenate(parts), owner, len(parts), size), settings.bands, settings.rows)
-                lists = [found[p].tolist() if len(parts[p]) else [] for p in range(len(parts))]
+                sigs = signatures(np.concatenate(parts), owner, len(parts), size)
+                found, sketch = band_hashes(sigs, settings.bands, settings.rows), sketches(sigs)
+                lists = [found[p] if len(parts[p]) else [] for p in range(len(parts))]
                 keys = np.frombuffer(b"".join(seen), dtype="<i8").reshape(-1, 2)[place]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -107,11 +122,12 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                         pa.array(keys[:, 1]),
                         pa.array([len(w) for w in texts_words], pa.int64()),
                         pa.array([lists[p] for p in place], pa.list_(pa.int64())),
+                        pa.array([sketch[p] for p in place], pa.list_(pa.int64())),
                     ],
-                    names=["id", "k1", "k2", "n_words", "bands"],
+                    names=["id", "k1", "k2", "n_words", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n_words long, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n_words long, bands array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -147,20 +163,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id) for every row: classes are the components of all pairs that share a band and overlap by the threshold.
 
     Equal word sequences are one class at once. Of the different texts in a band bucket, some are pivots; all members of another
-    component are compared with them, components are joined, and buckets with several components get twice as many pivots in
-    the next round, until every bucket is one component or every pair across its components was compared. So a bucket of n
-    near copies costs about n comparisons, and no link is lost. Rows without a word (null or empty texts) are classes of
+    component are compared with them, components are joined, and buckets with several components get eight times as many
+    pivots in the next round, until every bucket is one component or every pair across its components was compared. So a bucket
+    of n near copies costs about n comparisons, and no link is lost. The first pivot of a bucket is its
+    text with the most copies. Sizes, and sketches that differ by five standard deviations more than those of a pair at the
+    threshold (less than one such pair in 10^6), rule pairs out before texts are read. Rows without a word (null or empty texts) are classes of
     their own; repeated ids with equal texts fall into one class; the class id is the least id; an empty table gives no row.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = materialise(_sign(rows, settings), "signatures")
-    firsts = materialise(signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("id").alias("id")), "first-copies")
-    distinct = signed.join(firsts.select("id", "k1", "k2"), ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
-    buckets = distinct.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    members = materialise(buckets.join(shared, "bucket"), "bucket-members")
+    firsts = materialise(signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "first-copies")
+    distinct = signed.join(firsts, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"])
+    words = -(-settings.bands * settings.rows // 64)
+    size = F.greatest(F.col("n_words") - (settings.width - 1), F.lit(1))  # shingles
+    buckets = distinct.select("id", F.named_struct(*[x for n, c in {"rarity": -F.col("copies"), "size": size, **{f"s{i}": F.get("sketch", F.lit(i)) for i in range(words)}}.items() for x in (F.lit(n), c)]).alias("what"), F.explode("bands").alias("bucket"))
+    met = buckets.join(_shared(buckets), "bucket")
+    # texts whose sizes are too far apart cannot overlap enough: a bucket falls into classes of size, each text in two of them
+    step = F.floor(F.log(F.col("what.size").cast("double")) / F.lit(-math.log(settings.threshold)) + 1e-9)
+    met = met.select("id", "what", F.explode(F.array(step, step + 1)).alias("class"), "bucket").select("id", "what", F.xxhash64("bucket", "class").alias("bucket"))
+    members = materialise(met.join(_shared(met), "bucket"), "bucket-members")
     linked = _link(members, rows, settings) if not members.isEmpty() else None
-    classes = signed.where("n_words > 0").select("id", "k1", "k2").join(firsts.withColumnRenamed("id", "first"), ["k1", "k2"])
+    classes = signed.where("n_words > 0").select("id", "k1", "k2").join(firsts.select("k1", "k2", F.col("id").alias("first")), ["k1", "k2"])
     if linked is not None:
         labels = linked.select(F.col("id").alias("first"), "label")
         classes = classes.join(labels, "first", "left").select("id", F.coalesce("label", "first").alias("class_id"))
@@ -170,21 +193,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.unionByName(empty).withColumnRenamed("id", id_col)
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    return buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+
+
 def _link(members: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame | None:
     """(id, label) of the members that are linked to another; None if none is."""
+    words = sum(n[0] == "s" and n != "size" for n in members.schema["what"].dataType.names)
     involved = members.select("id").distinct()
     texts = materialise(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]), "bucket-texts")
     open_, tested, edges, labels, pivots, turn = members, None, None, None, 1, 0
     spare = members.withColumn("used", F.lit(False))
     while True:
-        # one pivot for each of ``pivots`` parts of a bucket: the least id there that has not been one
-        pivot = spare.where("NOT used").groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)).alias("part")).agg(F.min("id").alias("pivot"), F.max("id").alias("most"))
-        pivot = materialise(pivot.select("bucket", "pivot"), "pivots")
+        # one pivot for each of ``pivots`` parts of a bucket: of those that have not been one, the text with the most copies
+        pivot = spare.where("NOT used").groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)).alias("part")).agg(F.min(F.struct("what.rarity", "id", "what")).alias("p"))
+        pivot = materialise(pivot.select("bucket", F.col("p.id").alias("pivot"), F.col("p.what").alias("p_what")), "pivots")
         tagged = open_ if labels is None else open_.join(labels, "id", "left")
         tagged = tagged.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id"))
         heads = pivot.withColumn("id", F.col("pivot"))
         heads = heads.withColumn("p_label", F.col("pivot")) if labels is None else heads.join(labels.withColumnRenamed("label", "p_label"), "id", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
-        pairs = tagged.join(heads.select("bucket", "pivot", "p_label"), "bucket").where("label != p_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pairs = tagged.join(heads.select("bucket", "pivot", "p_what", "p_label"), "bucket")
+        room = F.least("what.size", "p_what.size") >= settings.threshold * F.greatest("what.size", "p_what.size") - 1e-6
+        unlike = sum((F.bit_count(F.col(f"what.s{i}").bitwiseXOR(F.col(f"p_what.s{i}"))) for i in range(words)), F.lit(0))
+        pairs = pairs.where("label != p_label").where(room).where(unlike <= most_differing(settings)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
@@ -194,13 +225,13 @@ def _link(members: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame
         if not good.isEmpty():
             labels = materialise(components(edges), "labels")
         # buckets that still hold several components and a member that was no pivot
-        spare = spare.join(pivot.withColumn("now", F.lit(True)).withColumnRenamed("pivot", "id"), ["bucket", "id"], "left").select("bucket", "id", F.expr("used OR coalesce(now, false)").alias("used"))
+        spare = spare.join(pivot.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now")), ["bucket", "id"], "left").select("bucket", "id", "what", F.expr("used OR coalesce(now, false)").alias("used"))
         known = spare.withColumn("label", F.col("id")) if labels is None else spare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         left = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.expr("CAST(NOT used AS int)")).alias("unused"))
         spare = materialise(spare.join(left.where("lo < hi AND unused > 1").select("bucket"), "bucket"), "open-members")
         if spare.isEmpty():
             return labels
-        open_, pivots, turn = spare.select("bucket", "id"), pivots * 2, turn + 1
+        open_, pivots, turn = spare.select("bucket", "id", "what"), pivots * 8, turn + 1
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
