@@ -50,15 +50,19 @@ def _sets(docs: DataFrame) -> DataFrame:
         return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     lines = _lines(docs).select("id", "line_no", "k1", "k2", F.array_distinct(hashes).alias("h"))
-    lines = lines.select("id", "line_no", "k1", "k2", F.size("h").alias("n"), F.sort_array(F.transform("h", number)).alias("s"))
-    return lines.select("id", "line_no", "k1", "k2", "n", F.expr(f"slice(s, 1, {PREFIX})").alias("prefix"))
+    lines = lines.select("id", "line_no", "k1", "k2", F.size("h").alias("n"), F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.sort_array(F.transform("h", number)).alias("s"))
+    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"slice(s, 1, {PREFIX})").alias("prefix"))
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of line keys that share a prefix word where lengths and positions leave room for the overlap."""
-    posts = firsts.select("k1", "k2", "n", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("m"), F.col("at").alias("b_at"))
-    near = posts.join(small, "word").where("m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at)) >= 4 * (n + m) AND (m < n OR b1 < k1 OR (b1 = k1 AND b2 < k2))")
+    """Pairs of line keys that share a prefix word where lengths and positions leave room for the overlap.
+
+    ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits.
+    """
+    posts = firsts.select("k1", "k2", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("m"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"))
+    room = "m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at)) >= 4 * (n + m) AND 9 * bit_count(bits ^ b_bits) <= n + m"
+    near = posts.join(small, "word").where(f"{room} AND (m < n OR b1 < k1 OR (b1 = k1 AND b2 < k2))")
     return near.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "b1", "b2").distinct()
 
 
@@ -85,7 +89,7 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = materialise(_sets(rows), "line-sets")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "prefix")).alias("s"))
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "bits", "prefix")).alias("s"))
     firsts = materialise(firsts.select("k1", "k2", "first", "last", "s.*"), "first-lines")
     pairs = materialise(_candidates(firsts), "line-pairs")
     alike = materialise(_verified(pairs, rows), "alike-lines")
