@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BLANK, materialise, table
+from .shared import materialise, table
 
 #: Words are counted in so many cells, each standing for the words that hash to it; a fixed number, whatever the corpus.
 CELLS = 1 << 20
@@ -21,8 +21,14 @@ PREFIX = "(n - (4 * n + 4) DIV 5 + 1)"  # words of a set among which one that a
 INDEXED = "(n - (8 * n + 8) DIV 9 + 1)"  # the same for the smaller of the two sets
 
 
+def _pieces(text: Column) -> Column:
+    """Text between blanks, some of it empty. Splitting at one literal character needs no pattern; rare blanks are mapped first."""
+    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.split(F.replace(F.when(rare, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text), F.lit("\n"), F.lit(" ")), " ")
+
+
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, BLANK), "")
+    return F.array_remove(_pieces(text), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _rarity(docs: DataFrame) -> bytes:
     """A byte below 128 for each cell: three times the binary logarithm of its number of words, over all words of all documents."""
-    cells = docs.select(F.explode(F.split("text", BLANK)).alias("w")).groupBy((F.xxhash64("w").bitwiseAND(CELLS - 1)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    cells = docs.select(F.explode(_pieces(F.col("text"))).alias("w")).groupBy((F.xxhash64("w").bitwiseAND(CELLS - 1)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
     dense = docs.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
     dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("least(IF(n = 0, 0, 1 + CAST(floor(3 * log2(n)) AS int)), 126)"))
     text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: F.char(x["level"])), "").alias("levels"))
@@ -51,7 +57,8 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     lines = _lines(docs).select("id", "line_no", "k1", "k2", F.array_distinct(hashes).alias("h"))
     lines = lines.select("id", "line_no", "k1", "k2", F.size("h").alias("n"), F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.sort_array(F.transform("h", number)).alias("s"))
-    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"slice(s, 1, {PREFIX})").alias("prefix"))
+    # for finding candidates 32 bits of a word's number are enough
+    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 4294967295 AS int))").alias("prefix"))
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
@@ -88,8 +95,7 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     as one document; an empty table gives no row; further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = materialise(_sets(rows), "line-sets")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "bits", "prefix")).alias("s"))
+    firsts = _sets(rows).groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "bits", "prefix")).alias("s"))
     firsts = materialise(firsts.select("k1", "k2", "first", "last", "s.*"), "first-lines")
     pairs = materialise(_candidates(firsts), "line-pairs")
     alike = materialise(_verified(pairs, rows), "alike-lines")
@@ -98,7 +104,7 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = both.join(other, ["b1", "b2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
     bounds = firsts.select("k1", "k2", "first", "last").join(links, ["k1", "k2"], "left").where("first < last OR other IS NOT NULL")
     bounds = bounds.select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links"))
-    marked = lines.select("id", "line_no", "k1", "k2").join(bounds, ["k1", "k2"], "left").withColumn("gone", F.coalesce(F.struct("id", "line_no") > F.col("bound"), F.lit(False)))
+    marked = _lines(rows).drop("line").join(bounds, ["k1", "k2"], "left").withColumn("gone", F.coalesce(F.struct("id", "line_no") > F.col("bound"), F.lit(False)))
     once = marked.groupBy("id", "line_no").agg(F.max("gone").alias("gone"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
     marks = once.groupBy("id").agg(
         F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed")
