@@ -57,8 +57,8 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     lines = _lines(docs).select("id", "line_no", "k1", "k2", F.array_distinct(hashes).alias("h"))
     lines = lines.select("id", "line_no", "k1", "k2", F.size("h").alias("n"), F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.sort_array(F.transform("h", number)).alias("s"))
-    # for finding candidates 32 bits of a word's number are enough
-    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 4294967295 AS int))").alias("prefix"))
+    # for finding candidates 31 bits of a word's number are enough
+    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 2147483647 AS int))").alias("prefix"))
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
