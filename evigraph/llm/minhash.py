@@ -31,6 +31,7 @@ class Settings:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 7
+    block: int = 1_000
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -162,12 +163,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(id, class_id) for every row: classes are the components of all pairs that share a band and overlap by the threshold.
 
-    Equal word sequences are one class at once. Of the different texts in a band bucket, some are pivots; all members of another
-    component are compared with them, components are joined, and buckets with several components get eight times as many
-    pivots in the next round, until every bucket is one component or every pair across its components was compared. So a bucket
-    of n near copies costs about n comparisons, and no link is lost. The first pivot of a bucket is its
-    text with the most copies. Sizes, and sketches that differ by five standard deviations more than those of a pair at the
-    threshold (less than one such pair in 10^6), rule pairs out before texts are read. Rows without a word (null or empty texts) are classes of
+    Equal word sequences are one class at once. Of the different texts in a band bucket all are compared with the one that has the
+    most copies; sizes, and sketches that differ by five standard deviations more than those of a pair at the threshold (less than one
+    such pair in 10^6), rule pairs out before texts are read. Most buckets are one component then. What is left is joined exactly, block
+    by block, so no link is lost and pairs are never written out.
+
+    Rows without a word (null or empty texts) are classes of
     their own; repeated ids with equal texts fall into one class; the class id is the least id; an empty table gives no row.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -200,38 +201,81 @@ def _shared(buckets: DataFrame) -> DataFrame:
 def _link(members: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame | None:
     """(id, label) of the members that are linked to another; None if none is."""
     words = sum(n[0] == "s" and n != "size" for n in members.schema["what"].dataType.names)
-    involved = members.select("id").distinct()
-    texts = materialise(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]), "bucket-texts")
-    open_, tested, edges, labels, pivots, turn = members, None, None, None, 1, 0
-    spare = members.withColumn("used", F.lit(False))
-    while True:
-        # one pivot for each of ``pivots`` parts of a bucket: of those that have not been one, the text with the most copies
-        pivot = spare.where("NOT used").groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)).alias("part")).agg(F.min(F.struct("what.rarity", "id", "what")).alias("p"))
-        pivot = materialise(pivot.select("bucket", F.col("p.id").alias("pivot"), F.col("p.what").alias("p_what")), "pivots")
-        tagged = open_ if labels is None else open_.join(labels, "id", "left")
-        tagged = tagged.withColumn("label", F.col("id") if labels is None else F.coalesce("label", "id"))
-        heads = pivot.withColumn("id", F.col("pivot"))
-        heads = heads.withColumn("p_label", F.col("pivot")) if labels is None else heads.join(labels.withColumnRenamed("label", "p_label"), "id", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
-        pairs = tagged.join(heads.select("bucket", "pivot", "p_what", "p_label"), "bucket")
-        room = F.least("what.size", "p_what.size") >= settings.threshold * F.greatest("what.size", "p_what.size") - 1e-6
-        unlike = sum((F.bit_count(F.col(f"what.s{i}").bitwiseXOR(F.col(f"p_what.s{i}"))) for i in range(words)), F.lit(0))
-        pairs = pairs.where("label != p_label").where(room).where(unlike <= most_differing(settings)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        good = materialise(_verified(pairs, texts, settings), "similar-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = good if edges is None else edges.unionByName(good)
-        if not good.isEmpty():
-            labels = materialise(components(edges), "labels")
-        # buckets that still hold several components and a member that was no pivot
-        spare = spare.join(pivot.select("bucket", F.col("pivot").alias("id"), F.lit(True).alias("now")), ["bucket", "id"], "left").select("bucket", "id", "what", F.expr("used OR coalesce(now, false)").alias("used"))
-        known = spare.withColumn("label", F.col("id")) if labels is None else spare.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        left = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.expr("CAST(NOT used AS int)")).alias("unused"))
-        spare = materialise(spare.join(left.where("lo < hi AND unused > 1").select("bucket"), "bucket"), "open-members")
-        if spare.isEmpty():
-            return labels
-        open_, pivots, turn = spare.select("bucket", "id", "what"), pivots * 8, turn + 1
+    texts = materialise(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "bucket-texts")
+    # all members of a bucket against the one with the most copies
+    pivot = members.groupBy("bucket").agg(F.min(F.struct("what.rarity", "id", "what")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.what").alias("p_what"))
+    room = F.least("what.size", "p_what.size") >= settings.threshold * F.greatest("what.size", "p_what.size") - 1e-6
+    unlike = sum((F.bit_count(F.col(f"what.s{i}").bitwiseXOR(F.col(f"p_what.s{i}"))) for i in range(words)), F.lit(0))
+    near = members.join(pivot, "bucket").where("id != pivot").where(room).where(unlike <= most_differing(settings))
+    pairs = materialise(near.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+    edges = materialise(_verified(pairs, texts, settings), "similar-pairs")
+    labels = None if edges.isEmpty() else materialise(components(edges), "labels")
+    # a bucket of two is settled; others stay open while they hold several components
+    named = members.select("bucket", "id")
+    named = named.withColumn("label", F.col("id")) if labels is None else named.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    left = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("id").alias("hub")).where("lo < hi AND n > 2").select("bucket", "hub")
+    open_ = materialise(members.select("bucket", "id").join(left, "bucket").select("id", "hub").distinct(), "open-members")
+    if open_.isEmpty():
+        return labels
+    more = materialise(_all_pairs(open_, texts, settings), "similar-pairs")
+    edges = edges.unionByName(more)
+    return None if edges.isEmpty() else materialise(components(edges), "labels")
+
+
+def _all_pairs(open_: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that connect all pairs of the threshold among members of open buckets (id, hub).
+
+    Buckets that share members form a group. A group falls into blocks of about ``block`` texts; each pair of blocks is one unit of work
+    with bounded memory, which joins its texts exactly by an inverted index of shingles and returns a spanning forest of the links.
+    """
+    groups = components(open_.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / settings.block).alias("parts"))
+    placed = groups.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    spread = spread.select("id", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    work = spread.join(texts, "id").select("id", "text", "label", "i", "j")
+
+    def run(key, data):
+        ids = data.column("id").to_pylist()
+        units = []
+        for text in data.column("text").to_pylist():
+            words = words_of(text)
+            hashes = np.sort(shingle_hashes(words, settings.width))
+            # the n-th occurrence of a shingle is an element of its own, so overlaps of multisets are those of sets
+            first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, dtype=bool)
+            starts = np.flatnonzero(first)
+            nth = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+            units.append(mix(hashes + nth.astype(np.uint64) * GOLDEN))
+        count = np.array([len(u) for u in units], dtype=np.int64)
+        flat, owner = np.concatenate(units), np.repeat(np.arange(len(units)), count)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        parent = list(range(len(ids)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out_a, out_b = [], []
+        for n, u in enumerate(units):
+            lo, hi = np.searchsorted(flat, u, "left"), np.searchsorted(flat, u, "right")
+            spans = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+            both = np.bincount(owner[at], minlength=len(ids))
+            alike = np.flatnonzero(both >= settings.threshold * (count + count[n] - both) - 1e-9)
+            for m in alike[alike > n].tolist():
+                x, y = root(n), root(m)
+                if x != y:
+                    parent[y] = x
+                    out_a.append(ids[n])
+                    out_b.append(ids[m])
+        kind = data.schema.field("id").type
+        return pa.table({"a": pa.array(out_a, kind), "b": pa.array(out_b, kind)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return work.groupBy("label", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
