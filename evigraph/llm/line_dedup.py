@@ -1,8 +1,8 @@
 """Near-duplicate lines by an exact set-similarity join, in SQL functions only.
 
 Two lines are alike if the sets of their words overlap by four fifths of their union. With all words in one order, rare ones
-first, two alike sets share a word within their prefixes, so only prefix words are joined. Lengths and the positions of the
-shared word rule most candidates out; the rest is verified on the words themselves.
+first, two alike sets share a few words within their prefixes, so only prefix words are joined. Lengths and the positions of the
+shared words rule most candidates out; the rest is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ CELLS = 1 << 20
 #: Up to so many keys of candidate lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
-PREFIX = "(n - (4 * n + 4) DIV 5 + 1)"  # words of a set among which one that a set at most as large shares must be
-INDEXED = "(n - (8 * n + 8) DIV 9 + 1)"  # the same for the smaller of the two sets
+#: Words that alike sets must share within their prefixes; larger sets have longer prefixes and must share more.
+SHARED = "IF({0} >= 30, 3, IF({0} >= 10, 2, 1))"
+PREFIX = f"(n - (4 * n + 4) DIV 5 + {SHARED.format('n')})"  # length of the prefix in which a set at most as large shares so many
+INDEXED = f"(n - (8 * n + 8) DIV 9 + {SHARED.format('n')})"  # the same for the smaller of the two sets
 
 
 def _pieces(text: Column) -> Column:
@@ -62,15 +64,17 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of line keys that share a prefix word where lengths and positions leave room for the overlap.
+    """Pairs of line keys that share enough prefix words at places where lengths and positions leave room for the overlap.
 
     ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits.
     """
     posts = firsts.select("k1", "k2", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
     small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("m"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"))
-    room = "m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at)) >= 4 * (n + m) AND 9 * bit_count(bits ^ b_bits) <= n + m"
+    need = SHARED.format("m")
+    room = f"m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at) + {need} - 1) >= 4 * (n + m) AND 9 * bit_count(bits ^ b_bits) <= n + m"
     near = posts.join(small, "word").where(f"{room} AND (m < n OR b1 < k1 OR (b1 = k1 AND b2 < k2))")
-    return near.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "b1", "b2").distinct()
+    counted = near.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "b1", "b2").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need"))
+    return counted.where("found >= need").select("a1", "a2", "b1", "b2")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
