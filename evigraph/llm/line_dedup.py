@@ -122,10 +122,10 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def remove_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the marked lines; documents of which no line is left go. The marks have one row per id."""
-    few = marks.where("n_removed > 0").select(F.col(id_col), "removed", (F.col("n_lines") == F.col("n_removed")).alias("_all"))
+    few = marks.where("n_removed > 0").select(F.col(id_col), F.col("removed").alias("_removed"), (F.col("n_lines") == F.col("n_removed")).alias("_all"))
     joined = docs.join(few, id_col, "left").where("NOT coalesce(_all, false)")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

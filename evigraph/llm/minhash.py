@@ -41,6 +41,8 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
 
 def signatures(shingles: np.ndarray, docs: np.ndarray, count: int, size: int) -> np.ndarray:
     """BagMinHash signatures (count x size) of documents 0..count-1, given one entry for each occurrence of a shingle."""
+    if size > 1024:
+        raise ValueError("a component is drawn by eleven bits, so there may be 1024 at most")
     _, first, weight = np.unique(mix(shingles + mix(docs.astype(np.uint64) * GOLDEN)), return_index=True, return_counts=True)
     shingle, doc = shingles[first], docs[first]
     total = np.bincount(docs, minlength=count).astype(float)

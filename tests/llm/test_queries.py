@@ -1,0 +1,239 @@
+"""Registered queries against their SQL, or a plain restatement where there is none."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from evigraph.llm.minhash import GOLDEN, mix, signatures
+from evigraph.llm.packing import BestFit, encoder, tokenizer_path
+from evigraph.llm.registry import ORACLES, QUERIES
+from evigraph.llm.shared import table
+from evigraph.llm.textstats import base_counts
+from evigraph.llm.warc import chunked, parse, records_of, unchunked
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(value):
+    return f"{value:.9g}" if isinstance(value, float) else str(value)
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in table(spark, SF, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    found = con.execute(ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    rows = sorted([plain(v) for v in r] for r in df.select(*columns).collect())
+    assert rows == sorted([plain(r[i]) for i in at] for r in found.fetchall())
+
+
+def test_secret_scan(spark, texts):
+    kinds = (
+        ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), 2, 6), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+        ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+    )
+    for row in QUERIES["op3_secret_scan"](spark, SF).collect():
+        spans = sorted((m.start(), i, m.end(), k) for i, (k, p, g, n) in enumerate(kinds) for m in p.finditer(texts[row.doc_id]) if len(m[g]) >= n)
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(row.spans.split(","))
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(s[3] == k for s in spans) for k, *_ in kinds)
+
+
+def test_rule_ensemble_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect()}
+    rows = [r for r in QUERIES["op4_rule_ensemble"](spark, sf).collect()]
+    assert len(rows) == 1000 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held) > 0
+
+
+def bag(text):
+    words = text.encode().split()
+    return Counter(zip(*(words[i:] for i in range(min(5, len(words)))), strict=False))
+
+
+def classes(texts, threshold=0.8):
+    bags = {i: bag(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = bags[a], bags[b]
+            if x and y and 5 * min(x.total(), y.total()) >= 4 * max(x.total(), y.total()):
+                both = (x & y).total()
+                if both >= threshold * (x.total() + y.total() - both):
+                    p, q = sorted((root(a), root(b)))
+                    parent[q] = p
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates(spark, texts):
+    assert {r.doc_id: r.class_id for r in QUERIES["op6_minhash"](spark, SF).collect()} == classes(texts)
+
+
+def test_near_duplicate_groups_without_a_centre(spark):
+    """Many variants of one text, most pairs below the threshold: classes are those of all pairs."""
+    import random
+
+    from evigraph.llm.minhash import Settings, near_duplicates
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(60):
+        words = list(base)
+        for _ in range(draw.randint(0, 9)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(10**6)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs, settings=Settings(block=16)).collect()}
+    assert got == classes(texts)
+    assert len(set(got.values())) > 1
+
+
+def test_weighted_signatures_are_unbiased():
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    a = {i: int(draw.integers(1, 9)) for i in range(200)}
+    b = {i: int(draw.integers(1, 9)) if i < 70 else n for i, n in a.items()}
+    occurrences = [(mix(np.array([k + 1], dtype=np.uint64) * GOLDEN)[0], d) for d, c in enumerate((a, b)) for k, n in c.items() for _ in range(n)]
+    sigs = signatures(np.array([h for h, _ in occurrences]), np.array([d for _, d in occurrences]), 2, 1000)
+    expected = sum(min(a[k], b[k]) for k in a) / sum(max(a[k], b[k]) for k in a)
+    assert abs((sigs[0] == sigs[1]).mean() - expected) < 0.06
+
+
+def test_decontamination(spark, texts):
+    items = {r.item_id: " ".join(r.text.split()) for r in table(spark, SF, "benchmark").collect()}
+    flat = {i: " ".join(t.split()) for i, t in texts.items()}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
+    assert got == {(i, k) for i, t in flat.items() for k, v in items.items() if v in t}
+
+
+def test_decontamination_of_changed_questions(spark):
+    from evigraph.llm.decontaminate import leaks
+
+    items = spark.createDataFrame([(1, "Alice bought Bob 12 apples for 30 km at the Market. How many apples did Bob get from the seller in total?")], "item_id long, text string")
+    docs = [
+        (1, "so. Then Carol bought Dave 15 apples for 40 miles at the Market. How many apples did Dave get from the seller in total?"),  # one value each
+        (2, "so. Then Carol bought Dave 15 apples for 40 km at the Market. How many apples did Eve get from the seller in total?"),  # Bob is Dave and Eve
+        (3, "Nothing of the kind stands here, although Carol bought 12 apples for Dave."),
+    ]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert [(r.doc_id, r.item_id, r.changed) for r in got] == [(1, 1, True)]
+
+
+def unpacked(rows, texts):
+    enc = encoder(tokenizer_path())
+    ids = {i: [*enc.slow.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert set(pieces) == set(texts)
+    for i, own in pieces.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids[i])
+        assert len(own) == max(1, -(-len(ids[i]) // 1024)) and all(r.length == 1024 for r in own[1:])
+        for r in own:
+            part = ids[i][r.start : r.start + r.length]
+            assert zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)) == r.ids_crc32
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    return sum(map(len, ids.values())), len(sequences)
+
+
+def test_packing_round_trip(spark, texts):
+    tokens, sequences = unpacked(QUERIES["op10_best_fit_packing"](spark, SF).collect(), texts)
+    assert sequences <= 1.05 * tokens / 1024 + 2
+
+
+def test_best_fit_takes_the_tightest_and_closes_the_fullest():
+    bins = BestFit(10, 2, 0)
+    assert [bins.place(n) for n in (6, 7, 3, 4, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (2, 9)]
+    bins = BestFit(10, 2, 0)
+    assert [bins.place(n) for n in (6, 8, 7, 2)] == [(0, 0), (1, 0), (2, 0), (2, 7)]  # bin 1 closed, though 2 would fit there
+
+
+def test_warc_round_trip_in_any_order():
+    from evigraph.llm.warc import Settings
+
+    body = bytes(range(256)) * 40
+    assert unchunked(chunked(body, 100)) == body and unchunked(chunked(b"", 5)) == b""
+    parts = list(records_of("1", "u", body, hashlib.sha1(body).hexdigest(), None, Settings(segment=1000, chunk=77)))
+    found = list(parse(b"".join(p + b"\r\n\r\n" for p in reversed(parts))))
+    ordered = sorted(found, key=lambda f: int(f[0]["warc-segment-number"]))
+    whole = b"".join(b for _, b in ordered)
+    assert len(whole) == int(ordered[-1][0]["warc-segment-total-length"]) and unchunked(whole.partition(b"\r\n\r\n")[2]) == body
+    with pytest.raises(ValueError):
+        list(parse(parts[0][:-5]))
+
+
+def similar_lines(texts):
+    """The texts without lines alike to an earlier line, by all pairs."""
+    lines = sorted((i, n, line) for i, t in texts.items() for n, line in enumerate(t.split("\n")) if line.encode().split())
+    sets = [frozenset(line.encode().split()) for _, _, line in lines]
+    gone = set()
+    inverted = {}
+    for k, s in enumerate(sets):
+        near = Counter(j for w in s for j in inverted.get(w, ()))
+        if any(9 * o >= 4 * (len(s) + len(sets[j])) for j, o in near.items()):
+            gone.add(lines[k][:2])
+        for w in s:
+            inverted.setdefault(w, []).append(k)
+    out = {}
+    for i, t in texts.items():
+        split = t.split("\n")
+        left = [line for n, line in enumerate(split) if (i, n) not in gone]
+        if any(line.encode().split() for line in left) or not any(line.encode().split() for line in split):
+            out[i] = "\n".join(left)
+    return out
+
+
+def test_pipeline(spark, texts):
+    kept = {r.doc_id for r in QUERIES["op2_quality_rules"](spark, SF).collect() if r.kept}
+    assert all(base_counts(texts[i])[0] >= 50 for i in kept)
+    left = similar_lines({i: texts[i] for i in kept})
+    left = {i: left[i] for i, c in classes(left).items() if i == c}
+    items = [" ".join(r.text.split()) for r in table(spark, SF, "benchmark").collect()]
+    left = {i: t for i, t in left.items() if not any(v in " ".join(t.split()) for v in items)}
+    tokens, sequences = unpacked(corpus_pipeline.run(spark, SF).collect(), left)
+    assert sequences <= 1.05 * tokens / 1024 + 2
+
+
+def test_stages_keep_the_columns(spark, tmp_path):
+    docs = table(spark, SF, "documents").limit(60)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
