@@ -7,6 +7,9 @@ shared words rule most candidates out; the rest is verified on the words themsel
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ CELLS = 1 << 20
 BROADCAST_KEYS = 500_000
 
 #: Words that alike sets must share within their prefixes; larger sets have longer prefixes and must share more.
-SHARED = "IF({0} >= 30, 3, IF({0} >= 10, 2, 1))"
+SHARED = "IF({0} >= 60, 5, IF({0} >= 30, 4, IF({0} >= 10, 2, 1)))"
 PREFIX = f"(n - (4 * n + 4) DIV 5 + {SHARED.format('n')})"  # length of the prefix in which a set at most as large shares so many
 INDEXED = f"(n - (8 * n + 8) DIV 9 + {SHARED.format('n')})"  # the same for the smaller of the two sets
 
@@ -64,32 +67,43 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of line keys that share enough prefix words at places where lengths and positions leave room for the overlap.
+    """Pairs of first halves of line keys that share enough prefix words at places where lengths and positions leave room for the overlap.
 
     ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits.
     """
-    posts = firsts.select("k1", "k2", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("m"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"))
+    posts = firsts.select("k1", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
+    small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("n").alias("m"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"))
     need = SHARED.format("m")
     room = f"m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at) + {need} - 1) >= 4 * (n + m) AND 9 * bit_count(bits ^ b_bits) <= n + m"
-    near = posts.join(small, "word").where(f"{room} AND (m < n OR b1 < k1 OR (b1 = k1 AND b2 < k2))")
-    counted = near.groupBy(F.col("k1").alias("a1"), F.col("k2").alias("a2"), "b1", "b2").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need"))
-    return counted.where("found >= need").select("a1", "a2", "b1", "b2")
+    near = posts.join(small, "word").where(f"{room} AND (m < n OR b1 <= k1)")
+    counted = near.groupBy(F.col("k1").alias("a1"), "b1").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need"))
+    # a pair of one half with itself is a line that meets itself, or two lines whose halves agree by chance, once in a corpus of 10^9 lines
+    return counted.where("found >= need AND a1 != b1").select("a1", "b1").unionByName(firsts.groupBy(F.col("k1").alias("a1")).agg(F.count("*").alias("n")).where("n > 1").select("a1", F.col("a1").alias("b1")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose word sets overlap enough, by the words themselves."""
-    keys = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("k")).select("k.*").distinct(), "line-keys")
+    keys = materialise(pairs.select(F.explode(F.array("a1", "b1")).alias("k1")).distinct(), "line-keys")
     found = keys.limit(BROADCAST_KEYS + 1).count()
-    texts = _lines(docs).join(F.broadcast(keys) if found <= BROADCAST_KEYS else keys, ["k1", "k2"], "left_semi")
+    texts = _lines(docs).join(F.broadcast(keys) if found <= BROADCAST_KEYS else keys, "k1", "left_semi")
     texts = materialise(texts.groupBy("k1", "k2").agg(F.min("line").alias("line")), "line-texts")
     words = texts.select("k1", "k2", F.array_distinct(_words(F.col("line"))).alias("w"))
     a = words.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("w").alias("aw"))
     b = words.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("w").alias("bw"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = pairs.join(a, "a1").join(b, "b1").where("a1 != b1 OR a2 < b2")
     return both.where("9 * size(array_intersect(aw, bw)) >= 4 * (size(aw) + size(bw))").select("a1", "a2", "b1", "b2")
 
 
+@contextmanager
+def _planned_once(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, n_links, removed) for each document: its lines with a word, those that go, how many other texts
     its lines are alike to, and the numbers (from 0) of the lines that go.
@@ -100,7 +114,9 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     firsts = _sets(rows).groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "bits", "prefix")).alias("s"))
-    firsts = materialise(firsts.select("k1", "k2", "first", "last", "s.*"), "first-lines")
+    # the plan holds the levels of all cells, so it is not planned anew, and listed again, while it runs
+    with _planned_once(rows.sparkSession):
+        firsts = materialise(firsts.select("k1", "k2", "first", "last", "s.*"), "first-lines")
     pairs = materialise(_candidates(firsts), "line-pairs")
     alike = materialise(_verified(pairs, rows), "alike-lines")
     both = alike.unionByName(alike.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("b1").alias("a1"), F.col("b2").alias("a2")))
