@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..extract.js_facts import file_routes, js_facts
 from ..extract.markers import markers
 from ..extract.python_facts import python_facts
 from ..extract.sql_facts import sql_facts
@@ -141,6 +142,17 @@ def sql_extract(spark, sf):
     return sql_facts(_literal_files(spark, _SQL_FILES))
 
 
+_JS = (("app/orders/[id]/page.tsx", "import a from './a'\nexport function Page() { return fetch('/api/orders') }\n"), ("pages/api/x.ts", "const f = (x) => api.post('/b')\n"))
+
+
+def js_extract(spark, sf):
+    return js_facts(_literal_files(spark, [(p, t.replace("'", '"')) for p, t in _JS]))
+
+
+def file_router_routes(spark, sf):
+    return file_routes(_literal_files(spark, [(p, "") for p, _ in _JS]))
+
+
 def impact_capped(spark, sf):
     """Best-first walk with budgets, replayed in order on the nodes within the depth of the seed."""
     from ..operators.capped import capped_walk
@@ -153,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structural_duplicates, store_signature_clusters, similar_score, seed_search, source_text_hits, redact_snippets, token_inverted_index, callers_blast_radius, owner_violations, line_pattern_scan,
-        gate_reachability, symmetric_difference, coverage_by_language, sibling_contrast, owner_choice, sarif_flatten, sql_shape_gate, camel_tokens, content_digest, python_extract, marker_parse, sql_extract,
+        gate_reachability, symmetric_difference, coverage_by_language, sibling_contrast, owner_choice, sarif_flatten, sql_shape_gate, camel_tokens, content_digest, python_extract, marker_parse, sql_extract, js_extract, file_router_routes,
         impact_capped,
     )
 }
