@@ -71,10 +71,9 @@ def _steps(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """Both directions of the edges that a walk may take, cheapest first; children of hubs are reached only if the hub is a seed."""
     costed = with_cost(edges)
     closed = hubs(edges, most).select(F.col("id").alias("src")).join(seeds.select(F.col("id").alias("src")), "src", "left_anti").withColumn("hub", F.lit(True))
-    forward = costed.join(closed, "src", "left").where("NOT (kind = 'CONTAINS' AND coalesce(hub, false))").select(F.col("src").alias("at"), F.col("dst").alias("to"), "cost")
-    backward = costed.where("kind != 'DEFINES' OR true").select(F.col("dst").alias("at"), F.col("src").alias("to"), "cost")
-    only_inner = costed.where("kind = 'DEFINES'").select(F.col("src").alias("at"), F.col("dst").alias("to"), "cost")
-    forward = forward.join(only_inner, ["at", "to", "cost"], "left_anti")  # definitions are walked from the inner symbol outwards
+    # definitions are walked from the inner symbol outwards only
+    forward = costed.join(closed, "src", "left").where("kind != 'DEFINES' AND NOT (kind = 'CONTAINS' AND coalesce(hub, false))").select(F.col("src").alias("at"), F.col("dst").alias("to"), "cost")
+    backward = costed.select(F.col("dst").alias("at"), F.col("src").alias("to"), "cost")
     return forward.unionByName(backward).groupBy("at", "to").agg(F.min("cost").alias("cost"))
 
 
