@@ -2,6 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question with other figures or persons has the same template. Windows of
 template words are hash-joined; along an alignment of a document with an item, the values in the placeholders must map one to one.
+Windows with too few literal words for a template are hash-joined as they stand, in lower case.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import materialise, native_words, table
 
 WIDTH = 8
 #: A window of an item counts if it has so many words that are no placeholders.
@@ -45,66 +46,99 @@ def with_template(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("tokens", F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0))).withColumn("t", F.expr(typed)).drop("tokens")
 
 
-def _windows(width: Column | int) -> Column:
-    """Windows of ``width`` of the array ``t``: hash, position, values in placeholders and number of literals."""
+def _windows(width: Column | int, raw: bool = False) -> Column:
+    """Windows of ``width`` of the array ``t``: hash, position, values in placeholders and number of literals. ``raw`` ones hash what stands there."""
     w = F.lit(width) if isinstance(width, int) else width
     starts = F.when(F.size("t") >= w, F.sequence(F.lit(1), F.size("t") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
 
     def window(i: Column) -> Column:
         part = F.slice("t", i, w)
         slots = F.transform(F.filter(part, lambda x: x["c"].startswith("<")), lambda x: F.struct(x["c"].alias("c"), F.lower(x["raw"]).alias("v")))
-        return F.struct(F.xxhash64(F.transform(part, lambda x: x["c"]), w).alias("hash"), i.alias("at"), slots.alias("slots"), (w - F.size(slots)).alias("literals"))
+        mark = F.xxhash64(F.transform(part, lambda x: F.lower(x["raw"])), w, F.lit("raw")) if raw else F.xxhash64(F.transform(part, lambda x: x["c"]), w)
+        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if raw else slots).alias("slots"), (w - F.size(slots)).alias("literals"))
 
     return F.transform(starts, window)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, width, need, hash, at, slots of each window of an item that has enough literals."""
+    """item, width, need, need_all, hash, at, slots, raw, strong of the windows of an item.
+
+    A window with enough literals is ``strong`` and hashed as template. The others, and a first one whose unit a number before it would
+    turn into a placeholder, are hashed as they stand. ``need`` counts strong windows, ``need_all`` those of both sorts.
+    """
     items = with_template(benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct(), "text").withColumn("width", F.least(F.size("t"), F.lit(WIDTH)))
-    windows = items.where("width > 0").select("item", "width", F.explode(_windows(F.col("width"))).alias("w")).select("item", "width", "w.*")
-    windows = windows.where((F.col("literals") >= LITERALS) | ((F.col("width") < WIDTH) & (F.col("literals") >= LITERALS - 1)))
-    number = windows.groupBy("item").agg(F.least(F.lit(LEAST_WINDOWS), F.ceil(F.countDistinct("at") / 2)).alias("need"))
-    return windows.join(number, "item").drop("literals")
+    items = items.where("width > 0")
+    strong = (F.col("literals") >= LITERALS) | ((F.col("width") < WIDTH) & (F.col("literals") >= LITERALS - 1))
+    unit = (F.col("at") == 1) & F.col("first").isin(*UNITS)
+    first = F.lower(F.col("t")[0]["raw"]).alias("first")
+
+    def windows(raw: bool) -> DataFrame:
+        found = items.select("item", "width", first, F.explode(_windows(F.col("width"), raw)).alias("w")).select("item", "width", "first", "w.*")
+        return found.withColumns({"raw": F.lit(raw), "strong": strong}).where(~F.col("strong") | unit if raw else F.col("strong")).drop("first", "literals")
+
+    found = windows(False).unionByName(windows(True))
+    half = lambda n: F.least(F.lit(LEAST_WINDOWS), F.ceil(n / 2))
+    number = found.groupBy("item").agg(half(F.countDistinct(F.when(F.col("strong"), F.col("at")))).alias("need"), half(F.countDistinct("at")).alias("need_all"))
+    return found.join(number, "item")
+
+
+def _blank_free(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(native_words(F.lower(text)), " "), F.lit(" "))
+
+
+def _wordless(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(id, item, n_windows, changed) for items (item, text) without any template word, such as rows of symbols: looked for as a whole, between blanks."""
+    items = with_template(benchmark.distinct(), "text").where("size(t) = 0").select("item", _blank_free(F.col("text")).alias("whole")).where("trim(whole) != ''").distinct()
+    items = materialise(items, "benchmark-wordless")
+    if items.isEmpty():
+        return docs.limit(0).join(items.limit(0)).select("id", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed"))
+    met = docs.select("id", _blank_free(F.col("text")).alias("text")).join(F.broadcast(items), F.contains("text", "whole"))
+    return met.select("id", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_windows, changed) for each document that holds an item, perhaps with other numbers, names or units.
 
-    An item is held if ``need`` of its windows stand in the document on alignments where each value in the item's placeholders goes with one
-    value in the document's and the reverse; ``changed`` tells that some value differs. Null and empty texts hold nothing, and items
-    with fewer literal words than a window needs are never held; rows that repeat an id count as one document; empty tables give
-    no row; further columns are ignored.
+    An item is held if ``need`` of its strong windows, or ``need_all`` of all, stand in the document on alignments where each value in the
+    item's placeholders goes with one value in the document's and the reverse; ``changed`` tells that some value differs. Windows with few
+    literal words count where they stand as they are, so a verbatim copy is always held, however short. Null and empty texts hold nothing;
+    rows that repeat an id count as one document; empty tables give no row; further columns are ignored.
 
     All documents are read once for the hashes of their windows, which meet the benchmark's by a broadcast, or a shuffle if those are many.
     Positions and values are worked out for the documents with a hit alone.
     """
     items = materialise(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
-    widths = sorted({WIDTH, *(r[0] for r in items.select("width").distinct().collect())})  # at most WIDTH values
+    kinds = [tuple(r) for r in items.select("width", "raw").distinct().collect()]  # at most twice WIDTH values
+    widths, raw_widths = sorted({WIDTH, *(w for w, raw in kinds if not raw)}), sorted(w for w, raw in kinds if raw)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = items.select("hash").distinct()
     few = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hashed = with_template(rows, "text").select("id", F.transform("t", lambda x: x["c"]).alias("c"), F.size("t").alias("n"))
-    hashed = hashed.select("id", F.explode(_hashes(widths)).alias("hash"))
+    hashed = with_template(rows, "text").select("id", F.transform("t", lambda x: x["c"]).alias("c"), F.transform("t", lambda x: F.lower(x["raw"])).alias("r"), F.size("t").alias("n"))
+    hashed = hashed.select("id", F.explode(_hashes(widths, raw_widths)).alias("hash"))
     hit = materialise(hashed.join(F.broadcast(marks) if few else marks, "hash", "left_semi").select("id").distinct(), "leak-candidates")
     near = hit.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     found = with_template(rows.join(F.broadcast(hit) if near else hit, "id", "left_semi").distinct(), "text")
-    found = found.select("id", F.explode(F.concat(*[_windows(w) for w in widths])).alias("d")).select("id", "d.*")
+    found = found.select("id", F.explode(F.concat(*[_windows(w) for w in widths], *[_windows(w, True) for w in raw_widths])).alias("d")).select("id", "d.*")
     met = found.select("id", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots")).join(F.broadcast(items) if few else items, "hash")
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
-    lines = met.select("id", "item", "need", "at", (F.col("d_at") - F.col("at")).alias("shift"), values.alias("values"))
-    lines = lines.groupBy("id", "item", "need", "shift").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    lines = met.select("id", "item", "need", "need_all", F.struct("at", "strong").alias("at"), (F.col("d_at") - F.col("at")).alias("shift"), values.alias("values"))
+    lines = lines.groupBy("id", "item", "need", "need_all", "shift").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
     one = lambda side: F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["c"], v[side])))) == F.size("values")
     lines = lines.where(one("item") & one("doc")).withColumn("changed", F.exists("values", lambda v: v["item"] != v["doc"]))
-    pairs = lines.groupBy("id", "item", "need").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).cast("long").alias("n_windows"), F.min("changed").alias("changed"))
-    return pairs.where("n_windows >= need").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "changed")
+    pairs = lines.groupBy("id", "item", "need", "need_all").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.min("changed").alias("changed"))
+    strong = F.size(F.filter("ats", lambda a: a["strong"]))
+    pairs = pairs.where(((F.col("need") > 0) & (strong >= F.col("need"))) | (F.size("ats") >= F.col("need_all"))).select("id", "item", F.size("ats").cast("long").alias("n_windows"), "changed")
+    pairs = pairs.unionByName(_wordless(rows, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))))
+    return pairs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "changed")
 
 
-def _hashes(widths: list[int]) -> Column:
-    def of(w: int) -> Column:
+def _hashes(widths: list[int], raw_widths: list[int]) -> Column:
+    def of(w: int, raw: bool = False) -> Column:
         starts = F.when(F.col("n") >= w, F.sequence(F.lit(1), F.col("n") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("c", i, F.lit(w)), F.lit(w)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("r", i, F.lit(w)), F.lit(w), F.lit("raw")) if raw else F.xxhash64(F.slice("c", i, F.lit(w)), F.lit(w)))
 
-    return F.concat(*map(of, widths)) if len(widths) > 1 else of(widths[0])
+    parts = [*map(of, widths), *(of(w, True) for w in raw_widths)]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,15 @@ def test_decontamination_of_changed_questions(spark):
     assert [(r.doc_id, r.item_id, r.changed) for r in got] == [(1, 1, True)]
 
 
+def test_decontamination_of_items_with_few_literals(spark):
+    from evigraph.llm.decontaminate import leaks
+
+    items = ["What is 12 + 30 - 5?", "Anna Bea Carl Dora Emil Fritz Gerd Hans Ida", "km to go", "∑ ≠ ∞", "12 30 45", "Yes"]
+    docs = ["It says: what is 12 + 30 - 5? Think.", "there Anna Bea Carl Dora Emil Fritz Gerd Hans Ida went", "still 5 km to go now", "see ∑ ≠ ∞ here", "from 12 30 45 on", "yes", "What is 13 + 30 - 5? 12 31 45, Anna Bea"]
+    got = leaks(spark.createDataFrame(enumerate(docs), "doc_id long, text string"), spark.createDataFrame(enumerate(items), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed) for r in got) == [(i, i, False) for i in range(6)]
+
+
 def unpacked(rows, texts):
     enc = encoder(tokenizer_path())
     ids = {i: [*enc.slow.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
