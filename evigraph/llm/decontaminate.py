@@ -8,6 +8,7 @@ Windows with too few literal words for a template are hash-joined as they stand,
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import materialise, native_words, table
@@ -32,51 +33,59 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
 def with_template(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``t``, the template words of a text as array<struct<c, raw>>: c is the word in lower case or a placeholder, raw what stands there.
+    """Adds ``t``, the template words of a text as array<struct<c, d, raw>>: c and d are the word in lower case or a placeholder, raw what stands there.
 
-    A name is a word with a first letter in upper case that does not begin the text or follow ``.``, ``?`` or ``!``.
+    A name is a word with a first letter in upper case; in c, not in d, only if it does not begin the text or follow ``.``, ``?`` or ``!``.
     """
     units = ", ".join(f"'{u}'" for u in UNITS)
-    typed = f"""filter(transform(tokens, (t, i) -> named_struct('c',
+    typed = f"""transform(filter(transform(tokens, (t, i) -> named_struct('c',
         CASE WHEN t < ':' AND t >= '0' THEN '{NUMBER}'
              WHEN i > 0 AND get(tokens, i - 1) < ':' AND get(tokens, i - 1) >= '0' AND lower(t) IN ({units}) THEN '{UNIT}'
              WHEN length(t) = 1 AND t IN ('.', '?', '!', '%', '$', '€', '£', '°') THEN ''
              WHEN i > 0 AND left(t, 1) != lower(left(t, 1)) AND get(tokens, i - 1) NOT IN ('.', '?', '!') THEN '{NAME}'
-             ELSE lower(t) END, 'raw', t)), x -> x.c != '')"""
+             ELSE lower(t) END, 'first', left(t, 1), 'raw', t)), x -> x.c != ''),
+        x -> named_struct('c', x.c, 'd', IF(left(x.c, 1) != '<' AND x.first != lower(x.first), '{NAME}', x.c), 'raw', x.raw))"""
     return df.withColumn("tokens", F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0))).withColumn("t", F.expr(typed)).drop("tokens")
 
 
-def _windows(width: Column | int, raw: bool = False) -> Column:
-    """Windows of ``width`` of the array ``t``: hash, position, values in placeholders and number of literals. ``raw`` ones hash what stands there."""
+#: What the windows of a text are made of: the template with the words that begin sentences as literals, the one with capitalised ones among
+#: them as names (windows that differ from the first alone), the words as they stand.
+LITERAL, NAMED, RAW = "c", "d", "raw"
+
+
+def _windows(width: Column | int, form: str = LITERAL) -> Column:
+    """Windows of ``width`` of the array ``t``: hash, position, values in placeholders and number of literals."""
     w = F.lit(width) if isinstance(width, int) else width
     starts = F.when(F.size("t") >= w, F.sequence(F.lit(1), F.size("t") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
+    if form == NAMED:
+        starts = F.filter(starts, lambda i: F.exists(F.slice("t", i, w), lambda x: x["c"] != x["d"]))
+    typed = NAMED if form == NAMED else LITERAL
 
     def window(i: Column) -> Column:
         part = F.slice("t", i, w)
-        slots = F.transform(F.filter(part, lambda x: x["c"].startswith("<")), lambda x: F.struct(x["c"].alias("c"), F.lower(x["raw"]).alias("v")))
-        mark = F.xxhash64(F.transform(part, lambda x: F.lower(x["raw"])), w, F.lit("raw")) if raw else F.xxhash64(F.transform(part, lambda x: x["c"]), w)
-        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if raw else slots).alias("slots"), (w - F.size(slots)).alias("literals"))
+        slots = F.transform(F.filter(part, lambda x: x[typed].startswith("<")), lambda x: F.struct(x[typed].alias("c"), F.lower(x["raw"]).alias("v")))
+        mark = F.xxhash64(F.transform(part, lambda x: F.lower(x["raw"])), w, F.lit("raw")) if form == RAW else F.xxhash64(F.transform(part, lambda x: x[typed]), w)
+        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if form == RAW else slots).alias("slots"), (w - F.size(slots)).alias("literals"), F.lit(form).alias("form"))
 
     return F.transform(starts, window)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, width, need, need_all, hash, at, slots, raw, strong of the windows of an item.
+    """item, width, need, need_all, hash, at, slots, form, strong of the windows of an item.
 
-    A window with enough literals is ``strong`` and hashed as template. The others, and a first one whose unit a number before it would
-    turn into a placeholder, are hashed as they stand. ``need`` counts strong windows, ``need_all`` those of both sorts.
+    A window with enough literals is ``strong`` and hashed as template, once more with names at the beginning of sentences if literals are enough
+    then too. Those that lack literals in either template, and a first one whose unit a number before it would turn into a placeholder, are
+    hashed as they stand. ``need`` counts strong windows, ``need_all`` all.
     """
     items = with_template(benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct(), "text").withColumn("width", F.least(F.size("t"), F.lit(WIDTH)))
-    items = items.where("width > 0")
-    strong = (F.col("literals") >= LITERALS) | ((F.col("width") < WIDTH) & (F.col("literals") >= LITERALS - 1))
+    items = items.where("width > 0").withColumn("first", F.lower(F.col("t")[0]["raw"]))
+    enough = lambda n: (n >= LITERALS) | ((F.col("width") < WIDTH) & (n >= LITERALS - 1))
+    found = items.select("item", "width", "first", F.explode(F.concat(*[_windows(F.col("width"), form) for form in (LITERAL, NAMED, RAW)])).alias("w")).select("item", "width", "first", "w.*")
+    place = W.partitionBy("item", "at")
+    literal = F.max(F.when(F.col("form") == LITERAL, F.col("literals"))).over(place)
+    found = found.withColumns({"strong": enough(literal), "sure": enough(F.min("literals").over(place))})
     unit = (F.col("at") == 1) & F.col("first").isin(*UNITS)
-    first = F.lower(F.col("t")[0]["raw"]).alias("first")
-
-    def windows(raw: bool) -> DataFrame:
-        found = items.select("item", "width", first, F.explode(_windows(F.col("width"), raw)).alias("w")).select("item", "width", "first", "w.*")
-        return found.withColumns({"raw": F.lit(raw), "strong": strong}).where(~F.col("strong") | unit if raw else F.col("strong")).drop("first", "literals")
-
-    found = windows(False).unionByName(windows(True))
+    found = found.where(F.when(F.col("form") == RAW, ~F.col("sure") | unit).otherwise(enough(F.col("literals")))).drop("first", "literals", "sure")
     half = lambda n: F.least(F.lit(LEAST_WINDOWS), F.ceil(n / 2))
     number = found.groupBy("item").agg(half(F.countDistinct(F.when(F.col("strong"), F.col("at")))).alias("need"), half(F.countDistinct("at")).alias("need_all"))
     return found.join(number, "item")
@@ -100,7 +109,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """(id, item, n_windows, changed) for each document that holds an item, perhaps with other numbers, names or units.
 
     An item is held if ``need`` of its strong windows, or ``need_all`` of all, stand in the document on alignments where each value in the
-    item's placeholders goes with one value in the document's and the reverse; ``changed`` tells that some value differs. Windows with few
+    item's placeholders goes with one value in the document's and the reverse; ``changed`` tells that some value differs. Capitalised words that
+    begin sentences are tried as literals and as names. Windows with few
     literal words count where they stand as they are, so a verbatim copy is always held, however short. Null and empty texts hold nothing;
     rows that repeat an id count as one document; empty tables give no row; further columns are ignored.
 
@@ -108,24 +118,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Positions and values are worked out for the documents with a hit alone.
     """
     items = materialise(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
-    kinds = [tuple(r) for r in items.select("width", "raw").distinct().collect()]  # at most twice WIDTH values
-    widths, raw_widths = sorted({WIDTH, *(w for w, raw in kinds if not raw)}), sorted(w for w, raw in kinds if raw)
+    kinds = [tuple(r) for r in items.select("width", "form").distinct().collect()]  # at most three times WIDTH values
+    widths, raw_widths = sorted({WIDTH, *(w for w, form in kinds if form != RAW)}), sorted(w for w, form in kinds if form == RAW)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = items.select("hash").distinct()
     few = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hashed = with_template(rows, "text").select("id", F.transform("t", lambda x: x["c"]).alias("c"), F.transform("t", lambda x: F.lower(x["raw"])).alias("r"), F.size("t").alias("n"))
+    hashed = with_template(rows, "text").select("id", F.transform("t", lambda x: x["c"]).alias(LITERAL), F.transform("t", lambda x: x["d"]).alias(NAMED), F.transform("t", lambda x: F.lower(x["raw"])).alias(RAW))
+    hashed = hashed.withColumns({"n": F.size("c"), "begins": F.expr("array_compact(zip_with(c, sequence(1, greatest(size(c), 1)), (x, i) -> IF(x != get(d, i - 1), i, NULL)))")})
     hashed = hashed.select("id", F.explode(_hashes(widths, raw_widths)).alias("hash"))
     hit = materialise(hashed.join(F.broadcast(marks) if few else marks, "hash", "left_semi").select("id").distinct(), "leak-candidates")
     near = hit.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     found = with_template(rows.join(F.broadcast(hit) if near else hit, "id", "left_semi").distinct(), "text")
-    found = found.select("id", F.explode(F.concat(*[_windows(w) for w in widths], *[_windows(w, True) for w in raw_widths])).alias("d")).select("id", "d.*")
-    met = found.select("id", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots")).join(F.broadcast(items) if few else items, "hash")
+    found = found.select("id", F.explode(F.concat(*[_windows(w, form) for w in widths for form in (LITERAL, NAMED)], *[_windows(w, RAW) for w in raw_widths])).alias("d")).select("id", "d.*")
+    met = found.select("id", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"), F.col("form").alias("d_form")).join(F.broadcast(items) if few else items, "hash")
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
-    lines = met.select("id", "item", "need", "need_all", F.struct("at", "strong").alias("at"), (F.col("d_at") - F.col("at")).alias("shift"), values.alias("values"))
-    lines = lines.groupBy("id", "item", "need", "need_all", "shift").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
+    # windows that take no word at the beginning of a sentence for a name are judged by themselves and along with the others
+    forms = F.when((F.col("form") == NAMED) | (F.col("d_form") == NAMED), F.array(F.lit(NAMED))).otherwise(F.array(F.lit(LITERAL), F.lit(NAMED)))
+    lines = met.select("id", "item", "need", "need_all", F.struct("at", "strong").alias("at"), (F.col("d_at") - F.col("at")).alias("shift"), values.alias("values"), forms.alias("form"))
+    keys = ("id", "item", "need", "need_all")
+    lines = lines.withColumn("form", F.explode("form")).groupBy(*keys, "shift", "form").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
     one = lambda side: F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["c"], v[side])))) == F.size("values")
     lines = lines.where(one("item") & one("doc")).withColumn("changed", F.exists("values", lambda v: v["item"] != v["doc"]))
-    pairs = lines.groupBy("id", "item", "need", "need_all").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.min("changed").alias("changed"))
+    lines = lines.groupBy(*keys, "shift").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.max("changed").alias("changed"))
+    pairs = lines.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.min("changed").alias("changed"))
     strong = F.size(F.filter("ats", lambda a: a["strong"]))
     pairs = pairs.where(((F.col("need") > 0) & (strong >= F.col("need"))) | (F.size("ats") >= F.col("need_all"))).select("id", "item", F.size("ats").cast("long").alias("n_windows"), "changed")
     pairs = pairs.unionByName(_wordless(rows, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))))
@@ -133,12 +148,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _hashes(widths: list[int], raw_widths: list[int]) -> Column:
-    def of(w: int, raw: bool = False) -> Column:
+    def of(w: int, form: str = LITERAL) -> Column:
         starts = F.when(F.col("n") >= w, F.sequence(F.lit(1), F.col("n") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("r", i, F.lit(w)), F.lit(w), F.lit("raw")) if raw else F.xxhash64(F.slice("c", i, F.lit(w)), F.lit(w)))
+        if form == NAMED:  # around words that begin sentences alone
+            last = F.col("n") - w + 1
+            around = F.transform("begins", lambda j: F.sequence(F.greatest(j - w + 1, F.lit(1)), F.least(j, last)))
+            starts = F.when(F.col("n") >= w, F.array_distinct(F.flatten(around))).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.lit(w)), F.lit(w), *([F.lit("raw")] if form == RAW else [])))
 
-    parts = [*map(of, widths), *(of(w, True) for w in raw_widths)]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    return F.concat(*[of(w, form) for w in widths for form in (LITERAL, NAMED)], *[of(w, RAW) for w in raw_widths])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,15 @@ def test_decontamination_of_items_with_few_literals(spark):
     assert sorted((r.doc_id, r.item_id, r.changed) for r in got) == [(i, i, False) for i in range(6)]
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    from evigraph.llm.decontaminate import leaks
+
+    items = [(1, "Tom has 12 apples. Sue has 3 pears. Tom eats 2 of them. How many does Tom have left?")]
+    docs = [(1, "Bob has 15 apples. Ann has 4 pears. Bob eats 3 of them. How many does Bob have left?"), (2, "He said Tom has 12 apples. Sue was there. Then Bob eats 3 of them.")]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.n_windows, r.changed) for r in got] == [(1, 1, 12, True)]
+
+
 def unpacked(rows, texts):
     enc = encoder(tokenizer_path())
     ids = {i: [*enc.slow.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
