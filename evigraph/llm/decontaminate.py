@@ -1,7 +1,7 @@
 """Benchmark decontamination by windows over templates, in SQL functions only.
 
 Numbers, names and units become typed placeholders, so a question with other figures or persons has the same template. Windows of
-template words are hash-joined; along an alignment of a document with an item, the values in the placeholders must map one to one.
+template words are hash-joined; along an alignment of a document with an item, a name goes with one name, numbers and units with any.
 Windows with too few literal words for a template are hash-joined as they stand, in lower case.
 """
 
@@ -108,8 +108,9 @@ def _wordless(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, n_windows, changed) for each document that holds an item, perhaps with other numbers, names or units.
 
-    An item is held if ``need`` of its strong windows, or ``need_all`` of all, stand in the document on alignments where each value in the
-    item's placeholders goes with one value in the document's and the reverse; ``changed`` tells that some value differs. Capitalised words that
+    An item is held if ``need`` of its strong windows, or ``need_all`` of all, stand in the document. Along an alignment each name in
+    the item must go with one name in the document, or the windows that hold it do not count; several names may go with the same one, and
+    numbers and units with any. ``changed`` tells that some value differs. Capitalised words that
     begin sentences are tried as literals and as names. Windows with few
     literal words count where they stand as they are, so a verbatim copy is always held, however short. Null and empty texts hold nothing;
     rows that repeat an id count as one document; empty tables give no row; further columns are ignored.
@@ -134,11 +135,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
     # windows that take no word at the beginning of a sentence for a name are judged by themselves and along with the others
     forms = F.when((F.col("form") == NAMED) | (F.col("d_form") == NAMED), F.array(F.lit(NAMED))).otherwise(F.array(F.lit(LITERAL), F.lit(NAMED)))
-    lines = met.select("id", "item", "need", "need_all", F.struct("at", "strong").alias("at"), (F.col("d_at") - F.col("at")).alias("shift"), values.alias("values"), forms.alias("form"))
+    lines = met.select("id", "item", "need", "need_all", F.struct(F.struct("at", "strong").alias("place"), values.alias("values")).alias("w"), (F.col("d_at") - F.col("at")).alias("shift"), forms.alias("form"))
     keys = ("id", "item", "need", "need_all")
-    lines = lines.withColumn("form", F.explode("form")).groupBy(*keys, "shift", "form").agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
-    one = lambda side: F.size(F.array_distinct(F.transform("values", lambda v: F.struct(v["c"], v[side])))) == F.size("values")
-    lines = lines.where(one("item") & one("doc")).withColumn("changed", F.exists("values", lambda v: v["item"] != v["doc"]))
+    lines = lines.withColumn("form", F.explode("form")).groupBy(*keys, "shift", "form").agg(F.collect_set("w").alias("ws"))
+    lines = lines.withColumn("names", F.expr(f"array_distinct(filter(flatten(transform(ws, w -> w.values)), v -> v.c = '{NAME}'))"))
+    lines = lines.withColumn("mixed", F.expr("transform(filter(names, n -> exists(names, m -> m.item = n.item AND m.doc != n.doc)), n -> n.item)"))
+    lines = lines.withColumn("ws", F.expr(f"filter(ws, w -> NOT exists(w.values, v -> v.c = '{NAME}' AND array_contains(mixed, v.item)))"))
+    lines = lines.select(*keys, "shift", F.col("ws.place").alias("ats"), F.expr("exists(ws, w -> exists(w.values, v -> v.item != v.doc))").alias("changed")).where("size(ats) > 0")
     lines = lines.groupBy(*keys, "shift").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.max("changed").alias("changed"))
     pairs = lines.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.min("changed").alias("changed"))
     strong = F.size(F.filter("ats", lambda a: a["strong"]))

@@ -167,6 +167,15 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert [(r.doc_id, r.item_id, r.n_windows, r.changed) for r in got] == [(1, 1, 12, True)]
 
 
+def test_decontamination_of_values_that_fall_together(spark):
+    from evigraph.llm.decontaminate import leaks
+
+    items = [(1, "the baker sells 12 loaves and 30 rolls to the school in 5 days so how many does the baker sell"), (2, "he gave 4 coins to her and then 4 stamps to them over 3 km of road before the night came")]
+    docs = [(1, "the baker sells 20 loaves and 20 rolls to the school in 5 days so how many does the baker sell"), (2, "he gave 5 coins to her and then 6 stamps to them over 3 miles of road before the night came")]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.changed) for r in got) == [(1, 1, True), (2, 2, True)]
+
+
 def unpacked(rows, texts):
     enc = encoder(tokenizer_path())
     ids = {i: [*enc.slow.encode(t, add_special_tokens=False).ids, 2] for i, t in texts.items()}
