@@ -10,7 +10,7 @@ from evigraph.functions.scalars import camel_words, magnitudes, normalise_route,
 from evigraph.operators import findings as O
 from evigraph.operators import graph as G
 from evigraph.operators import resolve as R
-from evigraph.operators.capped import walk
+from evigraph.operators.capped import capped_walk, walk
 
 
 def values(df, *columns):
@@ -84,6 +84,17 @@ def test_capped_walk_fixes_first_discovery():
     assert len(walk(steps, ["s"], 2, 2, 1.0, lambda n: n)) == 2
 
 
+def test_capped_walk_of_a_large_ball_fetches_what_the_budget_allows(spark):
+    rows = spark.range(101_000).selectExpr("concat('s', id % 3) AS src", "concat(IF(id % 2 = 0, 'a:', 'b:'), id % 100000) AS dst", "IF(id % 5 = 0, 'IMPORTS', 'REFERENCES') AS kind", "'exact' AS resolution", "'ast' AS origin")
+    seeds = spark.createDataFrame([("s0",)], "id string")
+    steps = {}
+    for at, to, cost in G._steps(rows, seeds, G.HUB).toPandas().sort_values(["at", "cost", "to"]).itertuples(index=False):
+        steps.setdefault(at, []).append((to, cost))
+    for budget, share in ((5, 0.5), (60, 0.5)):
+        expected = [(n, c, h, i) for i, (n, c, h) in enumerate(walk(steps, ["s0"], 3, budget, share, lambda n: n.split(":")[0]))]
+        assert [tuple(r) for r in capped_walk(rows, seeds, 3, budget, share).orderBy("place").collect()] == expected
+
+
 def test_endpoint_matching_tiers(spark):
     calls = spark.createDataFrame([(1, "GET", ["items", "42"]), (2, "GET", ["items", "{dynamic}", "{dynamic}"]), (3, "HEAD", ["items", "1"]), (4, "PUT", ["items", "1"])], "call_id int, method string, segments array<string>")
     handlers = spark.createDataFrame([(1, "GET", ["items", "{dynamic}"]), (2, "GET", ["items", "{dynamic}", "approve"]), (3, "GET", ["items", "export"])], "handler_id int, h_method string, h_segments array<string>")
