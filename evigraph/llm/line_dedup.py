@@ -3,145 +3,180 @@
 Two lines are alike if the sets of their words overlap by four fifths of their union. With all words in one order, rare ones
 first, two alike sets share a few words within their prefixes, so only prefix words are joined. Lengths and the positions of the
 shared words rule most candidates out; the rest is verified on the words themselves.
+
+What is asked of a line is whether an earlier one is alike, not which ones are. So each line first meets one pivot, the earliest line of
+which it shares most of its rarest words. Where that is alike the line is settled: it stays as a partner for later lines but asks no more. In a
+group of near copies nearly all are settled by as many comparisons as there are lines; the join of all prefixes is left to the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import materialise, table
+from .shared import discard, few_rows, materialise, spare_names, table
 
 #: Words are counted in so many cells, each standing for the words that hash to it; a fixed number, whatever the corpus.
-CELLS = 1 << 20
-#: Up to so many keys of candidate lines are broadcast; beyond, lines are joined by a shuffle.
+CELLS = 1 << 18
+#: Up to so many keys of lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
+#: A line looks for its pivot by so many of its rarest words and meets the line that shares most of them, two at least.
+RAREST, VOTES = 4, 2
 
-#: Words that alike sets must share within their prefixes; larger sets have longer prefixes and must share more.
-SHARED = "IF({0} >= 60, 5, IF({0} >= 30, 4, IF({0} >= 10, 2, 1)))"
-PREFIX = f"(n - (4 * n + 4) DIV 5 + {SHARED.format('n')})"  # length of the prefix in which a set at most as large shares so many
-INDEXED = f"(n - (8 * n + 8) DIV 9 + {SHARED.format('n')})"  # the same for the smaller of the two sets
+#: Words that alike sets must share within their prefixes. For sets up to 80 words their parities tell pairs apart well; larger ones must share more.
+SHARED = "IF({0} >= 120, 5, IF({0} >= 80, 3, 1))"
+PREFIX = f"(n - (4 * n + 4) DIV 5 + {SHARED.format('n')})"  # length of the prefix in which a set that is alike shares so many
+#: Four fifths of the union of sets of n and m words are four ninths of n + m.
+ALIKE = "9 * size(array_intersect({0}, {1})) >= 4 * (size({0}) + size({1}))"
 
 
 def _pieces(text: Column) -> Column:
     """Text between blanks, some of it empty. Splitting at one literal character needs no pattern; rare blanks are mapped first."""
-    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
-    return F.split(F.replace(F.when(rare, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text), F.lit("\n"), F.lit(" ")), " ")
+    rare = reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in "\t\r\x0b\x0c"])
+    return F.split(F.when(rare, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text), " ")
+
+
+def _words(line: Column) -> Column:
+    return F.array_except(_pieces(line), F.array(F.lit("")))  # each word once
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(_pieces(text), "")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t and text; t, the hash of the text, tells rows apart that repeat an id."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, line_no, line and its 96-bit key, for the lines with a word."""
-    split = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return split.withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line")})
+def _lines(rows: DataFrame) -> DataFrame:
+    """id, t, line_no, 96-bit key k1, k2, number n of words and their 32-bit hashes h, for lines with a word and for line 0 of each row.
+
+    Lines without a word have no key. Different words keep places of their own in h, even if their hashes agree.
+    """
+    split = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    full = F.col("line").rlike(r"[^\x20\x09-\x0D]")
+    words = split.where(full | (F.col("line_no") == 0)).withColumn("w", _words(F.col("line")))
+    keys = {"k1": F.when(full, F.xxhash64("line")), "k2": F.when(full, F.hash("line")), "n": F.size("w"), "h": F.transform("w", lambda w: F.hash(w))}
+    return words.select("id", "t", "line_no", *[c.alias(name) for name, c in keys.items()])
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """A byte below 128 for each cell: three times the binary logarithm of its number of words, over all words of all documents."""
-    cells = docs.select(F.explode(_pieces(F.col("text"))).alias("w")).groupBy((F.xxhash64("w").bitwiseAND(CELLS - 1)).cast("int").alias("cell")).agg(F.count("*").alias("n"))
-    dense = docs.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
+def _levels(lines: DataFrame) -> Column:
+    """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents."""
+    cells = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
+    dense = lines.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
     dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("least(IF(n = 0, 0, 1 + CAST(floor(3 * log2(n)) AS int)), 126)"))
-    text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: F.char(x["level"])), "").alias("levels"))
-    return text.first()["levels"].encode("ascii")  # CELLS bytes, whatever the corpus
+    text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels"))
+    return F.split(F.lit(text.first()["levels"]), ",").cast("array<bigint>")  # CELLS numbers, whatever the corpus
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """id, line_no, k1, k2, size n and prefix of every line. A word's number is its rarity in the high bits and 56 bits of its hash."""
-    levels = F.lit(bytearray(_rarity(docs)))
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
+def _sets(lines: DataFrame) -> DataFrame:
+    """k1, k2, first and last place, n, bits and prefix of every text of a line. Words are ordered by rarity, then hash."""
+    levels = _levels(lines)
 
     def number(h: Column) -> Column:
-        level = F.ascii(F.substring(levels, h.bitwiseAND(CELLS - 1).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(level.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        return F.shiftleft(F.get(levels, h.bitwiseAND(CELLS - 1)), 32).bitwiseOR(h.cast("long").bitwiseAND(0xFFFFFFFF))
+
+    found = lines.where("k1 IS NOT NULL").select("k1", "k2", F.struct("id", "t", "line_no").alias("at"), "n", "h", F.sort_array(F.transform("h", number)).alias("s"))
+    bits = "aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, x & 63))"
+    prefix = f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 2147483647 AS int))"  # for finding candidates 31 bits are enough
+    found = found.select("k1", "k2", "at", F.struct("n", F.expr(bits).alias("bits"), F.expr(prefix).alias("prefix")).alias("s"))
+    return found.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("s").alias("s")).select("k1", "k2", "first", "last", "s.*")
+
+
+def _order(rows: DataFrame) -> Column:
+    """A number of 31 bits that never falls along the order of ``first``: ids scaled to their range; 0 for ids that are no integers."""
+    if not isinstance(rows.schema["id"].dataType, T.IntegralType):
+        return F.lit(0)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    if low is None:
+        return F.lit(0)
+    step = max(1.0, (high - low + 1) / 2**30)
+    return F.coalesce(F.floor((F.col("first.id").cast("double") - float(low)) / step).cast("int"), F.lit(-1))
+
 
-    lines = _lines(docs).select("id", "line_no", "k1", "k2", F.array_distinct(hashes).alias("h"))
-    lines = lines.select("id", "line_no", "k1", "k2", F.size("h").alias("n"), F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))").alias("bits"), F.sort_array(F.transform("h", number)).alias("s"))
-    # for finding candidates 31 bits of a word's number are enough
-    return lines.select("id", "line_no", "k1", "k2", "n", "bits", F.expr(f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 2147483647 AS int))").alias("prefix"))
+def _coded(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """With ``code``, 31 bits of order and 32 of the key: stands for a line among candidates. Where lines share a code by chance, all of them are compared."""
+    return sets.withColumn("code", F.shiftleft(_order(rows).cast("long"), 32).bitwiseOR(F.col("k1").bitwiseAND(0xFFFFFFFF)))
 
 
-def _candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of first halves of line keys that share enough prefix words at places where lengths and positions leave room for the overlap.
+def _pivots(firsts: DataFrame) -> DataFrame:
+    """Pairs of codes (a, b): b is the line of least code for two or more of the rarest words of a, where there is one before it."""
+    rarest = firsts.select("code", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
+    lists = rarest.groupBy("word").agg(F.min("code").alias("b"), F.count("*").alias("size")).where("size > 1").select("word", "b")
+    met = rarest.join(lists, "word").where("b != code").groupBy(F.col("code").alias("a"), "b").agg(F.count("*").alias("votes")).where(f"votes >= {VOTES}")
+    return met.groupBy("a").agg(F.min(F.struct(-F.col("votes"), "b")).alias("best")).select("a", "best.b")
+
+
+def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of codes (a, b) of an open line and any that is not later, which share enough prefix words at places where lengths and positions
+    leave room for the overlap.
 
     ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits.
     """
-    posts = firsts.select("k1", "n", "bits", F.posexplode("prefix").alias("at", "word")).repartition("word")
-    small = posts.where(f"at < {INDEXED}").select("word", F.col("k1").alias("b1"), F.col("n").alias("m"), F.col("bits").alias("b_bits"), F.col("at").alias("b_at"))
-    need = SHARED.format("m")
-    room = f"m <= n AND 5 * m >= 4 * n AND 9 * (least(n - at, m - b_at) + {need} - 1) >= 4 * (n + m) AND 9 * bit_count(bits ^ b_bits) <= n + m"
-    near = posts.join(small, "word").where(f"{room} AND (m < n OR b1 <= k1)")
-    counted = near.groupBy(F.col("k1").alias("a1"), "b1").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need"))
-    # a pair of one half with itself is a line that meets itself, or two lines whose halves agree by chance, once in a corpus of 10^9 lines
-    return counted.where("found >= need AND a1 != b1").select("a1", "b1").unionByName(firsts.groupBy(F.col("k1").alias("a1")).agg(F.count("*").alias("n")).where("n > 1").select("a1", F.col("a1").alias("b1")))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose word sets overlap enough, by the words themselves."""
-    keys = materialise(pairs.select(F.explode(F.array("a1", "b1")).alias("k1")).distinct(), "line-keys")
-    found = keys.limit(BROADCAST_KEYS + 1).count()
-    texts = _lines(docs).join(F.broadcast(keys) if found <= BROADCAST_KEYS else keys, "k1", "left_semi")
-    texts = materialise(texts.groupBy("k1", "k2").agg(F.min("line").alias("line")), "line-texts")
-    words = texts.select("k1", "k2", F.array_distinct(_words(F.col("line"))).alias("w"))
-    a = words.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("w").alias("aw"))
-    b = words.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("w").alias("bw"))
-    both = pairs.join(a, "a1").join(b, "b1").where("a1 != b1 OR a2 < b2")
-    return both.where("9 * size(array_intersect(aw, bw)) >= 4 * (size(aw) + size(bw))").select("a1", "a2", "b1", "b2")
-
-
-@contextmanager
-def _planned_once(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
 
+    def posts(lines: DataFrame, side: str) -> DataFrame:
+        return lines.select("code", "n", "bits", F.posexplode("prefix").alias("at", "word")).toDF(*[side + c for c in ("", "n", "bits", "at", "word")])
+
+    need = SHARED.format("least(an, bn)")
+    room = f"5 * an >= 4 * bn AND 5 * bn >= 4 * an AND 9 * (least(an - aat, bn - bat) + {need} - 1) >= 4 * (an + bn) AND 9 * bit_count(abits ^ bbits) <= an + bn"
+    met = posts(firsts.join(settled, ["k1", "k2"], "left_anti"), "a").join(posts(firsts, "b"), F.expr(f"aword = bword AND {room} AND shiftright(b, 32) <= shiftright(a, 32) AND a != b"))
+    near = met.groupBy("a", "b").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need")).where("found >= need")
+    same = firsts.groupBy(F.col("code").alias("a")).agg(F.count("*").alias("n")).where("n > 1")
+    return near.select("a", "b").unionByName(same.select("a", F.col("a").alias("b")))
 
-def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, n_links, removed) for each document: its lines with a word, those that go, how many other texts
-    its lines are alike to, and the numbers (from 0) of the lines that go.
 
-    Lines are separated by ``\\n``. A line goes if an earlier one, by id and then line number, has an alike set of words, as judged on
-    the input. Lines without a word stay and are not counted. Null and empty texts have no line; rows that repeat an id count
-    as one document; an empty table gives no row; further columns are ignored.
+def _linked(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
+    """k1 and k2 of the lines that have an earlier partner among the pairs of codes, judged by the words themselves."""
+    codes = few_rows(materialise(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct(), "line-codes"), BROADCAST_KEYS)
+    keys = few_rows(materialise(firsts.select("k1", "k2", "first", "code").join(codes, "code", "left_semi"), "line-keys"), BROADCAST_KEYS)
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("k1", F.xxhash64("line"))
+    texts = lines.join(keys.select("k1", F.col("k2").alias("same"), "first", "code"), "k1").where("same = hash(line)").groupBy(F.col("k1"), F.col("same").alias("k2"), "first", "code").agg(F.min("line").alias("line"))
+    words = materialise(texts, "line-texts").withColumn("w", _words(F.col("line")))
+    a, b = (words.select(F.col("code").alias(side), F.struct("first", "k1", "k2").alias(f"{side}_key"), F.col("w").alias(f"{side}_w")) for side in ("a", "b"))
+    alike = pairs.join(a, "a").join(b, "b").where("a_key != b_key").where(ALIKE.format("a_w", "b_w"))
+    return alike.select(F.greatest("a_key", "b_key").alias("later")).select("later.k1", "later.k2").distinct()
+
+
+def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_hash, n_lines, n_removed, n_links, removed) for each document: its lines with a word, those that go, how many of these
+    go because of a link, an alike earlier line of another text (and not as repeats alone), and the numbers (from 0) of the lines that go.
+
+    Lines are separated by ``\\n``. A line goes if an earlier one, by id, hash of the text and line number, has an alike set of words, as judged on
+    the input; each such link is found, whatever the size of a group, though not all partners of a line are listed. Lines without a word stay
+    and are not counted. Null and empty texts have no line. Rows without an id are documents, which come first. Rows that
+    repeat an id and a text count as one document, rows that repeat an id with other texts as several, which ``text_hash`` tells apart. Texts
+    may be of any length and are read whole. An empty table gives no row; further columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    firsts = _sets(rows).groupBy("k1", "k2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.max(F.struct("id", "line_no")).alias("last"), F.max(F.struct("n", "bits", "prefix")).alias("s"))
-    # the plan holds the levels of all cells, so it is not planned anew, and listed again, while it runs
-    with _planned_once(rows.sparkSession):
-        firsts = materialise(firsts.select("k1", "k2", "first", "last", "s.*"), "first-lines")
-    pairs = materialise(_candidates(firsts), "line-pairs")
-    alike = materialise(_verified(pairs, rows), "alike-lines")
-    both = alike.unionByName(alike.select(F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.col("b1").alias("a1"), F.col("b2").alias("a2")))
-    other = firsts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("other"))
-    links = both.join(other, ["b1", "b2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    bounds = firsts.select("k1", "k2", "first", "last").join(links, ["k1", "k2"], "left").where("first < last OR other IS NOT NULL")
-    bounds = bounds.select("k1", "k2", F.least("first", F.coalesce("other", "first")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links"))
-    marked = _lines(rows).drop("line").join(bounds, ["k1", "k2"], "left").withColumn("gone", F.coalesce(F.struct("id", "line_no") > F.col("bound"), F.lit(False)))
-    once = marked.groupBy("id", "line_no").agg(F.max("gone").alias("gone"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
-    marks = once.groupBy("id").agg(
-        F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"), F.sum("links").alias("n_links"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed")
-    )
-    out = rows.select("id").distinct().join(marks, "id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select(
-        F.col("id").alias(id_col), *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_removed", "n_links")], F.coalesce("removed", F.expr("CAST(array() AS array<int>)")).alias("removed")
-    )
+    rows = _rows(docs, id_col, text_col)
+    words = materialise(_lines(rows), "line-words")
+    firsts = materialise(_coded(_sets(words), rows), "first-lines")
+    lines = materialise(words.drop("n", "h"), "lines")
+    discard(words)
+    settled = materialise(_linked(materialise(_pivots(firsts), "line-pairs"), firsts, rows), "settled-lines")
+    pairs = materialise(_candidates(firsts, few_rows(settled, BROADCAST_KEYS)), "line-pairs")
+    links = settled.unionByName(_linked(pairs, firsts, rows)).distinct().withColumn("linked", F.lit(True))
+    bounds = firsts.select("k1", "k2", "first", "last").join(links, ["k1", "k2"], "left").where("first < last OR linked")
+    bounds = few_rows(materialise(bounds.select("k1", "k2", "first", "linked"), "line-bounds"), BROADCAST_KEYS)
+    marked = lines.join(bounds, ["k1", "k2"], "left")
+    gone = F.coalesce(F.col("linked") | (F.struct("id", "t", "line_no") > F.col("first")), F.lit(False))
+    marks = marked.groupBy("id", "t").agg(
+        F.count("k1").alias("n_lines"), F.count_if(gone).alias("n_removed"), F.count_if("linked").alias("n_links"), F.count_if(F.col("line_no") == 0).alias("times"),
+        F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"),
+    )
+    counts = [F.expr(f"{c} DIV times").alias(c) for c in ("n_lines", "n_removed", "n_links")]
+    return marks.select(F.col("id").alias(id_col), F.col("t").alias("text_hash"), *counts, "removed")
 
 
 def remove_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the marked lines; documents of which no line is left go. The marks have one row per id."""
-    few = marks.where("n_removed > 0").select(F.col(id_col), F.col("removed").alias("_removed"), (F.col("n_lines") == F.col("n_removed")).alias("_all"))
-    joined = docs.join(few, id_col, "left").where("NOT coalesce(_all, false)")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """``docs`` without the marked lines; documents of which no line is left go. The marks are those of ``docs`` itself, so each row finds
+    those of its id and text, null ids included; the names of further columns do not matter. An empty table gives an empty one."""
+    row_id, row_hash, removed, none_left = spare_names(docs, 4)
+    few = marks.where("n_removed > 0").select(F.col(id_col).alias(row_id), F.col("text_hash").alias(row_hash), F.col("removed").alias(removed), (F.col("n_lines") == F.col("n_removed")).alias(none_left))
+    same = docs[id_col].eqNullSafe(few[row_id]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == few[row_hash])
+    joined = docs.join(few, same, "left").where(~F.coalesce(F.col(none_left), F.lit(False)))
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,11 +190,13 @@ WITH lines AS (
   WHERE regexp_matches(l[i], '[^\\x20\\x09-\\x0D]')
 ),
 texts AS (SELECT line, min((doc_id, line_no)) AS first, len(list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n, list_distinct(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM lines GROUP BY line),
-words AS (SELECT line, n, unnest(w) AS word FROM texts),
-shared AS (SELECT a.line AS a, b.line AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM words a JOIN words b ON a.word = b.word AND a.line != b.line AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.line, b.line),
-links AS (SELECT a AS line, min(t.first) AS other, count(*) AS links FROM shared JOIN texts t ON t.line = b WHERE 9 * o >= 4 * (shared.n + m) GROUP BY a),
-marked AS (SELECT doc_id, line_no, (doc_id, line_no) > least(t.first, coalesce(k.other, t.first)) AS gone, coalesce(links, 0) AS links FROM lines JOIN texts t USING (line) LEFT JOIN links k USING (line))
-SELECT d.doc_id, count(line_no) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(links), 0)::BIGINT AS n_links,
+words AS (SELECT line, first, n, unnest(w) AS word FROM texts),
+shared AS (
+  SELECT a.line AS a, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o FROM words a JOIN words b ON a.word = b.word AND b.first < a.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n GROUP BY a.line, b.line
+),
+links AS (SELECT DISTINCT a AS line, 1 AS linked FROM shared WHERE 9 * o >= 4 * (n + m)),
+marked AS (SELECT doc_id, line_no, coalesce(linked, 0) AS linked, linked IS NOT NULL OR (doc_id, line_no) > t.first AS gone FROM lines JOIN texts t USING (line) LEFT JOIN links k USING (line))
+SELECT d.doc_id, count(line_no) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(linked), 0)::BIGINT AS n_links,
        coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (WHERE gone), '') AS removed
 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
 """

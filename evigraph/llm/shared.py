@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    Shuffle files of earlier steps that nothing refers to any more go when the driver collects garbage, so it is asked to first.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigraph/{label}-{uuid.uuid4().hex}"
+    spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._evigraph_path = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialise`` wrote, once all that is made of it is written too."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._evigraph_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few_rows(df: DataFrame, most: int) -> DataFrame:
+    """``df``, to be broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spare_names(df: DataFrame, count: int) -> list[str]:
+    """Names that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((n for n in (f"evigraph_{i}" for i in itertools.count()) if n not in taken), count))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
