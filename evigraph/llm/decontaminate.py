@@ -3,6 +3,9 @@
 Numbers, names and units become typed placeholders, so a question with other figures or persons has the same template. Windows of
 template words are hash-joined; along an alignment of a document with an item, a name goes with one name, numbers and units with any.
 Windows with too few literal words for a template are hash-joined as they stand, in lower case.
+
+Templates cost much, so they are made of few documents: each window of the benchmark has a probe, two literal words that follow each
+other wherever the window stands. Only documents that hold the probes of enough windows of one item can hold it.
 """
 
 from __future__ import annotations
@@ -11,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import materialise, native_words, table
+from .shared import few_rows, materialise, native_words, spare_names, table
 
 WIDTH = 8
 #: A window of an item counts if it has so many words that are no placeholders.
 LITERALS = 4
 #: Items report from so many windows on, or half of their windows if they have fewer than twice as many.
 LEAST_WINDOWS = 6
-#: Tables of benchmark windows up to so many rows are broadcast.
+#: Tables of benchmark windows and of documents up to so many rows are broadcast.
 BROADCAST_WINDOWS = 200_000
 BROADCAST_DOCS = 500_000
 
@@ -63,15 +66,17 @@ def _windows(width: Column | int, form: str = LITERAL) -> Column:
 
     def window(i: Column) -> Column:
         part = F.slice("t", i, w)
+        # what stands in every text with this window: literal words; nothing for a number, which has no letters; "0" where any words may stand
+        fixed = F.transform(part, lambda x: F.lower(x["raw"]) if form == RAW else F.when(x[typed] == NUMBER, " ").when(x[typed].startswith("<"), "0").otherwise(x[typed]))
         slots = F.transform(F.filter(part, lambda x: x[typed].startswith("<")), lambda x: F.struct(x[typed].alias("c"), F.lower(x["raw"]).alias("v")))
         mark = F.xxhash64(F.transform(part, lambda x: F.lower(x["raw"])), w, F.lit("raw")) if form == RAW else F.xxhash64(F.transform(part, lambda x: x[typed]), w)
-        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if form == RAW else slots).alias("slots"), (w - F.size(slots)).alias("literals"), F.lit(form).alias("form"))
+        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if form == RAW else slots).alias("slots"), (w - F.size(slots)).alias("literals"), F.lit(form).alias("form"), F.array_join(fixed, " ").alias("fixed"))
 
     return F.transform(starts, window)
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, width, need, need_all, hash, at, slots, form, strong of the windows of an item.
+    """item, width, need, need_all, hash, at, slots, form, strong, fixed of the windows of an item.
 
     A window with enough literals is ``strong`` and hashed as template, once more with names at the beginning of sentences if literals are enough
     then too. Those that lack literals in either template, and a first one whose unit a number before it would turn into a placeholder, are
@@ -91,52 +96,88 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return found.join(number, "item")
 
 
+#: What does not belong to a run of letters and marks.
+NO_LETTERS = r"[^\p{L}\p{M}]+"
+
+
+def _probes(items: DataFrame) -> DataFrame:
+    """item, at, strong, need, need_all, probe and digits of each window. The probe is the hash of two runs of letters that follow each other in
+    every text with the window, the longest such two, or of one run if there are no two. Windows without letters have ``digits``, the longest of
+    their numbers, instead; without either, the window may stand anywhere."""
+    # a final sigma in lower case depends on what surrounds it, so words with one may be anything here
+    runs = items.withColumn("runs", F.transform(F.array_remove(F.split(F.regexp_replace("fixed", r"[1-9]", ""), r"[^\p{L}\p{M}0]+"), ""), lambda r: F.when(r.rlike("[σςΣ]"), "0").otherwise(r)))
+    pairs = F.filter(F.transform("runs", lambda r, i: F.struct((F.length(r) + F.length(F.get("runs", i + 1))).alias("size"), r.alias("a"), F.get("runs", i + 1).alias("b"))), lambda p: p["size"].isNotNull() & ~F.contains(F.concat(p["a"], p["b"]), F.lit("0")))
+    ones = F.transform(F.filter("runs", lambda r: ~F.contains(r, F.lit("0"))), lambda r: F.struct(F.length(r).alias("size"), r.alias("a"), F.lit(None).cast("string").alias("b")))
+    best = F.coalesce(F.array_max(pairs), F.array_max(ones))
+    numbers = F.transform(F.regexp_extract_all("fixed", F.lit("[0-9]+"), F.lit(0)), lambda d: F.struct(F.length(d).alias("size"), d.alias("d")))
+    digits = F.when(F.col("form") == RAW, F.array_max(numbers)["d"])
+    return runs.select("item", "at", "strong", "need", "need_all", best.alias("best"), digits.alias("digits")).select(
+        "item", "at", "strong", "need", "need_all", F.when(F.col("best").isNotNull(), F.xxhash64("best.a", "best.b")).alias("probe"), F.when(F.col("best").isNull(), F.col("digits")).alias("digits"), (F.col("best").isNotNull() & F.col("best.b").isNull()).alias("single")
+    ).distinct()
+
+
+def _suspects(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """id and t of the rows that hold the probes of enough windows of an item; every row that holds an item is among them."""
+    probes = materialise(_probes(items), "benchmark-probes")
+    runs = F.split(F.lower("text"), NO_LETTERS)
+    two = F.transform("runs", lambda r, i: F.xxhash64(r, F.get("runs", i + 1)))  # a null at the end leaves the hash of one run
+    marks = [two] if probes.where("single").isEmpty() else [two, F.transform("runs", lambda r: F.xxhash64(r, F.lit(None).cast("string")))]
+    words = rows.select("id", "t", runs.alias("runs")).select("id", "t", F.explode(F.concat(*marks)).alias("probe"))
+    known = few_rows(probes.where("probe IS NOT NULL").select("probe").distinct(), BROADCAST_WINDOWS)
+    hits = words.join(known, "probe", "left_semi").distinct().join(few_rows(probes, BROADCAST_WINDOWS), "probe").select("id", "t", "item", "at", "strong", "need", "need_all")
+    numbers = probes.where("digits IS NOT NULL").select("item", "at", "strong", "need", "need_all", F.col("digits").alias("number"))
+    if not numbers.isEmpty():
+        hits = hits.unionByName(rows.join(few_rows(numbers, BROADCAST_WINDOWS), F.contains("text", "number")).select(hits.columns))
+    # windows that may stand anywhere count for every row
+    free = probes.where("probe IS NULL AND digits IS NULL").groupBy("item").agg(F.countDistinct("at").alias("free"))
+    counts = hits.groupBy("id", "t", "item", "need", "need_all").agg(F.size(F.collect_set("at")).alias("n"), F.size(F.collect_set(F.when(F.col("strong"), F.col("at")))).alias("n_strong"))
+    enough = F.expr("n + coalesce(free, 0) >= need_all OR (need > 0 AND n_strong + coalesce(free, 0) >= need)")
+    found = counts.join(few_rows(free, BROADCAST_WINDOWS), "item", "left").where(enough).select("id", "t")
+    anywhere = probes.join(free, "item").where("free >= need_all OR (need > 0 AND free >= need)")
+    return (found if anywhere.isEmpty() else rows.select("id", "t")).distinct()
+
+
 def _blank_free(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(native_words(F.lower(text)), " "), F.lit(" "))
 
 
-def _wordless(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, item, n_windows, changed) for items (item, text) without any template word, such as rows of symbols: looked for as a whole, between blanks."""
+def _wordless(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(id, t, item, n_windows, changed) for items (item, text) without any template word, such as rows of symbols: looked for as a whole, between blanks."""
     items = with_template(benchmark.distinct(), "text").where("size(t) = 0").select("item", _blank_free(F.col("text")).alias("whole")).where("trim(whole) != ''").distinct()
     items = materialise(items, "benchmark-wordless")
-    if items.isEmpty():
-        return docs.limit(0).join(items.limit(0)).select("id", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed"))
-    met = docs.select("id", _blank_free(F.col("text")).alias("text")).join(F.broadcast(items), F.contains("text", "whole"))
-    return met.select("id", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed")).distinct()
+    met = rows.limit(0).crossJoin(items.limit(0)) if items.isEmpty() else rows.withColumn("text", _blank_free(F.col("text"))).join(few_rows(items, BROADCAST_WINDOWS), F.contains("text", "whole"))
+    return met.select("id", "t", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed")).distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, n_windows, changed) for each document that holds an item, perhaps with other numbers, names or units.
+    """(id, text_hash, item, n_windows, changed) for each document that holds an item, perhaps with other numbers, names or units.
 
     An item is held if ``need`` of its strong windows, or ``need_all`` of all, stand in the document. Along an alignment each name in
     the item must go with one name in the document, or the windows that hold it do not count; several names may go with the same one, and
     numbers and units with any. ``changed`` tells that some value differs. Capitalised words that
     begin sentences are tried as literals and as names. Windows with few
     literal words count where they stand as they are, so a verbatim copy is always held, however short. Null and empty texts hold nothing;
-    rows that repeat an id count as one document; empty tables give no row; further columns are ignored.
+    rows that repeat an id and a text count as one document, rows that repeat an id, or have none, with other texts as several, which
+    ``text_hash`` tells apart; texts may be of any length and are read whole; empty tables give no row; further columns are ignored.
 
-    All documents are read once for the hashes of their windows, which meet the benchmark's by a broadcast, or a shuffle if those are many.
-    Positions and values are worked out for the documents with a hit alone.
+    All documents are read once for their probes, which meet the benchmark's by a broadcast, or a shuffle if those are many.
+    Templates are made of the documents with probes enough alone.
     """
     items = materialise(benchmark_windows(benchmark, item_col, item_text_col), "benchmark-windows")
     kinds = [tuple(r) for r in items.select("width", "form").distinct().collect()]  # at most three times WIDTH values
     widths, raw_widths = sorted({WIDTH, *(w for w, form in kinds if form != RAW)}), sorted(w for w, form in kinds if form == RAW)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = items.select("hash").distinct()
-    few = marks.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hashed = with_template(rows, "text").select("id", F.transform("t", lambda x: x["c"]).alias(LITERAL), F.transform("t", lambda x: x["d"]).alias(NAMED), F.transform("t", lambda x: F.lower(x["raw"])).alias(RAW))
-    hashed = hashed.withColumns({"n": F.size("c"), "begins": F.expr("array_compact(zip_with(c, sequence(1, greatest(size(c), 1)), (x, i) -> IF(x != get(d, i - 1), i, NULL)))")})
-    hashed = hashed.select("id", F.explode(_hashes(widths, raw_widths)).alias("hash"))
-    hit = materialise(hashed.join(F.broadcast(marks) if few else marks, "hash", "left_semi").select("id").distinct(), "leak-candidates")
-    near = hit.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
-    found = with_template(rows.join(F.broadcast(hit) if near else hit, "id", "left_semi").distinct(), "text")
-    found = found.select("id", F.explode(F.concat(*[_windows(w, form) for w in widths for form in (LITERAL, NAMED)], *[_windows(w, RAW) for w in raw_widths])).alias("d")).select("id", "d.*")
-    met = found.select("id", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"), F.col("form").alias("d_form")).join(F.broadcast(items) if few else items, "hash")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    suspects = few_rows(materialise(_suspects(rows, items), "leak-suspects"), BROADCAST_DOCS).alias("s")
+    found = rows.alias("r").join(suspects, F.expr("r.id <=> s.id AND r.t = s.t"), "left_semi").distinct().withColumnRenamed("t", "text_hash")
+    found = with_template(found, "text")
+    found = found.select("id", "text_hash", F.explode(F.concat(*[_windows(w, form) for w in widths for form in (LITERAL, NAMED)], *[_windows(w, RAW) for w in raw_widths])).alias("d")).select("id", "text_hash", "d.*")
+    met = found.select("id", "text_hash", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"), F.col("form").alias("d_form")).join(few_rows(items.drop("fixed"), BROADCAST_WINDOWS), "hash")
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
     # windows that take no word at the beginning of a sentence for a name are judged by themselves and along with the others
     forms = F.when((F.col("form") == NAMED) | (F.col("d_form") == NAMED), F.array(F.lit(NAMED))).otherwise(F.array(F.lit(LITERAL), F.lit(NAMED)))
-    lines = met.select("id", "item", "need", "need_all", F.struct(F.struct("at", "strong").alias("place"), values.alias("values")).alias("w"), (F.col("d_at") - F.col("at")).alias("shift"), forms.alias("form"))
-    keys = ("id", "item", "need", "need_all")
+    lines = met.select("id", "text_hash", "item", "need", "need_all", F.struct(F.struct("at", "strong").alias("place"), values.alias("values")).alias("w"), (F.col("d_at") - F.col("at")).alias("shift"), forms.alias("form"))
+    keys = ("id", "text_hash", "item", "need", "need_all")
     lines = lines.withColumn("form", F.explode("form")).groupBy(*keys, "shift", "form").agg(F.collect_set("w").alias("ws"))
     lines = lines.withColumn("names", F.expr(f"array_distinct(filter(flatten(transform(ws, w -> w.values)), v -> v.c = '{NAME}'))"))
     lines = lines.withColumn("mixed", F.expr("transform(filter(names, n -> exists(names, m -> m.item = n.item AND m.doc != n.doc)), n -> n.item)"))
@@ -145,29 +186,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     lines = lines.groupBy(*keys, "shift").agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.max("changed").alias("changed"))
     pairs = lines.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("ats"))).alias("ats"), F.min("changed").alias("changed"))
     strong = F.size(F.filter("ats", lambda a: a["strong"]))
-    pairs = pairs.where(((F.col("need") > 0) & (strong >= F.col("need"))) | (F.size("ats") >= F.col("need_all"))).select("id", "item", F.size("ats").cast("long").alias("n_windows"), "changed")
-    pairs = pairs.unionByName(_wordless(rows, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))))
-    return pairs.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "changed")
-
-
-def _hashes(widths: list[int], raw_widths: list[int]) -> Column:
-    def of(w: int, form: str = LITERAL) -> Column:
-        starts = F.when(F.col("n") >= w, F.sequence(F.lit(1), F.col("n") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-        if form == NAMED:  # around words that begin sentences alone
-            last = F.col("n") - w + 1
-            around = F.transform("begins", lambda j: F.sequence(F.greatest(j - w + 1, F.lit(1)), F.least(j, last)))
-            starts = F.when(F.col("n") >= w, F.array_distinct(F.flatten(around))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, F.lit(w)), F.lit(w), *([F.lit("raw")] if form == RAW else [])))
-
-    return F.concat(*[of(w, form) for w in widths for form in (LITERAL, NAMED)], *[of(w, RAW) for w in raw_widths])
+    pairs = pairs.where(((F.col("need") > 0) & (strong >= F.col("need"))) | (F.size("ats") >= F.col("need_all"))).select("id", "text_hash", "item", F.size("ats").cast("long").alias("n_windows"), "changed")
+    wordless = _wordless(rows, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")))
+    pairs = pairs.unionByName(wordless.withColumnRenamed("t", "text_hash"))
+    return pairs.select(F.col("id").alias(id_col), "text_hash", F.col("item").alias(item_col), "n_windows", "changed")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark."""
-    held = leaks(docs, benchmark).select("doc_id").distinct()
-    few = materialise(held, "leaking")
-    return docs.join(F.broadcast(few) if few.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else few, "doc_id", "left_anti").select(*docs.columns)
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark. A row is known by its id, null ids included, and its text; null texts hold
+    nothing; further columns may have any name; an empty table gives an empty one."""
+    row_id, row_hash = spare_names(docs, 2)
+    held = leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(row_id), F.col("text_hash").alias(row_hash)).distinct()
+    held = few_rows(materialise(held, "leaking"), BROADCAST_DOCS)
+    same = docs[id_col].eqNullSafe(held[row_id]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == held[row_hash])
+    return docs.join(held, same, "left_anti")

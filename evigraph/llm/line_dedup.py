@@ -4,16 +4,18 @@ Two lines are alike if the sets of their words overlap by four fifths of their u
 first, two alike sets share a few words within their prefixes, so only prefix words are joined. Lengths and the positions of the
 shared words rule most candidates out; the rest is verified on the words themselves.
 
-What is asked of a line is whether an earlier one is alike, not which ones are. So each line first meets one pivot, the earliest line of
-which it shares most of its rarest words. Where that is alike the line is settled: it stays as a partner for later lines but asks no more. In a
-group of near copies nearly all are settled by as many comparisons as there are lines; the join of all prefixes is left to the others.
+What is asked of a line is whether an earlier one is alike, not which ones are. So each line first meets a few pivots, the earliest lines with
+which it shares most of its rarest words. Where one is alike the line is settled: it stays as a partner for later lines but asks no more. In a
+group of near copies nearly all are settled by a few comparisons for each line; the join of all prefixes is left to the others.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,11 +25,18 @@ from .shared import discard, few_rows, materialise, spare_names, table
 CELLS = 1 << 18
 #: Up to so many keys of lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: A line looks for its pivot by so many of its rarest words and meets the line that shares most of them, two at least.
-RAREST, VOTES = 4, 2
-
-#: Words that alike sets must share within their prefixes. For sets up to 80 words their parities tell pairs apart well; larger ones must share more.
-SHARED = "IF({0} >= 120, 5, IF({0} >= 80, 3, 1))"
+#: A line looks for pivots by so many of its rarest words and meets so many of the lines that it shares most of them with.
+RAREST, PIVOTS = 6, 3
+#: Lines with a word that 2^HOT lines or more have look for pivots in parts of about that size.
+HOT = 16
+
+#: Prefix words are joined in so many rounds.
+ROUNDS = 2
+
+#: Words that alike sets must share within their prefixes. Up to 250 words parities tell most pairs apart; larger sets must share more.
+SHARED = "IF({0} >= 250, 5, 1)"
+#: Sets of so many words have parities of 128 bits.
+LONG = 100
 PREFIX = f"(n - (4 * n + 4) DIV 5 + {SHARED.format('n')})"  # length of the prefix in which a set that is alike shares so many
 #: Four fifths of the union of sets of n and m words are four ninths of n + m.
 ALIKE = "9 * size(array_intersect({0}, {1})) >= 4 * (size({0}) + size({1}))"
@@ -50,38 +59,41 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """id, t, line_no, 96-bit key k1, k2, number n of words and their 32-bit hashes h, for lines with a word and for line 0 of each row.
+    """id, t, line_no, 96-bit key k1, k2 and the hashes h of 64 bits of the distinct words, for lines with a word and for line 0 of each row.
 
-    Lines without a word have no key. Different words keep places of their own in h, even if their hashes agree.
+    Lines without a word have no key.
     """
     split = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     full = F.col("line").rlike(r"[^\x20\x09-\x0D]")
-    words = split.where(full | (F.col("line_no") == 0)).withColumn("w", _words(F.col("line")))
-    keys = {"k1": F.when(full, F.xxhash64("line")), "k2": F.when(full, F.hash("line")), "n": F.size("w"), "h": F.transform("w", lambda w: F.hash(w))}
-    return words.select("id", "t", "line_no", *[c.alias(name) for name, c in keys.items()])
+    hashes = F.array_except(F.transform(_pieces(F.col("line")), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    keys = {"k1": F.when(full, F.xxhash64("line")), "k2": F.when(full, F.hash("line")), "h": hashes}
+    return split.where(full | (F.col("line_no") == 0)).select("id", "t", "line_no", *[c.alias(name) for name, c in keys.items()])
 
 
 def _levels(lines: DataFrame) -> Column:
-    """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents."""
+    """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents,
+    in the bits from 31 on."""
     cells = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
-    dense = lines.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").cast("int").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
-    dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("least(IF(n = 0, 0, 1 + CAST(floor(3 * log2(n)) AS int)), 126)"))
+    dense = lines.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
+    dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("shiftleft(IF(n = 0, 0L, 1 + floor(3 * log2(n))), 31)"))
     text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels"))
     return F.split(F.lit(text.first()["levels"]), ",").cast("array<bigint>")  # CELLS numbers, whatever the corpus
 
 
 def _sets(lines: DataFrame) -> DataFrame:
-    """k1, k2, first and last place, n, bits and prefix of every text of a line. Words are ordered by rarity, then hash."""
-    levels = _levels(lines)
+    """k1, k2, first place, whether there are others, number n of words, bits, hi and prefix of every text of a line. Words are numbers: rarity, then 31 bits of hash.
 
-    def number(h: Column) -> Column:
-        return F.shiftleft(F.get(levels, h.bitwiseAND(CELLS - 1)), 32).bitwiseOR(h.cast("long").bitwiseAND(0xFFFFFFFF))
-
-    found = lines.where("k1 IS NOT NULL").select("k1", "k2", F.struct("id", "t", "line_no").alias("at"), "n", "h", F.sort_array(F.transform("h", number)).alias("s"))
-    bits = "aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, x & 63))"
-    prefix = f"transform(slice(s, 1, {PREFIX}), x -> cast(x & 2147483647 AS int))"  # for finding candidates 31 bits are enough
-    found = found.select("k1", "k2", "at", F.struct("n", F.expr(bits).alias("bits"), F.expr(prefix).alias("prefix")).alias("s"))
-    return found.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("s").alias("s")).select("k1", "k2", "first", "last", "s.*")
+    ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits. Of long
+    sets ``hi`` has those of the upper half of 128 bits.
+    """
+    levels = _levels(lines)
+    # without nulls, numbers are sorted as such
+    number = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(CELLS - 1).cast("int")) + F.shiftrightunsigned(h, 33), F.lit(0).cast("long"))
+    found = lines.where("k1 IS NOT NULL").select("k1", "k2", F.struct("id", "t", "line_no").alias("at"), F.size("h").alias("n"), "h", F.sort_array(F.transform("h", number)).alias("s"))
+    bits = F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))")
+    hi = F.expr(f"IF(n >= {LONG}, aggregate(h, 0L, (acc, x) -> IF(x & 64 = 0, acc, acc ^ shiftleft(1L, cast(x & 63 AS int)))), 0L)")
+    found = found.select("k1", "k2", "at", F.struct("n", bits.alias("bits"), hi.alias("hi"), F.expr(f"slice(s, 1, {PREFIX})").alias("prefix")).alias("s"))
+    return found.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("s").alias("s")).select("k1", "k2", "first", (F.col("first") < F.col("last")).alias("again"), "s.*")
 
 
 def _order(rows: DataFrame) -> Column:
@@ -100,30 +112,45 @@ def _coded(sets: DataFrame, rows: DataFrame) -> DataFrame:
     return sets.withColumn("code", F.shiftleft(_order(rows).cast("long"), 32).bitwiseOR(F.col("k1").bitwiseAND(0xFFFFFFFF)))
 
 
+#: Whether sets of an and bn words may overlap enough by their sizes and parities; without ``hi`` of both, 64 bits are compared.
+LIKELY = """5 * an >= 4 * bn AND 5 * bn >= 4 * an
+    AND 9 * IF(ahi = 0 OR bhi = 0, bit_count(abits ^ bbits), bit_count(abits ^ ahi ^ bbits ^ bhi) + bit_count(ahi ^ bhi)) <= an + bn"""
+
+
 def _pivots(firsts: DataFrame) -> DataFrame:
-    """Pairs of codes (a, b): b is the line of least code for two or more of the rarest words of a, where there is one before it."""
-    rarest = firsts.select("code", F.explode(F.slice("prefix", 1, RAREST)).alias("word"))
-    lists = rarest.groupBy("word").agg(F.min("code").alias("b"), F.count("*").alias("size")).where("size > 1").select("word", "b")
-    met = rarest.join(lists, "word").where("b != code").groupBy(F.col("code").alias("a"), "b").agg(F.count("*").alias("votes")).where(f"votes >= {VOTES}")
-    return met.groupBy("a").agg(F.min(F.struct(-F.col("votes"), "b")).alias("best")).select("a", "best.b")
+    """Pairs of codes (a, b): for the rarest words of a, the lines of least code that have them among theirs, if they are likely to be alike."""
+    rarest = firsts.select("code", "n", "bits", "hi", F.explode(F.slice("prefix", 1, RAREST)).alias("s"))
+    parts = F.expr(f"shiftleft(1, greatest(cast(shiftright(s, 31) DIV 3 AS int) - {HOT}, 0))")
+    rarest = rarest.select("code", "n", "bits", "hi", F.col("s").bitwiseAND(0x7FFFFFFF).cast("int").alias("word"), F.pmod(F.hash("code"), parts).alias("part"))
+    lists = W.partitionBy("word", "part").orderBy("code").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = rarest.select(*[F.col(c).alias(f"a{c}") for c in ("code", "n", "bits", "hi")], *[F.first(c).over(lists).alias(f"b{c}") for c in ("code", "n", "bits", "hi")])
+    votes = met.where(F.expr(f"acode != bcode AND {LIKELY}")).groupBy(F.col("acode").alias("a"), F.col("bcode").alias("b")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("votes"), "b"))), 1, PIVOTS).alias("best"))  # RAREST entries at most
+    return best.select("a", F.explode("best.b").alias("b"))
 
 
 def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of codes (a, b) of an open line and any that is not later, which share enough prefix words at places where lengths and positions
-    leave room for the overlap.
+    """Pairs of codes (a, b) of an open line and any that is not later, which share enough prefix words at places where lengths, positions and
+    parities leave room for the overlap. Two lines that share a code by chance meet under it.
 
-    ``bits`` has the parity of the words that fall to each of 64 bits, so two sets differ in at least as many words as bits.
+    Words are joined in a few rounds, each a share of all words, so that shuffle files of one round at a time are on disk.
     """
 
-    def posts(lines: DataFrame, side: str) -> DataFrame:
-        return lines.select("code", "n", "bits", F.posexplode("prefix").alias("at", "word")).toDF(*[side + c for c in ("", "n", "bits", "at", "word")])
+    def posts(lines: DataFrame, side: str, turn: int) -> DataFrame:
+        words = lines.select("code", "n", "bits", "hi", F.posexplode("prefix").alias("at", "s")).where(F.pmod("s", F.lit(ROUNDS)) == turn)
+        place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at"))  # one number, for less to shuffle
+        return words.select(F.col("code").alias(side), place.alias(f"{side}place"), F.col("bits").alias(f"{side}bits"), F.col("hi").alias(f"{side}hi"), F.col("s").bitwiseAND(0x7FFFFFFF).cast("int").alias(f"{side}word"))
 
     need = SHARED.format("least(an, bn)")
-    room = f"5 * an >= 4 * bn AND 5 * bn >= 4 * an AND 9 * (least(an - aat, bn - bat) + {need} - 1) >= 4 * (an + bn) AND 9 * bit_count(abits ^ bbits) <= an + bn"
-    met = posts(firsts.join(settled, ["k1", "k2"], "left_anti"), "a").join(posts(firsts, "b"), F.expr(f"aword = bword AND {room} AND shiftright(b, 32) <= shiftright(a, 32) AND a != b"))
-    near = met.groupBy("a", "b").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need")).where("found >= need")
-    same = firsts.groupBy(F.col("code").alias("a")).agg(F.count("*").alias("n")).where("n > 1")
-    return near.select("a", "b").unionByName(same.select("a", F.col("a").alias("b")))
+    room = f"9 * (least(an - aat, bn - bat) + {need} - 1) >= 4 * (an + bn) AND {LIKELY}"
+    for name, value in {side + part: code.format(f"{side}place") for side in "ab" for part, code in {"n": "shiftright({}, 32)", "at": "({} & 4294967295)"}.items()}.items():
+        room, need = re.sub(rf"\b{name}\b", value, room), re.sub(rf"\b{name}\b", value, need)
+    earlier = "shiftright(b, 32) <= shiftright(a, 32) AND (a != b OR aplace != bplace OR abits != bbits)"
+    open_, near = firsts.join(settled, ["k1", "k2"], "left_anti"), []
+    for turn in range(ROUNDS):
+        met = posts(open_, "a", turn).join(posts(firsts, "b", turn), F.expr(f"aword = bword AND {room} AND {earlier}"))
+        near.append(materialise(met.groupBy("a", "b").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need")), "line-near"))
+    return reduce(DataFrame.unionByName, near).groupBy("a", "b").agg(F.sum("found").alias("found"), F.max("need").alias("need")).where("found >= need").select("a", "b")
 
 
 def _linked(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -134,7 +161,7 @@ def _linked(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
     texts = lines.join(keys.select("k1", F.col("k2").alias("same"), "first", "code"), "k1").where("same = hash(line)").groupBy(F.col("k1"), F.col("same").alias("k2"), "first", "code").agg(F.min("line").alias("line"))
     words = materialise(texts, "line-texts").withColumn("w", _words(F.col("line")))
     a, b = (words.select(F.col("code").alias(side), F.struct("first", "k1", "k2").alias(f"{side}_key"), F.col("w").alias(f"{side}_w")) for side in ("a", "b"))
-    alike = pairs.join(a, "a").join(b, "b").where("a_key != b_key").where(ALIKE.format("a_w", "b_w"))
+    alike = a.join(few_rows(pairs, BROADCAST_KEYS), "a").join(b, "b").where("a_key != b_key").where(ALIKE.format("a_w", "b_w"))
     return alike.select(F.greatest("a_key", "b_key").alias("later")).select("later.k1", "later.k2").distinct()
 
 
@@ -151,12 +178,13 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = _rows(docs, id_col, text_col)
     words = materialise(_lines(rows), "line-words")
     firsts = materialise(_coded(_sets(words), rows), "first-lines")
-    lines = materialise(words.drop("n", "h"), "lines")
+    lines = materialise(words.drop("h"), "lines")
     discard(words)
     settled = materialise(_linked(materialise(_pivots(firsts), "line-pairs"), firsts, rows), "settled-lines")
     pairs = materialise(_candidates(firsts, few_rows(settled, BROADCAST_KEYS)), "line-pairs")
     links = settled.unionByName(_linked(pairs, firsts, rows)).distinct().withColumn("linked", F.lit(True))
-    bounds = firsts.select("k1", "k2", "first", "last").join(links, ["k1", "k2"], "left").where("first < last OR linked")
+    links = few_rows(materialise(links, "line-links"), BROADCAST_KEYS)
+    bounds = firsts.select("k1", "k2", "first", "again").join(links, ["k1", "k2"], "left").where("again OR linked")
     bounds = few_rows(materialise(bounds.select("k1", "k2", "first", "linked"), "line-bounds"), BROADCAST_KEYS)
     marked = lines.join(bounds, ["k1", "k2"], "left")
     gone = F.coalesce(F.col("linked") | (F.struct("id", "t", "line_no") > F.col("first")), F.lit(False))

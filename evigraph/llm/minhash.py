@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, table
+from .shared import few_rows, materialise, spare_names, table
 from .shingles import GOLDEN, blocks, mix, window_hashes, word_hashes, words_of
 
 
+#: Up to so many rows' ids are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """``bands`` of ``rows`` components: a pair of similarity 0.8 meets in a band with probability 0.9995, one of 0.3 with 0.007."""
@@ -32,6 +36,7 @@ class Settings:
     bands: int = 32
     rows: int = 7
     block: int = 1_000
+    block_chars: int = 8_000_000
 
 
 def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -102,7 +107,7 @@ def most_differing(settings: Settings) -> int:
 
 
 def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(id, k1, k2, n_words, bands, sketch): a 128-bit key of the word sequence; band hashes and sketch are empty without words."""
+    """(id, t, k1, k2, n_words, bands, sketch): a 128-bit key of the word sequence; band hashes and sketch are empty without words."""
 
     def run(batches):
         size = settings.bands * settings.rows
@@ -121,16 +126,17 @@ def _sign(docs: DataFrame, settings: Settings) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(start, len(place)),
+                        batch.column("t").slice(start, len(place)),
                         pa.array(keys[:, 0]),
                         pa.array(keys[:, 1]),
                         pa.array([len(w) for w in texts_words], pa.int64()),
                         pa.array([lists[p] for p in place], pa.list_(pa.int64())),
                         pa.array([sketch[p] for p in place], pa.list_(pa.int64())),
                     ],
-                    names=["id", "k1", "k2", "n_words", "bands", "sketch"],
+                    names=["id", "t", "k1", "k2", "n_words", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, n_words long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t long, k1 long, k2 long, n_words long, bands array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -170,40 +176,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such pair in 10^6), rule pairs out before texts are read. Most buckets are one component then. What is left is joined exactly, block
     by block, so no link is lost and pairs are never written out.
 
-    Rows without a word (null or empty texts) are classes of
-    their own; repeated ids with equal texts fall into one class; the class id is the least id; an empty table gives no row.
+    Rows are told apart by numbers of their own, so rows that repeat an id, or have none, are texts like others. The class id is the least id
+    of the class, null if no row of it has an id. Rows without a word (null or empty texts) are classes of their own; texts may be of any
+    length; an empty table gives no row; further columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialise(_sign(rows, settings), "signatures")
-    firsts = materialise(signed.where("n_words > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "first-copies")
-    distinct = signed.join(firsts, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"])
+    return _classes(docs, id_col, text_col, settings).select(F.col("id").alias(id_col), "class_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """id, t (hash of the text), node (number of the row), label (one for each class) and class_id of every row."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    signed = materialise(_sign(rows, settings).withColumn("node", F.monotonically_increasing_id()), "signatures")  # once written, numbers stay
+    full = signed.where("n_words > 0")
+    firsts = materialise(full.groupBy("k1", "k2").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "first-copies")
+    distinct = signed.join(firsts.select("node", "copies"), "node")
     words = -(-settings.bands * settings.rows // 64)
     size = F.greatest(F.col("n_words") - (settings.width - 1), F.lit(1))  # shingles
-    buckets = distinct.select("id", F.named_struct(*[x for n, c in {"rarity": -F.col("copies"), "size": size, **{f"s{i}": F.get("sketch", F.lit(i)) for i in range(words)}}.items() for x in (F.lit(n), c)]).alias("what"), F.explode("bands").alias("bucket"))
+    what = {"rarity": -F.col("copies"), "size": size, **{f"s{i}": F.get("sketch", F.lit(i)) for i in range(words)}}
+    buckets = distinct.select(F.col("node").alias("id"), F.named_struct(*[x for n, c in what.items() for x in (F.lit(n), c)]).alias("what"), F.explode("bands").alias("bucket"))
     met = buckets.join(_shared(buckets), "bucket")
     # texts whose sizes are too far apart cannot overlap enough: a bucket falls into classes of size, each text in two of them
     step = F.floor(F.log(F.col("what.size").cast("double")) / F.lit(-math.log(settings.threshold)) + 1e-9)
     met = met.select("id", "what", F.explode(F.array(step, step + 1)).alias("class"), "bucket").select("id", "what", F.xxhash64("bucket", "class").alias("bucket"))
     members = materialise(met.join(_shared(met), "bucket"), "bucket-members")
-    linked = _link(members, rows, settings) if not members.isEmpty() else None
-    classes = signed.where("n_words > 0").select("id", "k1", "k2").join(firsts.select("k1", "k2", F.col("id").alias("first")), ["k1", "k2"])
+    linked = None if members.isEmpty() else _link(members, _texts(members, signed, rows), settings)
+    named = firsts.withColumn("label", F.col("node"))
     if linked is not None:
-        labels = linked.select(F.col("id").alias("first"), "label")
-        classes = classes.join(labels, "first", "left").select("id", F.coalesce("label", "first").alias("class_id"))
-    else:
-        classes = classes.select("id", F.col("first").alias("class_id"))
-    empty = signed.where("n_words = 0").select("id", F.col("id").alias("class_id"))
-    return classes.unionByName(empty).withColumnRenamed("id", id_col)
+        named = firsts.join(linked.withColumnRenamed("id", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("low").alias("class_id"))
+    classes = full.select("id", "t", "node", "k1", "k2").join(named.select("k1", "k2", "label").join(least, "label"), ["k1", "k2"])
+    alone = signed.where("n_words = 0").select("id", "t", "node", F.col("node").alias("label"), F.col("id").alias("class_id"))
+    return classes.select(alone.columns).unionByName(alone)
+
+
+def _texts(members: DataFrame, signed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, text) of the members; ids are the numbers of their rows."""
+    wanted = signed.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", F.col("id").alias("own"), F.col("t").alias("hash"))
+    wanted = few_rows(materialise(wanted, "bucket-ids"), BROADCAST_IDS)
+    found = rows.join(wanted, F.expr("id <=> own AND t = hash")).select(F.col("node").alias("id"), "text")
+    return materialise(found.dropDuplicates(["id"]), "bucket-texts")
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
     return buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
 
 
-def _link(members: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame | None:
+def _link(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame | None:
     """(id, label) of the members that are linked to another; None if none is."""
     words = sum(n[0] == "s" and n != "size" for n in members.schema["what"].dataType.names)
-    texts = materialise(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "bucket-texts")
     # all members of a bucket against the one with the most copies
     pivot = members.groupBy("bucket").agg(F.min(F.struct("what.rarity", "id", "what")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.what").alias("p_what"))
     room = F.least("what.size", "p_what.size") >= settings.threshold * F.greatest("what.size", "p_what.size") - 1e-6
@@ -227,11 +248,12 @@ def _link(members: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame
 def _all_pairs(open_: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) that connect all pairs of the threshold among members of open buckets (id, hub).
 
-    Buckets that share members form a group. A group falls into blocks of about ``block`` texts; each pair of blocks is one unit of work
+    Buckets that share members form a group. A group falls into blocks of about ``block`` texts and ``block_chars`` characters; each pair of blocks is one unit of work
     with bounded memory, which joins its texts exactly by an inverted index of shingles and returns a spanning forest of the links.
     """
     groups = components(open_.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / settings.block).alias("parts"))
+    chars = groups.join(texts.select("id", F.length("text").alias("chars")), "id")
+    sizes = chars.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / settings.block, F.sum("chars") / settings.block_chars)).alias("parts"))
     placed = groups.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     spread = spread.select("id", "label", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -284,8 +306,21 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that carry the id of their class: one document of each group stays."""
-    classes = near_duplicates(docs, settings=settings)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_one(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class, that with the least id, with all columns, whatever these are called.
+
+    Rows that repeat an id and a text count as one document, of which one row stays; rows that repeat an id with other texts, and rows without
+    an id, are documents like others. Null and empty texts are no copies of each other. An empty table stays empty.
+    """
+    classes = materialise(_classes(docs, id_col, text_col, settings), "classes")
+    kept = classes.where("id <=> class_id").groupBy("label").agg(F.min("node").alias("node"))
+    kept = classes.join(kept.select("node"), "node", "left_semi").select(F.col("id").alias("own"), F.col("t").alias("hash"))
+    rows = classes.groupBy("id", "t").agg(F.count("*").alias("n"))
+    gone = few_rows(materialise(rows.join(kept, F.expr("id <=> own AND t = hash"), "left_anti").select("id", "t"), "dropped"), BROADCAST_IDS)
+    row_id, row_hash = spare_names(docs, 2)
+    gone = gone.toDF(row_id, row_hash)
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    left = docs.join(gone, docs[id_col].eqNullSafe(gone[row_id]) & (text_hash == gone[row_hash]), "left_anti")
+    if rows.where("n > 1").isEmpty():
+        return left
+    return left.withColumn(row_hash, text_hash).dropDuplicates([id_col, row_hash]).drop(row_hash)

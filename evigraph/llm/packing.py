@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialise, table
 
 _ENCODERS: dict = {}
 
@@ -62,12 +62,13 @@ class BestFit:
     """Online best fit with at most ``open_bins`` open bins.
 
     A bitset has the bit f set while an open bin has f tokens free, so the tightest fit for a piece is the lowest set bit
-    at or above its length. If a new bin is needed and all are open, the fullest closes.
+    at or above its length. If a new bin is needed and all are open, the fullest closes. ``closed`` lists the bins that are full or closed.
     """
 
     def __init__(self, capacity: int, open_bins: int, first: int):
         self.capacity, self.limit, self.next = capacity, open_bins, first
         self.bits, self.free, self.open = 0, [[] for _ in range(capacity + 1)], 0
+        self.closed: list[int] = []
 
     def _pop(self, free: int) -> int:
         found = self.free[free].pop()
@@ -84,54 +85,95 @@ class BestFit:
             bin_ = self._pop(free)
         else:
             if self.open >= self.limit:
-                self._pop((self.bits & -self.bits).bit_length() - 1)
+                self.closed.append(self._pop((self.bits & -self.bits).bit_length() - 1))
             free, bin_ = self.capacity, self.next
             self.next += 1
         if left := free - length:
             self.free[left].append(bin_)
             self.bits |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(bin_)
         return bin_, self.capacity - free
 
 
+class _Packed:
+    """Rows (length at ``at``) with their places, given out as their sequences close."""
+
+    def __init__(self, bins: BestFit, at: int):
+        self.bins, self.at, self.held = bins, at, {}
+
+    def add(self, row: tuple) -> list[tuple]:
+        sequence, offset = self.bins.place(row[self.at])
+        self.held.setdefault(sequence, []).append((*row, sequence, offset))
+        done = [r for closed in self.bins.closed for r in self.held.pop(closed)]
+        self.bins.closed.clear()
+        return done
+
+    def rest(self) -> list[tuple]:
+        return [r for rows in self.held.values() for r in rows]
+
+
+#: Sequences that the first pass leaves open are packed anew, about so many of their pieces to a task.
+TAIL_PIECES = 50_000
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, open_bins: int = 256, with_ids: bool = False
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the ids with ``with_ids``.
 
     Each document is its ids and then ``end_id``; longer ones are cut so that only the first piece is short. Null and
-    empty texts are the end id alone; repeated rows are packed each; an empty table gives no piece; further columns are
-    ignored. Every task packs its own rows with bounded memory and no shuffle; a task leaves at most ``open_bins``
-    sequences unfilled. Sequence numbers hold the task's number, and a repeated task makes the same ones.
+    empty texts are the end id alone; null ids are ids like others; repeated rows are packed each; texts may be of any length; an empty table gives
+    no piece; further columns are ignored. Every task packs its own rows with bounded memory and no shuffle. What the tasks leave in open
+    sequences is packed anew, longest pieces first, in tasks of ``TAIL_PIECES`` pieces, so sequences that are not full stay as few however many tasks there are.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    types = [pa.int32(), *[pa.int64()] * 5]
+    fields = "piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    schema = f"id {id_type}, {fields}, sequence_id long, offset long"
+    types = [pa.int32(), *[pa.int64()] * 3, *([pa.list_(pa.int64())] if with_ids else []), *[pa.int64()] * 2]
+    names = ["id", *[f.split()[0] for f in fields.split(", ")], "sequence_id", "offset"]
+
+    def batch_of(rows, kinds, columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=columns)
 
-    def run(batches):
-        bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
-        enc = encoder(tokenizer_path)
+    def first(batches):
+        packed = _Packed(BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40), 3)
+        enc, kinds, columns = encoder(tokenizer_path), None, [*names, "tail"]
         for batch in batches:
-            index, rows, tokens = [], [], []
-            for i, text in enumerate(batch.column(1)):
+            kinds = [batch.schema.field(0).type, *types, pa.bool_()]
+            out = []
+            for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = np.append(enc.ids(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                start, piece = 0, 0
+                key, start, piece = key.as_py(), 0, 0
                 while start < len(ids):
                     length = len(ids) % capacity or capacity if not piece else capacity
                     part = ids[start : start + length]
-                    rows.append((piece, start, length, zlib.crc32(part.tobytes()), *bins.place(length)))
-                    index.append(i)
-                    if with_ids:
-                        tokens.append(part.astype(np.int64))
+                    out += packed.add((key, piece, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
                     start, piece = start + length, piece + 1
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            columns.insert(0, batch.column(0).take(pa.array(index, pa.int64())))
-            if with_ids:
-                columns, names = [*columns, pa.array(tokens, pa.list_(pa.int64()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+            if out:
+                yield batch_of([(*r, False) for r in out], kinds, columns)
+        if rest := packed.rest():
+            yield batch_of([(*r, True) for r in rest], kinds, columns)
+
+    def second(batches):
+        packed, kinds = _Packed(BestFit(capacity, open_bins, 1 << 62 | TaskContext.get().partitionId() << 40), 3), None
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, *types]
+            if out := [r for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in packed.add(row)]:
+                yield batch_of(out, kinds, names)
+        if rest := packed.rest():
+            yield batch_of(rest, kinds, names)
+
+    placed = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(first, f"{schema}, tail boolean"), "packed-pieces")
+    tails = placed.where("tail").drop("tail", "sequence_id", "offset")
+    tasks = -(-tails.count() // TAIL_PIECES)
+    done = placed.where("NOT tail").drop("tail")
+    if tasks:
+        ordered = tails.repartition(tasks).sortWithinPartitions(F.desc("length"), "id", "piece", "ids_crc32")
+        done = done.unionByName(ordered.mapInArrow(second, schema))
+    last = ["ids"] if with_ids else []
+    return done.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *last)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,12 +40,12 @@ class Settings:
 
 def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and the counts of each row's whole text."""
-    picked = docs.select(*keep, F.col(text_col).alias("_text"))
+    picked = docs.select(*keep, F.col(text_col).alias("counted"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]] + [f"{c} long" for c in COUNTS])
 
     def count(batches):
         for batch in batches:
-            found = [base_counts(t.as_py()) for t in batch.column("_text")]
+            found = [base_counts(t.as_py()) for t in batch.column("counted")]
             columns = list(zip(*found, strict=True)) if found else [()] * len(COUNTS)
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in columns)], names=[*keep, *COUNTS])
@@ -93,16 +93,16 @@ def judge(rows: DataFrame, fences: DataFrame, settings: Settings = Settings()) -
     if fences.limit(settings.max_broadcast_rows + 1).count() <= settings.max_broadcast_rows:
         joined = rows.join(F.broadcast(fences), ["lang", "source"], "left")
     else:
-        salted = fences.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
+        salted = fences.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
         counts = [F.col(c) for c in COUNTS]
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(*counts), F.lit(settings.salts)).cast("int")).join(salted, ["lang", "source", "_salt"], "left")
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64(*counts), F.lit(settings.salts)).cast("int")).join(salted, ["lang", "source", "salt"], "left")
     names = [f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]
-    return joined.withColumn("kept", F.expr(f"NOT base_failed AND coalesce({inside}, false)")).drop(*names, "_salt")
+    return joined.withColumn("kept", F.expr(f"NOT base_failed AND coalesce({inside}, false)")).drop(*names, "salt")
 
 
-def _prepared(docs: DataFrame, keep: tuple[str, ...], lang_col: str, source_col: str, text_col: str) -> DataFrame:
-    named = docs.select(*keep, F.col(text_col).alias("text_"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"))
-    return with_base(text_counts(named, "text_", (*keep, "lang", "source")))
+def _prepared(docs: DataFrame, keep: Column, lang_col: str, source_col: str, text_col: str) -> DataFrame:
+    named = docs.select(keep.alias("own"), F.col(text_col).alias("text"), F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"))
+    return with_base(text_counts(named, "text", ("own", "lang", "source")))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", settings: Settings = Settings()) -> DataFrame:
@@ -110,12 +110,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A row is kept if it passes the base rules and each measure lies within the fences of its language and source
     (quartile plus ``fence`` quartile distances, at least the slack of the measure). Null texts have no words and fail
-    the base rules; null languages or sources count as the empty string; repeated rows are judged alike; an empty table
-    gives an empty result; further columns are ignored.
+    the base rules; null languages or sources count as the empty string; null ids are ids like others; texts of any length are read whole;
+    repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
     """
-    rows = materialise(_prepared(docs, (id_col,), lang_col, source_col, text_col), "quality-counts")
+    rows = materialise(_prepared(docs, F.col(id_col), lang_col, source_col, text_col), "quality-counts")
     fences = materialise(thresholds(rows, settings), "quality-fences")
-    return judge(rows, fences, settings).select(id_col, *COUNTS, "base_failed", "kept")
+    return judge(rows, fences, settings).select(F.col("own").alias(id_col), *COUNTS, "base_failed", "kept")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,14 +123,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns. Texts are read twice and not shuffled unless the fence table is large."""
-    rows = materialise(_prepared(docs, (), "lang", "source", "text"), "quality-counts")
+    """The rows of ``docs`` that the rules keep, with their columns, whatever these are called.
+
+    Null texts go, as they fail the base rules; null ids, languages and sources and repeated rows are judged like others; an empty table stays
+    empty. Whole rows are written once next to their counts, so texts are counted once, and are not shuffled unless the fence table is large.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = materialise(_prepared(docs, F.struct(*columns), "lang", "source", "text"), "quality-counts")
     fences = materialise(thresholds(rows, settings), "quality-fences")
-    picked = docs.withColumns({"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))})
-    columns = docs.columns
-    counted = with_base(text_counts(picked.select(F.struct(*columns).alias("_row"), F.col("text"), "_lang", "_source"), "text", ("_row", "_lang", "_source")))
-    counted = counted.withColumnsRenamed({"_lang": "lang", "_source": "source"})
-    return judge(counted, fences, settings).where("kept").select("_row.*")
+    return judge(rows, fences, settings).where("kept").select("own.*")
 
 
 def _sql() -> str:

@@ -173,15 +173,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """(id, held_out, score, predicted) for every row of ``docs``.
 
     The model is fitted on labelled rows whose id is not held out (crc32 of the id as text, modulo 4, is 2), at most ``sample`` of them.
-    Null ids, null labels and labels without a document are not used; several labels of an id count by their greatest; repeated
-    rows get equal scores; null and empty texts are scored from zero statistics; an empty table gives no row. The statistics
-    are written once; only the sample reaches the driver.
+    Null ids, null labels and labels without a document are not used; several labels of an id count by their greatest, rows that repeat
+    an id by their greatest statistics; repeated rows get equal scores; null and empty texts are scored from zero statistics; texts of any length are
+    read whole; an empty table gives no row; further columns are ignored. The statistics are written once; the sample is drawn from the labels alone,
+    by a hash of the id, and only its statistics reach the driver.
     """
     rows = materialise(with_statistics(docs, id_col, text_col), "statistics")
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label")).where(~held_out(F.col(id_col)))
-    # ids are drawn before the join, twice as many as needed at most
-    drawn = rows.dropDuplicates([id_col]).join(known, id_col).orderBy(F.crc32(F.concat(F.lit("draw"), F.col(id_col).cast("string"))), id_col).limit(settings.sample).select(*STATISTICS, "_label").collect()
-    data = np.array(drawn, dtype=float).reshape(-1, len(STATISTICS) + 1)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("known")).agg(F.max(label_col).alias("label")).where(~held_out(F.col("known")))
+    draw = F.crc32(F.concat(F.lit("draw"), F.col("known").cast("string")))
+    # a share of the hash's range that holds about ``sample`` ids; so a limit on it takes few rows of each task
+    share = settings.sample / max(known.count(), 1)
+    drawn = known.where(draw <= int(min(share, 1) * 2**32)).orderBy(draw, "known").limit(settings.sample)
+    stats = rows.join(F.broadcast(drawn), rows[id_col] == F.col("known")).groupBy("known").agg(F.max(F.struct(*STATISTICS)).alias("x"), F.max("label").alias("label"))
+    data = np.array(stats.orderBy("known").select("x.*", "label").collect(), dtype=float).reshape(-1, len(STATISTICS) + 1)
     model = fit(data[:, :-1], (data[:, -1] > 0).astype(float), settings)
     score = rows.select(id_col, held_out(F.col(id_col)).alias("held_out"), model.column().alias("score"))
     return score.withColumn("predicted", F.when(F.col("score") >= settings.cut, 1).otherwise(0))

@@ -21,7 +21,7 @@ BASE = (
 WEAK = (
     ("account", r"(?i)\b(?:user|username|login|client_?id|account|access_?key_?id)\b[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", "identifier"),
     ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", "secret"),
-    ("endpoint", r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", "endpoint"),
+    ("endpoint", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", "endpoint"),
 )
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"} | {name: role for name, _, role in WEAK}
 ORDER = [name for name, *_ in BASE] + [name for name, *_ in WEAK]
@@ -64,12 +64,11 @@ def linked_weak(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
     """Weak parts of ``parts`` (keys, start, end, kind, role, weak) whose complementary parts lie at most ``scope`` code points away.
 
     Interval join: a part's neighbourhood covers one to a few cells of ``scope`` code points; parts meet in a cell by an equality
-    join and the distance is checked there. Only whether a partner exists is kept, so the earliest and the latest part of each
-    role in a cell stand for all in it.
+    join and the distance is checked there. Spans do not overlap within a kind, so a cell holds a bounded number of them; they travel as one
+    array for each cell and role, and of a partner only its role is kept.
     """
-    cell = F.expr(f"start DIV {scope}")
     ends = parts.withColumn("cell", F.explode(F.expr(f"sequence(start DIV {scope}, greatest(end - 1, start) DIV {scope})")))
-    bounds = ends.groupBy(*keys, "role", "cell").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.collect_set(F.struct("start", "end")).alias("spans"))
+    bounds = ends.groupBy(*keys, "role", "cell").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     weak = parts.where("weak").withColumn("cell", F.explode(F.expr(f"sequence(greatest(start - {scope}, 0) DIV {scope}, (end + {scope}) DIV {scope})")))
     near = weak.alias("w").join(bounds.withColumnRenamed("role", "other").alias("b"), [*keys, "cell"])
     near = near.where("role != other").where(f"exists(spans, s -> s.start <= w.end + {scope} AND s.end >= w.start - {scope})")

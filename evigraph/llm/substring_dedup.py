@@ -6,8 +6,8 @@ Three passes over blocks of documents, joined by two small shuffles:
    windows with an anchor that two documents share can recur; there is about one anchor in five words.
 2. windows: 96-bit hashes of the windows with a shared anchor, grouped over the corpus, confirm which windows recur and the first
    document of each.
-3. automata: each block compiles the anchors of the confirmed windows of its own documents into an automaton over word numbers
-   and streams its documents through it; every place found is extended to the confirmed windows around it.
+3. automata: each block compiles the confirmed windows that stand in it into automata over word numbers and streams all its
+   documents through them; the places that they find, word by word, are what goes.
 
 What is shuffled by anchor or window is first combined within a block, so a passage that a third of the documents share counts
 once for each block.
@@ -30,21 +30,28 @@ from .shared import shuffle_width, table
 from .shingles import window_hashes, word_hashes, words_of
 
 
+#: Stands for a missing id; half the range of 64 bits, so differences do not overflow.
+NO_ID = -(1 << 62)
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``gram``: words of an anchor; ``block``: documents that share an automaton, on average."""
+    """``gram``: words of an anchor; ``block``: characters, and ``documents``: documents that are streamed through the same automata, on average;
+    ``shard``: windows in an automaton at most."""
 
     width: int = 13
     gram: int = 5
-    block: int = 256
+    block: int = 800_000
+    documents: int = 256
+    shard: int = 100_000
 
 
 class Block:
     """Words and hashes of some documents, end to end."""
 
-    def __init__(self, texts, ids, settings: Settings):
-        self.words = [words_of(t.as_py()) for t in texts]
-        self.ids = np.asarray(ids.to_numpy(zero_copy_only=False), dtype=np.int64)
+    def __init__(self, docs: pa.Table, settings: Settings):
+        self.words = [words_of(t.as_py()) for t in docs.column("text")]
+        self.ids = docs.column("own").to_numpy().astype(np.int64, copy=False)
         sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         hashes = word_hashes([w for words in self.words for w in words])
@@ -67,7 +74,7 @@ class Block:
 
 def _anchors(settings: Settings):
     def run(key, data):
-        block = Block(data.column("text"), data.column("id"), settings)
+        block = Block(data, settings)
         found, doc = block.anchors[block.valid], block.owner[block.valid]
         change = np.ones(len(found), dtype=bool)
         change[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
@@ -88,7 +95,7 @@ def _windows(settings: Settings):
         empty = pa.table({n: pa.array([], t) for n, t in (("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.int64()))})
         if not shared.num_rows or not docs.num_rows:
             return empty
-        block = Block(docs.column("text"), docs.column("id"), settings)
+        block = Block(docs, settings)
         anchors = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
         near = np.minimum(np.searchsorted(anchors, block.anchors), len(anchors) - 1)
         pick = np.flatnonzero(block.valid & (anchors[near] == block.anchors))
@@ -105,55 +112,68 @@ def _windows(settings: Settings):
     return run
 
 
+def _patterns(block: Block, confirmed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the block where its confirmed windows stand, one for each, and the first document of each. Hashes serve to pick them only."""
+    order = np.argsort(confirmed)
+    confirmed, first = confirmed[order], first[order]
+    own = window_hashes(block.hashes, block.settings.width, 11).view(np.int64)
+    near = np.minimum(np.searchsorted(confirmed, own), len(confirmed) - 1)
+    at = np.flatnonzero(block.valid & (confirmed[near] == own))
+    near = near[at]
+    # a window goes in documents after its first one, so one that stands in no such document of the block is no pattern
+    last = np.full(len(confirmed), np.iinfo(np.int64).min)
+    np.maximum.at(last, near, block.ids[block.owner[at]])
+    which, one = np.unique(near, return_index=True)
+    used = last[which] > first[which]
+    return at[one][used], first[which][used]
+
+
+def _letters(block: Block) -> tuple[list, bool]:
+    """The documents with a character for each word, or word numbers if there are more words than characters."""
+    numbers: dict = {}
+    coded = [[numbers.setdefault(w, len(numbers)) for w in words] for words in block.words]
+    if len(numbers) > 0x10FFFF - 0x800:
+        return [tuple(x) for x in coded], False
+    letters = [chr(i if i < 0xD800 else i + 0x800) for i in range(len(numbers))]  # without surrogates
+    return ["".join(map(letters.__getitem__, x)) for x in coded], True
+
+
 def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
     """For each document the words that lie in a confirmed window which starts in an earlier document; None if there are none.
 
-    The automaton holds the anchors of the confirmed windows. Each place where it finds one is extended to the windows around it,
-    which count if they are confirmed.
+    The confirmed windows of the block are compiled into automata of ``shard`` windows at most, and all documents of the block are streamed
+    through each. What an automaton finds decides which words go: its windows are the words themselves.
     """
-    width, gram = block.settings.width, block.settings.gram
+    width, shard = block.settings.width, block.settings.shard
     drop: list[np.ndarray | None] = [None] * len(block.words)
     if not len(confirmed) or not len(block.valid):
         return drop
-    order = np.argsort(confirmed)
-    confirmed, first = confirmed[order], first[order]
-    own = window_hashes(block.hashes, width, 11).view(np.int64)
-    near = np.minimum(np.searchsorted(confirmed, own), len(confirmed) - 1)
-    gone = block.valid & (confirmed[near] == own) & (first[near] < block.ids[block.owner])
-    at = np.flatnonzero(gone)
-    if not len(at):
+    place, earliest = _patterns(block, confirmed, first)
+    if not len(place):
         return drop
-    grams = window_hashes(block.hashes, gram, 7)
-    # seeds: where the anchor of each confirmed window stands, each distinct anchor once
-    _, one = np.unique(block.anchors[at], return_index=True)
-    place = [int(i) + int(np.argmin(grams[i : i + width - gram + 1])) for i in at[one]]
-    numbers: dict = {}
-    docs = np.unique(block.owner[at])
-    letters = {int(d): [numbers.setdefault(w, len(numbers)) for w in block.words[d]] for d in docs}
-    plain = len(numbers) < 0xD000  # word numbers that are plain characters make the keys strings
-    automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    coded = {d: "".join(map(chr, x)) if plain else tuple(x) for d, x in letters.items()}
+    coded, plain = _letters(block)
     home = np.searchsorted(block.starts, place, side="right") - 1
-    for i, d in zip(place, home.tolist(), strict=True):
-        start = i - int(block.starts[d])
-        automaton.add_word(coded[d][start : start + gram], True)
-    automaton.make_automaton()
-    for d, text in coded.items():
-        ends = np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64)
-        begin, size = int(block.starts[d]), len(text)
-        around = (ends[:, None] - gram + 1 - np.arange(width - gram + 1)).ravel()
-        around = around[(around >= 0) & (around <= size - width)]
-        found = np.unique(around[gone[begin + around]])
-        edge = np.zeros(size + 1, dtype=np.int64)
-        edge[found] += 1
-        edge[found + width] -= 1
-        drop[d] = np.cumsum(edge[:-1]) > 0
+    offset = place - block.starts[home]
+    for low in range(0, len(place), shard):
+        automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for d, i, f in zip(home[low : low + shard].tolist(), offset[low : low + shard].tolist(), earliest[low : low + shard].tolist(), strict=True):
+            automaton.add_word(coded[d][i : i + width], f)
+        automaton.make_automaton()
+        for d, text in enumerate(coded):
+            own = int(block.ids[d])
+            ends = np.array([end for end, f in automaton.iter(text) if f < own], dtype=np.int64)
+            if len(ends):
+                edge = np.zeros(len(text) + 1, dtype=np.int64)
+                edge[ends - width + 1] += 1
+                edge[ends + 1] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                drop[d] = gone if drop[d] is None else drop[d] | gone
     return drop
 
 
 def _kept(settings: Settings, digest_only: bool):
     def run(key, docs, windows):
-        block = Block(docs.column("text"), docs.column("id"), settings)
+        block = Block(docs, settings)
         drop = locate(block, windows.column("h1").to_numpy(), windows.column("first").to_numpy())
         kept = [b" ".join(words if gone is None else compress(words, (~gone).tolist())) for words, gone in zip(block.words, drop, strict=True)]
         return pa.table(
@@ -174,17 +194,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of ``width`` words that covers it, within its document, also starts in a document with a smaller
     id. Windows are judged on the input. Null and empty texts have no words; texts shorter than a window lose nothing;
-    rows that repeat an id keep their words unless a smaller id has them; an empty table gives no row; further columns are
-    ignored. Ids must be integers and not null.
+    rows that repeat an id keep their words unless a smaller id has them; rows without an id come before all others; an empty table
+    gives no row; further columns are ignored. Texts may be of any length. Ids must be integers, of less than 2^62 in amount.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    count = max(1, -(-rows.count() // settings.block))
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), F.coalesce(id_, F.lit(NO_ID)).alias("own"), F.col(text_col).alias("text"))
+    documents, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    count = max(1, -(-documents // settings.documents), -(-chars // settings.block))
 
     def block_of(id_: Column) -> Column:
         return F.pmod(F.xxhash64(id_), F.lit(count)).cast("long")
 
-    rows = rows.withColumn("block", block_of(F.col("id"))).repartition(shuffle_width(spark), "block")
+    rows = rows.withColumn("block", block_of(F.col("own"))).repartition(shuffle_width(spark), "block")
     anchors = rows.groupBy("block").applyInArrow(_anchors(settings), "anchor long, place long").repartition(shuffle_width(spark), "anchor")
     same = W.partitionBy("anchor")
     shared = anchors.select("anchor", "place", F.count("*").over(same).alias("n"), F.min("place").over(same).alias("p")).where("n > 1 OR p < 0")
