@@ -26,7 +26,7 @@ CELLS = 1 << 18
 #: Up to so many keys of lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: A line looks for pivots by so many of its rarest words and meets so many of the lines that it shares most of them with.
-RAREST, PIVOTS = 6, 3
+RAREST, PIVOTS = 5, 3
 #: Lines with a word that 2^HOT lines or more have look for pivots in parts of about that size.
 HOT = 16
 
@@ -59,21 +59,22 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """id, t, line_no, 96-bit key k1, k2 and the hashes h of 64 bits of the distinct words, for lines with a word and for line 0 of each row.
+    """id, t, line_no, 96-bit key k1, k2 and the words h, for lines with a word and for line 0 of each row.
 
-    Lines without a word have no key.
+    Words are distinct by hashes of 64 bits, of which 31 are kept: words that agree in these have an entry each. Lines without a word have no key.
     """
     split = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     full = F.col("line").rlike(r"[^\x20\x09-\x0D]")
     hashes = F.array_except(F.transform(_pieces(F.col("line")), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     keys = {"k1": F.when(full, F.xxhash64("line")), "k2": F.when(full, F.hash("line")), "h": hashes}
-    return split.where(full | (F.col("line_no") == 0)).select("id", "t", "line_no", *[c.alias(name) for name, c in keys.items()])
+    found = split.where(full | (F.col("line_no") == 0)).select("id", "t", "line_no", *[c.alias(name) for name, c in keys.items()])
+    return found.withColumn("h", F.transform("h", lambda x: F.shiftrightunsigned(x, 33).cast("int")))
 
 
 def _levels(lines: DataFrame) -> Column:
     """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents,
     in the bits from 31 on."""
-    cells = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("n"))
+    cells = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("long").alias("cell")).agg(F.count("*").alias("n"))
     dense = lines.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
     dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("shiftleft(IF(n = 0, 0L, 1 + floor(3 * log2(n))), 31)"))
     text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels"))
@@ -88,10 +89,10 @@ def _sets(lines: DataFrame) -> DataFrame:
     """
     levels = _levels(lines)
     # without nulls, numbers are sorted as such
-    number = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(CELLS - 1).cast("int")) + F.shiftrightunsigned(h, 33), F.lit(0).cast("long"))
+    number = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(CELLS - 1)) + h, F.lit(0).cast("long"))
     found = lines.where("k1 IS NOT NULL").select("k1", "k2", F.struct("id", "t", "line_no").alias("at"), F.size("h").alias("n"), "h", F.sort_array(F.transform("h", number)).alias("s"))
-    bits = F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, cast(x & 63 AS int)))")
-    hi = F.expr(f"IF(n >= {LONG}, aggregate(h, 0L, (acc, x) -> IF(x & 64 = 0, acc, acc ^ shiftleft(1L, cast(x & 63 AS int)))), 0L)")
+    bits = F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, x & 63))")
+    hi = F.expr(f"IF(n >= {LONG}, aggregate(h, 0L, (acc, x) -> IF(x & 64 = 0, acc, acc ^ shiftleft(1L, x & 63))), 0L)")
     found = found.select("k1", "k2", "at", F.struct("n", bits.alias("bits"), hi.alias("hi"), F.expr(f"slice(s, 1, {PREFIX})").alias("prefix")).alias("s"))
     return found.groupBy("k1", "k2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("s").alias("s")).select("k1", "k2", "first", (F.col("first") < F.col("last")).alias("again"), "s.*")
 
@@ -133,7 +134,8 @@ def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of codes (a, b) of an open line and any that is not later, which share enough prefix words at places where lengths, positions and
     parities leave room for the overlap. Two lines that share a code by chance meet under it.
 
-    Words are joined in a few rounds, each a share of all words, so that shuffle files of one round at a time are on disk.
+    Words are joined in a few rounds, each a share of all words, so that shuffle files of one round at a time are on disk. Partitions are kept at
+    the advised size, and skewed ones split, by adaptive execution, so they are hashed and not sorted.
     """
 
     def posts(lines: DataFrame, side: str, turn: int) -> DataFrame:
@@ -148,18 +150,20 @@ def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     earlier = "shiftright(b, 32) <= shiftright(a, 32) AND (a != b OR aplace != bplace OR abits != bbits)"
     open_, near = firsts.join(settled, ["k1", "k2"], "left_anti"), []
     for turn in range(ROUNDS):
-        met = posts(open_, "a", turn).join(posts(firsts, "b", turn), F.expr(f"aword = bword AND {room} AND {earlier}"))
+        met = posts(open_, "a", turn).join(posts(firsts, "b", turn).hint("shuffle_hash"), F.expr(f"aword = bword AND {room} AND {earlier}"))
         near.append(materialise(met.groupBy("a", "b").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need")), "line-near"))
     return reduce(DataFrame.unionByName, near).groupBy("a", "b").agg(F.sum("found").alias("found"), F.max("need").alias("need")).where("found >= need").select("a", "b")
 
 
 def _linked(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
     """k1 and k2 of the lines that have an earlier partner among the pairs of codes, judged by the words themselves."""
-    codes = few_rows(materialise(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct(), "line-codes"), BROADCAST_KEYS)
-    keys = few_rows(materialise(firsts.select("k1", "k2", "first", "code").join(codes, "code", "left_semi"), "line-keys"), BROADCAST_KEYS)
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("k1", F.xxhash64("line"))
-    texts = lines.join(keys.select("k1", F.col("k2").alias("same"), "first", "code"), "k1").where("same = hash(line)").groupBy(F.col("k1"), F.col("same").alias("k2"), "first", "code").agg(F.min("line").alias("line"))
-    words = materialise(texts, "line-texts").withColumn("w", _words(F.col("line")))
+    ends = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
+    keys = firsts.select("k1", "k2", "first", "code").join(few_rows(materialise(ends, "line-codes"), BROADCAST_KEYS), "code", "left_semi")
+    keys = few_rows(materialise(keys.select("k1", "k2", "first", "code", "first.*"), "line-keys"), BROADCAST_KEYS)
+    # each line is taken from where it stands first
+    k = keys.withColumnsRenamed({"id": "own", "t": "hash"})
+    texts = rows.join(k, F.expr("id <=> own AND t = hash")).select("k1", "k2", "first", "code", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
+    words = materialise(texts.distinct(), "line-texts").withColumn("w", _words(F.col("line")))
     a, b = (words.select(F.col("code").alias(side), F.struct("first", "k1", "k2").alias(f"{side}_key"), F.col("w").alias(f"{side}_w")) for side in ("a", "b"))
     alike = a.join(few_rows(pairs, BROADCAST_KEYS), "a").join(b, "b").where("a_key != b_key").where(ALIKE.format("a_w", "b_w"))
     return alike.select(F.greatest("a_key", "b_key").alias("later")).select("later.k1", "later.k2").distinct()

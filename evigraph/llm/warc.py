@@ -169,7 +169,7 @@ def _fields(head: bytes) -> dict:
 def scan(data: bytes) -> Iterator[tuple[dict, bytes, str | None]]:
     """(fields, block, error) of the records in an archive. What cannot be read gives one entry with an error, and reading goes on at the
     next record mark; an archive without bytes gives nothing."""
-    feed = _Feed(_plain(data))
+    feed, told = _Feed(_plain(data)), None
     while feed.has(1):
         at, fields = feed.at, {}
         try:
@@ -182,6 +182,7 @@ def scan(data: bytes) -> Iterator[tuple[dict, bytes, str | None]]:
             if not feed.has(end + 8 + size) or feed.held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
                 raise ValueError("record is cut short")
         except ValueError as broken:
+            told = feed.broken
             yield fields, b"", f"{feed.broken or broken}, at byte {at}"
             found = feed.find(b"\r\n\r\nWARC/", 1)
             feed.take(len(feed.held) if found < 0 else found + 4)
@@ -190,7 +191,7 @@ def scan(data: bytes) -> Iterator[tuple[dict, bytes, str | None]]:
         block = feed.take(size)
         feed.take(4)
         yield fields, block, None
-    if feed.broken:
+    if feed.broken != told:
         yield {}, b"", feed.broken
 
 

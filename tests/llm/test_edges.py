@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from evigraph.llm.substring_dedup import substring_dedup
 from evigraph.llm.url_filter import url_filter
 from evigraph.llm.warc import read_warc, write_warc
 
-CLASH = ("id", "block", "n", "key", "bucket", "label", "host", "path", "words", "bands", "kept", "line", "line_no", "hash", "c", "t", "_text", "_id", "base", "weak", "salt", "labels", "size", "removed", "digest", "payload")
+CLASH = ("id", "block", "n", "key", "bucket", "label", "host", "path", "words", "bands", "kept", "line", "line_no", "hash", "c", "t", "_text", "_id", "base", "weak", "salt", "labels", "size", "removed", "digest", "payload", "own", "node", "code", "text_hash", "counted", "_lang", "_source", "_removed", "_all", "salt", "evigraph_0")
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t "), (4, PASSAGE), (4, PASSAGE), (5, PASSAGE), (6, PASSAGE + " tail"), (7, "a"), (8, "\n".join(["same line of eight words is right here"] * 3)),
@@ -71,18 +73,62 @@ def test_rule_ensemble(spark, docs):
 def test_line_dedup(spark, docs):
     got = by_id(line_marks(docs, "doc_id"))
     assert got[1][0].n_lines == got[2][0].n_lines == got[3][0].n_lines == 0
-    assert got[8][0].removed == [1, 2] and got[4][0].removed == [] and got[5][0].removed == [0]
-    left = remove_lines(frame(spark, TEXTS, ids=False), line_marks(frame(spark, TEXTS, ids=False)))
+    assert got[8][0].removed == [1, 2] and got[4][0].removed == [] and got[5][0].removed == [0] and len(got[4]) == 1 and got[None][0].n_lines == 1
+    assert (got[5][0].n_links, got[6][0].n_links, got[8][0].n_links) == (0, 1, 0)
+    left = remove_lines(docs, line_marks(docs))
+    assert left.columns == docs.columns
     texts = {r.doc_id: r.text for r in left.collect()}
-    assert texts[8] == "same line of eight words is right here" and 5 not in texts and texts[1] is None and texts[2] == ""
-    assert line_marks(frame(spark, [])).collect() == []
+    assert texts[8] == "same line of eight words is right here" and 5 not in texts and 6 not in texts and texts[1] is None and texts[2] == "" and texts[None] == "no id"
+    assert left.count() == len(TEXTS) - 2
+    assert line_marks(frame(spark, [])).collect() == [] and remove_lines(frame(spark, []), line_marks(frame(spark, []))).collect() == []
+
+
+#: Rows without an id, rows that repeat an id with other texts, and rows that repeat id and text.
+ODD = [(None, "first of all\nshared line"), (None, "second of all"), (None, None), (1, "shared line\nown line of one"), (1, "other text\nshared line"), (1, "other text\nshared line"), (2, "own line of one\nlast")]
+
+
+def test_rows_without_an_id_or_with_repeated_ones(spark):
+    rows = frame(spark, ODD)
+    left = [(str(r.doc_id), r.text) for r in remove_lines(rows, line_marks(rows)).collect()]
+    kept = [("1", "other text"), ("1", "other text"), ("1", "own line of one"), ("2", "last"), ("None", None), ("None", "first of all\nshared line"), ("None", "second of all")]
+    assert sorted(map(str, left)) == sorted(map(str, kept))
+    classes = near_duplicates(rows).collect()
+    assert len(classes) == len(ODD) and sum(r.doc_id is None and r.class_id is None for r in classes) == 3
+    texts = [(str(r.doc_id), r.text) for r in keep_one(rows).collect()]
+    assert sorted(map(str, texts)) == sorted(str((str(i), t)) for i, t in set(ODD))
+    removed = {(r.doc_id, r.kept) for r in substring_dedup(rows).collect()}
+    assert (None, "second of all") in removed and len(removed) == len(set(ODD))
+    bench = spark.createDataFrame([(1, "second of all")], "item_id long, text string")
+    assert drop_leaking(rows, bench).count() == len(ODD) - 1
+    passage = frame(spark, [(None, PASSAGE), (None, PASSAGE), (-5, PASSAGE + " x"), (3, PASSAGE)])
+    assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup(passage).collect()) == [("-5", 60), ("3", 60), ("None", 0), ("None", 0)]
+    assert sorted(str(r.class_id) for r in near_duplicates(passage).collect()) == ["-5"] * 4
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from evigraph.llm.shared import materialise
+
+    bench = spark.createDataFrame([(1, "a text that stands nowhere else here")], "item_id long, text string")
+    long_ = "\n".join(" ".join(f"{chr(97 + k % 26)}{k}x{i}" for i in range(30)) for k in range(6))
+    for rows in ([], [*TEXTS, *ODD, (11, long_), (None, long_.upper()), (12, long_ + "\nmore of it")]):
+        docs = frame(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = drop_leaking(docs, bench) if name == "decontamination" else stage(spark, docs, None)
+            assert docs.columns == before.columns, name
+            docs = materialise(docs, "tested")
+        kept = {(r.doc_id, r.text) for r in docs.collect()}
+        assert kept == ({(4, PASSAGE), (11, long_), (None, long_.upper()), (12, "more of it")} if rows else set()) or kept >= {(11, long_)}
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, None)
+        assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
 def test_near_duplicates(spark, docs):
-    got = by_id(near_duplicates(frame(spark, TEXTS, ids=False)))
-    assert {i: r[0].class_id for i, r in got.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9, 10: 10}
-    assert sorted(r.doc_id for r in keep_one(frame(spark, TEXTS, ids=False)).collect()) == [1, 2, 3, 4, 7, 8, 9, 10]
-    assert near_duplicates(frame(spark, [])).collect() == []
+    got = by_id(near_duplicates(docs))
+    assert {i: r[0].class_id for i, r in got.items()} == {None: None, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 9, 10: 10}
+    assert sorted(str(r.doc_id) for r in keep_one(docs).collect()) == sorted(map(str, [None, 1, 2, 3, 4, 7, 8, 9, 10])) and keep_one(docs).columns == docs.columns
+    assert near_duplicates(frame(spark, [])).collect() == [] and keep_one(frame(spark, [])).collect() == []
 
 
 def test_warc(spark, tmp_path):
@@ -94,10 +140,38 @@ def test_warc(spark, tmp_path):
     size = len(big.encode())
     assert got == [("1", "response", None, 0, None), ("2", "response", None, 0, None), ("3", "revisit", "4", size, None), *[("4", "response", None, size, None)] * 2, ("5", "response", None, 999, None), ("6", "response", None, 999, None)]
     write_warc(pages.limit(0), f"file://{tmp_path}/e")
+    (tmp_path / "e" / "none.warc").write_bytes(b"")
+    assert read_warc(spark, f"file://{tmp_path}/e").collect() == []
+    write_warc(spark.createDataFrame([(None, None, "x"), (None, "u", big)], pages.schema.simpleString().replace("struct<", "").replace(">", "").split(",id")[0].replace(":", " ")), f"file://{tmp_path}/n")
+    assert sorted(r.payload_bytes for r in read_warc(spark, f"file://{tmp_path}/n").collect()) == [1, size]
+
+
+def test_warc_that_is_damaged(spark, tmp_path):
+    import gzip
+
+    from evigraph.llm.warc import Settings, records_of
+
+    def record(name, payload=b"hello"):
+        return b"".join(p + b"\r\n\r\n" for p in records_of(name, "u", payload, hashlib.sha1(payload).hexdigest(), None, Settings()))
+
+    good, nocolon = record("1"), record("2").replace(b"X-Payload-Length:", b"X-Payload-Length;")
+    files = {
+        "garbage.warc": b"no archive at all", "cut.warc": good + record("3")[:-9], "middle.warc": record("4") + record("5").replace(b"WARC-Type: ", b"WARC-Type ") + record("6"),
+        "http.warc": nocolon, "length.warc": record("7").replace(b"Content-Length: ", b"Content-Length: x"), "chunk.warc": record("8").replace(b"5\r\nhello", b"z\r\nhello"),
+        "part.warc.gz": gzip.compress(record("9")) + gzip.compress(record("10"))[:-12], "flip.warc.gz": gzip.compress(record("11")) + b"\x1f\x8bxxxxxxxxxxx", "empty.warc": b"", "digest.warc": record("12").replace(b"5\r\nhello", b"5\r\nhallo"),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = read_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted(r.source_id for r in rows if r.error is None) == sorted(["1", "4", "6", "9", "11"])
+    assert all(r.payload == b"hello" for r in rows if r.error is None)
+    said = sorted(r.error.split(",")[0].split(":")[0] for r in rows if r.error)
+    assert said == sorted(["no WARC record", "record is cut short", "header line without a colon", "HTTP header line without a colon", "record without a length", "invalid literal for int() with base 16", "gzip member is cut short", "gzip member is damaged", "wrong digest"])
 
 
 def test_substring_dedup(spark):
-    got = by_id(substring_dedup(frame(spark, TEXTS, ids=False)))
+    got = by_id(substring_dedup(frame(spark, TEXTS)))
+    assert got[None][0].kept == "no id"
     assert got[1][0].n_words == 0 and got[1][0].kept == "" and got[4][0].n_removed == 0
     assert got[5][0].n_removed == 60 and got[6][0].kept == "tail" and got[9][0].n_removed == 0 and got[10][0].n_words == 4
     assert substring_dedup(frame(spark, [])).collect() == []

@@ -264,3 +264,209 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def test_substring_dedup_is_decided_by_the_automata(monkeypatch):
+    """Without what the automata find nothing goes; with a pattern of other words, those words go."""
+    import numpy as np
+    import pyarrow as pa
+
+    from evigraph.llm import substring_dedup as S
+
+    texts = [" ".join(f"w{i}" for i in range(30)), "x " + " ".join(f"w{i}" for i in range(5, 25)) + " y", "z " * 20]
+    settings = S.Settings()
+    block = S.Block(pa.table({"text": texts, "own": [1, 2, 3]}), settings)
+    keys = block.window_keys()[0][:18]
+    first = np.ones(len(keys), dtype=np.int64)
+    drop = S.locate(block, keys, first)
+    assert drop[0] is None and drop[2] is None and drop[1].tolist() == [False, *[True] * 20, False]
+    assert [d is None or d.tolist() for d in S.locate(S.Block(pa.table({"text": texts, "own": [1, 2, 3]}), S.Settings(shard=3)), keys, first)] == [True, drop[1].tolist(), True]
+
+    class Broken:
+        def __init__(self, *args):
+            pass
+
+        def add_word(self, *args):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, text):
+            return iter([(14, 0)] if len(text) > 14 else [])
+
+    monkeypatch.setattr(S.ahocorasick, "Automaton", Broken)
+    assert [int(d.sum()) for d in S.locate(block, keys, first)] == [13, 13, 13]
+
+
+def test_best_fit_against_a_list_of_bins():
+    import random
+
+    draw = random.Random(2)
+    for limit in (1, 3, 50):
+        fast, slow, made = BestFit(64, limit, 0), [], 0  # slow: (free, turn of its last change, bin), all open bins
+        for turn in range(3_000):
+            length = draw.choice((draw.randint(1, 64), draw.randint(1, 9)))
+            fitting = [b for b in slow if b[0] >= length]
+            if fitting:
+                chosen = min(fitting, key=lambda b: (b[0], -b[1]))
+                slow.remove(chosen)
+            else:
+                if len(slow) >= limit:
+                    slow.remove(min(slow, key=lambda b: (b[0], -b[1])))
+                chosen, made = (64, turn, made), made + 1
+            if chosen[0] > length:
+                slow.append((chosen[0] - length, turn, chosen[2]))
+            assert fast.place(length) == (chosen[2], 64 - chosen[0])
+
+
+def test_packing_with_many_tasks(spark):
+    from evigraph.llm.packing import pack
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    few, many = (pack(docs.repartition(n), tokenizer_path()) for n in (2, 48))
+    tokens = few.selectExpr("sum(length)").first()[0]
+    counts = [df.select("sequence_id").distinct().count() for df in (few, many)]
+    assert max(counts) <= 1.03 * tokens / 1024
+    placed = many.selectExpr("sequence_id", "length", "offset + length AS end").groupBy("sequence_id").agg({"length": "sum", "end": "max"})
+    assert placed.where("`sum(length)` > 1024 OR `max(end)` != `sum(length)`").isEmpty()
+    with_ids = pack(docs.limit(20).repartition(3), tokenizer_path(), with_ids=True)
+    assert all(len(r.ids) == r.length and zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r.ids)) == r.ids_crc32 for r in with_ids.collect())
+
+
+def test_rules_as_a_column(spark):
+    import numpy as np
+
+    from evigraph.llm.rule_ensemble import STATISTICS, Settings, fit
+
+    draw = np.random.default_rng(4)
+    x = draw.random((400, len(STATISTICS))).round(2)
+    y = ((x[:, 0] > 0.4) & (x[:, 3] <= 0.7) | (x[:, 5] > 0.9)).astype(float)
+    model = fit(x, y, Settings(leaf=5, steps=300))
+    frame = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], ["i", *STATISTICS])
+    got = [r[0] for r in frame.orderBy("i").select(model.column()).collect()]
+    assert len(model.rules) > 2 and np.allclose(got, model.score(x), atol=1e-12)
+
+
+def test_linked_weak_parts(spark):
+    import random
+
+    from evigraph.llm.secrets import NEEDS, ORDER, ROLES, linked_weak
+
+    draw, rows, scope = random.Random(6), [], 50
+    for doc in range(30):
+        for _ in range(draw.randint(0, 14)):
+            kind = draw.choice(ORDER)
+            start = draw.randrange(0, 700)
+            rows.append((doc, start, ORDER.index(kind), start + draw.randint(1, 160), kind, ROLES[kind], ORDER.index(kind) >= 3))
+    rows = sorted(set(rows))
+    parts = spark.createDataFrame(rows, "doc int, start int, ord int, end int, kind string, role string, weak boolean")
+    got = {tuple(r) for r in linked_weak(parts, ["doc"], scope).collect()}
+    want = set()
+    for doc, start, place, end, kind, role, weak in rows:
+        near = {r[5] for r in rows if r[0] == doc and r[5] != role and r[1] <= end + scope and r[3] >= start - scope}
+        if weak and set(NEEDS[role]) <= near:
+            want.add((doc, start, place, end, kind))
+    assert got == want and want
+
+
+def held_items(text, items):
+    """(item, n_windows) of the items that a text holds, by the definition: all windows of all forms, all alignments."""
+    import regex
+
+    from evigraph.llm import decontaminate as D
+
+    word = regex.compile(D.TOKEN)
+
+    def template(t):
+        tokens, out = word.findall(t), []
+        number = lambda x: "0" <= x < ":"
+        for i, x in enumerate(tokens):
+            before = tokens[i - 1] if i else None
+            if number(x):
+                c = "<number>"
+            elif before and number(before) and x.lower() in D.UNITS:
+                c = "<unit>"
+            elif x in ".?!%$€£°":
+                continue
+            elif before is not None and x[0] != x[0].lower() and before not in ".?!":
+                c = "<name>"
+            else:
+                c = x.lower()
+            d = "<name>" if c[0] != "<" and x[0] != x[0].lower() else c
+            out.append((c, d, x.lower()))
+        return out
+
+    def places(t, width):
+        return range(len(t) - width + 1)
+
+    doc, found = template(text), {}
+    for item, source in items.items():
+        t = template(source)
+        width = min(len(t), D.WIDTH)
+        if not width:
+            continue
+        enough = lambda n: n >= D.LITERALS or (width < D.WIDTH and n >= D.LITERALS - 1)
+        literals = lambda p, f: sum(x[f][0] != "<" for x in t[p : p + width])
+        windows = []
+        for p in places(t, width):
+            strong, sure = enough(literals(p, 0)), enough(min(literals(p, 0), literals(p, 1)))
+            if strong:
+                windows.append((p, 0, strong))
+            if enough(literals(p, 1)) and any(x[0] != x[1] for x in t[p : p + width]):
+                windows.append((p, 1, strong))
+            if not sure or (p == 0 and t[0][2] in D.UNITS):
+                windows.append((p, 2, strong))
+        half = lambda n: min(D.LEAST_WINDOWS, -(-n // 2))
+        need, need_all = half(len({p for p, _, strong in windows if strong})), half(len({p for p, _, _ in windows}))
+        lines = {}
+        for p, form, strong in windows:
+            for q in places(doc, width):
+                for own in (2,) if form == 2 else (0, 1):
+                    if all(a[form] == b[own] for a, b in zip(t[p : p + width], doc[q : q + width], strict=True)):
+                        names = {(a[2], b[2]) for a, b in zip(t[p : p + width], doc[q : q + width], strict=True) if form < 2 and a[form] == "<name>"}
+                        named = form == 1 or (own == 1 and any(x[0] != x[1] for x in doc[q : q + width]))
+                        for use in ("named",) if named else ("literal", "named"):
+                            lines.setdefault((q - p, use), []).append((p, strong, names))
+        held = set()
+        for line in lines.values():
+            pairs = set().union(*(n for _, _, n in line))
+            mixed = {a for a, b in pairs if any(a == x and b != y for x, y in pairs)}
+            held |= {(p, strong) for p, strong, names in line if not any(a in mixed for a, _ in names)}
+        if (need and sum(s for _, s in held) >= need) or (need_all and len(held) >= need_all):
+            found[item] = len(held)
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    import random
+
+    from evigraph.llm.decontaminate import leaks
+
+    draw = random.Random(8)
+    names, units = ["Tom", "Sue", "Bob", "Ann", "Ida"], ["km", "kg", "miles", "%", "days"]
+    plain = "the a of bakery sells loaf rolls well-known don't to school and then gave some apples over road before night came so how many does have left".split()
+
+    def token():
+        return draw.choice([*plain, *plain, draw.choice(names), str(draw.randint(1, 99)), f"{draw.randint(1, 9)} {draw.choice(units)}", draw.choice(["apples.", "left?", "so,", '"of']), "3.5"])
+
+    def changed(text):
+        swap = dict(zip(names, draw.sample(names, len(names)), strict=True))
+        words = [swap.get(w, str(draw.randint(1, 99)) if w.isdecimal() else draw.choice(units) if w in units and draw.random() < 0.5 else w) for w in text.split()]
+        if draw.random() < 0.3:
+            words[draw.randrange(len(words))] = draw.choice(plain)
+        return " ".join(words)
+
+    items = {i: " ".join(token() for _ in range(draw.choice((1, 2, 4, 7, 8, 12, 20, 26)))) for i in range(50)}
+    items |= {50: "12 30 45", 51: "∑ ≠", 52: "Yes", 53: "What is 12 plus 5?", 54: "Solve 3 x 4 = 12 now", 55: "Anna Bea Carl", 56: "km to go", 57: "12 and 5 or 7", 58: "ΟΔΟΣ is 5 km", 59: "3.5"}
+    docs = {}
+    for i in range(160):
+        held = draw.choice(list(items.values()))
+        docs[i] = " ".join([*(token() for _ in range(draw.randint(0, 30))), draw.choice((held, changed(held), "")), *(token() for _ in range(draw.randint(0, 30)))])
+    docs |= {200: "and Solve 3 x 4 = 12 now and more", 201: "Question: What is 12 plus 5? Answer: 17", 202: "see οδος is 7 miles", 203: "", 204: None}
+    got = {}
+    for r in leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.item_id] = r.n_windows
+    want = {i: h for i, t in docs.items() if (h := held_items(t or "", items))}
+    assert {i: {k: n for k, n in h.items() if k != 51} for i, h in got.items()} == want
+    assert 54 in got[200] and 53 in got[201]
