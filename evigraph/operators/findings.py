@@ -87,10 +87,13 @@ def relevant_issues(issues: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def incomplete_reasons(issues: DataFrame, codes: list[str], examples: int = 3) -> DataFrame:
-    """Per code that makes an analysis incomplete: number of issues and the first examples."""
+    """Per code that makes an analysis incomplete: number of issues and the first examples. Counts are summed apart, so the window keeps
+    only the first rows of a code before they are shuffled."""
     order = W.partitionBy("code").orderBy("evidence")
-    ranked = issues.where(F.col("code").isin(codes)).select("code", "evidence").withColumn("place", F.row_number().over(order))
-    return ranked.groupBy("code").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= examples, F.col("evidence")))), ", ").alias("examples"))
+    own = issues.where(F.col("code").isin(codes)).select("code", "evidence")
+    first = own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= examples)
+    shown = first.groupBy("code").agg(F.array_join(F.array_sort(F.collect_list("evidence")), ", ").alias("examples"))
+    return own.groupBy("code").agg(F.count("*").alias("n")).join(shown, "code", "left").select("code", "n", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def blocks(condition: Column) -> Column:

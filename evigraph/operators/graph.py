@@ -14,15 +14,22 @@ from ..functions.scalars import edge_cost
 CONFIDENT_KINDS = ("CALLS", "RENDERS", "DEFINES")
 CONFIDENT = ("exact", "high", "declared")
 HUB = 60
+#: What a walk has seen is a union of its rounds, written as one table every so many rounds.
+RENEW = 8
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a small iterate to the shared checkpoint folder and read it back, so that plans stay short and lost executors do no harm."""
+    """Write an iterate to the shared checkpoint folder and read it back, so that plans stay short and lost executors do no harm.
+
+    Without a folder set, one of this machine serves a local master; on a cluster that would lose files, so it is an error there.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not found.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evigraph-walk-"))
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base.rstrip('/')}/evigraph-walk/{uuid.uuid4().hex}"
@@ -110,34 +117,35 @@ def confident(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin(*CONFIDENT_KINDS) & F.col("resolution").isin(*CONFIDENT))
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, limit: int = 100) -> DataFrame:
-    """(start, id, hops) of all nodes that a walk along the edges reaches, the start included. Without ``depth`` until nothing new is found."""
-    steps = edges.select("src", "dst").distinct()
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, id, hops) of all nodes that a walk along the edges reaches, the start included. Without ``depth`` until nothing new is found,
+    which the finite number of nodes ensures. The steps are written once, what has been seen is written anew every few rounds."""
+    steps = cut(edges.select("src", "dst").distinct())
     front = starts.select(F.col("id").alias("start"), "id").distinct().withColumn("hops", F.lit(0))
     seen, hop = front, 0
     while depth is None or hop < depth:
         hop += 1
-        if hop > limit:
-            raise RuntimeError(f"no end of the closure within {limit} rounds")
         new = front.join(steps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
         front = cut(new.withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = cut(seen) if hop % RENEW == 0 else seen
     return seen
 
 
-def closure(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
-    """Nodes that can be reached from any start, the starts included."""
-    steps = edges.select("src", "dst").distinct()
-    front = starts.select("id").distinct()
-    seen = front
-    for _ in range(limit):
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Nodes that can be reached from any start, the starts included. Rounds go on until nothing new is found, however long the chains."""
+    steps = cut(edges.select("src", "dst").distinct())
+    front = cut(starts.select("id").distinct())
+    seen, hop = front, 0
+    while True:
+        hop += 1
         front = cut(front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    raise RuntimeError(f"no end of the closure within {limit} rounds")
+        seen = cut(seen) if hop % RENEW == 0 else seen
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame, starts: DataFrame, unknown: bool = False) -> DataFrame:

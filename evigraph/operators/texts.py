@@ -48,10 +48,10 @@ def pattern_scan(files: DataFrame, patterns: list[tuple[str, str]], cap: int = 2
     """(rule, path, line): lines that match a rule's pattern; beyond ``cap`` per rule one row ``<rule>-capped`` says so. Longer lines are passed over."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.length("t") <= longest)
     hits = lines.select("path", "line", F.explode(F.filter(F.array(*[F.when(F.col("t").rlike(p), F.lit(r)) for r, p in patterns]), lambda r: r.isNotNull())).alias("rule"))
-    ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("rule").orderBy("path", "line")))
-    kept = ranked.where(F.col("place") <= cap).select("rule", "path", (F.col("line") + 1).cast("long").alias("line"))
-    capped = hits.groupBy("rule").agg(F.count("*").alias("n")).where(F.col("n") > cap).select(F.concat("rule", F.lit("-capped")).alias("rule"), F.lit(None).cast(files.schema["path"].dataType).alias("path"), F.lit(None).cast("long").alias("line"))
-    return kept.unionByName(capped)
+    # one row beyond the cap tells that there are more, so lines are matched once and few rows are shuffled
+    ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("rule").orderBy("path", "line"))).where(F.col("place") <= cap + 1)
+    shown = F.col("place") <= cap
+    return ranked.select(F.when(shown, F.col("rule")).otherwise(F.concat("rule", F.lit("-capped"))).alias("rule"), F.when(shown, F.col("path")).alias("path"), F.when(shown, (F.col("line") + 1).cast("long")).alias("line"))
 
 
 def duplicates(rows: DataFrame, fingerprint: str, path: str) -> DataFrame:

@@ -28,7 +28,9 @@ def finding_score_priority(spark, sf):
 
 
 def finding_fingerprint(spark, sf):
-    return _findings(spark, sf).groupBy("fp", "rule", "file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(magnitudes(F.col("message")))))), ",").alias("numbers"))
+    found = _findings(spark, sf).select("event_id", "fp", "rule", "file", F.posexplode_outer(magnitudes(F.col("message"))).alias("i", "number"))
+    # distinct numbers are combined before the shuffle, so a popular fingerprint costs no more
+    return found.groupBy("fp", "rule", "file").agg(F.count_if(F.expr("i IS NULL OR i = 0")).alias("n"), F.array_join(F.array_sort(F.collect_set("number")), ",").alias("numbers"))
 
 
 def finding_occurrence(spark, sf):

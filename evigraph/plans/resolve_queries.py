@@ -92,10 +92,69 @@ def lookup_cascade(spark, sf):
     return R.lookup_cascade(p, wanted)
 
 
-QUERIES = {f.__name__: f for f in (endpoint_match, method_mismatch, endpoint_status, feature_groups, route_normalise, name_call_resolution, import_longest_prefix, unknown_columns, lookup_cascade)}
+def _tier_calls(spark, sf):
+    """Calls made of pages: some go on at run time, some stand behind a configured origin, some have runtime segments."""
+    r = page_routes(spark, sf).withColumn("s", route_segments(normalise_route(F.col("path"))))
+    last = F.element_at("s", -1)
+    kinds = F.expr("CAST(page_id % 6 AS int)")
+    segments = F.when(kinds == 1, F.array(F.get("s", F.lit(0)), F.concat(F.left(last, F.lit(1)), F.lit(".")))).when(kinds == 2, F.array(F.lit("{dynamic}"), last)).when(kinds == 3, F.array(F.get("s", F.lit(0)), F.lit("{dynamic}"))).when(kinds == 4, F.array(F.lit("items"), F.lit("{dynamic}"))).when(kinds == 5, F.array(F.lit("files"), F.lit("a"), last)).otherwise(F.col("s"))
+    return r.select(F.col("page_id").alias("call_id"), "method", segments.alias("segments"), (kinds == 1).alias("open_tail"), (kinds == 4).alias("open_head"))
+
+
+#: Handlers of the wider query: id, method, route, whether the last segment takes all that follows.
+TIER_HANDLERS = (
+    (1, "GET", "/en/{id}", False), (2, "POST", "/fr/{id}", False), (3, "ANY", "/de/export", False), (4, "GET", "/es/{id}", False), (5, "GET", "/{lang}/825", False), (6, "ANY", "/api/items/{id}", False),
+    (7, "ANY", "/v2/api/items/all", False), (8, "ANY", "/files/{path}", True), (9, "GET", "/en/1.csv", False), (10, "GET", "/en/2.csv", False), (11, "ANY", "/fr/a", False), (12, "ANY", "/fr/b", False), (13, "ANY", "/fr/7.x", False),
+)
+
+
+def _tier_handlers(spark):
+    rows = ", ".join(f"({i}, '{m}', '{r}', {str(c).lower()})" for i, m, r, c in TIER_HANDLERS)
+    h = spark.sql(f"SELECT * FROM VALUES {rows} AS h(handler_id, h_method, route, catch_all)")
+    return h.select("handler_id", "h_method", route_segments(normalise_route(F.col("route"))).alias("h_segments"), "catch_all")
+
+
+def endpoint_match_tiers(spark, sf):
+    return R.match_endpoints(_tier_calls(spark, sf), _tier_handlers(spark), 2)
+
+
+def endpoints_too_open(spark, sf):
+    return R.too_open(_tier_calls(spark, sf), _tier_handlers(spark), 2)
+
+
+def endpoint_gaps(spark, sf):
+    """Shapes of pages as endpoints: which are called without a handler, and which have one that nothing calls."""
+    r = page_routes(spark, sf).select("page_id", F.concat_ws(" ", "method", normalise_route(F.col("path"))).alias("id"), "method")
+    endpoints = r.groupBy("id", "method").agg(F.max(F.col("page_id") % 4 == 1).alias("handled"))
+    calls = r.where("page_id % 3 != 0").select("id", F.col("page_id").cast("string").alias("site"), (F.col("page_id") % 5 == 0).alias("dead"))
+    others = r.where("page_id % 7 = 2").groupBy("id").agg(F.lit("PUT").alias("methods"))
+    return R.endpoint_gaps(endpoints, calls, r.where("page_id % 11 = 0").select("id"), others)
+
+
+QUERIES = {f.__name__: f for f in (endpoint_match_tiers, endpoints_too_open, endpoint_gaps, endpoint_match, method_mismatch, endpoint_status, feature_groups, route_normalise, name_call_resolution, import_longest_prefix, unknown_columns, lookup_cascade)}
 
 _GROUP = "coalesce(list_filter(list_transform(list_filter(string_split(path, '/'), lambda x: x != '' AND lower(x) != 'api' AND NOT regexp_matches(x, '^[vV][0-9]+$')), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), lambda x: x != '')[1], 'home')"
+_TIER_ROWS = ", ".join(f"({i}, '{m}', [{', '.join(repr('{dynamic}' if x.startswith('{') else x) for x in r.strip('/').split('/'))}], {c})" for i, m, r, c in TIER_HANDLERS)
+_TIERS = f"""WITH {PAGE_ROUTES_SQL}, r AS (SELECT page_id, method, list_filter(string_split({_NORMAL}, '/'), lambda x: x != '') AS s FROM routes),
+c AS (SELECT page_id AS call_id, method, CASE page_id % 6 WHEN 1 THEN [s[1], left(s[-1], 1) || '.'] WHEN 2 THEN ['{{dynamic}}', s[-1]] WHEN 3 THEN [s[1], '{{dynamic}}'] WHEN 4 THEN ['items', '{{dynamic}}'] WHEN 5 THEN ['files', 'a', s[-1]] ELSE s END AS s, page_id % 6 = 1 AS tail, page_id % 6 = 4 AS head FROM r),
+h(handler_id, m, hs, every) AS (VALUES {_TIER_ROWS}),
+k AS (SELECT *, hs[skip + 1:] AS t FROM (SELECT *, unnest(range(0, len(hs))) AS skip FROM h)),
+met AS (SELECT call_id, handler_id, tail, skip, s, t, every, list_has_any(s, ['{{dynamic}}']) AS runtime FROM c JOIN k ON (skip = 0 OR (head AND len(list_filter(s, lambda x: x != '{{dynamic}}')) > 0)) AND (m = 'ANY' OR m = method OR (method = 'HEAD' AND m = 'GET'))),
+fit AS (SELECT *, CASE
+    WHEN every AND t[-1] = '{{dynamic}}' THEN (len(s) > len(t) - 1 OR (tail AND len(s) = len(t) - 1)) AND {{0}}(list_transform(range(1, len(t)), lambda i: s[i] = t[i] OR t[i] = '{{dynamic}}'))
+    WHEN tail THEN len(t) >= len(s) AND {{0}}(list_transform(range(1, len(s)), lambda i: s[i] = t[i] OR t[i] = '{{dynamic}}')) AND (t[len(s)] IN (s[-1], '{{dynamic}}') OR (starts_with(t[len(s)], s[-1]) AND (ends_with(s[-1], '.') OR substr(t[len(s)], length(s[-1]) + 1, 1) = '.')))
+    ELSE len(s) = len(t) AND {{0}}(list_transform(range(1, len(s) + 1), lambda i: s[i] = t[i] OR t[i] = '{{dynamic}}')) END AS strict,
+  NOT tail AND runtime AND CASE WHEN every AND t[-1] = '{{dynamic}}' THEN len(s) > len(t) - 1 AND {{0}}(list_transform(range(1, len(t)), lambda i: s[i] = t[i] OR t[i] = '{{dynamic}}' OR s[i] = '{{dynamic}}'))
+    ELSE len(s) = len(t) AND {{0}}(list_transform(range(1, len(s) + 1), lambda i: s[i] = t[i] OR t[i] = '{{dynamic}}' OR s[i] = '{{dynamic}}')) END AS loose FROM met),
+tiers AS (SELECT call_id, handler_id, tail, min(CASE WHEN skip = 0 AND strict THEN 0 WHEN skip = 0 AND loose THEN 1 WHEN skip > 0 AND strict THEN 2 END) AS tier FROM fit GROUP BY ALL),
+best AS (SELECT *, count(*) OVER (PARTITION BY call_id) AS n FROM (SELECT * FROM tiers WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY call_id)))""".replace("{0}", "list_bool_and").replace("list_transform(range(1, ", "list_transform(range(0, ").replace("lambda i: ", "lambda i: i = 0 OR ")  # never of an empty list
 ORACLES = {
+    "endpoint_match_tiers": f"{_TIERS} SELECT call_id, handler_id, CASE WHEN tier = 2 OR ((tier = 1 OR tail) AND n > 1) THEN 'ambiguous' ELSE 'probable' END AS resolution FROM best WHERE n <= 2 OR NOT (tier = 1 OR tail)",
+    "endpoints_too_open": f"{_TIERS} SELECT DISTINCT call_id, n FROM best WHERE n > 2 AND (tier = 1 OR tail)",
+    "endpoint_gaps": f"""WITH {PAGE_ROUTES_SQL}, r AS (SELECT page_id, method, method || ' ' || {_NORMAL} AS id FROM routes), e AS (SELECT id, method, bool_or(page_id % 4 = 1) AS handled FROM r GROUP BY ALL),
+c AS (SELECT id, bool_and(page_id % 5 = 0) AS dead FROM r WHERE page_id % 3 != 0 GROUP BY id),
+g AS (SELECT e.id, handled, c.id IS NOT NULL AS called, dead, NOT handled AND c.id IS NOT NULL AND method != 'OPTIONS' AND e.id NOT IN (SELECT id FROM r WHERE page_id % 11 = 0) AS gap, e.id IN (SELECT id FROM r WHERE page_id % 7 = 2) AS other FROM e LEFT JOIN c USING (id))
+SELECT id, CASE WHEN gap AND other THEN 'API_METHOD_MISMATCH' WHEN gap THEN 'API_CALL_WITHOUT_HANDLER' ELSE 'API_HANDLER_WITHOUT_STATIC_CALLER' END AS code, CASE WHEN gap AND NOT dead THEN 'warning' ELSE 'info' END AS severity, CASE WHEN gap AND other THEN 'PUT' END AS methods FROM g WHERE gap OR (handled AND NOT called)""",
     "endpoint_match": f"{_CALLS_SQL} SELECT call_id, handler_id, 'probable' AS resolution FROM met WHERE {_FIT}",
     "method_mismatch": f"{_CALLS_SQL} SELECT call_id, array_to_string(list_sort(list_distinct(list(h_method))), ',') AS methods FROM met GROUP BY call_id HAVING NOT bool_or({_FIT})",
     "endpoint_status": f"""WITH {PAGE_ROUTES_SQL}, r AS (SELECT *, {_NORMAL} AS id FROM routes), e AS (SELECT id, bool_or(page_id % 5 = 0) AS served, bool_or(page_id % 11 = 0) AS open FROM r GROUP BY id),

@@ -28,7 +28,7 @@ def structural_duplicates(spark, sf):
 
 
 def store_signature_clusters(spark, sf):
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part").where("p_size <= 4"), F.expr("l_partkey = p_partkey"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
     return T.store_clusters(lines.select(F.col("l_orderkey").alias("key"), F.col("p_brand").alias("store")))
 
 
@@ -51,7 +51,7 @@ def redact_snippets(spark, sf):
 
 
 def token_inverted_index(spark, sf):
-    return T.inverted_index(_docs(spark, sf)).where("files >= 5")
+    return T.inverted_index(_docs(spark, sf))
 
 
 def callers_blast_radius(spark, sf):
@@ -177,7 +177,7 @@ _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]
 _RULES = " UNION ALL ".join(f"SELECT '{r}' AS rule, path, n + 1 AS line FROM lines WHERE length(line) <= 2000 AND regexp_matches(line, '{p}')" for r, p in PATTERNS)
 ORACLES = {
     "structural_duplicates": "WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 110) SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS b FROM d QUALIFY b IS NOT NULL",
-    "store_signature_clusters": """WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(p_brand))) AS s FROM lineitem JOIN part ON l_partkey = p_partkey AND p_size <= 4 GROUP BY 1)
+    "store_signature_clusters": """WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(p_brand))) AS s FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)
 SELECT array_to_string(s, ',') AS stores, count(*) AS n FROM s WHERE len(s) >= 2 GROUP BY s HAVING count(*) > 1""",
     "similar_score": f"SELECT doc_id AS key, len(list_intersect({_BAG.format('text')}, {_BAG.format(chr(39) + LIKE + chr(39))})) AS score FROM documents WHERE score >= 3 ORDER BY score DESC, key LIMIT 8",
     "seed_search": f"""WITH p AS (SELECT 'part:' || p_partkey AS id, p_name AS label, lower(p_name) AS l, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(p_brand || '/' || p_type, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: w != ''), ' ') AS p FROM part),
@@ -190,7 +190,7 @@ h AS (SELECT path, n, line, contains(lower(line), 'license') OR contains(lower(l
 s AS (SELECT path, n, hit, w, row_number() OVER (PARTITION BY path, hit ORDER BY n) AS place, left(regexp_replace(trim(line, ' '), '(?i)(password|secret|token|api[_-]?key)\\s*[:=]\\s*\\S+', '\\1=<redacted>', 'g'), 220) AS t FROM h WHERE hit OR w > 0)
 SELECT path, round(least(36, 8 * count(*) FILTER (WHERE hit)) + least(12, 0.2 * sum(w)), 2)::DOUBLE AS score, length(coalesce(string_agg(t, ' / ' ORDER BY n) FILTER (WHERE hit AND place <= 3), '')) AS shown FROM s GROUP BY path""",
     "redact_snippets": f"WITH {_LINES} SELECT path, n, left(regexp_replace(line, '(?i)(password|secret|token|api[_-]?key)\\s*[:=]\\s*\\S+', '\\1=<redacted>', 'g'), 220) AS snippet FROM lines WHERE regexp_matches(lower(line), '(password|secret|token|api[_-]?key)\\s*[:=]')",
-    "token_inverted_index": "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS token FROM documents) SELECT token, count(*) AS files FROM t GROUP BY token HAVING count(*) >= 5",
+    "token_inverted_index": "WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{3,}'))) AS token FROM documents) SELECT token, count(*) AS files FROM t GROUP BY token",
     "callers_blast_radius": """WITH h AS (SELECT p_name, count(*) AS homonyms FROM part GROUP BY 1), c AS (SELECT p_name, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), n AS (SELECT p_name, count(*) AS n FROM c GROUP BY 1)
 SELECT p_partkey AS key, homonyms, coalesce(n, 0) - CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.p_name = part.p_name AND l_suppkey = p_partkey) THEN 1 ELSE 0 END AS blast_radius FROM part JOIN h USING (p_name) LEFT JOIN n USING (p_name)""",
     "owner_violations": """SELECT 'nation:' || s_nationkey AS concept, s_name AS path, CASE WHEN s_suppkey % 6 = 0 THEN 'known' WHEN s_suppkey % 2 = 0 THEN 'resolved' ELSE 'new' END AS state FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0""",

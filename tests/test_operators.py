@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.extract import python_facts, sql_facts
 from evigraph.extract.markers import marker_issues, markers
-from evigraph.functions.scalars import camel_words, magnitudes, normalise_route, redact, score_table
+from evigraph.functions.scalars import camel_words, is_test_code, is_test_path, magnitudes, normalise_route, redact, score_table, topic_words
 from evigraph.operators import findings as O
 from evigraph.operators import graph as G
 from evigraph.operators import resolve as R
@@ -33,6 +33,36 @@ def test_scalars(spark):
     assert one(spark, "took 12 s, 3 of 148, 0.41, found 7", magnitudes) == [3, 7]
     assert one(spark, "//a/${x}/{id}//", normalise_route) == "/a/{dynamic}/{dynamic}"
     assert one(spark, "/", normalise_route) == "/"
+    for route, shape in (("a/{x}-{y}/", "a/{dynamic}-{dynamic}"), ("", "/"), ("/a/{}", "/a/{}"), ("/p/${a/b}/$x", "/p/{dynamic}/$x"), ("/open/{x", "/open/{x")):
+        assert one(spark, route, normalise_route) == shape
+    for message, counts in (("1.2.3 and .5 of 9/8, 12ms 12 minutely v7 x", [12, 7]), ("no number", []), ("2 minutes 3 min 4 mints 5. 6", [4, 5, 6]), ("10 of 20", [10])):
+        assert one(spark, message, magnitudes) == counts
+    assert one(spark, "getHTTPServer for fooBar_baz and a", topic_words) == ["httpserver", "foo", "bar", "baz"]
+
+
+def test_test_paths(spark):
+    tests = ["a/tests/x.py", "test_a.py", "b/a_test.py", "conftest.py", "x.spec.mjs", "x.test.tsx", "x.spec.cts", "Cypress/a.ts", "e2e/a.md"]
+    fixtures = ["spec/a.yaml", "x/__fixtures__/a.json", "testdata/a.sql"]
+    none = ["src/app.py", "tests.py", "contest.py", "a/test", "latest/x.py", "x.spec.py", "spec.ts"]
+    for path in tests:
+        assert one(spark, path, is_test_path) and one(spark, path, is_test_code), path
+    for path in fixtures:
+        assert one(spark, path, is_test_path) and not one(spark, path, is_test_code), path
+    assert one(spark, "a.cy.ts", is_test_code) and not one(spark, "a.cy.ts", is_test_path)
+    for path in none:
+        assert not one(spark, path, is_test_path) and not one(spark, path, is_test_code), path
+
+
+def test_chains_longer_than_a_hundred(spark):
+    edges = spark.range(130).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert G.closure(edges, spark.range(1)).count() == 131
+
+
+def test_lookup_by_parts_of_keys(spark):
+    records = spark.createDataFrame([("Brand#4::2", "1", "a"), ("brand#44", "2", "b"), ("x4", "3", "c")], "key string, source_id string, name string")
+    wanted = spark.createDataFrame([("D#4",), ("4",), ("44",), ("zzz",), ("x4",)], "q string")
+    got = {(r.q, r.key, r.tier) for r in R.lookup_cascade(records, wanted).collect()}
+    assert got == {("D#4", "Brand#4::2", 3), ("D#4", "brand#44", 3), ("4", "Brand#4::2", 3), ("4", "brand#44", 3), ("4", "x4", 3), ("44", "brand#44", 3), ("x4", "x4", 0)}
     assert one(spark, "api-key: abc x", redact) == "api-key=<redacted> x"
 
 
@@ -131,3 +161,8 @@ def test_markers(spark):
     assert values(found, "feature", "field", "value") == [("f", "layer", "cellar"), ("f", "related", "a.py, b.py")]
     tracked = spark.createDataFrame([("a.py",)], "path string")
     assert values(marker_issues(found, tracked), "issue") == [("dangling-related",), ("unknown-layer",)]
+
+
+def test_blocking_calls_by_any_name():
+    text = "from time import sleep as nap\nimport requests as r, os\nasync def f():\n    nap(1)\n    r.get('u')\n    os.sleep(1)\ndef g():\n    nap(1)\n"
+    assert [(f[1], f[2]) for f in python_facts.facts(text) if f[0] == "blocking-call"] == [("time.sleep", 4), ("requests.get", 5)]

@@ -30,6 +30,27 @@ def test_js_facts(spark):
     }
 
 
+def test_js_tokens_and_facts():
+    from evigraph.extract.js_facts import facts
+    from evigraph.extract.js_tokens import tokens
+
+    text = """// function no() {}
+/* class No {} */ const s = "function no2() {"; const re = /[/"']function x/g;
+export default class A extends B { method() { return this.function } }
+export { a as b, c } from "./m"; export * from './n';
+import type { T } from "t"; import("./lazy"); const q = require('q');
+const g = async <T>(x: T): Promise<T> => x, h = 1;
+let k: Handler = async x => client.get<Item[]>("/k");
+var v = x / y; function* gen() {}
+""" + "const long = () => 0;" + " " * 5000 + "function far() { useSWR(`/f/${nested(`${1}`)}`) }"
+    assert [t.kind for t in tokens("a /b/ c")] == ["word", "sign", "word", "sign", "word"]
+    got = {(f, n, d) for f, n, _, d in facts(text)}
+    assert got == {
+        ("class", "A", ""), ("export", "A", ""), ("export", "b", ""), ("export", "c", ""), ("import", "./m", ""), ("import", "./n", ""), ("import", "t", ""), ("import", "./lazy", ""), ("import", "q", ""),
+        ("function", "g", ""), ("function", "k", ""), ("request", "get", "/k"), ("function", "gen", ""), ("function", "long", ""), ("function", "far", ""), ("request", "useSWR", "/f/${nested(`${1}`)}"),
+    }
+
+
 def test_file_routes(spark):
     paths = ["src/app/(shop)/orders/[id]/page.tsx", "app/api/orders/route.ts", "app/docs/[[...slug]]/page.tsx", "pages/index.tsx", "pages/api/x.ts", "pages/_app.tsx", "lib/app/x.ts", "app/page.tsx"]
     got = {(r.path, r.kind, r.route, r.catch_all) for r in file_routes(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
