@@ -26,12 +26,12 @@ CELLS = 1 << 18
 #: Up to so many keys of lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: A line looks for pivots by so many of its rarest words and meets so many of the lines that it shares most of them with.
-RAREST, PIVOTS = 5, 3
+RAREST, PIVOTS = 6, 3
 #: Lines with a word that 2^HOT lines or more have look for pivots in parts of about that size.
 HOT = 16
 
 #: Prefix words are joined in so many rounds.
-ROUNDS = 2
+ROUNDS = 3
 
 #: Words that alike sets must share within their prefixes. Up to 250 words parities tell most pairs apart; larger sets must share more.
 SHARED = "IF({0} >= 250, 5, 1)"
@@ -72,11 +72,10 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _levels(lines: DataFrame) -> Column:
-    """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents,
-    in the bits from 31 on."""
+    """A number for each cell, as one literal array: three times the binary logarithm of the number of lines' words in it, over all documents."""
     cells = lines.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(CELLS - 1).cast("long").alias("cell")).agg(F.count("*").alias("n"))
     dense = lines.sparkSession.range(0, CELLS, 1, 1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("n")).unionByName(cells)
-    dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("shiftleft(IF(n = 0, 0L, 1 + floor(3 * log2(n))), 31)"))
+    dense = dense.groupBy("cell").agg(F.sum("n").alias("n")).withColumn("level", F.expr("IF(n = 0, 0L, 1 + floor(3 * log2(n)))"))
     text = dense.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels"))
     return F.split(F.lit(text.first()["levels"]), ",").cast("array<bigint>")  # CELLS numbers, whatever the corpus
 
@@ -89,7 +88,7 @@ def _sets(lines: DataFrame) -> DataFrame:
     """
     levels = _levels(lines)
     # without nulls, numbers are sorted as such
-    number = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(CELLS - 1)) + h, F.lit(0).cast("long"))
+    number = lambda h: F.coalesce(F.shiftleft(F.get(levels, h.bitwiseAND(CELLS - 1)), 31) + h, F.lit(0).cast("long"))
     found = lines.where("k1 IS NOT NULL").select("k1", "k2", F.struct("id", "t", "line_no").alias("at"), F.size("h").alias("n"), "h", F.sort_array(F.transform("h", number)).alias("s"))
     bits = F.expr("aggregate(h, 0L, (acc, x) -> acc ^ shiftleft(1L, x & 63))")
     hi = F.expr(f"IF(n >= {LONG}, aggregate(h, 0L, (acc, x) -> IF(x & 64 = 0, acc, acc ^ shiftleft(1L, x & 63))), 0L)")
@@ -134,8 +133,7 @@ def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     """Pairs of codes (a, b) of an open line and any that is not later, which share enough prefix words at places where lengths, positions and
     parities leave room for the overlap. Two lines that share a code by chance meet under it.
 
-    Words are joined in a few rounds, each a share of all words, so that shuffle files of one round at a time are on disk. Partitions are kept at
-    the advised size, and skewed ones split, by adaptive execution, so they are hashed and not sorted.
+    Words are joined in a few rounds, each a share of all words, so that shuffle files of one round at a time are on disk.
     """
 
     def posts(lines: DataFrame, side: str, turn: int) -> DataFrame:
@@ -150,7 +148,7 @@ def _candidates(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     earlier = "shiftright(b, 32) <= shiftright(a, 32) AND (a != b OR aplace != bplace OR abits != bbits)"
     open_, near = firsts.join(settled, ["k1", "k2"], "left_anti"), []
     for turn in range(ROUNDS):
-        met = posts(open_, "a", turn).join(posts(firsts, "b", turn).hint("shuffle_hash"), F.expr(f"aword = bword AND {room} AND {earlier}"))
+        met = posts(open_, "a", turn).join(posts(firsts, "b", turn), F.expr(f"aword = bword AND {room} AND {earlier}"))
         near.append(materialise(met.groupBy("a", "b").agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need")), "line-near"))
     return reduce(DataFrame.unionByName, near).groupBy("a", "b").agg(F.sum("found").alias("found"), F.max("need").alias("need")).where("found >= need").select("a", "b")
 
