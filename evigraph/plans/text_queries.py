@@ -13,6 +13,7 @@ from ..operators import governance as V
 from ..operators import graph as G
 from ..operators import texts as T
 from ..sources.corpus import fk_edges, table
+from ..sources.sarif import read_sarif
 
 PATTERNS = (("license", r"[Ll]icense"), ("credential", r"(password|token) ?= ?"), ("symbols", r"[#$%&*]{3}"), ("mail", r"@mail[0-9]+\.example\.com"))
 LIKE = "tion thing erly that was are not their ering reer anre thent"
@@ -95,12 +96,22 @@ def owner_choice(spark, sf):
 
 
 def sarif_flatten(spark, sf):
-    """Results of a run per event type, whose rule is given by id or by index."""
-    e = table(spark, sf, "events")
-    runs = e.groupBy(F.col("event_type").alias("tool"), F.col("user_id").alias("file")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.from_json("props", "k int")["k"].alias("k")))).alias("results"))
-    flat = runs.select("tool", "file", F.posexplode("results").alias("i", "r"))
-    level = F.when(F.col("r.k") >= 90, "error").when(F.col("r.k") >= 40, "warning").otherwise("note")
-    return flat.groupBy("tool", F.concat(F.lit("rule-"), F.col("r.k").cast("string")).alias("rule"), level.alias("level")).agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last"))
+    """Events written as SARIF documents, one for each user and type, and read back: rules by id or index, levels by result or rule."""
+    k = F.from_json("props", "k int")["k"]
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id", k.alias("k"))
+    up = F.when(F.col("event_id") % 10 == 0, "../").otherwise("src/")
+    where = F.array(F.struct(F.struct(F.struct(F.concat(up, F.col("user_id").cast("string"), F.lit(".py")).alias("uri")).alias("artifactLocation"), F.struct(F.lit(3).alias("startLine")).alias("region")).alias("physicalLocation")))
+    by_index = F.col("event_id") % 2 == 1
+    result = F.struct(
+        F.when(~by_index, F.concat(F.lit("rule-"), F.col("k").cast("string"))).alias("ruleId"), F.when(by_index, F.col("k")).alias("ruleIndex"), F.when(F.col("event_id") % 3 == 0, "none").alias("level"),
+        F.struct(F.col("event_type").alias("text")).alias("message"), where.alias("locations"),
+    )
+    level = lambda i: F.when(i >= 90, "error").when(i >= 40, "warning").otherwise("note")
+    rules = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(F.concat(F.lit("rule-"), i.cast("string")).alias("id"), F.struct(level(i).alias("level")).alias("defaultConfiguration")))
+    docs = e.groupBy("event_type", "user_id").agg(F.collect_list(result).alias("results"))
+    run = F.struct(F.struct(F.struct(F.col("event_type").alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), "results")
+    found = read_sarif(docs.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value")))
+    return found.groupBy("tool", "rule", "severity", "error").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
 
 
 def sql_shape_gate(spark, sf):
@@ -205,8 +216,9 @@ SELECT item, 'left' AS side FROM c WHERE item NOT IN (SELECT item FROM s) UNION
     "sibling_contrast": """WITH p AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS checking FROM orders GROUP BY 1)
 SELECT o_orderkey, o_custkey, checking FROM orders JOIN p USING (o_custkey) WHERE o_orderpriority != '1-URGENT' AND checking > 0""",
     "owner_choice": "SELECT s_nationkey, arg_min(s_name, (s_suppkey % 3 != 0, s_suppkey % 4, -floor(s_acctbal / 1000), s_name)) AS owner, max(floor(s_acctbal / 1000))::BIGINT AS most FROM supplier GROUP BY s_nationkey",
-    "sarif_flatten": """WITH e AS (SELECT event_type AS tool, user_id, (props ->> '$.k')::INT AS k, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS i FROM events)
-SELECT tool, 'rule-' || k AS rule, CASE WHEN k >= 90 THEN 'error' WHEN k >= 40 THEN 'warning' ELSE 'note' END AS level, count(*) AS n, max(i) AS last FROM e GROUP BY ALL""",
+    "sarif_flatten": """WITH e AS (SELECT event_id, event_type AS tool, user_id, (props ->> '$.k')::INT AS k FROM events)
+SELECT tool, 'rule-' || k AS rule, CASE WHEN event_id % 3 = 0 THEN 'info' WHEN k >= 90 THEN 'high' WHEN k >= 40 THEN 'medium' ELSE 'low' END AS severity, CASE WHEN event_id % 10 = 0 THEN 'location outside the tree' END AS error, count(*) AS n,
+       count(DISTINCT user_id) AS files FROM e GROUP BY ALL""",
     "sql_shape_gate": """WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN 'select * from ' WHEN 1 THEN 'Update set ' ELSE '' END || text AS t FROM conversations)
 SELECT conv_id, turn, regexp_matches(t, '(?is)^\\s*(select|insert\\s+into|update|delete\\s+from|with|create|alter|drop|merge\\s+into)\\b') AND regexp_matches(t, '(?is)\\b(from|into|set|table|values|view|index)\\b') AS is_sql FROM t""",
     "camel_tokens": """WITH s AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: lower(w)) AS w, lower(p_type) AS t FROM part)

@@ -23,38 +23,37 @@ def skipped(path: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
 def source_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, suffixes: tuple[str, ...] = SUFFIXES, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """path, text, status, size, language of the files under ``root``. The text is NULL unless the status is ``read``.
 
-    Empty files have no row, as Spark plans no split for them. The length is known before the content is, so files over ``max_bytes`` are never loaded.
+    Lengths are read first, without contents. Contents are then read of the files up to ``max_bytes`` alone, by a filter that the reader itself applies,
+    so larger ones are never loaded. Files without a byte have an empty text.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    names = files.load(base).select(F.regexp_extract("path", rf"(?:^|/)\Q{base.split('/')[-1]}\E/(.*)$", 1).alias("path"), "length", "content")
-    names = names.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).where(~skipped(F.col("path"), excluded))
-    content = F.when(F.col("length") <= max_bytes, F.col("content"))
-    text = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
-    binary = F.contains(content, F.lit(bytearray(b"\x00")))
-    status = F.when(F.col("length") > max_bytes, "too_large").when(binary, "binary").when(text.isNull(), "invalid_utf8").otherwise("read")
-    rows = names.select("path", F.when(status == "read", text).alias("text"), status.alias("status"), F.col("length").alias("size"))
-    return rows.withColumn("language", language_of(F.col("path")))
 
+    def files(condition: Column, *columns: str) -> DataFrame:
+        loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(condition)
+        rows = loaded.select(F.regexp_extract("path", rf"(?:^|/)\Q{base.split('/')[-1]}\E/(.*)$", 1).alias("path"), "length", *columns)
+        return rows.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).where(~skipped(F.col("path"), excluded))
 
-SARIF = "runs array<struct<tool: struct<driver: struct<name: string, rules: array<struct<id: string, defaultConfiguration: struct<level: string>>>>>, results: array<struct<ruleId: string, ruleIndex: int, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>>>>>"
+    large = files(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("status"), F.col("length").alias("size"))
+    empty = _empty_files(spark, base)
+    empty = empty.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).where(~skipped(F.col("path"), excluded))
+    small = files(F.col("length") <= max_bytes, "content")
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
+    status = F.when(F.contains("content", F.lit(bytearray(b"\x00"))), "binary").when(text.isNull(), "invalid_utf8").otherwise("read")
+    read = small.select("path", F.when(status == "read", text).alias("text"), status.alias("status"), F.col("length").alias("size"))
+    rows = large.unionByName(read).unionByName(empty.select("path", F.lit("").alias("text"), F.lit("read").alias("status"), F.lit(0).cast("long").alias("size")))
+    return rows.withColumn("language", language_of(F.col("path")))
 
 
-def read_sarif(documents: DataFrame, column: str = "value") -> DataFrame:
-    """tool, rule, severity, message, file, line, error from SARIF documents: the rule by id or index, which must agree; remote and climbing paths are refused."""
-    runs = documents.select(F.from_json(column, SARIF).alias("d")).select(F.explode("d.runs").alias("r"))
-    results = runs.select(F.col("r.tool.driver.name").alias("tool"), F.col("r.tool.driver.rules").alias("rules"), F.explode("r.results").alias("x"))
-    by_index = F.get("rules", F.coalesce("x.ruleIndex", F.lit(-1)))
-    by_id = F.get(F.filter("rules", lambda r: r["id"] == F.col("x.ruleId")), F.lit(0))
-    rule = F.coalesce("x.ruleId", by_index["id"])
-    level = F.coalesce("x.level", F.when(F.col("x.ruleId").isNotNull(), by_id["defaultConfiguration"]["level"]).otherwise(by_index["defaultConfiguration"]["level"]), F.lit("warning"))
-    place = F.get("x.locations", F.lit(0))["physicalLocation"]
-    uri = F.regexp_replace(F.url_decode(place["artifactLocation"]["uri"]), "^file://(localhost)?/*", "/")
-    bad = F.when(F.col("x.ruleId").isNotNull() & by_index["id"].isNotNull() & (F.col("x.ruleId") != by_index["id"]), "rule id and index differ").when(
-        uri.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | uri.rlike(r"(^|/)\.\.(/|$)"), "location outside the tree"
-    )
-    severity = F.create_map(*[F.lit(v) for p in (("error", "high"), ("warning", "medium"), ("note", "low"), ("none", "info")) for v in p])[level]
-    return results.select("tool", rule.alias("rule"), severity.alias("severity"), F.col("x.message.text").alias("message"), uri.alias("file"), place["region"]["startLine"].alias("line"), bad.alias("error"))
+def _empty_files(spark: SparkSession, base: str) -> DataFrame:
+    """path of the files without a byte, for which the reader plans no work; they are listed by name."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    folder = jvm.org.apache.hadoop.fs.Path(base)
+    found, names = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            names.append((status.getPath().toString().split(base.split("://")[-1].rstrip("/") + "/", 1)[-1],))
+    return spark.createDataFrame(names, "path string")
 
 
 def write_sarif(findings: DataFrame, runs: DataFrame, path: str) -> None:

@@ -6,19 +6,20 @@ import json
 
 from pyspark.sql import functions as F
 
-from evigraph.sources.tree import read_sarif, source_tree, write_sarif
+from evigraph.sources.sarif import read_sarif
+from evigraph.sources.tree import source_tree, write_sarif
 from evigraph.streaming.feed import run_once, windowed_counts
 
 
 def test_source_tree(spark, tmp_path):
     root = tmp_path / "repo"
-    for name, data in {"a.py": b"x = 1\n", "lib/b.ts": b"\xef\xbb\xbfok", "node_modules/c.js": b"no", "d.bin": b"no", "e.sql": b"a\x00b", "f.md": b"\xff\xfe", "g.py": b"y" * 50, "buildx/h.py": b"z"}.items():
+    for name, data in {"a.py": b"x = 1\n", "lib/b.ts": b"\xef\xbb\xbfok", "node_modules/c.js": b"no", "d.bin": b"no", "e.sql": b"a\x00b", "f.md": b"\xff\xfe", "g.py": b"y" * 50, "buildx/h.py": b"z", "lib/__init__.py": b"", "dist/x.py": b""}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
     got = {r.path: (r.status, r.text, r.language) for r in source_tree(spark, str(root), max_bytes=40).collect()}
     assert got == {
         "a.py": ("read", "x = 1\n", "python"), "lib/b.ts": ("read", "ok", "typescript"), "e.sql": ("binary", None, "sql"), "f.md": ("invalid_utf8", None, "markdown"), "g.py": ("too_large", None, "python"),
-        "buildx/h.py": ("read", "z", "python"),
+        "buildx/h.py": ("read", "z", "python"), "lib/__init__.py": ("read", "", "python"),
     }
 
 
@@ -30,6 +31,22 @@ def test_sarif(spark, tmp_path):
     doc = {"runs": [{"tool": {"driver": {"name": "t", "rules": rules}}, "results": [result("a%20b.py", ruleIndex=0), result("../x", ruleId="R2"), result("c", ruleId="R2", ruleIndex=0)]}]}
     got = sorted((r.rule, r.severity, r.file, r.error or "") for r in read_sarif(spark.createDataFrame([(json.dumps(doc),)], "value string")).collect())
     assert got == [("R1", "high", "a b.py", ""), ("R2", "medium", "../x", "location outside the tree"), ("R2", "medium", "c", "rule id and index differ")]
+    rules = [{"id": "S", "properties": {"security-severity": "9.1"}}, {"id": "S2", "defaultConfiguration": {"level": "note"}}]
+    bases = {"SRC": {"uri": "src/", "uriBaseId": "ROOT"}, "ROOT": {"uri": "file:///work/tree/"}, "A": {"uri": "a/", "uriBaseId": "B"}, "B": {"uri": "b/", "uriBaseId": "A"}}
+
+    def at(location, **more):
+        return {"message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": location}}], **more}
+
+    cases = [
+        (at({"uri": "x.py", "uriBaseId": "SRC"}, ruleId="S"), ("S", "critical", "src/x.py", None)), (at({"index": 1}, ruleId="S2"), ("S2", "low", "lib/y+z.py", None)),
+        (at({"index": 7}, ruleId="S2"), ("S2", "low", "", "artifact index is out of range")), (at({"uri": "q", "uriBaseId": "A"}, rule={"index": 1}), ("S2", "low", "q", "bases of the location are a circle or too deep")),
+        (at({"uri": "q", "uriBaseId": "NO"}, ruleId="S2/sub", level="error"), ("S2/sub", "high", "q", "base of the location is unknown")), (at({"uri": "file:///etc/passwd"}, ruleId="S2"), ("S2", "low", "file:///etc/passwd", "location outside the tree")),
+        (at({"uri": "C:/x.py"}, ruleId="S2"), ("S2", "low", "C:/x.py", "location outside the tree")), (at({"uri": "http://h/x.py"}, ruleId="S2"), ("S2", "low", "http://h/x.py", "location outside the tree")),
+        ({"message": {"text": "m"}, "ruleId": "S2", "properties": {"security-severity": "5"}}, ("S2", "medium", "", None)),
+    ]
+    doc = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t", "rules": rules}}, "originalUriBaseIds": bases, "artifacts": [{}, {"location": {"uri": "./lib%2Fy+z.py"}}], "results": [c[0] for c in cases]}, {"tool": {"driver": {"name": "u"}}}]}
+    documents = spark.createDataFrame([(json.dumps(doc),), ("no json",), (json.dumps({**doc, "version": "2.0.0"}),), (None,)], "value string")
+    assert [(r.rule, r.severity, r.file, r.error) for r in read_sarif(documents, root="/work/tree").collect()] == [c[1] for c in cases]
     findings = spark.createDataFrame([("t", "r", "high", "m", "f", 1, "p")], "tool string, rule string, severity string, message string, file string, line int, fp string")
     runs = spark.createDataFrame([("t", None, None), ("clean", None, None), ("gone", "no config", None)], "tool string, skipped string, error string")
     write_sarif(findings, runs, str(tmp_path / "s"))
