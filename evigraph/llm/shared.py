@@ -17,12 +17,14 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is configured."""
+    """Folder that driver and executors share. Where none is configured, one of this machine serves a local master; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = found.get() if found.isDefined() else None
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="evigraph-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

@@ -1,9 +1,10 @@
-"""URL filtering by a sorted sweep over reversed-host keys.
+"""URL filtering by sorted sweeps over reversed-host keys and over paths.
 
 A rule is (host, path prefix, verdict); it covers its host, all subdomains, and every path that starts with its path.
-Written from the right, a host and its subdomains are one interval of keys: ``com.example.`` up to ``com.example/``.
-Intervals of hosts nest or are disjoint, so one ordered pass is enough: the last interval that began at or before a key
-knows, in its stack, every interval that can contain that key.
+Written from the right, a host and its subdomains are one interval of keys: ``com.example.`` up to ``com.example/``; below a host, the paths
+with a prefix are one interval of keys too. Such intervals nest or are disjoint, so one ordered pass over each kind of key is enough: the last
+interval that began at or before a key knows, in its stack, every interval that can contain that key. The first pass finds the rule hosts of a page, one for
+each level of its host at most, the second the rules of these hosts that fit its path.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, table
+from .shared import materialise, shuffle_width, table
 
 #: Sorts before every salt of a page.
 FIRST = -(2**63)
@@ -42,18 +43,28 @@ def _key(labels: Column) -> Column:
     return F.concat(F.array_join(labels, "."), F.lit("."))
 
 
-def _nodes(rules: DataFrame) -> DataFrame:
+def _host_nodes(rules: DataFrame) -> DataFrame:
     """One row per rule host: its interval of keys and the stack of hosts that enclose it, its own included."""
-    once = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block wins over allow
-    nodes = once.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "verdict"))).alias("paths"))
-    nodes = nodes.withColumn("labels", _reversed_labels(F.col("host")))
-    own = nodes.select(_key(F.col("labels")).alias("at"), "host", "paths")
+    nodes = rules.select("host").distinct().withColumn("labels", _reversed_labels(F.col("host")))
+    own = nodes.select(_key(F.col("labels")).alias("at"), "host")
     up = nodes.select(_key(F.col("labels")).alias("key"), F.explode(F.expr("sequence(1, size(labels))")).alias("depth"), "labels")
     up = up.select("key", _key(F.slice("labels", F.lit(1), F.col("depth"))).alias("at"))
-    stacks = up.join(own, "at").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "host", "paths"))).alias("stack"))
+    stacks = up.join(own, "at").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "host"))).alias("stack"))
     return stacks.withColumn("end", F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")))
 
 
+def _path_key(host: Column, path: Column) -> Column:
+    return F.concat(host, F.lit("\x00"), path)
+
+
+def _path_nodes(rules: DataFrame) -> DataFrame:
+    """One row per rule: its interval of host and path and the stack of rules of that host that enclose it, its own included, as struct(at, verdict)."""
+    once = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))  # block wins over allow
+    up = once.select("host", F.col("path").alias("own"), F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.left("path", n))).alias("path"))
+    stacks = up.join(once, ["host", "path"]).groupBy("host", "own").agg(F.sort_array(F.collect_list(F.struct(F.col("path").alias("at"), "verdict"))).alias("stack"))
+    return stacks.select(_path_key(F.col("host"), F.col("own")).alias("key"), "stack").withColumn("end", F.concat("key", F.lit("\U0010ffff")))
+
+
 def _bounds(probes: DataFrame, buckets: int) -> list:
     """Lower bounds of at most ``buckets`` key ranges of about equal size; a hot host is split by its salt."""
     ranged = probes.select("key", "salt").repartitionByRange(buckets, "key", "salt").withColumn("part", F.spark_partition_id())
@@ -75,44 +86,47 @@ def _bucket(key: Column, salt: Column, bounds: list) -> Column:
     )
 
 
+def _swept(probes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``probes`` (key, salt and more) with ``active``, the stack of the last node (key, end, stack) that begins at or before their key.
+
+    Keys are dealt to ranges of about equal size, a hot one by its salt; nodes are sent to the ranges that their interval meets. Only the bounds
+    of ranges, one per shuffle partition, reach the driver.
+    """
+    bounds = _bounds(probes, shuffle_width(probes.sparkSession))
+    first = F.lit(FIRST).cast("long")
+    starts = nodes.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("key"), first, bounds), _bucket(F.col("end"), first, bounds))))
+    events = probes.withColumn("bucket", _bucket(F.col("key"), F.col("salt"), bounds)).withColumn("probe", F.lit(True)).unionByName(
+        starts.select("bucket", "key", "stack", first.alias("salt"), F.lit(False).alias("probe")), allowMissingColumns=True
+    )
+    sweep = W.partitionBy("bucket").orderBy("key", "salt", "probe").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("probe").select(*probes.columns, "active")
+
+
 def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Verdict for every row of ``pages``: id, host, path, rule, verdict.
 
     ``rules`` has host, path and verdict. Of the rules that fit, the one with the longest host and path together wins,
     then the longest host; equal rules with both verdicts block. Without a fitting rule, ``rule`` is null and the verdict
-    is ``default``. Null urls and urls without ``://`` have an empty host and path and take the default. Repeated rows
-    stay repeated; further columns of ``pages`` are ignored. Empty ``pages`` or ``rules`` give no row or only defaults.
+    is ``default``. Null urls and urls without ``://`` have an empty host and path and take the default; null ids are ids like others; urls may be of any
+    length. Repeated rows stay repeated; further columns of ``pages`` are ignored. Empty ``pages`` or ``rules`` give no row or only defaults.
 
-    Cost: one range shuffle of keys, one shuffle of (id, host, path) and a sort in each range. Rules are sent to the
-    ranges that their interval meets; the paths of one rule host travel as one array, whose size depends on the rule
-    list alone. Only the range bounds, one per shuffle partition, reach the driver.
+    Cost: for each of the two sweeps one range shuffle of keys, one shuffle of rows and a sort in each range, and one shuffle that puts together the rule
+    hosts of a page. What travels with a page is the stack around one place, whatever the number of rules of a host.
     """
-    spark = pages.sparkSession
     probes = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     probes = probes.withColumn("key", _key(_reversed_labels(F.col("host")))).withColumn("salt", F.xxhash64("_id", "path"))
-    bounds = _bounds(probes, shuffle_width(spark))
-    first = F.lit(FIRST).cast("long")
-    starts = _nodes(rules)
-    starts = starts.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("key"), first, bounds), _bucket(F.col("end"), first, bounds))))
-    events = probes.withColumn("bucket", _bucket(F.col("key"), F.col("salt"), bounds)).withColumn("probe", F.lit(True)).unionByName(
-        starts.select("bucket", "key", "stack", first.alias("salt"), F.lit(False).alias("probe")), allowMissingColumns=True
-    )
-    sweep = W.partitionBy("bucket").orderBy("key", "salt", "probe").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = events.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("probe")
-    swept = swept.withColumn("active", F.filter("active", lambda s: F.col("key").startswith(s["at"])))
-    fitting = F.flatten(
-        F.transform(
-            "active",
-            lambda s: F.transform(
-                F.filter(s["paths"], lambda p: F.col("path").startswith(p["path"])),
-                lambda p: F.struct(
-                    (F.length(s["host"]) + F.length(p["path"])).alias("size"), F.length(s["host"]).alias("host_size"), p["verdict"].alias("verdict"), F.concat(s["host"], p["path"]).alias("rule")
-                ),
-            ),
-        )
-    )
-    best = swept.withColumn("best", F.array_max(fitting))
-    return best.select(F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    hosts = F.transform(F.filter("active", lambda s: F.col("key").startswith(s["at"])), lambda s: s["host"])
+    # numbers of rows are written once, so they stay
+    met = materialise(_swept(probes, _host_nodes(rules)).select("_id", "host", "path", "salt", hosts.alias("hosts"), F.monotonically_increasing_id().alias("row")), "rule-hosts")
+    covered = F.coalesce(F.size("hosts"), F.lit(0)) > 0
+    below = met.where(covered).select("_id", "host", "path", "salt", "row", F.explode("hosts").alias("of"))
+    below = _swept(below.withColumn("key", _path_key(F.col("of"), F.col("path"))), _path_nodes(rules).withColumn("of", F.substring_index("key", "\x00", 1)).withColumn("stack", F.struct("of", "stack")).drop("of"))
+    # the last node may belong to another host
+    own = F.when(F.col("active.of") == F.col("of"), F.try_element_at(F.filter("active.stack", lambda s: F.col("path").startswith(s["at"])), F.lit(-1)))
+    fit = F.when(own.isNotNull(), F.struct((F.length("of") + F.length(own["at"])).alias("size"), F.length("of").alias("host_size"), own["verdict"].alias("verdict"), F.concat("of", own["at"]).alias("rule")))
+    best = below.withColumn("fit", fit).groupBy("row").agg(F.max("fit").alias("best"))
+    out = met.join(best, "row", "left")
+    return out.select(F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 #: The rules of the registered query: host, path prefix, verdict.

@@ -470,3 +470,25 @@ def test_decontamination_by_brute_force(spark):
     want = {i: h for i, t in docs.items() if (h := held_items(t or "", items))}
     assert {i: {k: n for k, n in h.items() if k != 51} for i, h in got.items()} == want
     assert 54 in got[200] and 53 in got[201]
+
+
+def test_url_filter_by_brute_force(spark):
+    import random
+
+    from evigraph.llm.url_filter import url_filter
+
+    draw = random.Random(3)
+    hosts = ["com", "a.com", "b.a.com", "ab.com", "net", "x.net", "y.x.net", "z"]
+    paths = ["", "/", "/p", "/p/", "/p/q", "/p/q/r", "/q", "/é", "/p/qq"]
+    rules = [(draw.choice(hosts), draw.choice(paths), draw.choice(["allow", "block"])) for _ in range(40)]
+    urls = [(draw.randrange(90), f"x://{draw.choice(['', 'w.', 'v.w.'])}{draw.choice(hosts)}{draw.choice(paths)}{draw.choice(['', 'z', '/q', '?a', '#b'])}") for _ in range(400)]
+    got = sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict) for r in url_filter(spark.createDataFrame(urls, "page_id int, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect())
+    want = []
+    for i, url in urls:
+        rest = url[4:].split("?")[0].split("#")[0]
+        host, slash, path = rest.partition("/")
+        path = slash + path
+        fits = [(len(h) + len(p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        want.append((i, host, path, best[3] if best else "", best[2] if best else "allow"))
+    assert got == sorted(want)
