@@ -56,25 +56,55 @@ def with_template(df: DataFrame, text_col: str) -> DataFrame:
 LITERAL, NAMED, RAW = "c", "d", "raw"
 
 
-def _windows(width: Column | int, form: str = LITERAL) -> Column:
-    """Windows of ``width`` of the array ``t``: hash, position, values in placeholders and number of literals."""
-    w = F.lit(width) if isinstance(width, int) else width
-    starts = F.when(F.size("t") >= w, F.sequence(F.lit(1), F.size("t") - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-    if form == NAMED:
+def _starts(n: Column, w: Column) -> Column:
+    return F.when(n >= w, F.sequence(F.lit(1), n - w + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+
+def _mark(words: Column, w: Column, form: str) -> Column:
+    return F.xxhash64(words, w, *([F.lit(RAW)] if form == RAW else []))
+
+
+def _slots(at: Column, w: Column, form: Column) -> Column:
+    """Placeholders of the window and what stands there; a window as it stands has none."""
+    typed = lambda x: F.when(form == NAMED, x[NAMED]).otherwise(x[LITERAL])
+    part = F.filter(F.slice("t", at, w), lambda x: (form != RAW) & F.startswith(typed(x), F.lit("<")))
+    return F.transform(part, lambda x: F.struct(typed(x).alias("c"), F.lower(x["raw"]).alias("v")))
+
+
+def _windows(w: Column, form: str) -> Column:
+    """Windows of ``w`` words of the array ``t`` of an item: hash, position, values in placeholders, number of literals and what always stands there."""
+    starts = _starts(F.size("t"), w)
+    if form == NAMED:  # those that differ from the literal form
         starts = F.filter(starts, lambda i: F.exists(F.slice("t", i, w), lambda x: x["c"] != x["d"]))
-    typed = NAMED if form == NAMED else LITERAL
+    word = lambda x: F.lower(x["raw"]) if form == RAW else x[form]
+    typed = lambda x: x[NAMED if form == NAMED else LITERAL]
 
     def window(i: Column) -> Column:
         part = F.slice("t", i, w)
+        literals = F.size(F.filter(part, lambda x: ~F.startswith(typed(x), F.lit("<"))))
         # what stands in every text with this window: literal words; nothing for a number, which has no letters; "0" where any words may stand
-        fixed = F.transform(part, lambda x: F.lower(x["raw"]) if form == RAW else F.when(x[typed] == NUMBER, " ").when(x[typed].startswith("<"), "0").otherwise(x[typed]))
-        slots = F.transform(F.filter(part, lambda x: x[typed].startswith("<")), lambda x: F.struct(x[typed].alias("c"), F.lower(x["raw"]).alias("v")))
-        mark = F.xxhash64(F.transform(part, lambda x: F.lower(x["raw"])), w, F.lit("raw")) if form == RAW else F.xxhash64(F.transform(part, lambda x: x[typed]), w)
-        return F.struct(mark.alias("hash"), i.alias("at"), (F.slice(slots, 1, 0) if form == RAW else slots).alias("slots"), (w - F.size(slots)).alias("literals"), F.lit(form).alias("form"), F.array_join(fixed, " ").alias("fixed"))
+        fixed = F.transform(part, lambda x: word(x) if form == RAW else F.when(typed(x) == NUMBER, " ").when(F.startswith(typed(x), F.lit("<")), "0").otherwise(typed(x)))
+        return F.struct(_mark(F.transform(part, word), w, form).alias("hash"), i.alias("at"), _slots(i, w, F.lit(form)).alias("slots"), literals.alias("literals"), F.lit(form).alias("form"), F.array_join(fixed, " ").alias("fixed"))
 
     return F.transform(starts, window)
 
 
+def _hashed(docs: DataFrame, widths: list[int], raw_widths: list[int]) -> DataFrame:
+    """id, text_hash, hash, at and form of all windows of documents with words ``t``."""
+    words = docs.select("id", "text_hash", F.size("t").alias("n"), F.col("t.c").alias(LITERAL), F.col("t.d").alias(NAMED), F.transform("t.raw", F.lower).alias(RAW))
+    words = words.withColumn("begins", F.expr("array_compact(zip_with(c, sequence(1, greatest(size(c), 1)), (x, i) -> IF(x != get(d, i - 1), i, NULL)))"))
+
+    def of(w: int, form: str) -> Column:
+        starts = _starts(F.col("n"), F.lit(w))
+        if form == NAMED:  # around words that begin sentences alone
+            around = F.transform("begins", lambda j: F.sequence(F.greatest(j - w + 1, F.lit(1)), F.least(j, F.col("n") - w + 1)))
+            starts = F.when(F.col("n") >= w, F.array_distinct(F.flatten(around))).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(starts, lambda i: F.struct(_mark(F.slice(form, i, F.lit(w)), F.lit(w), form).alias("hash"), i.alias("at"), F.lit(form).alias("form")))
+
+    windows = F.concat(*[of(w, form) for w in widths for form in (LITERAL, NAMED)], *[of(w, RAW) for w in raw_widths])
+    return words.select("id", "text_hash", F.explode(windows).alias("d")).select("id", "text_hash", "d.*")
+
+
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, width, need, need_all, hash, at, slots, form, strong, fixed of the windows of an item.
 
@@ -170,16 +200,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     suspects = few_rows(materialise(_suspects(rows, items), "leak-suspects"), BROADCAST_DOCS).alias("s")
     found = rows.alias("r").join(suspects, F.expr("r.id <=> s.id AND r.t = s.t"), "left_semi").distinct().withColumnRenamed("t", "text_hash")
-    found = with_template(found, "text")
-    found = found.select("id", "text_hash", F.explode(F.concat(*[_windows(w, form) for w in widths for form in (LITERAL, NAMED)], *[_windows(w, RAW) for w in raw_widths])).alias("d")).select("id", "text_hash", "d.*")
-    met = found.select("id", "text_hash", "hash", F.col("at").alias("d_at"), F.col("slots").alias("d_slots"), F.col("form").alias("d_form")).join(few_rows(items.drop("fixed"), BROADCAST_WINDOWS), "hash")
+    found = materialise(with_template(found, "text").select("id", "text_hash", "t"), "leak-templates")
+    known = few_rows(items.select("hash", "width").distinct(), BROADCAST_WINDOWS)
+    hits = _hashed(found, widths, raw_widths).join(known, "hash").groupBy("id", "text_hash").agg(F.collect_list(F.struct("hash", "at", "form", "width")).alias("hits"))
+    # values are worked out where a window of the benchmark stands, with the words of a document at hand once
+    placed = found.alias("f").join(hits.alias("h"), F.expr("f.id <=> h.id AND f.text_hash = h.text_hash")).select("f.id", "f.text_hash", "t", "hits")
+    placed = placed.select("id", "text_hash", F.explode(F.transform("hits", lambda h: F.struct(h["hash"].alias("hash"), h["at"].alias("d_at"), h["form"].alias("d_form"), _slots(h["at"], h["width"], h["form"]).alias("d_slots")))).alias("d"))
+    met = placed.select("id", "text_hash", "d.*").join(few_rows(items.drop("fixed"), BROADCAST_WINDOWS), "hash")
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
     # windows that take no word at the beginning of a sentence for a name are judged by themselves and along with the others
     forms = F.when((F.col("form") == NAMED) | (F.col("d_form") == NAMED), F.array(F.lit(NAMED))).otherwise(F.array(F.lit(LITERAL), F.lit(NAMED)))
     lines = met.select("id", "text_hash", "item", "need", "need_all", F.struct(F.struct("at", "strong").alias("place"), values.alias("values")).alias("w"), (F.col("d_at") - F.col("at")).alias("shift"), forms.alias("form"))
     keys = ("id", "text_hash", "item", "need", "need_all")
     lines = lines.withColumn("form", F.explode("form")).groupBy(*keys, "shift", "form").agg(F.collect_set("w").alias("ws"))
-    lines = lines.withColumn("names", F.expr(f"array_distinct(filter(flatten(transform(ws, w -> w.values)), v -> v.c = '{NAME}'))"))
+    # where every name stands for itself none goes with two
+    other = f"exists(ws, w -> exists(w.values, v -> v.c = '{NAME}' AND v.item != v.doc))"
+    lines = lines.withColumn("names", F.expr(f"IF({other}, array_distinct(filter(flatten(transform(ws, w -> w.values)), v -> v.c = '{NAME}')), slice(ws[0].values, 1, 0))"))
     lines = lines.withColumn("mixed", F.expr("transform(filter(names, n -> exists(names, m -> m.item = n.item AND m.doc != n.doc)), n -> n.item)"))
     lines = lines.withColumn("ws", F.expr(f"filter(ws, w -> NOT exists(w.values, v -> v.c = '{NAME}' AND array_contains(mixed, v.item)))"))
     lines = lines.select(*keys, "shift", F.col("ws.place").alias("ats"), F.expr("exists(ws, w -> exists(w.values, v -> v.item != v.doc))").alias("changed")).where("size(ats) > 0")
