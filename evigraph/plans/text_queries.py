@@ -127,41 +127,49 @@ def content_digest(spark, sf):
     return V.content_digest(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_PYTHON = (
-    ("a.py", 'import time\nclass Order(Base):\n    """Doc."""\n    __tablename__ = "orders"\n@router.get("/orders/{id}")\nasync def read(id):\n    time.sleep(1)\n    for i in range(3):\n        db.execute(f"select * from orders where id = {id}")\n'),
-    ("b.py", "def broken(:\n"),
-    ("c.py", 'revision = "abc"\ndef upgrade():\n    op.create_table("orders")\n'),
-)
-_MARKED = (("x.py", "# @feature orders\n# Layer: service\n# Related: a.py,\n#   b.py\n\nx = 1\n# @feature bills\n# Layer: cellar\n"), ("y.py", "# nothing\n"))
-_SQL_FILES = (("s.sql", "create table orders (id int primary key, customer_id int references customers(id));\n-- note; here\nwith recent as (select * from orders) select * from recent join customers c on true;\ninsert into audit select 1;\nhello world;\n"),)
-
-
-def _literal_files(spark, rows):
-    quoted = ", ".join("('{}', '{}')".format(p, t.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")) for p, t in rows)
-    return spark.sql(f"SELECT * FROM VALUES {quoted} AS f(path, text)")
+def _files(df, path, *lines):
+    """A source file for each row: its path and its lines as SQL expressions; null lines are left out."""
+    return df.select(F.expr(path).alias("path"), F.concat(F.array_join(F.array(*[F.expr(x) for x in lines]), "\n"), F.lit("\n")).alias("text"))
 
 
 def python_extract(spark, sf):
-    return python_facts(_literal_files(spark, _PYTHON))
+    """A module for each part: a model, documented for even sizes, and a route that blocks and asks for a row."""
+    files = _files(
+        table(spark, sf, "part"), "concat('p/', p_partkey, '.py')", "'from time import sleep as nap'", "concat('class Part', p_partkey, '(Base):')", """IF(p_size % 2 = 0, concat('    \"\"\"', p_name, '\"\"\"'), NULL)""",
+        "concat('    __tablename__ = \"part_', p_partkey, '\"')", "concat('@router.get(\"/parts/{id}/', p_partkey, '\")')", "concat('async def read_', p_partkey, '(id):')", "'    nap(1)'",
+        "concat('    db.execute(', IF(p_size % 3 = 0, 'f', ''), '\"select 1 from part_', p_partkey, IF(p_size % 3 = 0, ' where id = {id}', ''), '\")')", "IF(p_size % 5 = 0, 'def broken(:', NULL)",
+    )
+    return python_facts(files).select("path", "fact", "name", "line", F.when(F.col("fact") != "body", F.col("detail")).alias("detail"))
 
 
-def marker_parse(spark, sf):
-    return markers(_literal_files(spark, _MARKED))
+def js_extract(spark, sf):
+    files = _files(
+        table(spark, sf, "orders"), "concat('o/', o_orderkey, '.ts')", "concat('import { a } from ', chr(39), './m', o_custkey, chr(39), ';')", "concat('export const load', o_orderkey, ' = async (x) => fetch(`/api/o/', o_orderkey, '`);')",
+        "concat('// function no', o_orderkey, '() {}')", "IF(o_orderstatus = 'F', concat('class C', o_custkey, ' { go() { return api.post(\"/c\") } }'), NULL)", "concat('const s = \"class No {\"; let k = n => ', o_orderkey)",
+    )
+    return js_facts(files)
 
 
 def sql_extract(spark, sf):
-    return sql_facts(_literal_files(spark, _SQL_FILES))
-
-
-_JS = (("app/orders/[id]/page.tsx", "import a from './a'\nexport function Page() { return fetch('/api/orders') }\n"), ("pages/api/x.ts", "const f = (x) => api.post('/b')\n"))
+    files = _files(
+        table(spark, sf, "customer"), "concat('c/', c_custkey, '.sql')", "concat('create table t', c_custkey, ' (id int primary key, n int references n', c_nationkey, '(id));')", "'-- select * from nothing;'",
+        "IF(c_nationkey % 2 = 0, concat('with r as (select * from t', c_custkey, ') select * from r join u', c_nationkey, ' on true;'), NULL)", "concat('insert into log select ', c_custkey, ';')", "IF(c_custkey % 7 = 0, 'hello world;', NULL)",
+    )
+    return sql_facts(files)
 
 
-def js_extract(spark, sf):
-    return js_facts(_literal_files(spark, [(p, t.replace("'", '"')) for p, t in _JS]))
+def marker_parse(spark, sf):
+    files = _files(
+        table(spark, sf, "supplier"), "concat('s/', s_suppkey, '.py')", "concat('# @feature f', s_nationkey)", "IF(s_suppkey % 2 = 0, '# Layer: service', '# Layer: cellar')", "concat('# Related: a', s_suppkey, '.py,')", "IF(s_suppkey % 3 = 0, concat('#   b', s_suppkey, '.py'), NULL)", "''", "'x = 1'",
+        "concat('# @feature g', s_suppkey)", "'# Tests: t.py'", "'# Other: none'",
+    )
+    return markers(files).where("field != 'tests'")
 
 
 def file_router_routes(spark, sf):
-    return file_routes(_literal_files(spark, [(p, "") for p, _ in _JS]))
+    kinds = ("concat('src/app/(shop)/c', c_custkey, '/[id]/page.tsx')", "concat('app/api/c', c_custkey, '/route.ts')", "concat('app/d', c_custkey, '/[[...slug]]/page.tsx')", "concat('pages/e', c_custkey, '/index.tsx')", "concat('pages/api/f', c_custkey, '.ts')", "concat('lib/app/g', c_custkey, '.ts')", "'pages/_app.tsx'")
+    path = "element_at(array(" + ", ".join(kinds) + "), CAST(c_custkey % 7 AS int) + 1)"
+    return file_routes(table(spark, sf, "customer").selectExpr(f"{path} AS path"))
 
 
 def impact_capped(spark, sf):
@@ -223,6 +231,25 @@ SELECT tool, 'rule-' || k AS rule, CASE WHEN event_id % 3 = 0 THEN 'info' WHEN k
 SELECT conv_id, turn, regexp_matches(t, '(?is)^\\s*(select|insert\\s+into|update|delete\\s+from|with|create|alter|drop|merge\\s+into)\\b') AND regexp_matches(t, '(?is)\\b(from|into|set|table|values|view|index)\\b') AS is_sql FROM t""",
     "camel_tokens": """WITH s AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: lower(w)) AS w, lower(p_type) AS t FROM part)
 SELECT p_partkey, array_to_string(w, ' ') || ' http server' || t AS words FROM s""",
+    "python_extract": """WITH p AS (SELECT p_partkey AS k, 'p/' || p_partkey || '.py' AS path, p_size % 2 = 0 AS doc, p_size % 3 = 0 AS hole, p_size % 5 = 0 AS broken, (p_size % 2 = 0)::INT AS d FROM part), g AS (SELECT * FROM p WHERE NOT broken)
+SELECT path, 'could-not-scan' AS fact, 'SyntaxError' AS name, 8 + d AS line, '' AS detail FROM p WHERE broken
+UNION ALL SELECT path, 'import', 'nap', 1, 'time.sleep' FROM g UNION ALL SELECT path, 'class', 'Part' || k, 2, CASE WHEN doc THEN 'documented' ELSE '' END FROM g UNION ALL SELECT path, 'base', 'Part' || k, 2, 'Base' FROM g
+UNION ALL SELECT path, 'table', 'Part' || k, 3 + d, 'part_' || k FROM g UNION ALL SELECT path, 'function', 'read_' || k, 5 + d, '' FROM g UNION ALL SELECT path, 'body', 'read_' || k, 5 + d, NULL FROM g
+UNION ALL SELECT path, 'route', 'read_' || k, 4 + d, 'GET /parts/{id}/' || k FROM g UNION ALL SELECT path, 'call', 'router.get', 4 + d, 'read_' || k FROM g UNION ALL SELECT path, 'call', 'nap', 6 + d, 'read_' || k FROM g
+UNION ALL SELECT path, 'blocking-call', 'time.sleep', 6 + d, 'read_' || k FROM g UNION ALL SELECT path, 'call', 'db.execute', 7 + d, 'read_' || k FROM g
+UNION ALL SELECT path, CASE WHEN hole THEN 'sql-built-from-string' ELSE 'sql' END, 'read_' || k, 7 + d, 'select 1 from part_' || k || CASE WHEN hole THEN ' where id = {}' ELSE '' END FROM g""",
+    "js_extract": """WITH o AS (SELECT 'o/' || o_orderkey || '.ts' AS path, o_orderkey AS k, o_custkey AS c, o_orderstatus = 'F' AS f FROM orders)
+SELECT path, 'import' AS fact, './m' || c AS name, 1 AS line, '' AS detail FROM o UNION ALL SELECT path, 'export', 'load' || k, 2, '' FROM o UNION ALL SELECT path, 'function', 'load' || k, 2, '' FROM o UNION ALL SELECT path, 'request', 'fetch', 2, '/api/o/' || k FROM o
+UNION ALL SELECT path, 'class', 'C' || c, 4, '' FROM o WHERE f UNION ALL SELECT path, 'request', 'post', 4, '/c' FROM o WHERE f UNION ALL SELECT path, 'function', 'k', CASE WHEN f THEN 5 ELSE 4 END, '' FROM o""",
+    "sql_extract": """WITH c AS (SELECT 'c/' || c_custkey || '.sql' AS path, c_custkey AS k, c_nationkey AS n, c_nationkey % 2 = 0 AS w, (c_nationkey % 2 = 0)::INT AS d FROM customer)
+SELECT path, 1 AS line, 'declares' AS fact, 't' || k AS table_name, '' AS detail FROM c UNION ALL SELECT path, 1, 'column', 't' || k, x FROM c, (VALUES ('id'), ('n')) v(x) UNION ALL SELECT path, 1, 'foreign-key', 't' || k, 'n' || n FROM c
+UNION ALL SELECT path, 3, 'reads', 't' || k, '' FROM c WHERE w UNION ALL SELECT path, 3, 'reads', 'u' || n, '' FROM c WHERE w UNION ALL SELECT path, 3 + d, 'writes', 'log', '' FROM c UNION ALL SELECT path, 4 + d, 'unsupported-statement', NULL, 'hello world' FROM c WHERE k % 7 = 0""",
+    "marker_parse": """WITH s AS (SELECT 's/' || s_suppkey || '.py' AS path, s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT path, 2 AS line, 'f' || n AS feature, 'layer' AS field, CASE WHEN k % 2 = 0 THEN 'service' ELSE 'cellar' END AS value FROM s UNION ALL SELECT path, 3, 'f' || n, 'related', 'a' || k || '.py,' || CASE WHEN k % 3 = 0 THEN ' b' || k || '.py' ELSE '' END FROM s""",
+    "file_router_routes": """WITH c AS (SELECT c_custkey AS k, c_custkey % 7 AS m FROM customer)
+SELECT 'src/app/(shop)/c' || k || '/[id]/page.tsx' AS path, 'page' AS kind, '/c' || k || '/{dynamic}' AS route, false AS catch_all FROM c WHERE m = 0 UNION ALL SELECT 'app/api/c' || k || '/route.ts', 'handler', '/api/c' || k, false FROM c WHERE m = 1
+UNION ALL SELECT 'app/d' || k || '/[[...slug]]/page.tsx', 'page', '/d' || k || x, y FROM c, (VALUES ('/{dynamic}', true), ('', false)) v(x, y) WHERE m = 2 UNION ALL SELECT 'pages/e' || k || '/index.tsx', 'page', '/e' || k, false FROM c WHERE m = 3
+UNION ALL SELECT 'pages/api/f' || k || '.ts', 'handler', '/api/f' || k, false FROM c WHERE m = 4""",
     "content_digest": """WITH e AS (SELECT doc_id, sha256(doc_id || '|read|' || octet_length(encode(text)) || '|' || coalesce(text, '')) AS d FROM documents), r AS (SELECT doc_id // 4096 AS run, count(*) AS n, sha256(string_agg(d, '' ORDER BY doc_id)) AS d FROM e GROUP BY 1)
 SELECT sum(n)::BIGINT AS files, sha256(string_agg(d, '' ORDER BY run)) AS digest FROM r""",
 }
