@@ -16,6 +16,7 @@ once for each block.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 from itertools import compress
 
@@ -128,14 +129,21 @@ def _patterns(block: Block, confirmed: np.ndarray, first: np.ndarray) -> tuple[n
     return at[one][used], first[which][used]
 
 
-def _letters(block: Block) -> tuple[list, bool]:
-    """The documents with a character for each word, or word numbers if there are more words than characters."""
+#: The first character of a word.
+FIRST = 32
+
+
+def _letters(block: Block) -> list[str]:
+    """The documents with two characters for each word of the block, the first and the second from alphabets of their own.
+
+    An automaton keeps the branches of a node in a list, so an alphabet of all words would make the root a long one; and as the alphabets differ,
+    what it finds begins and ends with a word.
+    """
     numbers: dict = {}
     coded = [[numbers.setdefault(w, len(numbers)) for w in words] for words in block.words]
-    if len(numbers) > 0x10FFFF - 0x800:
-        return [tuple(x) for x in coded], False
-    letters = [chr(i if i < 0xD800 else i + 0x800) for i in range(len(numbers))]  # without surrogates
-    return ["".join(map(letters.__getitem__, x)) for x in coded], True
+    base = math.isqrt(max(len(numbers) - 1, 0)) + 1
+    letters = [chr(FIRST + i // base) + chr(FIRST + base + i % base) for i in range(len(numbers))]
+    return ["".join(map(letters.__getitem__, x)) for x in coded]
 
 
 def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
@@ -151,19 +159,19 @@ def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.nd
     place, earliest = _patterns(block, confirmed, first)
     if not len(place):
         return drop
-    coded, plain = _letters(block)
+    coded = _letters(block)
     home = np.searchsorted(block.starts, place, side="right") - 1
     offset = place - block.starts[home]
     for low in range(0, len(place), shard):
-        automaton = ahocorasick.Automaton() if plain else ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton()
         for d, i, f in zip(home[low : low + shard].tolist(), offset[low : low + shard].tolist(), earliest[low : low + shard].tolist(), strict=True):
-            automaton.add_word(coded[d][i : i + width], f)
+            automaton.add_word(coded[d][2 * i : 2 * (i + width)], f)
         automaton.make_automaton()
         for d, text in enumerate(coded):
             own = int(block.ids[d])
-            ends = np.array([end for end, f in automaton.iter(text) if f < own], dtype=np.int64)
+            ends = np.array([end // 2 for end, f in automaton.iter(text) if f < own], dtype=np.int64)
             if len(ends):
-                edge = np.zeros(len(text) + 1, dtype=np.int64)
+                edge = np.zeros(len(text) // 2 + 1, dtype=np.int64)
                 edge[ends - width + 1] += 1
                 edge[ends + 1] -= 1
                 gone = np.cumsum(edge[:-1]) > 0

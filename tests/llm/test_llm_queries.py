@@ -293,7 +293,7 @@ def test_substring_dedup_is_decided_by_the_automata(monkeypatch):
             pass
 
         def iter(self, text):
-            return iter([(14, 0)] if len(text) > 14 else [])
+            return iter([(25, 0)] if len(text) > 25 else [])  # 13 words, two characters each
 
     monkeypatch.setattr(S.ahocorasick, "Automaton", Broken)
     assert [int(d.sum()) for d in S.locate(block, keys, first)] == [13, 13, 13]
