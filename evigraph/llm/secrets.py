@@ -23,6 +23,8 @@ WEAK = (
     ("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", "secret"),
     ("endpoint", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", "endpoint"),
 )
+#: Matches whose places are added up together.
+CHUNK = 128
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret"} | {name: role for name, _, role in WEAK}
 ORDER = [name for name, *_ in BASE] + [name for name, *_ in WEAK]
 #: Parts that a weak part of each role needs within its scope.
@@ -37,14 +39,7 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     found, sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.transform(found, F.length), F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, end: int>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out")
-        ),
-        lambda acc: acc["out"],
-    )
+    placed = _placed(lengths)
     kept = placed if group == 0 and least <= 1 else F.transform(
         F.filter(F.arrays_zip(placed.alias("p"), sized.alias("s")), lambda x: F.length(x["s"]) >= least), lambda x: x["p"]
     )
@@ -52,6 +47,27 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     return F.when(text.rlike(pattern), spans).otherwise(none())
 
 
+def _placed(lengths: Column) -> Column:
+    """array<struct<start, end>> of matches from array<struct<m, g>>, their lengths and those of the gaps before them.
+
+    Appending to an array copies it, so sums run within chunks, then over chunks: a text with very many matches costs them times a chunk's size.
+    """
+    empty = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)))
+    inner = F.transform(
+        chunks,
+        lambda chunk: F.aggregate(
+            chunk,
+            F.struct(F.lit(0).alias("at"), empty("struct<start: int, end: int>").alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end")))).alias("out")
+            ),
+        ),
+    )
+    before = F.aggregate(inner, F.struct(F.lit(0).alias("at"), empty("int").alias("offs")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"])).alias("offs")), lambda acc: acc["offs"])
+    return F.flatten(F.zip_with(inner, before, lambda c, off: F.transform(c["out"], lambda p: F.struct((p["start"] + off).alias("start"), (p["end"] + off).alias("end")))))
+
+
 def none() -> Column:
     return F.expr("CAST(array() AS array<struct<start: int, ord: int, end: int, kind: string>>)")
 

@@ -61,6 +61,8 @@ def test_secret_scan(spark, docs):
     assert got[2][0].base == [] and [(s.start, s.end) for s in got[3][0].base] == [(2, 15)]
     assert sum(map(len, by_id(secret_scan(docs)).values())) == len(TEXTS)
     assert secret_scan(frame(spark, [])).collect() == []
+    many = secret_scan(frame(spark, [(1, "é password=abcdef1 " * 1_000)])).first().base
+    assert [(s.start, s.end) for s in many if s.kind == "assign"] == [(2 + 19 * i, 18 + 19 * i) for i in range(1_000)]
 
 
 def test_rule_ensemble(spark, docs):
