@@ -10,6 +10,8 @@ other wherever the window stands. Only documents that hold the probes of enough
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,10 +66,15 @@ def _mark(words: Column, w: Column, form: str) -> Column:
     return F.xxhash64(words, w, *([F.lit(RAW)] if form == RAW else []))
 
 
-def _slots(at: Column, w: Column, form: Column) -> Column:
+def _with(words: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an array that is unpacked once: slices of an array as it comes from a table copy the whole array each."""
+    return F.get(F.transform(F.array(F.transform(words, lambda x: x)), use), F.lit(0))
+
+
+def _slots(words: Column, at: Column, w: Column, form: Column) -> Column:
     """Placeholders of the window and what stands there; a window as it stands has none."""
     typed = lambda x: F.when(form == NAMED, x[NAMED]).otherwise(x[LITERAL])
-    part = F.filter(F.slice("t", at, w), lambda x: (form != RAW) & F.startswith(typed(x), F.lit("<")))
+    part = F.filter(F.slice(words, at, w), lambda x: (form != RAW) & F.startswith(typed(x), F.lit("<")))
     return F.transform(part, lambda x: F.struct(typed(x).alias("c"), F.lower(x["raw"]).alias("v")))
 
 
@@ -84,7 +91,7 @@ def _windows(w: Column, form: str) -> Column:
         literals = F.size(F.filter(part, lambda x: ~F.startswith(typed(x), F.lit("<"))))
         # what stands in every text with this window: literal words; nothing for a number, which has no letters; "0" where any words may stand
         fixed = F.transform(part, lambda x: word(x) if form == RAW else F.when(typed(x) == NUMBER, " ").when(F.startswith(typed(x), F.lit("<")), "0").otherwise(typed(x)))
-        return F.struct(_mark(F.transform(part, word), w, form).alias("hash"), i.alias("at"), _slots(i, w, F.lit(form)).alias("slots"), literals.alias("literals"), F.lit(form).alias("form"), F.array_join(fixed, " ").alias("fixed"))
+        return F.struct(_mark(F.transform(part, word), w, form).alias("hash"), i.alias("at"), _slots(F.col("t"), i, w, F.lit(form)).alias("slots"), literals.alias("literals"), F.lit(form).alias("form"), F.array_join(fixed, " ").alias("fixed"))
 
     return F.transform(starts, window)
 
@@ -99,7 +106,7 @@ def _hashed(docs: DataFrame, widths: list[int], raw_widths: list[int]) -> DataFr
         if form == NAMED:  # around words that begin sentences alone
             around = F.transform("begins", lambda j: F.sequence(F.greatest(j - w + 1, F.lit(1)), F.least(j, F.col("n") - w + 1)))
             starts = F.when(F.col("n") >= w, F.array_distinct(F.flatten(around))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.transform(starts, lambda i: F.struct(_mark(F.slice(form, i, F.lit(w)), F.lit(w), form).alias("hash"), i.alias("at"), F.lit(form).alias("form")))
+        return _with(form, lambda own: F.transform(starts, lambda i: F.struct(_mark(F.slice(own, i, F.lit(w)), F.lit(w), form).alias("hash"), i.alias("at"), F.lit(form).alias("form"))))
 
     windows = F.concat(*[of(w, form) for w in widths for form in (LITERAL, NAMED)], *[of(w, RAW) for w in raw_widths])
     return words.select("id", "text_hash", F.explode(windows).alias("d")).select("id", "text_hash", "d.*")
@@ -205,7 +212,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = _hashed(found, widths, raw_widths).join(known, "hash").groupBy("id", "text_hash").agg(F.collect_list(F.struct("hash", "at", "form", "width")).alias("hits"))
     # values are worked out where a window of the benchmark stands, with the words of a document at hand once
     placed = found.alias("f").join(hits.alias("h"), F.expr("f.id <=> h.id AND f.text_hash = h.text_hash")).select("f.id", "f.text_hash", "t", "hits")
-    placed = placed.select("id", "text_hash", F.explode(F.transform("hits", lambda h: F.struct(h["hash"].alias("hash"), h["at"].alias("d_at"), h["form"].alias("d_form"), _slots(h["at"], h["width"], h["form"]).alias("d_slots")))).alias("d"))
+    valued = _with("t", lambda t: F.transform("hits", lambda h: F.struct(h["hash"].alias("hash"), h["at"].alias("d_at"), h["form"].alias("d_form"), _slots(t, h["at"], h["width"], h["form"]).alias("d_slots"))))
+    placed = placed.select("id", "text_hash", F.explode(valued).alias("d"))
     met = placed.select("id", "text_hash", "d.*").join(few_rows(items.drop("fixed"), BROADCAST_WINDOWS), "hash")
     values = F.zip_with("slots", "d_slots", lambda i, d: F.struct(i["c"].alias("c"), i["v"].alias("item"), d["v"].alias("doc")))
     # windows that take no word at the beginning of a sentence for a name are judged by themselves and along with the others
