@@ -26,7 +26,7 @@ CELLS = 1 << 18
 #: Up to so many keys of lines are broadcast; beyond, lines are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: A line looks for pivots by so many of its rarest words and meets so many of the lines that it shares most of them with.
-RAREST, PIVOTS = 6, 3
+RAREST, PIVOTS = 8, 4
 #: Lines with a word that 2^HOT lines or more have look for pivots in parts of about that size.
 HOT = 16
 
