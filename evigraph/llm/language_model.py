@@ -1,7 +1,7 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 The most frequent words stand in classes of equal size, all other words in one open class. The class of the next word, and the word within
-its class, are predicted by two softmax layers whose scores are sums of hashed feature rows: the word before, the two words before, and two skips.
+its class, are predicted by two softmax layers whose scores are sums of hashed feature rows: the word before, the two words before, and the one before a skip.
 Rows start at zero over the exact unigram frequencies, so an untrained model is the class-factored unigram. Within the open class a word has
 its add-one frequency there, so probabilities of all known words and one unknown word add up to one.
 """
@@ -27,26 +27,27 @@ LN10 = float(np.log(10.0))
 class Settings:
     """Sizes of the model; none grows with the corpus.
 
-    ``classes`` with ``width`` words each are the head (class 0 is open); ``rows`` feature rows in each layer; counts of the ``listed`` most
+    ``width`` classes (class 0 is open) of ``width`` words each are the head; ``rows`` feature rows in each layer, 2^16 at most; counts of the ``listed`` most
     frequent words, of at most ``longest`` bytes, are sent to all tasks, those of other words are joined. Training goes over the corpus once, in
     ``rounds`` parts; after each the tasks' models are averaged. ``rate`` is the step of the row-wise adaptive gradient.
     """
 
-    classes: int = 64
     width: int = 64
     rows: int = 1 << 14
     listed: int = 1 << 17
     longest: int = 64
     rounds: int = 2
     rate: float = 0.25
-    batch: int = 4096
+    batch: int = 8192
     held_out_mod: int = 7
     held_out_is: int = 2
     #: Rows that are averaged together.
     block: int = 64
 
 
-FEATURES = 4
+FEATURES = 3
+#: Feature rows stay within this, biases above its negative.
+LIMIT = 18.0
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint64)
 
 
@@ -71,82 +72,102 @@ class Model:
 
     def __init__(self, settings: Settings, lexicon: Lexicon, rows: np.ndarray | None = None):
         s = self.s = settings
-        head = np.zeros((s.classes - 1) * s.width)
+        head = np.zeros((s.width - 1) * s.width)
         head[: lexicon.head] = lexicon.counts[: lexicon.head]
-        head = head.reshape(s.classes - 1, s.width)
+        head = head.reshape(s.width - 1, s.width)
         sums = np.concatenate(([lexicon.open_total + 1], head.sum(axis=1)))  # the one is the unknown word's
         with np.errstate(divide="ignore"):
             self.class_bias = np.log(sums / sums.sum()).astype(np.float32)
             inner = np.log(head / np.maximum(head.sum(axis=1, keepdims=True), 1))
-        self.class_bias = np.maximum(self.class_bias, np.float32(-60))
-        self.word_bias = np.vstack([np.zeros((1, s.width)), np.maximum(inner, -60)]).astype(np.float32)
+        self.class_bias = np.maximum(self.class_bias, np.float32(-LIMIT))
+        self.word_bias = np.vstack([np.zeros((1, s.width)), np.maximum(inner, -LIMIT)]).astype(np.float32)
         # places of no word never get mass
         self.word_bias[1:][head == 0] = -np.inf
         self.class_bias[1:][head.sum(axis=1) == 0] = -np.inf
-        self.rows = np.zeros((2, s.rows, max(s.classes, s.width)), dtype=np.float32) if rows is None else rows
+        self.rows = np.zeros((2, s.rows, s.width), dtype=np.float32) if rows is None else rows
         self.seen = np.ones((2, s.rows), dtype=np.float32)
+        self.ones = np.ones(s.width, dtype=np.float32)
+        self.buffers = [np.empty((s.batch, s.width), dtype=np.float32) for _ in range(4)]
 
     def contexts(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Hashes of the features before each token: one word, two words, and skips of one and of two words. ``begins`` numbers tokens within their text."""
+        """Hashes of the features before each token: one word, two words, and a skip of one. ``begins`` numbers tokens within their text."""
         before = []
-        for k in (1, 2, 3):
+        for k in (1, 2):
             past = np.full(len(ids), 1 << 17, dtype=np.uint64)  # before a text
             past[k:] = np.where(begins[k:] >= k, ids[:-k], past[k:])
             before.append(past)
-        one, two, three = before
-        mixed = [one * _PRIMES[0] + _PRIMES[4], (one + two * _PRIMES[1]) * _PRIMES[2] + np.uint64(1), two * _PRIMES[3] + np.uint64(2), three * _PRIMES[1] + np.uint64(3)]
-        out = np.stack(mixed)
+        one, two = before
+        out = np.stack([one * _PRIMES[0] + _PRIMES[4], (one + two * _PRIMES[1]) * _PRIMES[2] + np.uint64(1), two * _PRIMES[3] + np.uint64(2)])
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(32))
 
-    def _layer(self, layer: int, keys: np.ndarray, bias: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the features and log-probabilities."""
-        at = (keys % np.uint64(self.s.rows)).astype(np.int64)
-        table_ = self.rows[layer]
-        scores = table_[at[0], :width]
-        for f in range(1, FEATURES):
-            scores += table_[at[f], :width]
-        scores += bias
-        scores -= scores.max(axis=1, keepdims=True)
-        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
-        return at, scores
+    def _layer(self, layer: int, keys: np.ndarray, bias: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the features, and the exponentials of the scores with their sums; limits on rows and biases keep these within single precision.
 
-    def _learn(self, layer: int, at: np.ndarray, scores: np.ndarray, wanted: np.ndarray) -> None:
+        Arrays of a batch are taken from buffers, as new ones would cost more than what is done with them.
+        """
+        at = (keys % np.uint64(self.s.rows)).astype(np.uint16)
+        scores, part = self.buffers[0][: keys.shape[1]], self.buffers[1][: keys.shape[1]]
+        self.rows[layer].take(at[0], axis=0, out=scores, mode="clip")
+        for f in range(1, FEATURES):
+            scores += self.rows[layer].take(at[f], axis=0, out=part, mode="clip")
+        scores += bias if own is None else bias.take(own, axis=0, out=part, mode="clip")
+        np.exp(scores, out=scores)
+        return at, scores, scores @ self.ones
+
+    def _summed(self, grad: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Sums of the groups of rows that begin at ``firsts``: the first few rows of all groups together, the rest of large groups one by one."""
+        sizes = np.diff(np.append(firsts, len(grad)))
+        total = grad.take(firsts, axis=0, out=self.buffers[2][: len(firsts)], mode="clip")
+        more, j = np.flatnonzero(sizes > 1), 1
+        while len(more) and j < 8:
+            total[more] += grad.take(firsts[more] + j, axis=0, out=self.buffers[3][: len(more)], mode="clip")
+            j += 1
+            more = more[sizes[more] > j]
+        for i in more.tolist():
+            total[i] += grad[firsts[i] + j : firsts[i] + sizes[i]].sum(axis=0)
+        return total
+
+    def _learn(self, layer: int, at: np.ndarray, mass: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> None:
         """One step of the row-wise adaptive gradient for a batch."""
-        width = scores.shape[1]
-        grad = np.exp(scores, out=scores)
-        grad[np.arange(len(wanted)), wanted] -= 1
+        mass /= sums[:, None]
+        mass[np.arange(len(wanted)), wanted] -= 1
+        rows_, seen = self.rows[layer], self.seen[layer]
         for f in range(FEATURES):
-            order = np.argsort(at[f], kind="stable")
+            order = np.argsort(at[f], kind="stable")  # a radix sort for 16 bits
             sorted_ = at[f][order]
             firsts = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
             rows = sorted_[firsts]
-            total = np.add.reduceat(grad[order], firsts, axis=0)
-            self.seen[layer, rows] += (total * total).sum(axis=1)
-            self.rows[layer, rows, :width] -= total * (self.s.rate / np.sqrt(self.seen[layer, rows]))[:, None]
+            total = self._summed(mass.take(order, axis=0, out=self.buffers[1][: len(order)], mode="clip"), firsts)
+            seen[rows] += np.einsum("ij,ij->i", total, total)
+            total *= (self.s.rate / np.sqrt(seen[rows]))[:, None]
+            left = rows_.take(rows, axis=0, out=self.buffers[3][: len(rows)], mode="clip")
+            left -= total
+            rows_[rows] = left
 
     def go_over(self, ids: np.ndarray, begins: np.ndarray, learn: bool = False) -> np.ndarray:
         """Natural log-probability of each token given those before it in its text (of the open class as a whole for id 0)."""
         s, out = self.s, np.zeros(len(ids))
-        keys = self.contexts(ids.astype(np.uint64), begins)
-        classes = np.where(ids > 0, 1 + (ids - 1) // s.width, 0)
-        places = (ids - 1) % s.width
+        if learn:
+            np.clip(self.rows, -LIMIT / 2, LIMIT / 2, out=self.rows)
         for a in range(0, len(ids), s.batch):
-            k, own = keys[:, a : a + s.batch], classes[a : a + s.batch]
-            at, scores = self._layer(0, k, self.class_bias, s.classes)
-            out[a : a + s.batch] = scores[np.arange(len(own)), own]
+            b, back = min(len(ids), a + s.batch), min(a, 2)
+            k = self.contexts(ids[a - back : b].astype(np.uint64), begins[a - back : b])[:, back:]
+            own = np.where(ids[a:b] > 0, 1 + (ids[a:b] - 1) // s.width, 0)
+            at, mass, sums = self._layer(0, k, self.class_bias)
+            out[a:b] = np.log(mass[np.arange(len(own)), own] / sums)
             if learn:
-                self._learn(0, at, scores, own)
+                self._learn(0, at, mass, sums, own)
             inside = np.flatnonzero(own)
             if len(inside):
-                own, word = own[inside], places[a : a + s.batch][inside]
+                own, word = own[inside], (ids[a:b][inside] - 1) % s.width
                 k = k[:, inside] + own.astype(np.uint64) * _PRIMES[2]
                 k ^= k >> np.uint64(31)
-                at, scores = self._layer(1, k, self.word_bias[own], s.width)
-                out[a + inside] += scores[np.arange(len(own)), word]
+                at, mass, sums = self._layer(1, k, self.word_bias, own)
+                out[a + inside] += np.log(mass[np.arange(len(own)), word] / sums)
                 if learn:
-                    self._learn(1, at, scores, word)
+                    self._learn(1, at, mass, sums, word)
         return out
 
 
@@ -193,7 +214,7 @@ def lexicon_of(counts: DataFrame, settings: Settings) -> Lexicon:
     listed = [(bytes(r.word), r.n) for r in top.collect()]
     if not listed or listed[0][0] != END:  # nothing to learn from
         listed = []
-    return Lexicon(listed, sums.n or 0, sums.v, (settings.classes - 1) * settings.width)
+    return Lexicon(listed, sums.n or 0, sums.v, (settings.width - 1) * settings.width)
 
 
 def encode(docs: DataFrame, lexicon: Lexicon, settings: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -248,7 +269,7 @@ def _average(parts: DataFrame, settings: Settings, tasks: int) -> np.ndarray:
     schema = "block int, task int, weight double, rows binary"
     some = parts.withColumn("task", F.col("task") % across).groupBy("block", "task").applyInArrow(added, schema)
     found = some.groupBy("block").applyInArrow(added, schema).select("block", "rows").collect()
-    out = np.zeros((2 * settings.rows // settings.block, settings.block, max(settings.classes, settings.width)), dtype=np.float32)
+    out = np.zeros((2 * settings.rows // settings.block, settings.block, settings.width), dtype=np.float32)
     for r in found:
         out[r.block] = np.frombuffer(r.rows, dtype=np.float32).reshape(out.shape[1:])
     return out.reshape(2, settings.rows, -1)

@@ -12,7 +12,7 @@ import pytest
 from evigraph.llm.language_model import END, Lexicon, Model, Settings, language_model_scores, op12_language_model
 from evigraph.llm.shared import table
 
-SMALL = Settings(classes=4, width=4, rows=64, listed=20, batch=32, block=16)
+SMALL = Settings(width=4, rows=64, listed=20, batch=32, block=16)
 
 
 def restated(rows, mod=7):
