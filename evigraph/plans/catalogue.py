@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import detector_queries, findings_queries, graph_queries, link_queries, resolve_queries, text_queries
+from . import detector_queries, findings_queries, graph_queries, link_queries, resolve_queries, text_queries, wiring_queries
 
-_MODULES = (detector_queries, findings_queries, graph_queries, link_queries, resolve_queries, text_queries)
+_MODULES = (detector_queries, findings_queries, graph_queries, link_queries, resolve_queries, text_queries, wiring_queries)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
