@@ -41,6 +41,8 @@ class Settings:
     batch: int = 8192
     held_out_mod: int = 7
     held_out_is: int = 2
+    #: A training task goes over so many tokens at least.
+    task_tokens: int = 1 << 21
     #: Rows that are averaged together.
     block: int = 64
 
@@ -300,7 +302,9 @@ def train(encoded: DataFrame, lexicon: Lexicon, settings: Settings) -> Model:
                     some = [b.tobytes() for b in blocks[a : a + 64]]
                     yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(some)), pa.int32()), pa.array([task] * len(some), pa.int32()), pa.array([float(seen)] * len(some)), pa.array(some, pa.binary())], names=["block", "task", "weight", "rows"])
 
-        chosen = encoded.where(f"NOT held_out AND part = {part}").select("ids", F.spark_partition_id().alias("task"))
+        # a task sends all of its model, so it gets enough to learn from
+        tasks = -(-lexicon.total // (settings.rounds * settings.task_tokens))
+        chosen = encoded.where(f"NOT held_out AND part = {part}").coalesce(max(1, tasks)).select("ids", F.spark_partition_id().alias("task"))
         parts = materialise(chosen.mapInArrow(learned, "block int, task int, weight double, rows binary"), "lm-gradients")
         tasks = parts.where("block = 0").count()
         if tasks:
