@@ -47,14 +47,19 @@ def spans_of(text: Column, pattern: str, kind: str, group: int = 0, least: int =
     return F.when(text.rlike(pattern), spans).otherwise(none())
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _placed(lengths: Column) -> Column:
     """array<struct<start, end>> of matches from array<struct<m, g>>, their lengths and those of the gaps before them.
 
     Appending to an array copies it, so sums run within chunks, then over chunks: a text with very many matches costs them times a chunk's size.
     """
     empty = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(lengths), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)))
-    inner = F.transform(
+    chunks = _let(lengths, lambda every: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(every), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(every, k * CHUNK + 1, F.lit(CHUNK))))
+    summed = F.transform(
         chunks,
         lambda chunk: F.aggregate(
             chunk,
@@ -64,8 +69,8 @@ def _placed(lengths: Column) -> Column:
             ),
         ),
     )
-    before = F.aggregate(inner, F.struct(F.lit(0).alias("at"), empty("int").alias("offs")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"])).alias("offs")), lambda acc: acc["offs"])
-    return F.flatten(F.zip_with(inner, before, lambda c, off: F.transform(c["out"], lambda p: F.struct((p["start"] + off).alias("start"), (p["end"] + off).alias("end")))))
+    before = lambda inner: F.aggregate(inner, F.struct(F.lit(0).alias("at"), empty("int").alias("offs")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["offs"], F.array(acc["at"])).alias("offs")), lambda acc: acc["offs"])
+    return _let(summed, lambda inner: F.flatten(F.zip_with(inner, before(inner), lambda c, off: F.transform(c["out"], lambda p: F.struct((p["start"] + off).alias("start"), (p["end"] + off).alias("end"))))))
 
 
 def none() -> Column:
@@ -76,16 +81,29 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cells(spans: DataFrame, scope: int, reach: int = 0) -> DataFrame:
+    """``spans`` with a row for each cell of ``scope`` code points that they, and ``reach`` code points around them, touch."""
+    return spans.withColumn("cell", F.explode(F.expr(f"sequence(greatest(start - {reach}, 0) DIV {scope}, greatest(end - 1 + {reach}, start) DIV {scope})")))
+
+
+def without_covered(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
+    """``parts`` without the weak ones that overlap a strong one; spans meet in the cells that both touch, so a text with many spans costs no more
+    for each than what a cell holds."""
+    strong = _cells(parts.where("NOT weak"), scope).select(*keys, "cell", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
+    weak = parts.where("weak")
+    met = _cells(weak, scope).join(strong, [*keys, "cell"]).where("s_start < end AND s_end > start").select(*keys, "start", "ord").distinct()
+    return parts.where("NOT weak").unionByName(weak.join(met, [*keys, "start", "ord"], "left_anti").select(parts.columns))
+
+
 def linked_weak(parts: DataFrame, keys: list[str], scope: int) -> DataFrame:
     """Weak parts of ``parts`` (keys, start, end, kind, role, weak) whose complementary parts lie at most ``scope`` code points away.
 
     Interval join: a part's neighbourhood covers one to a few cells of ``scope`` code points; parts meet in a cell by an equality
     join and the distance is checked there. Spans do not overlap within a kind, so a cell holds a bounded number of them; they travel as one
-    array for each cell and role, and of a partner only its role is kept.
+    array for each cell and role, and of a partner only its role is kept. Keys are never null.
     """
-    ends = parts.withColumn("cell", F.explode(F.expr(f"sequence(start DIV {scope}, greatest(end - 1, start) DIV {scope})")))
-    bounds = ends.groupBy(*keys, "role", "cell").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    weak = parts.where("weak").withColumn("cell", F.explode(F.expr(f"sequence(greatest(start - {scope}, 0) DIV {scope}, (end + {scope}) DIV {scope})")))
+    bounds = _cells(parts, scope).groupBy(*keys, "role", "cell").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    weak = _cells(parts.where("weak"), scope, scope + 1)
     near = weak.alias("w").join(bounds.withColumnRenamed("role", "other").alias("b"), [*keys, "cell"])
     near = near.where("role != other").where(f"exists(spans, s -> s.start <= w.end + {scope} AND s.end >= w.start - {scope})")
     needs = F.create_map(*[x for role, wanted in NEEDS.items() for x in (F.lit(role), F.array(*map(F.lit, wanted)))])
@@ -98,26 +116,22 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``base`` has the strong kinds. ``added`` has weak account names with a secret within ``scope`` code points, weak token-like
     strings with an identifier there, and endpoints with both. Weak spans that overlap a strong one are not reported. Null texts
-    are empty; repeated rows get equal results; an empty table gives none; further columns are ignored. Only texts with a weak
-    part and another role take part in the join, so rows without candidates are never shuffled with their texts.
+    are empty; rows are told apart by numbers of their own, so rows without an id, and rows that repeat an id, are scanned and linked like others;
+    texts of any length are scanned whole, and linking grows with the number of their spans; an empty table gives no row; further columns are ignored.
+    Only spans of texts with a weak part and another role take part in the joins; texts are never shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    rows = rows.select("_id", "_text", F.concat(*[spans_of(F.col("_text"), p, k, g, n) for k, p, g, n in BASE]).alias("base"))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select("_row", "_id", "_text", F.concat(*[spans_of(F.col("_text"), p, k, g, n) for k, p, g, n in BASE]).alias("base"))
     maybe = F.exists("base", lambda s: s["kind"] == "access") | F.col("_text").rlike(WEAK[0][1])
-    rows = rows.withColumn("weak", F.when(maybe, F.concat(*[spans_of(F.col("_text"), p, k) for k, p, _ in WEAK])).otherwise(none()))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    rows = rows.select("_id", "base", free.alias("weak"), F.when(F.size(free) > 0, F.sha2(F.col("_text"), 256)).alias("_sha"))
-    rows = materialise(rows, "secret-spans")  # texts are scanned once; what follows reads spans only
+    weak = F.when(maybe, F.concat(*[spans_of(F.col("_text"), p, k) for k, p, _ in WEAK])).otherwise(none())
+    rows = materialise(rows.select("_row", "_id", "base", weak.alias("weak")), "secret-spans")  # texts are scanned once; what follows reads spans only
     role = F.create_map(*[F.lit(x) for kind, r in ROLES.items() for x in (kind, r)])
     several = F.size(F.array_distinct(F.transform(F.concat("base", "weak"), lambda s: role[s["kind"]]))) > 1
-    candidates = rows.where((F.size("weak") > 0) & several)
-    parts = candidates.select("_id", "_sha", F.explode(F.concat("base", "weak")).alias("s")).distinct()
-    parts = parts.select("_id", "_sha", "s.*").withColumns({"role": role[F.col("kind")], "weak": F.col("ord") >= len(BASE)})
-    found = linked_weak(parts, ["_id", "_sha"], scope).groupBy("_id", "_sha").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("added"))
-    plain = rows.where(~((F.size("weak") > 0) & several) | F.col("_sha").isNull()).select("_id", "base", none().alias("added"))
-    joined = candidates.join(found.withColumnsRenamed({"_id": "f_id", "_sha": "f_sha"}), F.col("_id").eqNullSafe(F.col("f_id")) & (F.col("_sha") == F.col("f_sha")), "left")
-    return plain.unionByName(joined.select("_id", "base", F.coalesce("added", none()).alias("added"))).withColumnRenamed("_id", id_col)
+    parts = rows.where((F.size("weak") > 0) & several).select("_row", F.explode(F.concat("base", "weak")).alias("s")).select("_row", "s.*")
+    parts = parts.withColumns({"role": role[F.col("kind")], "weak": F.col("ord") >= len(BASE)})
+    found = linked_weak(without_covered(parts, ["_row"], scope), ["_row"], scope).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "end", "kind"))).alias("added"))
+    return rows.select("_row", "_id", "base").join(found, "_row", "left").select(F.col("_id").alias(id_col), "base", F.coalesce("added", none()).alias("added"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
