@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .graph import closure, cut
 
-#: Remarks that are put behind messages of findings in files that nothing reaches or runs (fixed values; fingerprints leave them out).
-UNREACHABLE_NOTE = " [no scanned entrypoint imports this file]"
-UNDEPLOYED_NOTE = " [not run by any deployment manifest found]"
+#: Remarks that are put behind messages of findings in files that nothing reaches or runs; fingerprints leave the second one out, whatever it names (fixed value).
+UNREACHABLE_NOTE = " [nothing that starts imports this file]"
+UNDEPLOYED_NOTE = " [not run by any deployment manifest found: {}]"
 
 
 def liveness(files: DataFrame, imports: DataFrame, roots: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def route_exposure(files: DataFrame, imports: DataFrame, targets: DataFrame | No
 
 def demote(findings: DataFrame, exposed: DataFrame) -> DataFrame:
     """``findings`` (file, exposure, message, ...) with the exposure of files that ``route_exposure`` lists and a remark behind their messages; none is dropped."""
-    marks = exposed.select(F.col("id").alias("file"), F.col("exposure").alias("marked")).distinct()
-    note = F.when(F.col("marked") == "unreachable", F.lit(UNREACHABLE_NOTE)).when(F.col("marked") == "undeployed", F.lit(UNDEPLOYED_NOTE)).otherwise("")
+    marks = exposed.groupBy(F.col("id").alias("file")).agg(F.min(F.struct("exposure", "reason")).alias("m")).select("file", F.col("m.exposure").alias("marked"), "m.reason")
+    undeployed = F.replace(F.lit(UNDEPLOYED_NOTE), F.lit("{}"), F.coalesce("reason", F.lit("")))
+    note = F.when(F.col("marked") == "unreachable", F.lit(UNREACHABLE_NOTE)).when(F.col("marked") == "undeployed", undeployed).otherwise("")
     joined = findings.join(marks, "file", "left")
     return joined.withColumns({"exposure": F.coalesce("marked", "exposure"), "message": F.concat("message", note)}).select(findings.columns)

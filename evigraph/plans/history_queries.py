@@ -97,7 +97,7 @@ ORACLES = {
     "route_exposure": f"WITH RECURSIVE {_TREE_SQL}, {_LIVE_SQL} {_EXPOSED_SQL} UNION ALL {_UNDEPLOYED_SQL}",
     "route_exposure_unknown": f"WITH RECURSIVE {_TREE_SQL} {_EXPOSED_SQL}",
     "exposure_demotion": f"""WITH RECURSIVE {_TREE_SQL}, {_LIVE_SQL}, x AS ({_EXPOSED_SQL} UNION ALL {_UNDEPLOYED_SQL})
-SELECT coalesce(exposure, 'authenticated') AS exposure, 'flag ' || l_returnflag || CASE exposure WHEN 'unreachable' THEN '{X.UNREACHABLE_NOTE}' WHEN 'undeployed' THEN '{X.UNDEPLOYED_NOTE}' ELSE '' END AS message, count(*) AS n
+SELECT coalesce(exposure, 'authenticated') AS exposure, 'flag ' || l_returnflag || CASE exposure WHEN 'unreachable' THEN '{X.UNREACHABLE_NOTE}' WHEN 'undeployed' THEN replace('{X.UNDEPLOYED_NOTE}', '{{}}', reason) ELSE '' END AS message, count(*) AS n
 FROM lineitem LEFT JOIN x ON file_id = l_partkey GROUP BY ALL""",
     "column_intervals": f"""WITH {_CHANGES_SQL},
 o AS (SELECT package, t, seq, unnest(cols) AS c, true AS open FROM ch WHERE kind = 'create' UNION ALL SELECT package, t, seq, CASE kind WHEN 'add' THEN c ELSE c2 END, true FROM ch WHERE kind IN ('add', 'rename')
