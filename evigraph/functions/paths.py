@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import DYNAMIC, route_segments
+from .scalars import DYNAMIC, camel_words, route_segments
 
 # Fixed names: directories of migrations; prefixes of frameworks and words of an origin that is the repository's own interface.
 MIGRATION_DIRS = ("migrations", "migration", "migrate")
@@ -18,20 +18,16 @@ OWN_ORIGIN_WORDS = (
 
 def is_migration_path(path: Column) -> Column:
     """A file below a directory of migrations, or below ``versions`` where another directory tells of migrations."""
-    parts = F.split(F.lower(path), "/")
-    above = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    named = F.arrays_overlap(above, F.array(*map(F.lit, MIGRATION_DIRS)))
-    return named | (F.array_contains(above, "versions") & F.exists(above, lambda p: F.contains(p, F.lit("alembic")) | F.contains(p, F.lit("migration"))))
+    low = F.lower(path)
+    named = low.rlike(f"(^|/)({'|'.join(MIGRATION_DIRS)})/")
+    return named | (low.rlike("(^|/)versions/") & low.rlike("(alembic|migration)[^/]*/"))
 
 
 def own_origin(name: Column, listed: tuple[str, ...] = ()) -> Column:
-    """Whether an origin with this name is the repository's own: listed, or made of words for such, a framework's prefix aside."""
-    words = F.transform(F.regexp_extract_all(name, F.lit("[A-Z]?[a-z0-9]+|[A-Z0-9]+(?![a-z])"), F.lit(0)), lambda w: F.lower(w))
-    begins = lambda p: (F.size(words) > len(p)) & (F.slice(words, 1, len(p)) == F.array(*map(F.lit, p)))
-    skip = F.coalesce(*[F.when(begins(p), F.lit(len(p))) for p in ORIGIN_PREFIXES], F.lit(0))
-    rest = F.slice(words, skip + 1, F.size(words))
-    known = F.array(*map(F.lit, OWN_ORIGIN_WORDS))
-    return F.lower(name).isin(*[x.lower() for x in listed]) | (F.size(F.array_except(rest, known)) == 0) if listed else F.size(F.array_except(rest, known)) == 0
+    """Whether an origin with this name is the repository's own: listed, or made of words for such alone, after the prefix of a framework."""
+    prefixes = "|".join(" ".join(p) for p in ORIGIN_PREFIXES)
+    own = F.array_join(camel_words(name), " ").rlike(f"^(({prefixes}) (?=.))?(({'|'.join(OWN_ORIGIN_WORDS)})( |$))*$")
+    return own | F.lower(name).isin(*[x.lower() for x in listed]) if listed else own
 
 
 def declares(detail: Column) -> Column:
@@ -41,16 +37,17 @@ def declares(detail: Column) -> Column:
 
 def with_api_prefix(route: Column, prefix: str) -> Column:
     """The route below a configured prefix, unless it is already."""
-    if not prefix.strip("/"):
+    steps = [x for x in prefix.split("/") if x]
+    if not steps:
         return route
-    base = "/" + prefix.strip("/")
-    bare = F.concat(F.lit("/"), F.ltrim(route, F.lit("/")))
-    return F.when((bare == base) | F.startswith(bare, F.lit(base + "/")), route).when(route == "", F.lit(base)).otherwise(F.concat(F.lit(base), bare))
+    begins = F.slice(route_segments(route), 1, len(steps)) == F.array(*map(F.lit, steps))
+    below = F.concat_ws("/", F.lit(""), *map(F.lit, steps), F.when(route != "", F.ltrim(route, F.lit("/"))))
+    return F.when(begins, route).otherwise(below)
 
 
 def snake(name: Column) -> Column:
     """``fooBarID`` as ``foo_bar_id``: an underscore where a capital follows a small letter or digit."""
-    return F.lower(F.array_join(F.split(name, "(?<=[a-z0-9])(?=[A-Z])"), "_"))
+    return F.lower(F.regexp_replace(name, r"(?<=[\p{Lower}\p{Digit}])(?=\p{Upper})", "_"))
 
 
 def pluralize(name: Column) -> Column:
@@ -74,15 +71,36 @@ def evidence_path(evidence: Column) -> Column:
     return F.regexp_replace(F.coalesce(evidence, F.lit("")), r"(?::[0-9]+){1,2}$", "")
 
 
+#: What a reader of routes does at a token, by what it is in: in, token, next, what it writes. ``name`` is any name, ``*`` any token; the first row that fits counts.
+_READER = (
+    ("text", "[", "bracket", "{"), ("text", ":", "colon", ""), ("text", "{", "brace", "{"), ("text", "*", "text", "token"),
+    ("bracket", "[", "bracket", ""), ("bracket", ".", "bracket", ""), ("bracket", "]", "closed", "}"), ("bracket", "*", "bracket", "token"),
+    ("closed", "]", "closed", ""), ("closed", ":", "colon", ""), ("closed", "{", "brace", "{"), ("closed", "[", "bracket", "{"), ("closed", "*", "text", "token"),
+    ("colon", "name", "named", "{token}"), ("colon", "*", "text", ":token"),
+    ("named", "?", "named", ""), ("named", "+", "named", ""), ("named", "(", "rule", ""), ("named", ":", "colon", ""), ("named", "{", "brace", "{"), ("named", "*", "text", "token"),
+    ("rule", ")", "named", ""), ("rule", "*", "rule", ""),
+    ("brace", ":", "kind", ""), ("brace", "}", "text", "}"), ("brace", "*", "brace", "token"),
+    ("kind", "}", "text", "}"), ("kind", "*", "kind", ""),
+)
+
+
 def documented_route(route: Column) -> tuple[Column, Column]:
-    """Path template with the source's parameter names, and these names in order: ``/orders/[id]``, ``/orders/:id`` and ``/orders/{id:int}`` alike."""
+    """Path template with the source's parameter names, and these names in order: ``/orders/[id]``, ``/orders/:id`` and ``/orders/{id:int}`` alike, and
+    ``/trips/:from-:to`` with both. A segment is read token by token, names being one."""
+
+    def step(state: Column, token: Column) -> Column:
+        after, written = F.lit("text"), token
+        for at, seen, then, out in reversed(_READER):
+            fits = F.lit(True) if seen == "*" else token.rlike("^[A-Za-z_$]") if seen == "name" else token == seen
+            said = {"token": token, "{token}": F.concat(F.lit("{"), token, F.lit("}")), ":token": F.concat(F.lit(":"), token)}.get(out, F.lit(out))
+            here = (state["at"] == at) & fits
+            after, written = F.when(here, F.lit(then)).otherwise(after), F.when(here, said).otherwise(written)
+        return F.struct(after.alias("at"), F.concat(state["out"], written).alias("out"))
 
     def shown(segment: Column) -> Column:
-        inner = F.regexp_replace(segment, r"^\[\[?(?:\.\.\.)?|\]\]?$", "")
-        bracketed = F.startswith(segment, F.lit("[")) & F.endswith(segment, F.lit("]"))
-        colon = F.regexp_extract(segment, r"^:([A-Za-z_$][A-Za-z0-9_$]*)", 1)
-        converted = F.regexp_replace(segment, r"\{([A-Za-z_][A-Za-z0-9_-]*):[^{}]*\}", "{$1}")
-        return F.when(bracketed, F.concat(F.lit("{"), F.trim(inner), F.lit("}"))).when(colon != "", F.concat(F.lit("{"), colon, F.lit("}"))).otherwise(converted)
+        tokens = F.regexp_extract_all(segment, F.lit("[A-Za-z0-9_$]+|[^A-Za-z0-9_$]"), F.lit(0))
+        start = F.struct(F.lit("text").alias("at"), F.lit("").alias("out"))
+        return F.aggregate(tokens, start, step, lambda s: F.when(s["at"] == "colon", F.concat(s["out"], F.lit(":"))).otherwise(s["out"]))
 
     path = F.concat(F.lit("/"), F.array_join(F.transform(route_segments(F.trim(route)), shown), "/"))
     return path, F.regexp_extract_all(path, F.lit(r"\{([^{}]+)\}"), F.lit(1))
@@ -97,10 +115,12 @@ def openapi_path(route: Column) -> Column:
 def column_hint(columns: Column, written: Column) -> Column:
     """struct(kind, column): of the declared columns the one that a reference to an unknown one most likely means: the only one that differs by
     case, or the only one with the same words; NULL without one."""
-    case = F.filter(columns, lambda c: (F.lower(c) == F.lower(written)) & (c != written))
-    similar = F.filter(columns, lambda c: (c == snake(written)) | (snake(c) == snake(written)))
-    hint = lambda kind, of: F.struct(F.lit(kind).alias("kind"), F.get(of, F.lit(0)).alias("column"))
-    return F.when(F.size(case) == 1, hint("case", case)).when((F.size(similar) == 1) & (F.get(similar, F.lit(0)) != written), hint("similar", similar))
+
+    def only(kind: str, key) -> Column:
+        alike = F.filter(columns, lambda c: (key(c) == key(written)) & (c != written))
+        return F.when(F.size(alike) == 1, F.struct(F.lit(kind).alias("kind"), F.get(alike, F.lit(0)).alias("column")))
+
+    return F.coalesce(only("case", F.lower), only("similar", snake))
 
 
 __all__ = ["DYNAMIC", "column_hint", "declares", "documented_route", "evidence_path", "is_migration_path", "is_store_list", "openapi_path", "own_origin", "pluralize", "snake", "with_api_prefix"]

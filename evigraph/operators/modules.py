@@ -47,8 +47,8 @@ def probe(bases: DataFrame, files: DataFrame, key: list[str], endings: tuple[str
 
 
 def inherited(configs: DataFrame) -> DataFrame:
-    """Configurations (folder, extends, base_url, patterns) with what they inherit: (folder, base, has_base, patterns), paths being relative to the folder of the
-    configuration that states them.
+    """Configurations (folder, extends, base_url, patterns) with what they inherit: (folder, base, base_url, patterns): where its patterns lead from, and its base if
+    one is stated. Paths are relative to the folder of the configuration that states them; a folder has one configuration.
 
     A configuration's own base and its own patterns each replace those that it extends. Chains are followed by doubling: a round replaces what a
     configuration extends by what that one extends, taking over what is still missing; circles end with what was found on them.
@@ -138,7 +138,7 @@ def export_origins(wanted: DataFrame, definitions: DataFrame, reexports: DataFra
     """(file, name, origin, origin_name, state): where names (file, name) that a file offers are defined.
 
     ``definitions`` has file and name, ``reexports`` file, place, public, target and imported. A file's own definition shadows its named re-exports, these its
-    ``*`` re-exports; of several that could give a name the first by place decides. ``default`` does not pass through a ``*``; a re-export of a whole
+    ``*`` re-exports; of several named ones the first by place decides, of several files behind stars the nearest, then the first. ``default`` does not pass through a ``*``; a re-export of a whole
     module under a name (``imported`` is ``*``) ends there, with the state ``module``. States are ``found``, ``module``, ``missing`` (the
     chain ends at a file without the name) and ``circle``.
 
@@ -174,12 +174,14 @@ def export_origins(wanted: DataFrame, definitions: DataFrame, reexports: DataFra
 
 
 def star_reach(stars: DataFrame) -> DataFrame:
-    """(file, to, way): files that others reach by ``*`` re-exports alone, each pair once, by the way whose places come first. A round joins ways to twice as
-    long ones, so a chain of n stars takes about log2(n) rounds."""
-    seen = cut(stars.where("file != to").select("file", "to", F.array("place").alias("way")))
+    """(file, to, way): files that others reach by ``*`` re-exports alone, each pair once, by the way with the fewest hops, of these by the one whose places come
+    first; the way holds their number, then the places. A round joins ways to twice as long ones, so a chain of n stars takes about log2(n) rounds; circles
+    only make ways longer, so they end."""
+    seen = cut(stars.where("file != to").select("file", "to", F.struct(F.lit(1).alias("hops"), F.array("place").alias("places")).alias("way")))
     while True:
         ahead = seen.select(F.col("file").alias("to"), F.col("to").alias("further"), F.col("way").alias("rest"))
-        moved = seen.join(ahead, "to").where("further != file").select("file", F.col("further").alias("to"), F.concat("way", "rest").alias("way"))
+        longer = F.struct((F.col("way.hops") + F.col("rest.hops")).alias("hops"), F.concat("way.places", "rest.places").alias("places"))
+        moved = seen.join(ahead, "to").where("further != file").select("file", F.col("further").alias("to"), longer.alias("way"))
         better = moved.groupBy("file", "to").agg(F.min("way").alias("way")).join(seen.withColumnRenamed("way", "old"), ["file", "to"], "left").where("old IS NULL OR way < old").drop("old")
         better = cut(better)
         if better.isEmpty():
