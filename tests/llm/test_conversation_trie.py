@@ -66,7 +66,7 @@ def test_trie_of_mixed_conversations(spark):
 
 
 def test_long_copies_are_retired_at_once(spark):
-    rows = [(c, t, "user", f"t{t}") for c in (5, 6, 8) for t in range(2500)] + [(9, 0, "user", "t0"), (9, 1, "bot", "else")]
+    rows = [(c, t, "user", f"t{t}") for c in (5, 6, 8) for t in range(300)] + [(9, 0, "user", "t0"), (9, 1, "bot", "else")]
     assert nodes(spark, rows) == plain_trie(rows)
 
 
