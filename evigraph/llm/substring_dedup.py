@@ -23,7 +23,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,7 +93,7 @@ def _anchors(settings: Settings):
 
 def _windows(settings: Settings):
     def run(key, docs, shared):
-        empty = pa.table({n: pa.array([], t) for n, t in (("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.int64()))})
+        empty = pa.table({n: pa.array([], t) for n, t in (("h1", pa.int64()), ("h2", pa.int32()), ("lo", pa.int64()), ("more", pa.bool_()), ("block", pa.int32()))})
         if not shared.num_rows or not docs.num_rows:
             return empty
         block = Block(docs, settings)
@@ -108,7 +108,8 @@ def _windows(settings: Settings):
         h1, h2, ids = h1[order], h2[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
         low = np.minimum.reduceat(ids, first)
-        return pa.table({"h1": h1[first], "h2": h2[first], "lo": low, "more": np.maximum.reduceat(ids, first) - low})
+        more = np.maximum.reduceat(ids, first) > low
+        return pa.table({"h1": h1[first], "h2": h2[first], "lo": low, "more": more, "block": np.full(len(first), key[0].as_py(), dtype=np.int32)})
 
     return run
 
@@ -197,13 +198,18 @@ def _kept(settings: Settings, digest_only: bool):
     return run
 
 
+def dealt(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` (own, text) with their ``block``; by the text too, so rows without an id, or with one that repeats, are dealt like others."""
+    return rows.withColumn("block", F.pmod(F.xxhash64("own", "text"), F.lit(count)).cast("int"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings(), digest_only: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept, kept_sha256) per row of ``docs``; ``digest_only`` leaves out the kept text.
 
     A word goes if a window of ``width`` words that covers it, within its document, also starts in a document with a smaller
     id. Windows are judged on the input. Null and empty texts have no words; texts shorter than a window lose nothing;
-    rows that repeat an id keep their words unless a smaller id has them; rows without an id come before all others; an empty table
-    gives no row; further columns are ignored. Texts may be of any length. Ids must be integers, of less than 2^62 in amount.
+    rows that repeat an id keep their words unless a smaller id has them; rows without an id come before all others; rows are dealt
+    to blocks by id and text, so only rows equal in both meet in one block for sure; an empty table gives no row; further columns are ignored. Texts may be of any length. Ids must be integers, of less than 2^62 in amount.
     """
     spark = docs.sparkSession
     id_ = F.col(id_col).cast("long")
@@ -211,18 +217,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     count = max(1, -(-documents // settings.documents), -(-chars // settings.block))
 
-    def block_of(id_: Column) -> Column:
-        return F.pmod(F.xxhash64(id_), F.lit(count)).cast("long")
-
-    rows = rows.withColumn("block", block_of(F.col("own"))).repartition(shuffle_width(spark), "block")
+    rows = dealt(rows, count).repartition(shuffle_width(spark), "block")
     anchors = rows.groupBy("block").applyInArrow(_anchors(settings), "anchor long, place long").repartition(shuffle_width(spark), "anchor")
     same = W.partitionBy("anchor")
     shared = anchors.select("anchor", "place", F.count("*").over(same).alias("n"), F.min("place").over(same).alias("p")).where("n > 1 OR p < 0")
-    shared = shared.select("anchor", F.expr("IF(place < 0, -1 - place, place) AS block"))
+    shared = shared.select("anchor", F.expr("CAST(IF(place < 0, -1 - place, place) AS int) AS block"))
     by_block = rows.groupBy("block")
-    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_windows(settings), "h1 long, h2 int, lo long, more long").repartition(shuffle_width(spark), "h1", "h2")
+    windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_windows(settings), "h1 long, h2 int, lo long, more boolean, block int").repartition(shuffle_width(spark), "h1", "h2")
     same = W.partitionBy("h1", "h2")
-    confirmed = windows.select("h1", "lo", "more", F.min("lo").over(same).alias("first")).where("lo + more > first").select("h1", "first", block_of(F.col("lo")).alias("block"))
+    confirmed = windows.select("h1", "lo", "more", "block", F.min("lo").over(same).alias("first")).where("lo > first OR more").select("h1", "first", "block")
     out = rows.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(
         _kept(settings, digest_only), "id long, n_words long, n_removed long, " + ("" if digest_only else "kept string, ") + "kept_sha256 string"
     )

@@ -14,7 +14,7 @@ from evigraph.llm.packing import pack, tokenizer_path
 from evigraph.llm.quality_rules import keep_good, quality_rules
 from evigraph.llm.rule_ensemble import quality_scores
 from evigraph.llm.secrets import secret_scan
-from evigraph.llm.substring_dedup import substring_dedup
+from evigraph.llm.substring_dedup import NO_ID, Settings, dealt, substring_dedup
 from evigraph.llm.url_filter import url_filter
 from evigraph.llm.warc import read_warc, write_warc
 
@@ -201,3 +201,18 @@ def test_url_filter(spark):
     assert got == [(1, "", "", "allow"), (2, "", "", "allow"), (3, "", "", "allow"), (4, "a.com", "a.com", "block"), *[(5, "sub.a.com", "sub.a.com/p", "allow")] * 2, (6, "ba.com", "", "allow"), (7, "a.com.", "", "allow")]
     assert url_filter(pages.limit(0), rules).collect() == []
     assert {r.verdict for r in url_filter(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_many_rows_without_an_id_are_dealt_to_blocks(spark):
+    """10,000 rows without an id and 2,000 that repeat one: no block holds them all, and what they share is decided as within one block."""
+    passage = " ".join(f"p{i}" for i in range(15))
+    rows = spark.range(13_000).selectExpr("CASE WHEN id < 10000 THEN NULL WHEN id < 12000 THEN 7 ELSE id END AS doc_id", f"concat('own', id, ' ', CASE WHEN id % 3 = 0 THEN '{passage}' ELSE concat_ws(' ', transform(sequence(1, 15), i -> concat('w', id, 'x', i))) END) AS text")
+    blocks = dealt(rows.selectExpr(f"coalesce(doc_id, {NO_ID}) AS own", "text"), 50).groupBy("block").count().collect()
+    assert len(blocks) == 50 and max(b["count"] for b in blocks) < 2 * 13_000 / 50
+    got = substring_dedup(rows, settings=Settings(documents=300), digest_only=True)
+    shown = got.selectExpr("coalesce(doc_id, -1) AS id", "n_removed").groupBy("id", "n_removed").count().collect()
+    first = {(r.id, r.n_removed): r["count"] for r in shown if r.id < 8}
+    # a passage goes where a smaller id has it; rows without an id come first and keep theirs
+    repeated = sum(i % 3 == 0 for i in range(10_000, 12_000))
+    assert first == {(-1, 0): 10_000, (7, 15): repeated, (7, 0): 2_000 - repeated}
+    assert {r.n_removed for r in shown if r.id % 3 == 0 and r.id > 7} == {15}
