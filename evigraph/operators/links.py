@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import running_before
+
 #: Uses and definitions meet in blocks of so many lines.
 BLOCK = 256
 # Fixed mapping of an issue's severity to severity and confidence of its finding.
@@ -46,10 +48,10 @@ def latest_before(uses: DataFrame, bindings: DataFrame, keys: list[str], at: str
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("own").select(*uses.columns, value)
 
 
-def row_budget(groups: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """groups (name, n) with ``shown``: rows of each, in order, until the budget is spent. Totals per group are few, so one task adds them up."""
-    before = F.coalesce(F.sum("n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return groups.withColumn("shown", F.least("n", F.greatest(F.lit(budget) - before, F.lit(0))))
+def row_budget(groups: DataFrame, budget: int, order: list[str | Column]) -> DataFrame:
+    """groups (name, n) with ``shown``: rows of each, in order, until the budget is spent. There may be as many groups as rows, so no task holds them all."""
+    left = F.greatest(F.lit(budget) - F.col("evigraph_before"), F.lit(0))
+    return running_before(groups, "n", order, "evigraph_before").select(*groups.columns, F.least("n", left).alias("shown"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

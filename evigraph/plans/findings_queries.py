@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import magnitudes, score_table
 from ..operators import findings as O
+from ..operators.pages import page_lines
 from ..sources.corpus import CUTOFF, EVENT_FINDINGS_SQL, event_findings, table
 
 _SCORES = ", ".join(f"('{s}', '{c}', '{e}', {v}, '{p}')" for s, c, e, v, p in score_table())
@@ -67,6 +68,16 @@ def report_top_per_rule(spark, sf):
     return O.top_per_rule(O.with_score(event_findings(spark, sf)), 15, "event_id").select("rule", F.col("place").cast("long").alias("place"), "event_id", "score", "priority")
 
 
+#: Findings of the report page in all, and of one rule.
+PAGE, PAGE_RULE = 300, 8
+
+
+def report_page(spark, sf):
+    """Lines of a page of findings; rules go by user too, so there are many of them, and messages hold markup."""
+    f = O.with_score(event_findings(spark, sf)).withColumns({"rule": F.expr("concat(rule, '<', file)"), "message": F.concat("message", F.lit(' & "'), "exposure", F.lit('"'))})
+    return page_lines(f, "event_id", PAGE, PAGE_RULE).select("priority", "rule", "part", "place", "line")
+
+
 def report_gate(spark, sf):
     return O.blocking(_marked(spark, sf), "P1").groupBy("rule", "priority").agg(F.count("*").alias("n"))
 
@@ -124,7 +135,7 @@ def churn(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        finding_score_priority, finding_fingerprint, finding_occurrence, finding_mark_new, report_summary_matrix, report_top_per_rule, report_gate, required_tools, ratchet_diff, suppress_antijoin,
+        finding_score_priority, finding_fingerprint, finding_occurrence, finding_mark_new, report_summary_matrix, report_top_per_rule, report_page, report_gate, required_tools, ratchet_diff, suppress_antijoin,
         issue_relevance, incomplete_reasons, doctor_summary, rls_last_state, churn,
     )
 }
@@ -138,6 +149,15 @@ ORACLES = {
     + ", ".join(f"count(*) FILTER (WHERE priority = '{p}') AS {p.lower()}" for p in ("P0", "P1", "P2", "P3"))
     + " FROM f GROUP BY category",
     "report_top_per_rule": f"{_SQL} SELECT rule, row_number() OVER (PARTITION BY rule ORDER BY priority, score DESC, category, file, line, event_id) AS place, event_id, score, priority FROM f QUALIFY place <= 15",
+    "report_page": f"""{_SQL}, m AS (SELECT *, rule || '<' || file AS r2, message || ' & "' || exposure || '"' AS m2 FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY priority, r2 ORDER BY score DESC, category, file, line, event_id) AS place, count(*) OVER (PARTITION BY priority, r2) AS all_, max(score) OVER (PARTITION BY priority, r2) AS worst FROM m),
+g AS (SELECT priority, r2, worst, all_, least(all_, {PAGE_RULE}) AS n, category, severity, confidence FROM p WHERE place = 1),
+b AS (SELECT *, least(n, greatest(0, {PAGE} - coalesce(sum(n) OVER (ORDER BY priority, worst DESC, r2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS shown FROM g),
+h AS (SELECT *, replace(r2, '<', '&lt;') AS r3 FROM b WHERE shown > 0)
+SELECT priority, r2 AS rule, 0 AS part, 0 AS place, '<details><summary>' || priority || ' · ' || r3 || ' · ' || category || ' · ' || severity || '/' || confidence || ' · ' || all_ || '</summary><table>' AS line FROM h
+UNION ALL SELECT priority, r2, 2, 0, '</table>' || CASE WHEN all_ > shown THEN '<p>' || (all_ - shown) || ' more</p>' ELSE '' END || '</details>' FROM h
+UNION ALL SELECT p.priority, p.r2, 1, place, '<tr><td>' || file || ':' || line || '</td><td>' || replace(replace(m2, '&', '&amp;'), '"', '&quot;') || '</td><td>' || exposure || '</td></tr>' FROM p JOIN h USING (priority, r2) WHERE place <= shown
+UNION ALL SELECT '~', '', 3, 0, '<p>' || count(*) || ' rules not shown, ' || sum(all_)::BIGINT || ' findings</p>' FROM b WHERE shown = 0 HAVING count(*) > 0""",
     "report_gate": f"{_MARKED_SQL} SELECT rule, priority, count(*) AS n FROM marked WHERE is_new AND confidence != 'low' AND priority <= 'P1' GROUP BY ALL",
     "required_tools": "WITH runs AS (SELECT event_type AS tool, count(*) % 2 = 0 AS skipped FROM events GROUP BY ALL) SELECT tool FROM (SELECT DISTINCT event_type AS tool FROM events UNION ALL SELECT 'audit') r WHERE tool NOT IN (SELECT tool FROM runs WHERE NOT skipped)",
     "ratchet_diff": f"""{_SQL}, o AS (SELECT file AS path, count(*) AS was FROM f WHERE ts < TIMESTAMP '{CUTOFF}' GROUP BY ALL), n AS (SELECT file AS path, count(*) AS now FROM f WHERE ts >= TIMESTAMP '{CUTOFF}' GROUP BY ALL)
