@@ -180,8 +180,8 @@ def _containing(records: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def lookup_cascade(records: DataFrame, wanted: DataFrame, limit: int = 12) -> DataFrame:
     """(q, key, tier, place): of ``records`` (key, source_id, name) the first tier that has a hit: exact key, source id, exact name, part of a key."""
-    by = lambda column, tier: wanted.join(records, F.col("q") == F.col(column)).select("q", "key", F.lit(tier).alias("tier"))
-    exact = by("key", 0).unionByName(by("source_id", 1)).unionByName(by("name", 2))
+    names = F.posexplode(F.array("key", "source_id", "name")).alias("tier", "q")
+    exact = wanted.join(records.select("key", names), "q").select("q", "key", "tier")
     parts = wanted.join(exact.select("q").distinct(), "q", "left_anti")
     found = exact.unionByName(_containing(records, parts).select("q", "key", F.lit(3).alias("tier")))
     ranked = found.withColumn("best", F.min("tier").over(W.partitionBy("q"))).where("tier = best").distinct()
