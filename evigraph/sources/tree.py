@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import language_of
+from ..operators.ignore import ignore_rules, ignored
+from ..ship import ship
+from .listing import TreeSource
 
 SUFFIXES = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "sql", "prisma", "json", "yaml", "yml", "toml", "md", "sh")
 EXCLUDED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".next", "coverage")
@@ -20,40 +25,34 @@ def skipped(path: Column, names: tuple[str, ...] = EXCLUDED) -> Column:
     return out
 
 
-def source_tree(spark: SparkSession, root: str, max_bytes: int = 2_000_000, suffixes: tuple[str, ...] = SUFFIXES, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """path, text, status, size, language of the files under ``root``. The text is NULL unless the status is ``read``.
-
-    Lengths are read first, without contents. Contents are then read of the files up to ``max_bytes`` alone, by a filter that the reader itself applies,
-    so larger ones are never loaded. Files without a byte have an empty text.
-    """
-    base = root.rstrip("/")
+def listed_files(spark: SparkSession, root: str, suffixes: tuple[str, ...], excluded: tuple[str, ...], max_bytes: int, also: tuple[str, ...] = (), tasks: int = 64) -> DataFrame:
+    """path, size, status, content of the files under ``root`` with one of the suffixes or of the names ``also``, listed and read by ``tasks`` tasks."""
+    ship(spark)
+    spark.dataSource.register(TreeSource)
+    lists = {name: json.dumps(value) for name, value in (("suffixes", suffixes), ("excluded", excluded), ("also", also))}
+    return spark.read.format("evigraph_tree").options(root=root, max_bytes=max_bytes, tasks=tasks, **lists).load()
 
-    def files(condition: Column, *columns: str) -> DataFrame:
-        loaded = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).where(condition)
-        rows = loaded.select(F.regexp_extract("path", rf"(?:^|/)\Q{base.split('/')[-1]}\E/(.*)$", 1).alias("path"), "length", *columns)
-        return rows.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).where(~skipped(F.col("path"), excluded))
 
-    large = files(F.col("length") > max_bytes).select("path", F.lit(None).cast("string").alias("text"), F.lit("too_large").alias("status"), F.col("length").alias("size"))
-    empty = _empty_files(spark, base)
-    empty = empty.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*suffixes)).where(~skipped(F.col("path"), excluded))
-    small = files(F.col("length") <= max_bytes, "content")
-    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
-    status = F.when(F.contains("content", F.lit(bytearray(b"\x00"))), "binary").when(text.isNull(), "invalid_utf8").otherwise("read")
-    read = small.select("path", F.when(status == "read", text).alias("text"), status.alias("status"), F.col("length").alias("size"))
-    rows = large.unionByName(read).unionByName(empty.select("path", F.lit("").alias("text"), F.lit("read").alias("status"), F.lit(0).cast("long").alias("size")))
-    return rows.withColumn("language", language_of(F.col("path")))
+def source_tree(
+    spark: SparkSession, root: str, max_bytes: int = 2_000_000, suffixes: tuple[str, ...] = SUFFIXES, excluded: tuple[str, ...] = EXCLUDED,
+    ignore_file: str | None = None, tracked: DataFrame | None = None,
+) -> DataFrame:
+    """path, text, status, size, language of the files under ``root``. The text is NULL unless the status is ``read``; else the file was ``too_large``, ``binary``,
+    ``invalid_utf8`` or ``unreadable`` (gone or closed to us when it was to be read).
 
-
-def _empty_files(spark: SparkSession, base: str) -> DataFrame:
-    """path of the files without a byte, for which the reader plans no work; they are listed by name."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    folder = jvm.org.apache.hadoop.fs.Path(base)
-    found, names = folder.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(folder, True), []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            names.append((status.getPath().toString().split(base.split("://")[-1].rstrip("/") + "/", 1)[-1],))
-    return spark.createDataFrame(names, "path string")
+    Folders that ``excluded`` names are never listed and links not followed. With ``ignore_file`` (``.gitignore``) what the patterns of such files leave out is dropped, but for
+    ``tracked`` files (path). The patterns are judged on paths, so folders that only they leave out are listed.
+    """
+    rows = listed_files(spark, root, suffixes, excluded, max_bytes)
+    if ignore_file is not None:
+        files = listed_files(spark, root, (), excluded, max_bytes, (ignore_file,))
+        folder = F.regexp_replace("path", "/?[^/]*$", "")
+        rules = ignore_rules(files.select(folder.alias("folder"), F.col("content").cast("string").alias("text")))
+        rows = ignored(rows, rules, tracked).where("NOT ignored").select("path", "size", "status", "content")
+    text = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^\ufeff", "")
+    is_read = F.col("status") == "read"
+    status = F.when(is_read & F.contains("content", F.lit(bytearray(b"\x00"))), "binary").when(is_read & text.isNull(), "invalid_utf8").otherwise(F.col("status"))
+    return rows.select("path", F.when(status == "read", text).alias("text"), status.alias("status"), "size", language_of(F.col("path")).alias("language"))
 
 
 def write_sarif(findings: DataFrame, runs: DataFrame, path: str) -> None:
