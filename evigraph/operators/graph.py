@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,12 +18,11 @@ HUB = 60
 RENEW = 8
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an iterate to the shared checkpoint folder and read it back, so that plans stay short and lost executors do no harm.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder.
 
     Without a folder set, one of this machine serves a local master; on a cluster that would lose files, so it is an error there.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -32,9 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="evigraph-walk-"))
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base.rstrip('/')}/evigraph-walk/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an iterate to the shared checkpoint folder and read it back, so that plans stay short and lost executors do no harm."""
+    path = shared_folder(df.sparkSession, "evigraph-walk")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
