@@ -12,6 +12,7 @@ group of near copies nearly all are settled by a few comparisons for each line;
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,11 @@ def _words(line: Column) -> Column:
     return F.array_except(_pieces(line), F.array(F.lit("")))  # each word once
 
 
+def _with_lines(text: str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the lines of a text, which is split once, not once for each place where ``use`` names them."""
+    return F.transform(F.array(F.split(text, "\n")), use)[0]
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, t and text; t, the hash of the text, tells rows apart that repeat an id."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -157,10 +163,12 @@ def _linked(pairs: DataFrame, firsts: DataFrame, rows: DataFrame) -> DataFrame:
     """k1 and k2 of the lines that have an earlier partner among the pairs of codes, judged by the words themselves."""
     ends = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
     keys = firsts.select("k1", "k2", "first", "code").join(few_rows(materialise(ends, "line-codes"), BROADCAST_KEYS), "code", "left_semi")
-    keys = few_rows(materialise(keys.select("k1", "k2", "first", "code", "first.*"), "line-keys"), BROADCAST_KEYS)
-    # each line is taken from where it stands first
-    k = keys.withColumnsRenamed({"id": "own", "t": "hash"})
-    texts = rows.join(k, F.expr("id <=> own AND t = hash")).select("k1", "k2", "first", "code", F.get(F.split("text", "\n"), F.col("line_no")).alias("line"))
+    keys = materialise(keys.select("k1", "k2", "first", "code", "first.*"), "line-keys")
+    # each line is taken from where it stands first, and a text is split once for all its lines
+    k = keys.groupBy(F.col("id").alias("own"), F.col("t").alias("hash")).agg(F.collect_list(F.struct("k1", "k2", "first", "code", "line_no")).alias("wanted"))
+    k = F.broadcast(k) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else k
+    found = rows.join(k, F.expr("id <=> own AND t = hash")).select(_with_lines("text", lambda all_: F.transform("wanted", lambda w: F.struct(w.alias("k"), F.get(all_, w["line_no"]).alias("line")))).alias("found"))
+    texts = found.select(F.explode("found").alias("f")).select("f.k.k1", "f.k.k2", "f.k.first", "f.k.code", "f.line")
     words = materialise(texts.distinct(), "line-texts").withColumn("w", _words(F.col("line")))
     a, b = (words.select(F.col("code").alias(side), F.struct("first", "k1", "k2").alias(f"{side}_key"), F.col("w").alias(f"{side}_w")) for side in ("a", "b"))
     alike = a.join(few_rows(pairs, BROADCAST_KEYS), "a").join(b, "b").where("a_key != b_key").where(ALIKE.format("a_w", "b_w"))
@@ -205,7 +213,7 @@ def remove_lines(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text
     few = marks.where("n_removed > 0").select(F.col(id_col).alias(row_id), F.col("text_hash").alias(row_hash), F.col("removed").alias(removed), (F.col("n_lines") == F.col("n_removed")).alias(none_left))
     same = docs[id_col].eqNullSafe(few[row_id]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == few[row_hash])
     joined = docs.join(few, same, "left").where(~F.coalesce(F.col(none_left), F.lit(False)))
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains(removed, i)), "\n")
+    kept = _with_lines(text_col, lambda all_: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), removed), lambda i: F.get(all_, i)), "\n"))
     return joined.withColumn(text_col, F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
