@@ -102,13 +102,22 @@ def endpoint_gaps(endpoints: DataFrame, calls: DataFrame, matches: DataFrame, ot
 
 
 def method_mismatch(calls: DataFrame, handlers: DataFrame) -> DataFrame:
-    """(call_id, methods): calls whose shape is served, but by other methods alone."""
-    c = calls.withColumns({"size": F.size("segments"), "head": F.coalesce(F.get("segments", F.lit(0)), F.lit(""))})
-    c = c.withColumn("key", F.explode(F.array_distinct(F.array("head", F.lit(DYNAMIC)))))
-    h = handlers.withColumns({"size": F.size("h_segments"), "key": F.coalesce(F.get("h_segments", F.lit(0)), F.lit(""))})
-    met = c.join(h, ["size", "key"]).where(_fits("segments", "h_segments", False))
-    grouped = met.groupBy("call_id").agg(F.array_sort(F.collect_set("h_method")).alias("methods"), F.max(methods_fit(F.col("method"), F.col("h_method"))).alias("served"))
-    return grouped.where("NOT served").select("call_id", F.array_join("methods", ",").alias("methods"))
+    """(call_id, methods): calls whose shape is served, but by other methods alone.
+
+    Handlers may be catch-alls (``catch_all``, their last segment takes one or more), which serve all that is below them. Calls with an open tail (``open_tail``) may go on to
+    another shape at run time and are never mismatches. Columns that are missing count as false. Plain handlers meet calls of their size, catch-alls those of any.
+    """
+    flag = lambda df, name: F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    c = calls.where(~flag(calls, "open_tail")).select("call_id", "method", "segments", F.size("segments").alias("size"))
+    c = c.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce(F.get("segments", F.lit(0)), F.lit("")), F.lit(DYNAMIC)))))
+    takes = flag(handlers, "catch_all") & (F.coalesce(F.try_element_at("h_segments", F.lit(-1)), F.lit("")) == DYNAMIC)
+    h = handlers.select("h_method", "h_segments", takes.alias("takes"), F.size("h_segments").alias("size"), F.coalesce(F.get("h_segments", F.lit(0)), F.lit("")).alias("key"))
+    plain = c.join(h.where("NOT takes"), ["size", "key"]).where(_fits("segments", "h_segments", False)).select("call_id", "method", "h_method")
+    wide = c.drop("size").join(h.where("takes").drop("size"), "key").where(_serves("segments", "h_segments", F.lit(False), F.lit(True), False))
+    met = plain.unionByName(wide.select("call_id", "method", "h_method"))
+    named = F.when(~F.col("h_method").isin("", "UNKNOWN"), F.col("h_method"))
+    grouped = met.groupBy("call_id").agg(F.array_sort(F.collect_set(named)).alias("methods"), F.max(methods_fit(F.col("method"), F.col("h_method"))).alias("served"))
+    return grouped.where("NOT served AND size(methods) > 0").select("call_id", F.array_join("methods", ",").alias("methods"))
 
 
 def endpoint_status(endpoints: DataFrame, calls: DataFrame) -> DataFrame:

@@ -38,6 +38,14 @@ def method_mismatch(spark, sf):
     return R.method_mismatch(_calls(spark, sf), _handlers(spark))
 
 
+def method_mismatch_below(spark, sf):
+    """As above with catch-alls and open tails: one page in five is asked for below ``files``, one in seven goes on at run time."""
+    page = F.col("call_id")
+    below = F.when(page % 5 == 0, F.concat(F.array(F.lit("files")), "segments")).otherwise(F.col("segments"))
+    handlers = spark.sql("SELECT * FROM VALUES ('PUT', array('files', '{dynamic}'), true), ('DELETE', array('files', 'en', '{dynamic}'), NULL), ('GET', array('en', '{dynamic}'), false), ('POST', array('de', '{dynamic}'), true), ('UNKNOWN', array('es', '{dynamic}'), false) AS h(h_method, h_segments, catch_all)")
+    return R.method_mismatch(_calls(spark, sf).withColumns({"segments": below, "open_tail": page % 7 == 0}), handlers)
+
+
 def endpoint_status(spark, sf):
     routes = page_routes(spark, sf).withColumn("id", normalise_route(F.col("path")))
     endpoints = routes.groupBy("id").agg((F.max(F.col("page_id") % 5 == 0)).alias("served"), F.max(F.col("page_id") % 11 == 0).alias("open"))
@@ -131,7 +139,7 @@ def endpoint_gaps(spark, sf):
     return R.endpoint_gaps(endpoints, calls, r.where("page_id % 11 = 0").select("id"), others)
 
 
-QUERIES = {f.__name__: f for f in (endpoint_match_tiers, endpoints_too_open, endpoint_gaps, endpoint_match, method_mismatch, endpoint_status, feature_groups, route_normalise, name_call_resolution, import_longest_prefix, unknown_columns, lookup_cascade)}
+QUERIES = {f.__name__: f for f in (endpoint_match_tiers, endpoints_too_open, endpoint_gaps, endpoint_match, method_mismatch, method_mismatch_below, endpoint_status, feature_groups, route_normalise, name_call_resolution, import_longest_prefix, unknown_columns, lookup_cascade)}
 
 _GROUP = "coalesce(list_filter(list_transform(list_filter(string_split(path, '/'), lambda x: x != '' AND lower(x) != 'api' AND NOT regexp_matches(x, '^[vV][0-9]+$')), lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')), lambda x: x != '')[1], 'home')"
 _TIER_ROWS = ", ".join(f"({i}, '{m}', [{', '.join(repr('{dynamic}' if x.startswith('{') else x) for x in r.strip('/').split('/'))}], {c})" for i, m, r, c in TIER_HANDLERS)
@@ -157,6 +165,11 @@ g AS (SELECT e.id, handled, c.id IS NOT NULL AS called, dead, NOT handled AND c.
 SELECT id, CASE WHEN gap AND other THEN 'API_METHOD_MISMATCH' WHEN gap THEN 'API_CALL_WITHOUT_HANDLER' ELSE 'API_HANDLER_WITHOUT_STATIC_CALLER' END AS code, CASE WHEN gap AND NOT dead THEN 'warning' ELSE 'info' END AS severity, CASE WHEN gap AND other THEN 'PUT' END AS methods FROM g WHERE gap OR (handled AND NOT called)""",
     "endpoint_match": f"{_CALLS_SQL} SELECT call_id, handler_id, 'probable' AS resolution FROM met WHERE {_FIT}",
     "method_mismatch": f"{_CALLS_SQL} SELECT call_id, array_to_string(list_sort(list_distinct(list(h_method))), ',') AS methods FROM met GROUP BY call_id HAVING NOT bool_or({_FIT})",
+    "method_mismatch_below": f"""{_CALLS_SQL},
+asked AS (SELECT call_id, method, CASE WHEN call_id % 5 = 0 THEN list_prepend('files', s) ELSE s END AS s FROM calls WHERE call_id % 7 != 0),
+hit AS (SELECT call_id, method, s, unnest(list_filter([CASE WHEN len(s) >= 2 AND s[1] = 'files' THEN 'PUT' END, CASE WHEN len(s) = 3 AND s[1] = 'files' AND s[2] = 'en' THEN 'DELETE' END,
+  CASE WHEN len(s) = 2 AND s[1] = 'en' THEN 'GET' END, CASE WHEN len(s) >= 2 AND s[1] = 'de' THEN 'POST' END], lambda x: x IS NOT NULL)) AS h_method FROM asked)
+SELECT call_id, string_agg(DISTINCT h_method, ',' ORDER BY h_method) AS methods FROM hit GROUP BY call_id HAVING NOT bool_or({_FIT})""",
     "endpoint_status": f"""WITH {PAGE_ROUTES_SQL}, r AS (SELECT *, {_NORMAL} AS id FROM routes), e AS (SELECT id, bool_or(page_id % 5 = 0) AS served, bool_or(page_id % 11 = 0) AS open FROM r GROUP BY id),
 c AS (SELECT id, bool_and(page_id % 2 = 0) AS linked FROM r WHERE page_id % 3 != 0 AND NOT starts_with(host, 'm.') GROUP BY id)
 SELECT e.id, CASE WHEN served THEN 'served' WHEN open THEN 'open' WHEN linked IS NULL THEN 'uncalled' WHEN linked THEN 'matched' ELSE 'unserved' END AS status FROM e LEFT JOIN c ON c.id = e.id""",

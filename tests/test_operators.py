@@ -130,6 +130,10 @@ def test_endpoint_matching_tiers(spark):
     handlers = spark.createDataFrame([(1, "GET", ["items", "{dynamic}"]), (2, "GET", ["items", "{dynamic}", "approve"]), (3, "GET", ["items", "export"])], "handler_id int, h_method string, h_segments array<string>")
     assert values(R.match_endpoints(calls, handlers), "call_id", "handler_id", "resolution") == [(1, 1, "probable"), (2, 2, "probable"), (3, 1, "probable")]
     assert values(R.method_mismatch(calls, handlers), "call_id", "methods") == [(4, "GET")]
+    wide = spark.createDataFrame([("GET", ["files", "{dynamic}"], True), ("ANY", ["any", "{dynamic}"], True), ("UNKNOWN", ["odd"], None)], "h_method string, h_segments array<string>, catch_all boolean")
+    asked = [(1, "PUT", ["files", "a", "b"], False), (2, "PUT", ["files"], False), (3, "PUT", ["files", "a"], True), (4, "PUT", ["any", "x", "y"], None), (5, "PUT", ["odd"], False), (6, "HEAD", ["files", "a"], False), (7, "PUT", [], False)]
+    asked = spark.createDataFrame(asked, "call_id int, method string, segments array<string>, open_tail boolean")
+    assert values(R.method_mismatch(asked, wide), "call_id", "methods") == [(1, "GET")]
 
 
 def test_ambiguous_names(spark):
