@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources import scanners as S
 from ..sources.corpus import table
+from ..sources.sarif import read_sarif
 
 _RUFF = """concat('[{"code": ', CASE WHEN n % 9 = 0 THEN 'null' ELSE concat('"', element_at(array('S608', 'S101', 'S324', 'ASYNC210', 'PERF401', 'B006', 'E501'), CAST(n % 7 + 1 AS int)), '"') END,
  ', "filename": "', f, '", "location": {"row": ', n, '}, "message": "told ', n, '", "url": null}]')"""
@@ -25,9 +26,25 @@ def scanner_reports(spark, sf):
     return S.read_reports(e.selectExpr("n AS report_id", f"{tools} AS tool", "f AS file", f"{text} AS text"))
 
 
-QUERIES = {f.__name__: f for f in (scanner_reports,)}
+_SARIF = """concat('{"version": "', IF(n % 13 = 0, '2.0.0', '2.1.0'), '", "runs": [{"tool": {"driver": {"name": "t", "messageStrings": {"s": {"markdown": "*{0}*"}}, "rules": [{"id": "r',
+ n % 5, '", "messageStrings": {"m": {"text": "{1} at {0} of {2}"}}}]}}, "results": [{"ruleIndex": 0, "message": ', CASE n % 5 WHEN 0 THEN concat('{"text": "told ', n, '"}') WHEN 1 THEN concat('{"id": "m", "arguments": ["{1}", ', n, ']}')
+ WHEN 2 THEN concat('{"markdown": "_', n, '_"}') WHEN 3 THEN concat('{"id": "s", "arguments": ["', n, '"]}') ELSE '{"id": "unknown"}' END, ', "locations": [{"physicalLocation": {"artifactLocation": {"uri": "', f, '"}, "region": {"startLine": ', n, '}}}]}]}]}')"""
+
+
+def sarif_messages(spark, sf):
+    """Findings of SARIF documents made of events, with messages of five kinds; one in eleven is cut off, one in thirteen of another version."""
+    e = table(spark, sf, "events").selectExpr("event_id AS n", "concat('user/', user_id, '.py') AS f")
+    return read_sarif(e.selectExpr(f"IF(n % 11 = 0, left({_SARIF}, 40), {_SARIF}) AS value"))
+
+
+QUERIES = {f.__name__: f for f in (scanner_reports, sarif_messages)}
 
 ORACLES = {
+    "sarif_messages": """WITH e AS (SELECT event_id AS n, event_id % 11 != 0 AND event_id % 13 != 0 AS good, 'user/' || user_id || '.py' AS f FROM events)
+SELECT CASE WHEN good THEN 't' END AS tool, CASE WHEN good THEN 'r' || (n % 5) END AS rule, CASE WHEN good THEN 'medium' END AS severity,
+  CASE WHEN good THEN CASE n % 5 WHEN 0 THEN 'told ' || n WHEN 1 THEN n || ' at {1} of {2}' WHEN 2 THEN '_' || n || '_' WHEN 3 THEN '*' || n || '*' END END AS message,
+  CASE WHEN good THEN f END AS file, CASE WHEN good THEN n::INT END AS line,
+  CASE WHEN n % 11 = 0 THEN 'document is no JSON' WHEN n % 13 = 0 THEN 'document of another version' WHEN n % 5 = 4 THEN 'result has no message' END AS error FROM e""",
     "scanner_reports": """WITH e AS (SELECT event_id AS n, 'user/' || user_id || '.py' AS f, ['ruff', 'bandit', 'semgrep', 'osv-scanner', 'pip-audit'][event_id % 5 + 1] AS tool,
   CASE WHEN event_id % 11 = 0 THEN 'no JSON' WHEN event_id % 13 = 0 THEN 'another type of document' WHEN event_id % 5 = 2 AND event_id % 7 = 0 THEN 'RuleError' END AS error FROM events),
 g AS (SELECT * FROM e WHERE error IS NULL),

@@ -39,14 +39,14 @@ def test_sarif(spark, tmp_path):
 
     cases = [
         (at({"uri": "x.py", "uriBaseId": "SRC"}, ruleId="S"), ("S", "critical", "src/x.py", None)), (at({"index": 1}, ruleId="S2"), ("S2", "low", "lib/y+z.py", None)),
-        (at({"index": 7}, ruleId="S2"), ("S2", "low", "", "artifact index is out of range")), (at({"uri": "q", "uriBaseId": "A"}, rule={"index": 1}), ("S2", "low", "q", "bases of the location are a circle or too deep")),
+        (at({"index": 7}, ruleId="S2"), ("S2", "low", "", "artifact index is out of range")), (at({"uri": "q", "uriBaseId": "A"}, rule={"index": 1}), ("S2", "low", "q", "bases of the location are a circle")),
         (at({"uri": "q", "uriBaseId": "NO"}, ruleId="S2/sub", level="error"), ("S2/sub", "high", "q", "base of the location is unknown")), (at({"uri": "file:///etc/passwd"}, ruleId="S2"), ("S2", "low", "file:///etc/passwd", "location outside the tree")),
         (at({"uri": "C:/x.py"}, ruleId="S2"), ("S2", "low", "C:/x.py", "location outside the tree")), (at({"uri": "http://h/x.py"}, ruleId="S2"), ("S2", "low", "http://h/x.py", "location outside the tree")),
         ({"message": {"text": "m"}, "ruleId": "S2", "properties": {"security-severity": "5"}}, ("S2", "medium", "", None)),
     ]
     doc = {"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "t", "rules": rules}}, "originalUriBaseIds": bases, "artifacts": [{}, {"location": {"uri": "./lib%2Fy+z.py"}}], "results": [c[0] for c in cases]}, {"tool": {"driver": {"name": "u"}}}]}
     documents = spark.createDataFrame([(json.dumps(doc),), ("no json",), (json.dumps({**doc, "version": "2.0.0"}),), (None,)], "value string")
-    assert [(r.rule, r.severity, r.file, r.error) for r in read_sarif(documents, root="/work/tree").collect()] == [c[1] for c in cases]
+    assert [(r.rule, r.severity, r.file, r.error) for r in read_sarif(documents, root="/work/tree").collect()] == [*[c[1] for c in cases], (None, None, None, "document is no JSON"), (None, None, None, "document of another version")]
     findings = spark.createDataFrame([("t", "r", "high", "m", "f", 1, "p")], "tool string, rule string, severity string, message string, file string, line int, fp string")
     runs = spark.createDataFrame([("t", None, None), ("clean", None, None), ("gone", "no config", None)], "tool string, skipped string, error string")
     write_sarif(findings, runs, str(tmp_path / "s"))
@@ -54,6 +54,21 @@ def test_sarif(spark, tmp_path):
     assert back["gone"] is None and back["clean"] == [] and back["t"][0]["level"] == "error"
 
 
+def test_sarif_messages_and_deep_bases(spark):
+    bases = {f"B{i}": {"uri": f"d{i}/", "uriBaseId": f"B{i + 1}"} for i in range(30)} | {"B30": {"uri": "top/"}}
+    place = [{"physicalLocation": {"artifactLocation": {"uri": "x.py", "uriBaseId": "B0"}}}]
+    driver = {"name": "t", "rules": [{"id": "R", "messageStrings": {"a": {"text": "{0} not {1} but {7}{"}}}], "messageStrings": {"b": {"markdown": "**{0}**"}}, "globalMessageStrings": {"c": {"text": "all"}, "a": {"text": "no"}}}
+    cases = [
+        ({"text": "plain {0}"}, "plain {0}"), ({"text": "", "markdown": "*m*"}, "*m*"), ({"id": "a", "arguments": ["{1}", 5]}, "{1} not 5 but {7}{"), ({"id": "b", "arguments": ["x\ny"]}, "**x\ny**"),
+        ({"id": "c"}, "all"), ({"id": "none"}, None), ({}, None), ({"text": "{99999999999}", "arguments": ["z"]}, "{99999999999}"),
+    ]
+    doc = {"version": "2.1.0", "runs": [{"tool": {"driver": driver}, "originalUriBaseIds": bases, "results": [{"ruleId": "R", "message": m, "locations": place} for m, _ in cases]}, {"results": []}]}
+    got = read_sarif(spark.createDataFrame([(json.dumps(doc),), ("{}",), ('{"version": "2.1.0", "runs": []}',)], "value string")).collect()
+    assert [r.message for r in got[:-1]] == [m for _, m in cases]
+    assert {r.file for r in got[:-1]} == {"top/" + "".join(f"d{i}/" for i in reversed(range(30))) + "x.py"}
+    assert [r.error for r in got] == [None if m else "result has no message" for _, m in cases] + ["document has no runs"]
+
+
 def test_stream_counts_each_finding_once(spark, tmp_path):
     rows = spark.createDataFrame([("2024-01-01 01:00:00", "a"), ("2024-01-01 01:10:00", "a"), ("2024-01-01 02:00:00", "b"), ("2024-01-09 00:00:00", "c")], "ts string, fp string")
     rows.select(F.to_timestamp("ts").alias("ts"), "fp", F.lit("high").alias("severity")).coalesce(1).write.parquet(str(tmp_path / "in"))
