@@ -164,7 +164,9 @@ def _suspects(rows: DataFrame, items: DataFrame) -> DataFrame:
     hits = words.join(known, "probe", "left_semi").distinct().join(few_rows(probes, BROADCAST_WINDOWS), "probe").select("id", "t", "item", "at", "strong", "need", "need_all")
     numbers = probes.where("digits IS NOT NULL").select("item", "at", "strong", "need", "need_all", F.col("digits").alias("number"))
     if not numbers.isEmpty():
-        hits = hits.unionByName(rows.join(few_rows(numbers, BROADCAST_WINDOWS), F.contains("text", "number")).select(hits.columns))
+        # a window's number is a whole run of digits wherever the window stands
+        digits = rows.select("id", "t", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)))).alias("number"))
+        hits = hits.unionByName(digits.join(few_rows(numbers, BROADCAST_WINDOWS), "number").select(hits.columns))
     # windows that may stand anywhere count for every row
     free = probes.where("probe IS NULL AND digits IS NULL").groupBy("item").agg(F.countDistinct("at").alias("free"))
     counts = hits.groupBy("id", "t", "item", "need", "need_all").agg(F.size(F.collect_set("at")).alias("n"), F.size(F.collect_set(F.when(F.col("strong"), F.col("at")))).alias("n_strong"))
@@ -179,10 +181,20 @@ def _blank_free(text: Column) -> Column:
 
 
 def _wordless(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(id, t, item, n_windows, changed) for items (item, text) without any template word, such as rows of symbols: looked for as a whole, between blanks."""
+    """(id, t, item, n_windows, changed) for items (item, text) without any template word, such as rows of symbols: looked for as a whole, between blanks.
+
+    Rows with the longest word of an item are found by equality, then the whole is looked for in these.
+    """
     items = with_template(benchmark.distinct(), "text").where("size(t) = 0").select("item", _blank_free(F.col("text")).alias("whole")).where("trim(whole) != ''").distinct()
-    items = materialise(items, "benchmark-wordless")
-    met = rows.limit(0).crossJoin(items.limit(0)) if items.isEmpty() else rows.withColumn("text", _blank_free(F.col("text"))).join(few_rows(items, BROADCAST_WINDOWS), F.contains("text", "whole"))
+    longest = F.array_max(F.transform(native_words(F.col("whole")), lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    items = materialise(items.withColumn("word", longest), "benchmark-wordless")
+    none = rows.select("id", "t", F.lit(None).cast(items.schema["item"].dataType).alias("item")).limit(0)
+    if items.isEmpty():
+        met = none
+    else:
+        words = rows.select("id", "t", F.explode(F.array_distinct(native_words(F.lower("text")))).alias("word"))
+        near = words.join(few_rows(items, BROADCAST_WINDOWS), "word").select(F.col("id").alias("own"), F.col("t").alias("hash"), "item", "whole")
+        met = rows.join(near, F.expr("id <=> own AND t = hash")).where(F.contains(_blank_free(F.col("text")), F.col("whole")))
     return met.select("id", "t", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(False).alias("changed")).distinct()
 
 
