@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from .running import running_before
 
-#: Uses and definitions meet in blocks of so many lines.
-BLOCK = 256
 # Fixed mapping of an issue's severity to severity and confidence of its finding.
 ISSUE_SEVERITY = {"error": ("high", "medium"), "warning": ("medium", "low"), "info": ("info", "low")}
 
@@ -25,16 +23,24 @@ def without_fix(made: DataFrame, fixed: DataFrame, keys: list[str]) -> DataFrame
 
 
 def enclosing(uses: DataFrame, definitions: DataFrame) -> DataFrame:
-    """uses (path, line) with ``name`` of the innermost of definitions (path, name, first, last) around the line, or NULL.
+    """uses (path, line) with ``name`` of the innermost of definitions (path, name, first, last) around the line, or NULL. Definitions' lines are 32-bit integers.
 
-    Definitions are dealt to the blocks of lines that they cover, so a long file is no join of all its lines with all its definitions.
+    A range of lines is cut into blocks of 1, 2, 4 and so on lines, each block at a multiple of its size, two of a size at most; a line lies in one block of each size. A block
+    keeps only its innermost definition, so work grows with definitions and lines, never with pairs of them, however crowded a file is.
     """
-    blocks = F.explode(F.sequence(F.expr(f"first DIV {BLOCK}"), F.expr(f"last DIV {BLOCK}")))
-    covering = definitions.select("path", "name", "first", "last", blocks.alias("block"))
-    once = uses.select("path", "line").distinct().withColumn("block", F.expr(f"line DIV {BLOCK}"))
-    found = once.join(covering, ["path", "block"]).where("line BETWEEN first AND last")
-    # the latest beginning is the innermost; of equal ones the earliest end, then the name
-    inner = found.groupBy("path", "line").agg(F.min(F.struct(-F.col("first"), "last", "name")).alias("d")).select("path", "line", "d.name")
+    ranges = definitions.selectExpr("path", "name", "CAST(first AS int) AS first", "CAST(last AS int) AS last").where("first <= last").groupBy("path", "first", "last").agg(F.min("name").alias("name"))
+    # the latest beginning is the innermost; of equal ones the earliest end, then the name: the first two as one number, so blocks are combined before the shuffle
+    rank = F.expr("shiftleft(CAST(first AS bigint), 32) + (2147483647 - CAST(last AS bigint))").alias("rank")
+    size = F.expr("length(bin(CAST(last AS bigint) - first + 1)) - 1")
+    spans = ranges.select("path", rank, "first", "last", F.explode(F.sequence(F.lit(0), size)).alias("level"))
+    spans = spans.selectExpr("path", "rank", "level", "-shiftright(-CAST(first AS bigint), level) AS low", "shiftright(CAST(last AS bigint) + 1, level) AS high").where("low < high")
+    ends = F.explode(F.expr("array(IF(low & 1 = 1, low, NULL), IF(high & 1 = 1, high - 1, NULL))"))
+    blocks = spans.select("path", "level", "rank", ends.alias("block")).where("block IS NOT NULL").groupBy("path", "level", "block").agg(F.max("rank").alias("rank"))
+    top = ranges.agg(F.max(size)).first()[0] or 0
+    asked = uses.select("path", "line").distinct().select("path", "line", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).withColumn("block", F.expr("shiftright(CAST(line AS bigint), level)"))
+    best = asked.join(blocks, ["path", "level", "block"]).groupBy("path", "line").agg(F.max("rank").alias("rank"))
+    found = best.selectExpr("path", "line", "CAST(shiftright(rank, 32) AS int) AS first", "CAST(2147483647 - (rank & 4294967295) AS int) AS last")
+    inner = found.join(ranges, ["path", "first", "last"]).select("path", "line", "name")
     return uses.join(inner, ["path", "line"], "left")
 
 
