@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .running import running_before
 
+#: Concepts of one symbol are dealt to tasks by so many.
+DEALT = 1_000
 # Fixed mapping of an issue's severity to severity and confidence of its finding.
 ISSUE_SEVERITY = {"error": ("high", "medium"), "warning": ("medium", "low"), "info": ("info", "low")}
 
@@ -115,8 +117,29 @@ def unconfirmed(references: DataFrame, stores: DataFrame, of: str) -> DataFrame:
 
 
 def owned_symbols(concepts: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(concept, target): concepts (concept, owner, symbol) linked to symbols (target, name, path) of that name in the owner's own file."""
-    return concepts.join(symbols, (F.col("symbol") == F.col("name")) & (F.col("owner") == F.col("path"))).select("concept", "target").distinct()
+    """(concept, target): concepts (concept, owner, symbol) linked to symbols (target, name, path) of that name in the owner's own file.
+
+    There may be as many links as concepts times symbols. Concepts of one symbol are dealt to parts of ``DEALT``, which each meet all targets, and only what several names link
+    is made distinct, so links stream out of their tasks and none is held or shuffled for the others.
+    """
+    c, s = concepts.select("concept", "owner", "symbol").distinct(), symbols.selectExpr("target", "path AS owner", "name AS symbol").distinct()
+    parts = c.groupBy("owner", "symbol").agg(F.expr(f"1 + count(*) DIV {DEALT}").alias("parts"))
+    c = _several(c, "concept").join(parts, ["owner", "symbol"]).withColumn("part", F.expr("pmod(xxhash64(concept), parts)")).drop("parts")
+    s = _several(s, "target").join(parts, ["owner", "symbol"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    width = int(concepts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows in say nothing of links out, so few rows must not become few tasks
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        keys = ["owner", "symbol", "part"]
+        return a.repartition(width, *keys).join(b.hint("merge"), keys).select("concept", "target")
+
+    once = met(c, s.where("NOT several")).unionByName(met(c.where("NOT several"), s.where("several")))
+    return once.unionByName(met(c.where("several"), s.where("several")).distinct())
+
+
+def _several(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct ``rows`` with ``several``: whether another row has the same key."""
+    counts = rows.groupBy(F.col(key).alias("evigraph_key")).agg((F.count("*") > 1).alias("several"))
+    return rows.join(counts, F.col(key).eqNullSafe(F.col("evigraph_key"))).drop("evigraph_key")
 
 
 def with_tests_and_stores(functions: DataFrame, tests: DataFrame, stores: DataFrame, churn: DataFrame | None = None, first: int = 12) -> DataFrame:

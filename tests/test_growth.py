@@ -22,3 +22,15 @@ def test_enclosing_compares_no_lines_with_ranges(spark):
     around = lambda p, n: min(((-f, l, d) for q, d, f, l in ranges if q is not None and q == p and l is not None and f <= n <= l), default=(0, 0, None))[2]
     assert rows == sorted((str(p), n, str(around(p, n))) for p, n in lines)
     assert not re.search(r"line#\d+L? [<>]=", _final(found))
+
+
+def test_owned_symbols_hold_no_links(spark, monkeypatch):
+    monkeypatch.setattr(L, "DEALT", 3)
+    concepts = [(c, o, "s") for c in range(40) for o in ("x", "y")] + [(None, "x", "s"), (7, "x", "s"), (3, None, "s"), (4, "z", "t")]
+    symbols = [(t, "s", o) for t in range(9) for o in (("x", "y") if t < 2 else ("x",))] + [(None, "s", "x"), (5, "s", None), (1, "t", "z")]
+    met = {(c, t) for c, o, s in concepts for t, n, p in symbols if o == p and s == n and o is not None}
+    linked = lambda c, s: L.owned_symbols(spark.createDataFrame(c, "concept long, owner string, symbol string"), spark.createDataFrame(s, "target long, name string, path string"))
+    assert sorted(map(str, linked(concepts, symbols).collect())) == sorted(f"Row(concept={c}, target={t})" for c, t in met)
+    plain = linked(concepts, [s for s in symbols if s[2] == "x"])
+    assert len(plain.collect()) == 41 * 10
+    assert not re.search(r"Aggregate\(keys=\[concept#\d+L, target", _final(plain))
