@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut, sized
+
 GROUP, API = "evigraph.extractors", 1
 # Records of one file at most, words for how sure an edge is and how grave an issue.
 MOST = 20_000
@@ -123,29 +125,32 @@ def withdrawn(records: DataFrame, known: DataFrame, most: int = MOST) -> DataFra
 
     Counts and reasons are combined in each task, so a file with millions of records is one row of each task before the shuffle.
     """
-    own = records.select("file", "record", _own_faults().alias("reason"))
-    faults = own.groupBy("file").agg(F.when(F.count("*") > most, "too many records").otherwise(F.min("reason")).alias("reason")).where("reason IS NOT NULL")
-    nodes = records.where(F.col("record") == NODE).where("id IS NOT NULL").select("file", "id", _described().alias("d"))
-    here = nodes.groupBy("file", "id").agg(F.min("d").alias("d"), F.max("d").alias("other"))
-    graph = known.select("id", _described().alias("known")).dropDuplicates(["id"])
-    met = here.join(graph, "id", "left")
-    clash = met.where("NOT (d <=> other) OR (known IS NOT NULL AND NOT (d <=> known))").select("file", F.lit("node is described differently").alias("reason"))
+    long = records.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > most).select("file", F.lit("too many records").alias("reason"))
+    # texts are compared for faulty records alone, as least texts are not combined by hash
+    own = records.select("file", _own_faults().alias("reason")).where("reason IS NOT NULL").distinct().join(long.select("file").hint("merge"), "file", "left_anti")
+    # one row for each way in which a file describes a node; whatever follows reads these
+    here = cut(records.where((F.col("record") == NODE) & F.col("id").isNotNull()).select("file", "id", "kind", "label", "path").distinct())
+    twice = here.groupBy("file", "id").agg(F.count("*").alias("n")).where("n > 1").select("file")
+    graph = sized(cut(known.select("id", _described().alias("known")).dropDuplicates(["id"])))
+    other = here.select("file", "id", _described().alias("d")).join(graph, "id").where("NOT (d <=> known)").select("file")
+    clash = twice.unionByName(other).select("file", F.lit("node is described differently").alias("reason"))
     named = F.when(F.col("record") == EDGE, F.array("src", "dst")).when(F.col("record") == ISSUE, F.col("node_ids"))
     ends = records.select("file", F.explode(named).alias("id")).distinct()
-    loose = ends.join(nodes.select("file", "id"), ["file", "id"], "left_anti").join(graph, "id", "left_anti").select("file", F.lit("names an unknown node").alias("reason"))
-    first = faults.unionByName(clash).unionByName(loose)
-    # what is left may still disagree among files
-    rest = here.join(first.select("file").distinct(), "file", "left_anti")
+    loose = ends.join(here.select("file", "id").hint("merge"), ["file", "id"], "left_anti").join(graph.select("id"), "id", "left_anti").select("file", F.lit("names an unknown node").alias("reason"))
+    first = cut(long.unionByName(own).unionByName(clash).unionByName(loose).groupBy("file").agg(F.min("reason").alias("reason")))
+    # what is left may still disagree among files, on nodes that several descriptions are known of
+    several = here.select("id", "kind", "label", "path").distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    rest = here.join(sized(cut(several)), "id", "left_semi").join(first.select("file").hint("merge"), "file", "left_anti").select("file", "id", _described().alias("d"))
     torn = rest.groupBy("id").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.min_by("d", "file").alias("kept")).where("NOT (low <=> high)").select("id", "kept")
-    later = rest.join(torn, "id").where("NOT (d <=> kept)").select("file", F.lit("another file describes the node first").alias("reason"))
-    return first.unionByName(later).groupBy("file").agg(F.min("reason").alias("reason"))
+    later = rest.join(sized(cut(torn)), "id").where("NOT (d <=> kept)").select("file", F.lit("another file describes the node first").alias("reason"))
+    return first.unionByName(later.distinct())
 
 
 def commit(records: DataFrame, known: DataFrame, name: str, version: str, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(records that enter the graph, withdrawn files). All records of a file enter or none; nodes that the graph has already keep what it knows of them, so
     they do not enter again. ``origin`` of a record is always the plugin's name and version, whatever the plugin says."""
-    out = withdrawn(records, known, most)
-    kept = records.join(out.select("file"), "file", "left_anti")
-    new = kept.where(F.col("record") == NODE).dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(records.columns)
+    out = cut(withdrawn(records, known, most))
+    kept = records.join(out.select("file").hint("merge"), "file", "left_anti")
+    new = kept.where(F.col("record") == NODE).dropDuplicates(["id"]).join(sized(cut(known.select("id").distinct())), "id", "left_anti").select(records.columns)
     entered = new.unionByName(kept.where(F.col("record") != NODE))
     return entered.withColumn("origin", F.lit(f"plugin:{name}@{version}")), out

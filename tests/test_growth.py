@@ -5,7 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+from evigraph.extract.js_facts import js_facts
+from evigraph.extract.python_facts import python_facts
+from evigraph.extract.sql_facts import sql_facts
+from evigraph.operators import graph as G
 from evigraph.operators import links as L
+from evigraph.operators import modules as M
+from evigraph.operators import plugins as P
 
 
 def _final(df) -> str:
@@ -34,3 +40,18 @@ def test_owned_symbols_hold_no_links(spark, monkeypatch):
     plain = linked(concepts, [s for s in symbols if s[2] == "x"])
     assert len(plain.collect()) == 41 * 10
     assert not re.search(r"Aggregate\(keys=\[concept#\d+L, target", _final(plain))
+
+
+def test_plugins_send_no_large_graph_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST", 10)
+    columns = ["file", "record", *P.FIELDS, "node_ids"]
+    node = lambda file, id_, label: {"file": file, "record": P.NODE, "id": id_, "kind": "k", "label": label, "path": "p"}
+    edge = lambda file, a, b: {"file": file, "record": P.EDGE, "src": a, "dst": b, "kind": "k", "resolution": "exact", "evidence": "e"}
+    rows = [node("a", "n", "1"), edge("a", "n", "g5"), node("b", "n", "2"), node("c", "c", "1"), node("c", "c", "2"), node("d", "g1", "x"), node("e", "g2", "g2"), edge("e", "g2", "no"), node("f", "f", "1"), edge("f", "f", "g3"), edge("f", "f", "g4")]
+    records = spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], P.RECORDS)
+    known = spark.createDataFrame([(f"g{i}", "k", f"g{i}", "p") for i in range(50)], "id string, kind string, label string, path string")
+    entered, out = P.commit(records, known, "x", "1", most=2)
+    found = {r.file: r.reason for r in out.collect()}
+    assert found == {"b": "another file describes the node first", "c": "node is described differently", "d": "node is described differently", "e": "names an unknown node", "f": "too many records"}
+    assert sorted((r.file, r.record) for r in entered.collect()) == [("a", "edge"), ("a", "node")]
+    assert "Broadcast" not in _final(entered)
