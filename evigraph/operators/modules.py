@@ -149,10 +149,11 @@ def export_origins(wanted: DataFrame, definitions: DataFrame, reexports: DataFra
     named = reexports.where("public != '*'").groupBy("file", F.col("public").alias("name")).agg(F.min(F.struct("place", "target", "imported")).alias("r")).select("file", "name", F.col("r.target").alias("to_file"), F.col("r.imported").alias("to_name"))
     asked = cut(wanted.select("file", "name").unionByName(named.where("to_name != '*'").select(F.col("to_file").alias("file"), F.col("to_name").alias("name"))).distinct())
     stars = reexports.where("public = '*'").select("file", F.col("target").alias("to"), "place").groupBy("file", "to").agg(F.min("place").alias("place"))
-    reach = star_reach(stars)
-    offered = own.unionByName(named.select("file", "name")).distinct().withColumnsRenamed({"file": "to"})
-    lacking = asked.join(offered.withColumnRenamed("to", "file"), ["file", "name"], "left_anti").where("name != 'default'")
-    through = lacking.join(reach, "file").join(offered, ["to", "name"]).groupBy("file", "name").agg(F.min(F.struct("way", "to")).alias("r")).select("file", "name", F.col("r.to").alias("to_file"), F.col("name").alias("to_name"))
+    offered = cut(own.unionByName(named.select("file", "name")).distinct().withColumnsRenamed({"file": "to"}))
+    lacking = cut(asked.join(offered.withColumnRenamed("to", "file"), ["file", "name"], "left_anti").where("name != 'default'"))
+    wanted_of = cut(offered.join(lacking.select("name").distinct(), "name", "left_semi"))
+    reach = star_reach(stars, wanted_of.select("to").distinct())
+    through = reach.join(wanted_of, "to").join(lacking, ["file", "name"], "left_semi").groupBy("file", "name").agg(F.min(F.struct("way", "to")).alias("r")).select("file", "name", F.col("r.to").alias("to_file"), F.col("name").alias("to_name"))
     # names that a star offers are asked of a file that has them itself, so no further names come up
     nodes = asked.unionByName(through.select(F.col("to_file").alias("file"), F.col("to_name").alias("name"))).distinct()
     hops = named.unionByName(through).join(own, ["file", "name"], "left_anti")
@@ -173,17 +174,26 @@ def export_origins(wanted: DataFrame, definitions: DataFrame, reexports: DataFra
     return out.select("file", "name", F.when(~lost, F.col("to_file")).alias("origin"), F.when(~lost, F.col("to_name")).alias("origin_name"), F.coalesce("state", F.lit("circle")).alias("state"))
 
 
-def star_reach(stars: DataFrame) -> DataFrame:
-    """(file, to, way): files that others reach by ``*`` re-exports alone, each pair once, by the way with the fewest hops, of these by the one whose places come
-    first; the way holds their number, then the places. A round joins ways to twice as long ones, so a chain of n stars takes about log2(n) rounds; circles
-    only make ways longer, so they end."""
-    seen = cut(stars.where("file != to").select("file", "to", F.struct(F.lit(1).alias("hops"), F.array("place").alias("places")).alias("way")))
-    while True:
-        ahead = seen.select(F.col("file").alias("to"), F.col("to").alias("further"), F.col("way").alias("rest"))
-        longer = F.struct((F.col("way.hops") + F.col("rest.hops")).alias("hops"), F.concat("way.places", "rest.places").alias("places"))
-        moved = seen.join(ahead, "to").where("further != file").select("file", F.col("further").alias("to"), longer.alias("way"))
-        better = moved.groupBy("file", "to").agg(F.min("way").alias("way")).join(seen.withColumnRenamed("way", "old"), ["file", "to"], "left").where("old IS NULL OR way < old").drop("old")
-        better = cut(better)
-        if better.isEmpty():
-            return seen
-        seen = cut(seen.join(better.select("file", "to"), ["file", "to"], "left_anti").unionByName(better))
+def star_reach(stars: DataFrame, ends: DataFrame) -> DataFrame:
+    """(file, to, way): which of ``ends`` (to) files reach by ``*`` re-exports alone, each pair once, by the way with the fewest hops, of these by the one whose places come
+    first; the way holds their number, then the places.
+
+    Round k knows all ways of fewer than 2^k hops to an end and all walks of exactly 2^k hops between files; one before the other gives the ways of up to twice as many, so a chain of n
+    stars takes about log2(n) rounds and a row of each kind for a file, not one for each pair of files. A round without a new pair is the last, as a longer way would end in one of its length; so circles end.
+    """
+    links = stars.where("file != to").select("file", "to", F.struct(F.lit(1).alias("hops"), F.array("place").alias("places")).alias("way"))
+    walks = cut(links)
+    found = new = cut(links.join(ends, "to", "left_semi"))
+    longer = F.struct((F.col("way.hops") + F.col("rest.hops")).alias("hops"), F.concat("way.places", "rest.places").alias("places"))
+
+    def before(rest: DataFrame) -> DataFrame:
+        ahead = rest.select(F.col("file").alias("mid"), F.col("to").alias("further"), F.col("way").alias("rest"))
+        return walks.withColumnRenamed("to", "mid").join(ahead, "mid").select("file", F.col("further").alias("to"), longer.alias("way")).groupBy("file", "to").agg(F.min("way").alias("way"))
+
+    first = True
+    while first or not new.isEmpty():
+        walks = walks if first else cut(before(walks))
+        first = False
+        new = cut(before(found).where("file != to").join(found, ["file", "to"], "left_anti"))
+        found = cut(found.unionByName(new))
+    return found

@@ -55,3 +55,27 @@ def test_plugins_send_no_large_graph_to_the_driver(spark, monkeypatch):
     assert found == {"b": "another file describes the node first", "c": "node is described differently", "d": "node is described differently", "e": "names an unknown node", "f": "too many records"}
     assert sorted((r.file, r.record) for r in entered.collect()) == [("a", "edge"), ("a", "node")]
     assert "Broadcast" not in _final(entered)
+
+
+def test_star_ways_are_kept_to_offering_files_alone(spark):
+    stars = [(i, i + 1, 1) for i in range(64)] + [(64, 0, 2), (3, 60, 2), (3, 60, 1), (10, 10, 1), (20, 70, 0), (70, 22, 0)]
+    ends = [(40,), (60,), (3,), (99,)]
+    edges = {}
+    for a, b, p in stars:
+        if a != b:
+            edges[a, b] = min(p, edges.get((a, b), p))
+    expected = {}
+    for (end,) in ends:
+        level, ways = {end: ()}, {}
+        while level:
+            after = {}
+            for (a, b), p in edges.items():
+                if b in level and a != end and a not in ways:
+                    after[a] = min(after.get(a, (p, *level[b])), (p, *level[b]))
+            ways.update(after)
+            level = after
+        expected.update({(a, end): w for a, w in ways.items()})
+    frame = spark.createDataFrame([(a, b, p) for (a, b), p in edges.items()], "file long, to long, place int")
+    found = M.star_reach(frame, spark.createDataFrame(ends, "to long")).collect()
+    assert len(found) == len(expected) and {(r.file, r.to): tuple(r.way.places) for r in found} == expected
+    assert all(r.way.hops == len(r.way.places) for r in found)
