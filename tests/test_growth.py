@@ -7,6 +7,7 @@ import re
 
 from evigraph.extract.js_facts import js_facts
 from evigraph.extract.python_facts import python_facts
+from evigraph.extract.sql_facts import sql_facts
 from evigraph.operators import graph as G
 from evigraph.operators import links as L
 from evigraph.operators import modules as M
@@ -82,5 +83,5 @@ def test_star_ways_are_kept_to_offering_files_alone(spark):
 
 def test_few_bytes_of_sources_are_many_tasks(spark):
     one = spark.createDataFrame([(f"f{i}", "import os") for i in range(40)], "path string, text string").coalesce(1)
-    for facts in (python_facts, js_facts):
+    for facts in (python_facts, sql_facts, js_facts):
         assert facts(one).rdd.getNumPartitions() == 4
