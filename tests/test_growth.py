@@ -85,3 +85,26 @@ def test_few_bytes_of_sources_are_many_tasks(spark):
     one = spark.createDataFrame([(f"f{i}", "import os") for i in range(40)], "path string, text string").coalesce(1)
     for facts in (python_facts, sql_facts, js_facts):
         assert facts(one).rdd.getNumPartitions() == 4
+
+
+def test_closure_shuffles_its_steps_once(spark, monkeypatch):
+    plans, plain = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), plain(df))[1])
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.choice(["exact", "ambiguous", "ambiguous"])) for _ in range(70)]
+
+    def walk(pairs, start):
+        seen, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            for b in {y for p in pairs for x, y in (p, p[::-1]) if x == at} - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    found = G.only_ambiguous(spark.createDataFrame(edges, "src long, dst long, resolution string"), spark.range(1))
+    assert {r.id for r in found.collect()} == walk([e[:2] for e in edges], 0) - walk([e[:2] for e in edges if e[2] == "exact"], 0)
+    rounds = [p for p in plans if "LeftSemi" in p]
+    assert len(rounds) > 2 and all("InMemoryTableScan" in p and "BroadcastHashJoin" not in p for p in rounds)
+    assert not any("Exchange hashpartitioning(src" in p.partition("InMemoryRelation")[0] for p in rounds)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
