@@ -11,6 +11,7 @@ from evigraph.extract.sql_facts import sql_facts
 from evigraph.operators import graph as G
 from evigraph.operators import links as L
 from evigraph.operators import modules as M
+from evigraph.operators import mounts as R
 from evigraph.operators import plugins as P
 
 
@@ -108,3 +109,30 @@ def test_closure_shuffles_its_steps_once(spark, monkeypatch):
     assert len(rounds) > 2 and all("InMemoryTableScan" in p and "BroadcastHashJoin" not in p for p in rounds)
     assert not any("Exchange hashpartitioning(src" in p.partition("InMemoryRelation")[0] for p in rounds)
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_ways_of_routers_are_written_once(spark, monkeypatch):
+    written, plain = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: (written.append(plain(df)), written[-1])[1])
+    rng = random.Random(3)
+    names = ["r0", "s0"] + [f"r{i}" for i in range(1, 11)]
+    # a chain with diamonds, below it routers on circles, and more below these
+    links = {(f"r{i}", f"r{i + 1}", rng.choice(["", "/x"]), rng.random() < 0.7) for i in range(10)} | {("s0", "r2", "", True), ("r1", "r3", "", True), ("r1", "r3", "/y", False), ("r6", "r4", "/c", True), ("r6", "r5", "", True), ("r3", "r6", "", True), ("r7", "r7", "", True), ("r8", "r10", "", True)}
+    own = {n: ("/" + n if n[0] == "s" else "", ("d" + n,)) for n in names}
+    walks = {(n, *own[n], (n,)) for n in ("r0", "s0")}
+    todo = list(walks)
+    while todo:
+        at, prefix, deps, passed = todo.pop()
+        for a, b, p, inherit in links:
+            if a == at and b not in passed:
+                way = (b, prefix + p + own[b][0], (deps if inherit else ()) + own[b][1], (*passed, b))
+                if way not in walks:
+                    walks.add(way)
+                    todo.append(way)
+    ways = {w[:3] for w in walks}
+    routers = spark.createDataFrame([(n, p, list(d)) for n, (p, d) in own.items()], "router string, prefix string, dependencies array<string>")
+    mounts = spark.createDataFrame([(a, b, 0, p, None, i) for a, b, p, i in links], "parent string, child string, place int, prefix string, dependencies array<string>, inherit boolean")
+    found, issues = R.mount_variants(routers, mounts)
+    rows = [(r.router, r.prefix, tuple(r.dependencies)) for r in found.collect()]
+    assert len(rows) == len(ways) and set(rows) == ways and issues.isEmpty()
+    assert sum(df.count() for df in written if {"router", "prefix"} <= set(df.columns)) <= 2 * len(walks)
