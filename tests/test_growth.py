@@ -136,3 +136,7 @@ def test_ways_of_routers_are_written_once(spark, monkeypatch):
     rows = [(r.router, r.prefix, tuple(r.dependencies)) for r in found.collect()]
     assert len(rows) == len(ways) and set(rows) == ways and issues.isEmpty()
     assert sum(df.count() for df in written if {"router", "prefix"} <= set(df.columns)) <= 2 * len(walks)
+    written.clear()
+    settled = R.effective_mounts(routers, mounts).collect()
+    assert sorted(r.router for r in settled) == sorted(names) and {r.router for r in settled if r.cyclic} == {f"r{i}" for i in range(4, 8)}
+    assert sum(df.count() for df in written if "cyclic" in df.columns) == len(names)
