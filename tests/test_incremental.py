@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators.findings import mark_new
+from evigraph.streaming import incremental as module
 from evigraph.streaming.incremental import incremental, run_incremental
 
 SCHEMA = "seq long, fp string, ts timestamp"
@@ -78,3 +79,24 @@ def test_an_empty_stream(spark, tmp_path):
     baseline = spark.createDataFrame([], "fp string, known long, since timestamp")
     run_incremental(incremental(stream(spark, tmp_path / "in"), baseline), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.schema("seq long").parquet(str(tmp_path / "out")).count() == 0
+
+
+def test_fingerprints_of_one_bucket_go_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "BUCKETS", 1)
+    baseline = spark.createDataFrame([("a", 1, "2024-01-01"), (None, 2, "2024-01-02"), ("b", 1, "2024-01-03")], "fp string, known long, since string").withColumn("since", F.to_timestamp("since"))
+    run = lambda: run_incremental(incremental(stream(spark, tmp_path / "in"), baseline, ttl_days=10), str(tmp_path / "out"), str(tmp_path / "ck"))
+    put(spark, tmp_path / "in", [(1, "b", "2024-01-04 00:00:00"), (2, "c", "2024-01-05 00:00:00"), (3, "b", "2024-01-04 00:00:00"), (4, None, "2024-01-05 00:00:00"), (5, "d", "2024-01-12 02:00:00")])
+    run()
+    gone = lambda: {(r.fp, r.occurrence) for r in spark.read.parquet(str(tmp_path / "out")).where("kind = 'gone'").collect()}
+    assert gone() == {("a", 0)}
+    found = {r.seq: (r.occurrence, r.is_new) for r in spark.read.parquet(str(tmp_path / "out")).where("kind = 'found'").collect()}
+    assert sorted([found.pop(1), found.pop(3)]) == [(0, False), (1, True)] and found == {2: (0, True), 4: (0, False), 5: (0, True)}
+    put(spark, tmp_path / "in", [(6, "a", "2024-01-14 02:00:00")])
+    run()
+    assert gone() == {("a", 0), ("b", 2)}
+    put(spark, tmp_path / "in", [(7, "d", "2024-01-16 00:00:00")])
+    run()
+    assert gone() == {("a", 0), ("b", 2), ("c", 1), (None, 1)}
+    put(spark, tmp_path / "in", [(8, "d", "2024-01-16 00:00:00"), (9, "b", "2024-01-16 00:00:00"), (10, "a", "2024-01-16 00:00:00")])
+    run()
+    assert {r.seq: (r.occurrence, r.is_new) for r in spark.read.parquet(str(tmp_path / "out")).where("seq > 6").collect()} == {7: (1, True), 8: (2, True), 9: (0, True), 10: (1, True)}
