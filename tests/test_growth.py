@@ -140,3 +140,15 @@ def test_ways_of_routers_are_written_once(spark, monkeypatch):
     settled = R.effective_mounts(routers, mounts).collect()
     assert sorted(r.router for r in settled) == sorted(names) and {r.router for r in settled if r.cyclic} == {f"r{i}" for i in range(4, 8)}
     assert sum(df.count() for df in written if "cyclic" in df.columns) == len(names)
+
+
+def test_edges_of_kinds_that_are_not_selected_are_not_shuffled(spark, monkeypatch):
+    edges = spark.createDataFrame([("a:1", "b:1"), ("a:1", "b:2"), ("a:1", "c:1"), ("c:1", "a:1"), ("b:1", "a:1"), ("b:1", "b:1"), (None, "b:1"), ("a", "a:1"), ("x", "a"), ("a:3", None)], "src string, dst string")
+    chosen = spark.createDataFrame([("a:1",), ("b:1",), ("b:1",), (None,), ("a",)], "id string")
+    expected = [("a", "a:1"), ("a:1", "b:1"), ("b:1", "a:1"), ("b:1", "b:1")]
+    found = G.induced(edges, chosen)
+    assert sorted(map(tuple, found.collect())) == expected
+    assert "substring_index(src" in _final(found)
+    assert G.induced(edges, chosen.limit(0)).isEmpty()
+    monkeypatch.setattr(G, "KINDS", 1)
+    assert sorted(map(tuple, G.induced(edges, chosen).collect())) == expected
