@@ -15,15 +15,16 @@ def _proposed(spark, sf):
     """Three records per line: a node of the line, an edge from it to its part, an issue about it. Parts are in the graph but for one in 400."""
     lines = table(spark, sf, "lineitem").selectExpr("l_orderkey AS o", "l_linenumber AS l", "l_partkey AS p")
     line = "concat('line:', o, ':', l)"
-    null = [f"CAST(NULL AS string) AS {c}" for c in P.FIELDS]
-    base = lines.selectExpr("o", "l", "p", "concat('o', o) AS file", *null, "CAST(NULL AS array<string>) AS node_ids")
     path = "CASE WHEN o % 97 = 0 AND l = 1 THEN '../out' WHEN o % 89 = 0 THEN NULL ELSE concat('lines/', l) END"
-    node = base.withColumns({"record": F.lit(P.NODE), "id": F.expr(f"CASE WHEN o % 50 = 7 AND l = 1 THEN 'shared' ELSE {line} END"), "kind": F.lit("line"), "label": F.expr("CASE WHEN o % 50 = 7 AND l = 1 THEN concat('l', o % 3) ELSE 'l' END"), "path": F.expr(path), "metadata": F.expr("CASE WHEN o % 83 = 0 THEN '{' ELSE '{\"a\": 1}' END")})
-    edge = base.where("l != 1 OR o % 50 != 7").withColumns({"record": F.lit(P.EDGE), "src": F.expr(line), "dst": F.expr("concat('part:', p)"), "kind": F.lit("USES"), "resolution": F.expr("CASE WHEN o % 79 = 0 AND l = 2 THEN 'sure' ELSE 'exact' END"), "evidence": F.lit("line")})
-    issue = base.withColumns({"record": F.lit(P.ISSUE), "severity": F.expr("CASE WHEN o % 73 = 0 THEN 'odd' ELSE 'info' END"), "message": F.lit("m"), "evidence": F.lit("e"), "recommendation": F.lit("r"), "node_ids": F.expr("array(concat('part:', p))")})
-    columns = ["file", "record", *P.FIELDS, "node_ids"]
+    node = {"id": f"CASE WHEN o % 50 = 7 AND l = 1 THEN 'shared' ELSE {line} END", "kind": "'line'", "label": "CASE WHEN o % 50 = 7 AND l = 1 THEN concat('l', o % 3) ELSE 'l' END", "path": path, "metadata": "CASE WHEN o % 83 = 0 THEN '{' ELSE '{\"a\": 1}' END"}
+    edge = {"src": line, "dst": "concat('part:', p)", "kind": "'USES'", "resolution": "CASE WHEN o % 79 = 0 AND l = 2 THEN 'sure' ELSE 'exact' END", "evidence": "'line'"}
+    issue = {"severity": "CASE WHEN o % 73 = 0 THEN 'odd' ELSE 'info' END", "message": "'m'", "evidence": "'e'", "recommendation": "'r'", "node_ids": "array(concat('part:', p))"}
+    null = {**{c: "CAST(NULL AS string)" for c in P.FIELDS}, "node_ids": "CAST(NULL AS array<string>)"}
+    # the records of a line leave one task, as those of a file that an extractor reads
+    each = ", ".join(f"named_struct('record', '{what}', {', '.join(f"'{c}', {v}" for c, v in {**null, **own}.items())})" for what, own in ((P.NODE, node), (P.EDGE, edge), (P.ISSUE, issue)))
+    records = lines.selectExpr("o", "l", "concat('o', o) AS file", f"inline(array({each}))").where(f"record != '{P.EDGE}' OR l != 1 OR o % 50 != 7")
     known = table(spark, sf, "part").where("p_partkey % 400 != 3").selectExpr("concat('part:', p_partkey) AS id", "'part' AS kind", "p_name AS label", "CAST(NULL AS string) AS path")
-    return node.select(columns).unionByName(edge.select(columns)).unionByName(issue.select(columns)), known
+    return records.select("file", "record", *P.FIELDS, "node_ids"), known
 
 
 def plugin_withdrawn(spark, sf):

@@ -58,6 +58,26 @@ def test_plugins_send_no_large_graph_to_the_driver(spark, monkeypatch):
     assert "Broadcast" not in _final(entered)
 
 
+def test_plugins_compare_only_what_is_described_in_several_ways(spark, monkeypatch):
+    written, plain = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: (written.append(plain(df)), written[-1])[1])
+    columns = ["file", "record", *P.FIELDS, "node_ids"]
+    node = lambda file, id_, label, path="p": {"file": file, "record": P.NODE, "id": id_, "kind": "k", "label": label, "path": path}
+    edge = lambda file, a, b, how="exact": {"file": file, "record": P.EDGE, "src": a, "dst": b, "kind": "k", "resolution": how, "evidence": "e"}
+    issue = lambda file, ids: {"file": file, "record": P.ISSUE, "severity": "info", "message": "m", "evidence": "e", "recommendation": "r", "node_ids": ids}
+    failed = lambda file, text: {"file": file, "record": P.FAILED, "message": text}
+    rows = [r for i in range(40) for r in (node(f"ok{i % 5}", f"n{i}", "1"), node(f"ok{i % 5}", f"n{i}", "1"), edge(f"ok{i % 5}", f"n{i}", "g1"), issue(f"ok{i % 5}", [f"n{i}", "g2"]))]
+    rows += [node("ok0", "g1", "g1"), issue("ok0", []), issue("ok0", None), issue("ok1", ["g3", None]), node("ok2", "t", "1"), node("ok3", "t", "1", None), node("swap", "g4", "p", "g4")]
+    rows += [failed("a", "y"), failed("a", None), failed("a", "x"), edge("a", "g1", "no"), failed("b", "x"), edge("b", None, "g1"), node("c", None, "l"), edge("c", "g1", "g2", "odd"), {"file": "d", "record": None}, node("e", "e", "1"), node("e", "e", None), edge("e", "e", "no"), *[failed("l", str(i)) for i in range(50)]]
+    records = spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], P.RECORDS)
+    known = spark.createDataFrame([(f"g{i}", "k", f"g{i}", "p") for i in range(50)], "id string, kind string, label string, path string")
+    found = {r.file: r.reason for r in P.withdrawn(records, known, most=40).collect()}
+    later = {"ok3": "another file describes the node first", "ok1": "names an unknown node"}
+    assert found == {**later, "swap": "node is described differently", "a": "failed: ", "b": "edge without an end, kind or evidence", "c": "node without id, kind or label", "d": "unknown record", "e": "names an unknown node", "l": "too many records"}
+    described = [df for df in written if {"file", "label"} <= set(df.columns)]
+    assert len(described) == 1 and {r.id for r in described[0].collect()} == {"t", "e", "g4"}
+
+
 def test_star_ways_are_kept_to_offering_files_alone(spark):
     stars = [(i, i + 1, 1) for i in range(64)] + [(64, 0, 2), (3, 60, 2), (3, 60, 1), (10, 10, 1), (20, 70, 0), (70, 22, 0)]
     ends = [(40,), (60,), (3,), (99,)]
