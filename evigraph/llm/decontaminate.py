@@ -98,8 +98,9 @@ def _windows(w: Column, form: str) -> Column:
 
 def _hashed(docs: DataFrame, widths: list[int], raw_widths: list[int]) -> DataFrame:
     """id, text_hash, hash, at and form of all windows of documents with words ``t``."""
-    words = docs.select("id", "text_hash", F.size("t").alias("n"), F.col("t.c").alias(LITERAL), F.col("t.d").alias(NAMED), F.transform("t.raw", F.lower).alias(RAW))
-    words = words.withColumn("begins", F.expr("array_compact(zip_with(c, sequence(1, greatest(size(c), 1)), (x, i) -> IF(x != get(d, i - 1), i, NULL)))"))
+    # words that begin sentences, each judged by itself: looked up by number in a field of ``t``, that field would be taken out of the whole text for each word
+    begins = F.array_compact(F.transform("t", lambda x, i: F.when(x[LITERAL] != x[NAMED], i + 1)))
+    words = docs.select("id", "text_hash", F.size("t").alias("n"), F.col("t.c").alias(LITERAL), F.col("t.d").alias(NAMED), F.transform("t.raw", F.lower).alias(RAW), begins.alias("begins"))
 
     def of(w: int, form: str) -> Column:
         starts = _starts(F.col("n"), F.lit(w))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,18 @@ def test_many_rows_without_an_id_are_dealt_to_blocks(spark):
     repeated = sum(i % 3 == 0 for i in range(10_000, 12_000))
     assert first == {(-1, 0): 10_000, (7, 15): repeated, (7, 0): 2_000 - repeated}
     assert {r.n_removed for r in shown if r.id % 3 == 0 and r.id > 7} == {15}
+
+
+def test_words_that_begin_sentences_are_judged_one_by_one(spark):
+    from evigraph.llm import decontaminate as D
+
+    texts = ["The cat sat. The dog ran and Tom saw it. Then nothing moved at all", "no capitals in these ten words that follow each other", "", "Short One."]
+    docs = D.with_template(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text").withColumn("text_hash", F.col("id"))
+    hashed = D._hashed(D.materialise(docs.select("id", "text_hash", "t"), "test-templates"), [4], [])
+    words = {r.id: [(x.c, x.d) for x in r.t] for r in docs.collect()}
+    around = {(i, at + 1) for i, w in words.items() for at in range(len(w) - 3) if any(c != d for c, d in w[at : at + 4])}
+    found = [(r.id, r["at"]) for r in hashed.where(F.col("form") == D.NAMED).collect()]
+    assert len(found) == len(set(found)) and set(found) == around and len(around) > 5
+    # no field of the template is taken out of a text again for each of its words
+    plan = hashed._jdf.queryExecution().optimizedPlan().toString()
+    assert ".d AS d" in plan and not re.search(r"\bt#\d+\.\w+\[", plan)
