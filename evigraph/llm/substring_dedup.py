@@ -63,10 +63,15 @@ class Block:
         # windows that do not reach into the next document
         self.valid = owner[:n] == owner[width - 1 :] if n else np.zeros(0, dtype=bool)
         self.owner = owner[:n]
-        grams = window_hashes(hashes, settings.gram, 7)
-        self.anchors = grams[:n].copy() if n else grams[:0]
-        for i in range(1, width - settings.gram + 1 if n else 1):
-            np.minimum(self.anchors, grams[i : i + n], out=self.anchors)
+
+    def anchors(self) -> np.ndarray:
+        """The least gram of each window; the pass of automata does without."""
+        n, gram = len(self.owner), self.settings.gram
+        grams = window_hashes(self.hashes, gram, 7)
+        anchors = grams[:n].copy()
+        for i in range(1, self.settings.width - gram + 1 if n else 1):
+            np.minimum(anchors, grams[i : i + n], out=anchors)
+        return anchors
 
     def window_keys(self) -> tuple[np.ndarray, np.ndarray]:
         width = self.settings.width
@@ -76,11 +81,11 @@ class Block:
 def _anchors(settings: Settings):
     def run(key, data):
         block = Block(data, settings)
-        found, doc = block.anchors[block.valid], block.owner[block.valid]
+        found, doc = block.anchors()[block.valid], block.owner[block.valid]
         change = np.ones(len(found), dtype=bool)
         change[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
         found, ids = found[change], block.ids[doc[change]]
-        order = np.argsort(found, kind="stable")
+        order = np.argsort(found)
         found, ids = found[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, dtype=np.int64)
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, dtype=bool)
@@ -98,13 +103,18 @@ def _windows(settings: Settings):
             return empty
         block = Block(docs, settings)
         anchors = np.sort(shared.column("anchor").to_numpy().view(np.uint64))
-        near = np.minimum(np.searchsorted(anchors, block.anchors), len(anchors) - 1)
-        pick = np.flatnonzero(block.valid & (anchors[near] == block.anchors))
+        own = block.anchors()
+        # neighbours mostly have the same anchor, which is looked up once
+        first = np.flatnonzero(np.concatenate([own[:1] == own[:1], own[1:] != own[:-1]]))
+        near = np.minimum(np.searchsorted(anchors, own[first]), len(anchors) - 1)
+        pick = np.flatnonzero(block.valid & np.repeat(anchors[near] == own[first], np.diff(first, append=len(own))))
         if not len(pick):
             return empty
         h1, h2 = (h[pick] for h in block.window_keys())
         ids = block.ids[block.owner[pick]]
-        order = np.lexsort((h2, h1))
+        order = np.argsort(h1)
+        if np.any((h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] != h2[order[:-1]])):  # rare: the second hash tells windows apart
+            order = np.lexsort((h2, h1))
         h1, h2, ids = h1[order], h2[order], ids[order]
         first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]))
         low = np.minimum.reduceat(ids, first)
@@ -134,17 +144,26 @@ def _patterns(block: Block, confirmed: np.ndarray, first: np.ndarray) -> tuple[n
 FIRST = 32
 
 
+class _Coded(dict):
+    """Two characters for each word asked for, of at most ``most`` words."""
+
+    def __init__(self, most: int):
+        self.base = math.isqrt(max(most - 1, 0)) + 1
+
+    def __missing__(self, word: bytes) -> str:
+        i, j = divmod(len(self), self.base)
+        letters = self[word] = chr(FIRST + i) + chr(FIRST + self.base + j)
+        return letters
+
+
 def _letters(block: Block) -> list[str]:
     """The documents with two characters for each word of the block, the first and the second from alphabets of their own.
 
     An automaton keeps the branches of a node in a list, so an alphabet of all words would make the root a long one; and as the alphabets differ,
     what it finds begins and ends with a word.
     """
-    numbers: dict = {}
-    coded = [[numbers.setdefault(w, len(numbers)) for w in words] for words in block.words]
-    base = math.isqrt(max(len(numbers) - 1, 0)) + 1
-    letters = [chr(FIRST + i // base) + chr(FIRST + base + i % base) for i in range(len(numbers))]
-    return ["".join(map(letters.__getitem__, x)) for x in coded]
+    coded = _Coded(len(block.hashes))
+    return ["".join(map(coded.__getitem__, words)) for words in block.words]
 
 
 def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:

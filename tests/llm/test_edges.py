@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,19 @@ def test_words_that_begin_sentences_are_judged_one_by_one(spark):
     # no field of the template is taken out of a text again for each of its words
     plan = hashed._jdf.queryExecution().optimizedPlan().toString()
     assert ".d AS d" in plan and not re.search(r"\bt#\d+\.\w+\[", plan)
+
+
+def test_anchors_are_left_out_where_automata_need_none(monkeypatch):
+    from evigraph.llm import substring_dedup as S
+
+    taken = []
+    monkeypatch.setattr(S, "window_hashes", lambda hashes, width, seed, plain=S.window_hashes: (taken.append(width), plain(hashes, width, seed))[1])
+    words = [f"w{i}" for i in range(300)]
+    docs = pa.table({"id": [1, 2], "own": pa.array([1, 2], pa.int64()), "text": [" ".join(words[:200]), " ".join(words[150:])]})
+    windows = S.Block(docs, S.Settings()).window_keys()[0][150:188]
+    taken.clear()
+    out = S._kept(S.Settings(), False)(None, docs, pa.table({"h1": windows, "first": np.full(len(windows), 1)}))
+    assert out.column("kept").to_pylist() == [" ".join(words[:200]), " ".join(words[200:])] and out.column("n_removed").to_pylist() == [0, 50]
+    assert set(taken) == {S.Settings().width}
+    coded = S._letters(S.Block(docs, S.Settings()))
+    assert len({c[i : i + 2] for c in coded for i in range(0, len(c), 2)}) == 300 and coded[0][300:] == coded[1][:100]
