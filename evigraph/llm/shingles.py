@@ -17,28 +17,14 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """64-bit hash of a word; remembers the words seen, up to ``limit`` at a time."""
-
-    limit = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` in UTF-8; ``bytes.split`` knows just those six blanks."""
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    """64-bit hashes. Most words of a text are rare ones, so hashing all of them costs less than to remember those seen."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def window_hashes(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:

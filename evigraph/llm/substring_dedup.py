@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
-from itertools import compress
+from itertools import chain, compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -144,26 +144,24 @@ def _patterns(block: Block, confirmed: np.ndarray, first: np.ndarray) -> tuple[n
 FIRST = 32
 
 
-class _Coded(dict):
-    """Two characters for each word asked for, of at most ``most`` words."""
+def _letters(block: Block, place: np.ndarray | None = None) -> list[str]:
+    """The documents with two characters for each word, the first and the second from alphabets of their own.
 
-    def __init__(self, most: int):
-        self.base = math.isqrt(max(most - 1, 0)) + 1
-
-    def __missing__(self, word: bytes) -> str:
-        i, j = divmod(len(self), self.base)
-        letters = self[word] = chr(FIRST + i) + chr(FIRST + self.base + j)
-        return letters
-
-
-def _letters(block: Block) -> list[str]:
-    """The documents with two characters for each word of the block, the first and the second from alphabets of their own.
-
-    An automaton keeps the branches of a node in a list, so an alphabet of all words would make the root a long one; and as the alphabets differ,
+    Words of the windows at ``place`` (all words if none are given) have characters of their own, by the words themselves; all others, which no
+    window holds, share theirs. An automaton keeps the branches of a node in a list, so an alphabet of all words would make the root a long one; and as the alphabets differ,
     what it finds begins and ends with a word.
     """
-    coded = _Coded(len(block.hashes))
-    return ["".join(map(coded.__getitem__, words)) for words in block.words]
+    words = chain.from_iterable(block.words)
+    if place is not None:
+        held = np.zeros(len(block.hashes), dtype=bool)
+        for i in range(block.settings.width):
+            held[place + i] = True
+        words = compress(words, held.tolist())
+    named = dict.fromkeys(words)
+    base = math.isqrt(len(named)) + 1
+    coded = {word: chr(FIRST + i // base) + chr(FIRST + base + i % base) for i, word in enumerate(named, 1)}
+    other = repeat(chr(FIRST) + chr(FIRST + base))
+    return ["".join(map(coded.get, words, other)) for words in block.words]
 
 
 def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.ndarray | None]:
@@ -179,7 +177,7 @@ def locate(block: Block, confirmed: np.ndarray, first: np.ndarray) -> list[np.nd
     place, earliest = _patterns(block, confirmed, first)
     if not len(place):
         return drop
-    coded = _letters(block)
+    coded = _letters(block, place)
     home = np.searchsorted(block.starts, place, side="right") - 1
     offset = place - block.starts[home]
     for low in range(0, len(place), shard):

@@ -250,3 +250,17 @@ def test_anchors_are_left_out_where_automata_need_none(monkeypatch):
     assert set(taken) == {S.Settings().width}
     coded = S._letters(S.Block(docs, S.Settings()))
     assert len({c[i : i + 2] for c in coded for i in range(0, len(c), 2)}) == 300 and coded[0][300:] == coded[1][:100]
+
+
+def test_words_that_no_window_holds_share_their_characters():
+    """Words are told apart by themselves where a window stands, and need no characters of their own elsewhere."""
+    from evigraph.llm import substring_dedup as S
+
+    words = [f"w{i}" for i in range(300)]
+    docs = pa.table({"id": [1, 2], "own": pa.array([1, 2], pa.int64()), "text": [" ".join(words), " ".join(f"x{i}" for i in range(90)) + " " + " ".join(words[100:114])]})
+    block = S.Block(docs, S.Settings())
+    coded = [[c[i : i + 2] for i in range(0, len(c), 2)] for c in S._letters(block, np.array([100, 101]))]
+    assert [len(c) for c in coded] == [300, 104] and len(set(coded[0])) == 15 and len(set(coded[1][:90])) == 1
+    assert coded[0][100:114] == coded[1][90:] and coded[1][0] == coded[0][0] not in coded[1][90:]
+    keys = block.window_keys()[0][100:102]
+    assert [d is None or np.flatnonzero(d).tolist() for d in S.locate(block, keys, np.array([1, 1]))] == [True, list(range(90, 104))]
